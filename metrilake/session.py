@@ -23,6 +23,7 @@ def build_session(master: str | None = None, partitions: int = 8, app: str = "me
         b = b.master(master)
     b = (b.config("spark.ui.enabled", "false")
           .config("spark.sql.shuffle.partitions", str(partitions))
+          .config("spark.ui.showConsoleProgress", "false")
           .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
     for k, v in RUNTIME_CONF.items():
         b = b.config(k, v)
