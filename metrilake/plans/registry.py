@@ -5,7 +5,7 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["metrilake.plans.catalog", "metrilake.plans.catalog_ingest"]
+MODULES = ["metrilake.plans.catalog", "metrilake.plans.catalog_ingest", "metrilake.plans.catalog_alerts"]
 
 
 def _load():

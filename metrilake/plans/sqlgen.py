@@ -13,6 +13,8 @@ from ..frame import Grid
 # -- metric views over the driver's tables -----------------------------------------
 VIEWS = {
     "m_gauge": "SELECT event_type, CAST(user_id AS VARCHAR) AS user_id, (epoch_us(ts) // 1000) AS ts, value FROM events",
+    "m_gauge_ns": ("SELECT 'ns-' || CAST(user_id % 5 AS VARCHAR) AS namespace, CAST(user_id AS VARCHAR) AS user_id, "
+                   "event_type, (epoch_us(ts) // 1000) AS ts, value FROM events"),
     "m_counter": ("SELECT event_type, (epoch_us(ts) // 1000) AS ts, SUM(value) OVER (PARTITION BY event_type "
                   "ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value FROM events"),
     "m_user_counter": ("SELECT event_type, CAST(user_id AS VARCHAR) AS user_id, (epoch_us(ts) // 1000) AS ts, "

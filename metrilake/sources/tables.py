@@ -91,3 +91,11 @@ def m_bucket(spark, sf_dir) -> MetricFrame:
            .groupBy("l_returnflag", "l_linestatus", F.col("_x.le").alias("le"), "_m")
            .agg(F.count(F.lit(1)).cast("double").alias("value")))
     return from_table(d, ["l_returnflag", "l_linestatus", "le"], ts="_m")
+
+
+def m_gauge_ns(spark, sf_dir) -> MetricFrame:
+    """Gauge per (namespace, user_id, event_type); the namespace is derived from the user."""
+    ev = table(spark, sf_dir, "events")
+    d = ev.select(F.concat(F.lit("ns-"), (F.col("user_id") % 5).cast("string")).alias("namespace"),
+                  "user_id", "event_type", "ts", "value")
+    return from_table(d, ["namespace", "user_id", "event_type"])
