@@ -3,6 +3,7 @@
 ``MetricFrame.<name>(...)`` forwards here, so ``mf.rate("5m", grid)`` and
 ``rate(mf, "5m", grid)`` are the same call.
 """
+from .frame import Grid, MetricFrame  # noqa: F401
 from .operators.select import from_table, from_map, select, bind, instant, time_bounds  # noqa: F401
 from .operators.range_fns import (rate, irate, increase, deriv, predict_linear, changes,  # noqa: F401
                                   over_time, avg_over_time, min_over_time, max_over_time,
