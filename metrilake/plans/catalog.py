@@ -37,11 +37,20 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+def rnd(c, digits: int = 6):
+    """Presentation rounding for the result tables: ``round(x·10^d) / 10^d``
+    (the scaled product is rounded, as the SQL side does)."""
+    c = F.col(c) if isinstance(c, str) else c
+    k = float(10 ** digits)
+    return F.round(c * F.lit(k)) / F.lit(k)
+
+
 def out(mf: MetricFrame, digits: int = 6) -> DataFrame:
-    return mf.df.select(*mf.labels, TS, F.round(F.col(VALUE), digits).alias(VALUE))
+    return mf.df.select(*mf.labels, TS, rnd(F.col(VALUE), digits).alias(VALUE))
 
 
 GL = ["event_type", "user_id"]   # gauge labels
+SQRT2 = 1.4142135623730951        # irrational scale: keeps averages off exact decimal rounding ties
 ET = ["event_type"]
 
 
@@ -116,12 +125,17 @@ def _over_time_sql(src, labels, g, rng, f):
     return f"(SELECT {lc}, t AS ts, {f} AS value FROM {w} GROUP BY {lc}, t)"
 
 
+_G7 = "(SELECT event_type, user_id, ts, value * 1.4142135623730951 AS value FROM " + S.view("m_gauge") + ")"
 for _fn, _f in (("avg", "AVG(value)"), ("max", "MAX(value)"), ("min", "MIN(value)"), ("last", "arg_max(value, ts)")):
     def _mk(fn):
         def q(spark, sf):
-            return out(A.over_time(T.m_gauge(spark, sf), fn, "1d", G1D))
+            g = T.m_gauge(spark, sf)
+            if fn == "avg":   # see a_avg_by: keep averages off exact rounding ties
+                g = g.with_df(g.df.withColumn(VALUE, F.col(VALUE) * SQRT2))
+            return out(A.over_time(g, fn, "1d", G1D))
         return q
-    register(f"w_{_fn}_over_time", S.final(_over_time_sql(S.view("m_gauge"), GL, G1D, D1, _f), GL))(_mk(_fn))
+    src = _G7 if _fn == "avg" else S.view("m_gauge")
+    register(f"w_{_fn}_over_time", S.final(_over_time_sql(src, GL, G1D, D1, _f), GL))(_mk(_fn))
 
 
 def _subquery_sql():
@@ -253,12 +267,15 @@ def q_p14_ceil(spark, sf):
 
 # ---------------------------------------------------------------- aggregations
 _I6 = S.instant(S.view("m_gauge"), GL, G6H, LB)
+_I6_7 = f"(SELECT event_type, user_id, ts, value * 1.4142135623730951 AS value FROM {_I6})"
 for _op in ("sum", "avg", "min", "max", "count", "stdvar"):
+    # averages of 2-decimal values can sit exactly on a rounding tie; an irrational scale avoids that
     def _mk(op):
         def q(spark, sf):
-            return out(A.aggregate(_inst(T.m_gauge(spark, sf)), op, by=ET))
+            g = _inst(T.m_gauge(spark, sf))
+            return out(A.aggregate(A.scalar_op(g, "*", SQRT2) if op == "avg" else g, op, by=ET))
         return q
-    register(f"a_{_op}_by", S.final(S.agg(_I6, _op, ET), ET))(_mk(_op))
+    register(f"a_{_op}_by", S.final(S.agg(_I6_7 if _op == "avg" else _I6, _op, ET), ET))(_mk(_op))
 
 
 @register("a1_sum_without", S.final(S.agg(_I6, "sum", ["user_id"]), ["user_id"]))

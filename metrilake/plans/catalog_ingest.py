@@ -11,7 +11,7 @@ from ..sources import exposition, graphite, store
 from ..sources import tables as T
 from . import configs as C
 from . import fixtures as X
-from .catalog import G1D, G6H, out
+from .catalog import rnd, G1D, G6H, out
 from . import sqlgen as S
 
 QUERIES, SQL = {}, {}
@@ -113,7 +113,7 @@ def q_l_metric_relabel_and_drop(spark, sf):
     d = exposition.read_exposition(X.exposition_lines(spark, sf))
     d = R.relabel(d, C.CADVISOR_DROP + C.APISERVER_DROP + C.SPARK_METRIC_RELABEL)
     return (d.groupBy(F.col("labels")["__name__"].alias("name"))
-             .agg(F.count(F.lit(1)).alias("samples"), F.round(F.sum("value"), 6).alias("value")))
+             .agg(F.count(F.lit(1)).alias("samples"), rnd(F.sum("value"), 6).alias("value")))
 
 
 @register("l_honor_external_enforce", f"""

@@ -13,7 +13,7 @@ from .. import api as A
 from ..frame import TS, VALUE, MetricFrame, to_ms
 from ..sources import tables as T
 from ..streaming import stream as X
-from .catalog import G6H, out
+from .catalog import rnd, G6H, out
 
 QUERIES, SQL = {}, {}
 
@@ -50,7 +50,7 @@ def q_x1_stream_eval(spark, sf):
     """Tumbling 6h evaluation of a stream with a 30m watermark, update mode."""
     s = X.with_delay(event_stream(spark, sf), "30m")
     r = X.run_to_table(spark, X.stream_eval(s, ["event_type"], "6h"), "x1", "update", ["event_type", "eval_ts"])
-    return r.select("event_type", "eval_ts", "last", "samples", F.round("sum", 6).alias("sum"))
+    return r.select("event_type", "eval_ts", "last", "samples", rnd("sum", 6).alias("sum"))
 
 
 @register("x2_stream_range", f"""
@@ -63,7 +63,7 @@ def q_x2_stream_range(spark, sf):
     s = X.with_delay(event_stream(spark, sf), "30m")
     r = X.run_to_table(spark, X.stream_range(s, ["event_type"], "1d", "6h"), "x2", "update",
                        ["event_type", "eval_ts"])
-    return r.select("event_type", "eval_ts", "min", "max", "samples", F.round("delta", 6).alias("delta"))
+    return r.select("event_type", "eval_ts", "min", "max", "samples", rnd("delta", 6).alias("delta"))
 
 
 @register("x4_dedup_stream", """

@@ -5,7 +5,7 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["metrilake.plans.catalog", "metrilake.plans.catalog_ingest", "metrilake.plans.catalog_alerts", "metrilake.plans.catalog_upkeep", "metrilake.plans.catalog_stream"]
+MODULES = ["metrilake.plans.catalog", "metrilake.plans.catalog_ingest", "metrilake.plans.catalog_alerts", "metrilake.plans.catalog_upkeep", "metrilake.plans.catalog_stream", "metrilake.plans.catalog_table"]
 
 
 def _load():
