@@ -44,7 +44,7 @@ def _matches(parts: Column, t: Template) -> Column:
     cond = F.size(parts) >= len(toks)
     for i, tok in enumerate(toks):
         if tok != "*":
-            cond = cond & (F.element_at(parts, i + 1) == F.lit(tok))
+            cond = cond & (F.try_element_at(parts, F.lit(i + 1)) == F.lit(tok))
     return cond
 
 
@@ -62,11 +62,11 @@ def _extract(parts: Column, t: Template, sep: str):
             meas_pos.append(i)
         elif n:
             by_name.setdefault(n, []).append(i)
-    pieces = [F.element_at(parts, i + 1) for i in meas_pos]
+    pieces = [F.try_element_at(parts, F.lit(i + 1)) for i in meas_pos]
     if tail_from is not None:
         pieces.append(F.array_join(F.slice(parts, tail_from + 1, F.greatest(F.size(parts) - tail_from, F.lit(1))), sep))
     meas = F.concat_ws(sep, *pieces) if pieces else F.lit("")
-    tags = {n: F.concat_ws(sep, *[F.element_at(parts, i + 1) for i in pos]) for n, pos in by_name.items()}
+    tags = {n: F.concat_ws(sep, *[F.try_element_at(parts, F.lit(i + 1)) for i in pos]) for n, pos in by_name.items()}
     return meas, tags
 
 
