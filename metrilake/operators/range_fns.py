@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..frame import NAN, NAME, TS, VALUE, Grid, MetricFrame, duration_ms
 from .series import running_sum, series_lag
+from .slots import nan_aware, use_slots, window_table
 
 
 def _windows(mf: MetricFrame, grid: Grid, rng: int) -> DataFrame:
@@ -50,6 +51,11 @@ def _nan_aware(fn, v: Column) -> Column:
 def over_time(mf: MetricFrame, fn: str, rng, grid: Grid) -> MetricFrame:
     """avg/min/max/last/sum/count ``_over_time``."""
     r = duration_ms(rng)
+    if fn in ("avg", "min", "max", "last") and use_slots(grid, r):
+        t = window_table(mf, grid, r)
+        val = {"avg": F.col("sum") / F.col("n"), "min": nan_aware(F.col("min"), F.col("nans")),
+               "max": nan_aware(F.col("max"), F.col("nans")), "last": F.col("last.v")}[fn]
+        return _finish(mf, grid, t.select(*mf.labels, "_k", val.alias("_r")), F.col("_r"), keep_name=(fn == "last"))
     d = _windows(mf, grid, r)
     v = F.col(VALUE)
     aggs = {
@@ -103,11 +109,18 @@ def _pairs(mf: MetricFrame, grid: Grid, r: int) -> DataFrame:
 def _extrapolated(mf: MetricFrame, rng, grid: Grid, is_counter: bool, is_rate: bool) -> MetricFrame:
     r = duration_ms(rng)
     v, pv = F.col(VALUE), F.col("_pv")
-    agg = (_pairs(mf, grid, r).groupBy(*mf.labels, "_k")
-           .agg(F.count(v).alias("_n"),
-                F.min(F.struct(F.col(TS), v)).alias("_f"),
-                F.max(F.struct(F.col(TS), v)).alias("_l"),
-                F.sum(F.when(pv.isNotNull() & (v < pv), pv).otherwise(F.lit(0.0))).alias("_corr")))
+    if use_slots(grid, r):
+        t = window_table(mf, grid, r)
+        agg = t.select(*mf.labels, "_k", F.col("n").alias("_n"),
+                       F.struct(F.col("first.ts").alias(TS), F.col("first.v").alias(VALUE)).alias("_f"),
+                       F.struct(F.col("last.ts").alias(TS), F.col("last.v").alias(VALUE)).alias("_l"),
+                       F.col("corr").alias("_corr"))
+    else:
+        agg = (_pairs(mf, grid, r).groupBy(*mf.labels, "_k")
+               .agg(F.count(v).alias("_n"),
+                    F.min(F.struct(F.col(TS), v)).alias("_f"),
+                    F.max(F.struct(F.col(TS), v)).alias("_l"),
+                    F.sum(F.when(pv.isNotNull() & (v < pv), pv).otherwise(F.lit(0.0))).alias("_corr")))
     t = grid.ts_of(F.col("_k"))
     fv, ft, lv, lt, n = F.col("_f." + VALUE), F.col("_f." + TS), F.col("_l." + VALUE), F.col("_l." + TS), F.col("_n")
     delta = lv - fv + (F.col("_corr") if is_counter else F.lit(0.0))
@@ -141,19 +154,28 @@ def increase(mf: MetricFrame, rng, grid: Grid) -> MetricFrame:
 def irate(mf: MetricFrame, rng, grid: Grid) -> MetricFrame:
     """Per-second rate from the last two samples in the window, no extrapolation."""
     r = duration_ms(rng)
-    agg = (_pairs(mf, grid, r).groupBy(*mf.labels, "_k")
-           .agg(F.max(F.struct(F.col(TS), F.col(VALUE), F.col("_pt"), F.col("_pv"))).alias("_l")))
+    if use_slots(grid, r):
+        t = window_table(mf, grid, r)
+        agg = t.select(*mf.labels, "_k", F.struct(F.col("last.ts").alias(TS), F.col("last.v").alias(VALUE),
+                                                  F.col("last.pts").alias("_pt"), F.col("last.pv").alias("_pv")).alias("_l"))
+    else:
+        agg = (_pairs(mf, grid, r).groupBy(*mf.labels, "_k")
+               .agg(F.max(F.struct(F.col(TS), F.col(VALUE), F.col("_pt"), F.col("_pv"))).alias("_l")))
     lv, lt, pv, pt = (F.col("_l." + VALUE), F.col("_l." + TS), F.col("_l._pv"), F.col("_l._pt"))
     diff = F.when(lv < pv, lv).otherwise(lv - pv)
-    return _finish(mf, grid, agg, diff / ((lt - pt) / F.lit(1000.0)), cond=pt.isNotNull() & (lt > pt))
+    in_window = pt.isNotNull() & (pt >= grid.ts_of(F.col("_k")) - F.lit(r)) & (lt > pt)
+    return _finish(mf, grid, agg, diff / ((lt - pt) / F.lit(1000.0)), cond=in_window)
 
 
 def changes(mf: MetricFrame, rng, grid: Grid) -> MetricFrame:
     """Number of value changes between consecutive samples in the window."""
     r = duration_ms(rng)
     v, pv = F.col(VALUE), F.col("_pv")
-    agg = (_pairs(mf, grid, r).groupBy(*mf.labels, "_k")
-           .agg(F.sum(F.when(pv.isNotNull() & (v != pv), F.lit(1)).otherwise(F.lit(0))).alias("_c")))
+    if use_slots(grid, r):
+        agg = window_table(mf, grid, r).select(*mf.labels, "_k", F.col("chg").alias("_c"))
+    else:
+        agg = (_pairs(mf, grid, r).groupBy(*mf.labels, "_k")
+               .agg(F.sum(F.when(pv.isNotNull() & (v != pv), F.lit(1)).otherwise(F.lit(0))).alias("_c")))
     return _finish(mf, grid, agg, F.col("_c"))
 
 
