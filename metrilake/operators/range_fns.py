@@ -48,10 +48,10 @@ def _nan_aware(fn, v: Column) -> Column:
     return F.when(real.isNull() & (F.count(v) > 0), F.lit(NAN)).otherwise(real)
 
 
-def over_time(mf: MetricFrame, fn: str, rng, grid: Grid) -> MetricFrame:
+def over_time(mf: MetricFrame, fn: str, rng, grid: Grid, strategy: str = "auto") -> MetricFrame:
     """avg/min/max/last/sum/count ``_over_time``."""
     r = duration_ms(rng)
-    if fn in ("avg", "min", "max", "last") and use_slots(grid, r):
+    if fn in ("avg", "min", "max", "last") and use_slots(grid, r, strategy):
         t = window_table(mf, grid, r)
         val = {"avg": F.col("sum") / F.col("n"), "min": nan_aware(F.col("min"), F.col("nans")),
                "max": nan_aware(F.col("max"), F.col("nans")), "last": F.col("last.v")}[fn]
@@ -70,10 +70,10 @@ def over_time(mf: MetricFrame, fn: str, rng, grid: Grid) -> MetricFrame:
     return _finish(mf, grid, agg, F.col("_r"), keep_name=(fn == "last"))
 
 
-def avg_over_time(mf, rng, grid): return over_time(mf, "avg", rng, grid)
-def min_over_time(mf, rng, grid): return over_time(mf, "min", rng, grid)
-def max_over_time(mf, rng, grid): return over_time(mf, "max", rng, grid)
-def last_over_time(mf, rng, grid): return over_time(mf, "last", rng, grid)
+def avg_over_time(mf, rng, grid, strategy="auto"): return over_time(mf, "avg", rng, grid, strategy)
+def min_over_time(mf, rng, grid, strategy="auto"): return over_time(mf, "min", rng, grid, strategy)
+def max_over_time(mf, rng, grid, strategy="auto"): return over_time(mf, "max", rng, grid, strategy)
+def last_over_time(mf, rng, grid, strategy="auto"): return over_time(mf, "last", rng, grid, strategy)
 
 
 def _regression(mf: MetricFrame, rng, grid: Grid):
@@ -106,10 +106,11 @@ def _pairs(mf: MetricFrame, grid: Grid, r: int) -> DataFrame:
     return d.withColumn("_pv", F.lag(VALUE).over(w)).withColumn("_pt", F.lag(TS).over(w))
 
 
-def _extrapolated(mf: MetricFrame, rng, grid: Grid, is_counter: bool, is_rate: bool) -> MetricFrame:
+def _extrapolated(mf: MetricFrame, rng, grid: Grid, is_counter: bool, is_rate: bool,
+                  strategy: str = "auto") -> MetricFrame:
     r = duration_ms(rng)
     v, pv = F.col(VALUE), F.col("_pv")
-    if use_slots(grid, r):
+    if use_slots(grid, r, strategy):
         t = window_table(mf, grid, r)
         agg = t.select(*mf.labels, "_k", F.col("n").alias("_n"),
                        F.struct(F.col("first.ts").alias(TS), F.col("first.v").alias(VALUE)).alias("_f"),
@@ -141,20 +142,20 @@ def _extrapolated(mf: MetricFrame, rng, grid: Grid, is_counter: bool, is_rate: b
     return _finish(mf, grid, agg, res, cond=(n >= 2) & (lt > ft))
 
 
-def rate(mf: MetricFrame, rng, grid: Grid) -> MetricFrame:
+def rate(mf: MetricFrame, rng, grid: Grid, strategy: str = "auto") -> MetricFrame:
     """Per-second counter increase, reset-aware and extrapolated to the window edges."""
-    return _extrapolated(mf, rng, grid, is_counter=True, is_rate=True)
+    return _extrapolated(mf, rng, grid, is_counter=True, is_rate=True, strategy=strategy)
 
 
-def increase(mf: MetricFrame, rng, grid: Grid) -> MetricFrame:
+def increase(mf: MetricFrame, rng, grid: Grid, strategy: str = "auto") -> MetricFrame:
     """Counter increase over the window (W3) = rate × range."""
-    return _extrapolated(mf, rng, grid, is_counter=True, is_rate=False)
+    return _extrapolated(mf, rng, grid, is_counter=True, is_rate=False, strategy=strategy)
 
 
-def irate(mf: MetricFrame, rng, grid: Grid) -> MetricFrame:
+def irate(mf: MetricFrame, rng, grid: Grid, strategy: str = "auto") -> MetricFrame:
     """Per-second rate from the last two samples in the window, no extrapolation."""
     r = duration_ms(rng)
-    if use_slots(grid, r):
+    if use_slots(grid, r, strategy):
         t = window_table(mf, grid, r)
         agg = t.select(*mf.labels, "_k", F.struct(F.col("last.ts").alias(TS), F.col("last.v").alias(VALUE),
                                                   F.col("last.pts").alias("_pt"), F.col("last.pv").alias("_pv")).alias("_l"))
@@ -167,11 +168,11 @@ def irate(mf: MetricFrame, rng, grid: Grid) -> MetricFrame:
     return _finish(mf, grid, agg, diff / ((lt - pt) / F.lit(1000.0)), cond=in_window)
 
 
-def changes(mf: MetricFrame, rng, grid: Grid) -> MetricFrame:
+def changes(mf: MetricFrame, rng, grid: Grid, strategy: str = "auto") -> MetricFrame:
     """Number of value changes between consecutive samples in the window."""
     r = duration_ms(rng)
     v, pv = F.col(VALUE), F.col("_pv")
-    if use_slots(grid, r):
+    if use_slots(grid, r, strategy):
         agg = window_table(mf, grid, r).select(*mf.labels, "_k", F.col("chg").alias("_c"))
     else:
         agg = (_pairs(mf, grid, r).groupBy(*mf.labels, "_k")
