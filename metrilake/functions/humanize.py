@@ -21,25 +21,18 @@ def _strip_zeros(s: Column) -> Column:
 
 
 def go_g(x: Column, prec: int = 4) -> Column:
-    """``%.{prec}g`` of a double."""
+    """``%.{prec}g`` of a double.  The JVM's ``%g`` picks fixed or exponent form by the
+    same rule (exponent of the rounded value in [-4, prec)) but keeps trailing zeros, which
+    the template language drops: ``12.50`` → ``12.5``, ``1.000e+07`` → ``1e+07``."""
     p = max(prec, 1)
-    e_str = F.format_string(f"%.{p - 1}e", x)                       # mantissa rounded to p digits
-    exp = F.regexp_extract(e_str, r"e([+-]\d+)$", 1).cast("int")
-    mant = _strip_zeros(F.regexp_extract(e_str, r"^(-?[\d.]+)e", 1))
-    sci = F.concat(mant, F.lit("e"), F.when(exp < 0, F.lit("-")).otherwise(F.lit("+")),
-                   F.lpad(F.abs(exp).cast("string"), 2, "0"))
-    fixed = None
-    for e in range(-4, p):
-        f = F.format_string(f"%.{p - 1 - e}f", x)
-        fixed = F.when(exp == e, f) if fixed is None else fixed.when(exp == e, f)
-    fixed = _strip_zeros(fixed.otherwise(F.lit(None)))
-    out = F.when((exp < -4) | (exp >= p), sci).otherwise(fixed)
+    s = F.format_string(f"%.{p}g", x)
+    s = F.regexp_replace(F.regexp_replace(s, r"(\.\d*?)0+(e|$)", "$1$2"), r"\.(e|$)", "$1")
     return (F.when(x.isNull(), F.lit(None).cast("string"))
             .when(F.isnan(x), F.lit("NaN"))
             .when(x == F.lit(float("inf")), F.lit("+Inf"))
             .when(x == F.lit(float("-inf")), F.lit("-Inf"))
             .when(x == 0, F.lit("0"))
-            .otherwise(out))
+            .otherwise(s))
 
 
 def go_v(x: Column) -> Column:
