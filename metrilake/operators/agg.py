@@ -171,3 +171,16 @@ def absent(mf: MetricFrame, grid: Grid, labels: dict | None = None) -> MetricFra
     g = grid.df(mf.spark).join(present, on=TS, how="left_anti")
     out = g.select(*[F.lit(v).alias(k) for k, v in labels.items()], TS, F.lit(1.0).alias(VALUE))
     return MetricFrame(out, tuple(labels.keys()))
+
+
+def histogram_avg(sum_mf: MetricFrame, count_mf: MetricFrame, rng, grid: Grid,
+                  by: Sequence[str] | None = None, without: Sequence[str] | None = None) -> MetricFrame:
+    """Histogram/summary mean ``sum by (..) (rate(x_sum[r])) / sum by (..) (rate(x_count[r]))``.
+
+    Two partial-merge aggregates of the same shape joined one-to-one on (by…, t);
+    no observation is ever gathered in one place."""
+    from .match import binop
+    from .range_fns import rate
+    s = aggregate(rate(sum_mf, rng, grid), "sum", by=by, without=without)
+    c = aggregate(rate(count_mf, rng, grid), "sum", by=by, without=without)
+    return binop(s, c, "/")

@@ -537,3 +537,50 @@ def q_wl_max_over_recorded(spark, sf):
 def q_wl_rate_over_recorded(spark, sf):
     rec = A.aggregate(_inst(T.m_gauge(spark, sf)), "count", by=ET)
     return out(A.rate(rec, "5d", G6H, "slots"))
+
+
+# ---------------------------------------------------------------- histogram mean, interval join, rename fallback
+_RS = S.agg(S.extrapolated(S.view("m_user_counter"), GL, G6H, D2), "sum", ET)
+_RC = S.agg(S.extrapolated(S.view("m_user_count"), GL, G6H, D2), "sum", ET)
+
+
+@register("a12_histogram_avg", S.final(
+    f"(SELECT a.event_type, a.ts, CASE WHEN b.value = 0 THEN 'nan'::DOUBLE ELSE a.value / b.value END AS value "
+    f"FROM {_RS} a JOIN {_RC} b ON a.event_type = b.event_type AND a.ts = b.ts)", ET))
+def q_a12_histogram_avg(spark, sf):
+    """``sum by (event_type) (rate(v_sum[2d])) / sum by (event_type) (rate(v_count[2d]))``."""
+    return out(A.histogram_avg(T.m_user_counter(spark, sf), T.m_user_count(spark, sf), "2d", G6H, by=ET))
+
+
+_IV_SQL = """(SELECT CAST(user_id AS VARCHAR) AS app, 'job' AS kind,
+              CAST(user_id AS VARCHAR) || '/' || CAST(CAST(ts AS DATE) AS VARCHAR) AS name,
+              MIN(epoch_us(ts) // 1000) AS start_ts, MAX(epoch_us(ts) // 1000) AS end_ts
+       FROM events GROUP BY user_id, CAST(ts AS DATE)
+       UNION ALL
+       SELECT CAST(user_id AS VARCHAR), 'stage', CAST(user_id AS VARCHAR) || '/' || event_type || '/' || CAST(CAST(ts AS DATE) AS VARCHAR),
+              MIN(epoch_us(ts) // 1000), MAX(epoch_us(ts) // 1000)
+       FROM events GROUP BY user_id, event_type, CAST(ts AS DATE))"""
+
+
+@register("j11_interval_join", f"""
+SELECT s.event_type, s.user_id, s.ts, ROUND(s.value, 6) AS value, i.kind, i.name, i.start_ts, i.end_ts
+FROM {S.view("m_gauge")} s JOIN {_IV_SQL} i ON s.user_id = i.app AND s.ts BETWEEN i.start_ts AND i.end_ts""")
+def q_j11_interval_join(spark, sf):
+    """Every sample annotated with the job and stage spans of its application that contain it."""
+    g = T.m_gauge(spark, sf).df
+    j = A.annotate(g, T.app_intervals(spark, sf), on=[("user_id", "app")])
+    return j.select(*GL, TS, rnd(VALUE, 6).alias(VALUE), "kind", "name", "start_ts", "end_ts")
+
+
+_R_OLD = S.extrapolated(S.view("m_counter_reset", "regexp_full_match(event_type, 'error|click')"), ET, G6H, D1)
+_R_NEW = S.extrapolated(S.view("m_counter"), ET, G6H, D1)
+
+
+@register("u4_rename_fallback", S.final(
+    f"(SELECT * FROM {_R_OLD} UNION ALL SELECT * FROM {_R_NEW} n WHERE NOT EXISTS "
+    f"(SELECT 1 FROM {_R_OLD} o WHERE o.event_type = n.event_type AND o.ts = n.ts))", ET))
+def q_u4_rename_fallback(spark, sf):
+    """``rate(old_name[1d]) or rate(new_name[1d])``: the old series where it still exists (U4)."""
+    old = A.rate(A.select(T.m_counter_reset(spark, sf), re={"event_type": "error|click"}), "1d", G6H)
+    new = A.rate(T.m_counter(spark, sf), "1d", G6H)
+    return out(A.coalesce_metrics(old, new))

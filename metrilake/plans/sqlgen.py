@@ -20,6 +20,9 @@ VIEWS = {
     "m_user_counter": ("SELECT event_type, CAST(user_id AS VARCHAR) AS user_id, (epoch_us(ts) // 1000) AS ts, "
                        "SUM(value) OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id "
                        "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value FROM events"),
+    "m_user_count": ("SELECT event_type, CAST(user_id AS VARCHAR) AS user_id, (epoch_us(ts) // 1000) AS ts, "
+                     "CAST(COUNT(*) OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id "
+                     "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS value FROM events"),
     "m_counter_reset": ("SELECT event_type, (epoch_us(ts) // 1000) AS ts, SUM(value) OVER (PARTITION BY event_type, "
                         "CAST(ts AS DATE) ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) "
                         "AS value FROM events"),

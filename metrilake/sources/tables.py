@@ -99,3 +99,27 @@ def m_gauge_ns(spark, sf_dir) -> MetricFrame:
     d = ev.select(F.concat(F.lit("ns-"), (F.col("user_id") % 5).cast("string")).alias("namespace"),
                   "user_id", "event_type", "ts", "value")
     return from_table(d, ["namespace", "user_id", "event_type"])
+
+
+def m_user_count(spark, sf_dir) -> MetricFrame:
+    """Counter per (event_type, user_id): running count of events (the ``_count`` half of
+    a summary whose ``_sum`` is :func:`m_user_counter`)."""
+    ev = table(spark, sf_dir, "events").select("event_type", "user_id", "event_id", to_ms("ts").alias(TS))
+    d = running_sum(ev, ["event_type", "user_id"], TS, ["event_id"], F.lit(1.0), "_c")
+    return from_table(d.select("event_type", "user_id", TS, F.col("_c").alias(VALUE)), ["event_type", "user_id"])
+
+
+def app_intervals(spark, sf_dir) -> DataFrame:
+    """Job and stage spans per application (a user of ``events``): a job is a user's day,
+    from its first to its last event; a stage is the same for one event type.
+    Columns ``(app, kind, name, start_ts, end_ts)`` with epoch-ms bounds."""
+    ev = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("app"), "event_type",
+                                               F.to_date("ts").cast("string").alias("_day"),
+                                               to_ms("ts").alias(TS))
+    jobs = (ev.groupBy("app", "_day").agg(F.min(TS).alias("start_ts"), F.max(TS).alias("end_ts"))
+              .select("app", F.lit("job").alias("kind"), F.concat_ws("/", "app", "_day").alias("name"),
+                      "start_ts", "end_ts"))
+    stages = (ev.groupBy("app", "event_type", "_day").agg(F.min(TS).alias("start_ts"), F.max(TS).alias("end_ts"))
+                .select("app", F.lit("stage").alias("kind"), F.concat_ws("/", "app", "event_type", "_day").alias("name"),
+                        "start_ts", "end_ts"))
+    return jobs.unionByName(stages)

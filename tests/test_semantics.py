@@ -234,3 +234,41 @@ def test_inhibition(spark):
         "alertname", "namespace", "severity"]).collect()}
     assert ("A", "ns1", "warning") not in left and ("B", "ns1", "info") not in left
     assert ("A", "ns2", "warning") in left and ("C", "ns3", "info") in left and ("A", "ns1", "critical") in left
+
+
+# ---------------------------------------------------------------- interval join
+def _brute_annotate(samples, intervals):
+    return sorted((s[0], s[1], i[1], i[2]) for s in samples for i in intervals
+                  if s[0] == i[0] and i[2] <= s[1] <= i[3])
+
+
+@pytest.mark.parametrize("bucket_ms", [1, 7, 1000, None])
+def test_annotate_matches_brute_force(spark, bucket_ms):
+    import random
+    rnd_ = random.Random(bucket_ms or 0)
+    samples = [(rnd_.choice("ab"), rnd_.randrange(0, 5000)) for _ in range(300)]
+    intervals = []
+    for k in range(40):
+        s = rnd_.randrange(0, 5000)
+        intervals.append((rnd_.choice("ab"), f"iv{k}", s, s + rnd_.choice([0, 1, 50, 999, 1000, 4000])))
+    sdf = spark.createDataFrame(samples, "app string, ts long")
+    idf = spark.createDataFrame(intervals, "app string, name string, start_ts long, end_ts long")
+    got = A.annotate(sdf, idf, on=["app"], bucket_ms=bucket_ms)
+    assert sorted((r["app"], r["ts"], r["name"], r["start_ts"]) for r in got.collect()) == \
+        _brute_annotate(samples, intervals)
+
+
+def test_annotate_bounds_inclusive_and_left(spark):
+    sdf = spark.createDataFrame([("a", 10), ("a", 20), ("a", 21), ("b", 15)], "app string, ts long")
+    idf = spark.createDataFrame([("a", "j", 10, 20)], "app string, name string, start_ts long, end_ts long")
+    got = {(r["app"], r["ts"]): r["name"] for r in A.annotate(sdf, idf, on=["app"], bucket_ms=5, how="left").collect()}
+    assert got == {("a", 10): "j", ("a", 20): "j", ("a", 21): None, ("b", 15): None}
+
+
+# ---------------------------------------------------------------- histogram mean
+def test_histogram_avg_is_mean_of_observations(spark):
+    # observations of 2.0 every 10s: _sum grows 2 per step, _count 1 per step → mean 2
+    s = mf_of(spark, [("a", t * 10_000, 2.0 * t) for t in range(7)])
+    c = mf_of(spark, [("a", t * 10_000, 1.0 * t) for t in range(7)])
+    (_, t, v), = values(A.histogram_avg(s, c, "60s", Grid.instant(60_000), by=["job"]))
+    assert t == 60_000 and v == pytest.approx(2.0)
