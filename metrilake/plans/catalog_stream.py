@@ -136,3 +136,32 @@ def q_x9_lag_report(spark, sf):
     highest = A.aggregate(A.last_over_time(ts_gauge, "60d", g), "max", by=["event_type"])
     sent = A.last_over_time(ts_gauge, "60d", g)
     return out(X.lag_report(highest, sent), 3)
+
+
+@register("x7_group_stream", f"""
+WITH wm AS (SELECT MAX(epoch_us(ts) // 1000) - 1800000 AS w FROM events),
+f AS (SELECT 'null' AS receiver, 'namespace=ns-' || CAST(user_id % 5 AS VARCHAR) AS group_key,
+             (epoch_us(ts) // 1000) // {H6} AS slot, hash(CAST(user_id AS VARCHAR), event_type) AS fp
+      FROM events WHERE value > 100),
+g AS (SELECT receiver, group_key, slot, COUNT(DISTINCT fp) AS alerts, bit_xor(DISTINCT fp) AS dig
+      FROM f WHERE (slot + 1) * {H6} <= (SELECT w FROM wm) GROUP BY ALL),
+l AS (SELECT *, LAG(slot) OVER w AS ps, LAG(dig) OVER w AS pd FROM g WINDOW w AS (PARTITION BY receiver, group_key ORDER BY slot)),
+c AS (SELECT *, (ps IS NULL OR ps <> slot - 1) AS new_run, (ps IS NULL OR ps <> slot - 1 OR pd <> dig) AS changed FROM l),
+m AS (SELECT *, MAX(CASE WHEN changed THEN slot END) OVER (PARTITION BY receiver, group_key ORDER BY slot
+        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS lc FROM c)
+SELECT receiver, group_key, slot * {H6} + CASE WHEN new_run THEN 30000 ELSE 0 END AS notify_ts, alerts,
+       CASE WHEN changed THEN 'update' ELSE 'repeat' END AS kind
+FROM m WHERE changed OR ((slot - lc) * {H6} > 0 AND ((slot - lc) * {H6}) % {D1} = 0)""")
+def q_x7_group_stream(spark, sf):
+    """Streaming notification grouping (X7): values above 100 fire ``HighValue`` per (user, event type),
+    routed by the route tree and grouped by namespace in 6h slots, repeat 1d, group_wait 30s,
+    slots closed by the 30m watermark."""
+    from ..operators import alerts as AL
+    from . import configs as C
+    s = X.with_delay(event_stream(spark, sf), "30m").filter(F.col(VALUE) > 100)
+    s = s.select(F.lit("HighValue").alias("alertname"), F.lit("info").alias("severity"),
+                 F.concat(F.lit("ns-"), (F.col("user_id").cast("bigint") % 5).cast("string")).alias("namespace"),
+                 "user_id", "event_type", TS, X.EVENT_TIME)
+    r = AL.route(s, C.ROUTE)
+    g = X.group_notifications_stream(r, ["user_id", "event_type"], "6h", "1d", C.ROUTE["group_wait"])
+    return X.run_to_table(spark, g, "x7").select("receiver", "group_key", "notify_ts", "alerts", "kind")

@@ -149,6 +149,74 @@ def _sorted(fn, by: str):
     return wrap
 
 
+# -- X7: streaming notification grouping with timers ------------------------------------------
+def group_notifications_stream(routed: DataFrame, labels: Sequence[str], group_interval, repeat_interval,
+                               group_wait="0s") -> DataFrame:
+    """Notification grouping on a stream (X7): E8's rule, driven by event-time timers.
+
+    Input: routed firing alert evaluations ``(receiver, group_key, labels…, ts, event_time)``
+    with a watermark.  Per (receiver, group) the state keeps the distinct alert
+    fingerprints of each still-open ``group_interval`` slot and the digest of the last
+    closed one.  A slot closes when the watermark passes its end – on the next
+    micro-batch or, without new data, on its event-time timer – and then notifies when
+    its alert set differs from the previous slot's, or every ``repeat_interval`` while
+    unchanged; the first notification of a run waits ``group_wait``.  Rows of a batch
+    are folded chunk by chunk into sets, never gathered; state is bounded by the alert
+    instances of the open slots, and is dropped once no later slot can continue the run.
+    """
+    gi, rp, gw = duration_ms(group_interval), duration_ms(repeat_interval), duration_ms(group_wait)
+    fp = F.xxhash64(*[F.coalesce(F.col(l), F.lit("")) for l in labels])
+    d = routed.filter(F.col("state") == "firing") if "state" in routed.columns else routed
+    d = d.select("receiver", "group_key", F.floor(F.col(TS) / F.lit(gi)).cast("bigint").alias("_slot"),
+                 fp.alias("_fp"), EVENT_TIME)
+    out_schema = "receiver string, group_key string, notify_ts bigint, alerts bigint, kind string"
+    state_schema = ("open_slots array<bigint>, open_fps array<array<bigint>>, prev_slot bigint, "
+                    "prev_digest bigint, last_change bigint")
+
+    def fn(key, pdfs, state):
+        if state.exists:
+            slots, fps, prev_slot, prev_dig, last_change = state.get
+        else:
+            slots, fps, prev_slot, prev_dig, last_change = [], [], None, None, None
+        open_ = {int(s): set(int(v) for v in f) for s, f in zip(slots or [], fps or [])}
+        for pdf in pdfs:
+            for s, g in pdf.groupby("_slot")["_fp"]:
+                open_.setdefault(int(s), set()).update(int(v) for v in g.unique())
+        wm = state.getCurrentWatermarkMs()
+        out = []
+        for s in sorted(open_):
+            if (s + 1) * gi > wm:          # rows with ts <= watermark are late: the slot is complete
+                break
+            members = open_.pop(s)
+            dig = 0
+            for v in members:
+                dig ^= v
+            new_run = prev_slot is None or prev_slot != s - 1
+            changed = new_run or prev_dig != dig
+            if changed:
+                last_change = s
+            since = (s - last_change) * gi
+            if changed or (since > 0 and since % rp == 0):
+                out.append((key[0], key[1], s * gi + (gw if new_run else 0), len(members),
+                            "update" if changed else "repeat"))
+            prev_slot, prev_dig = s, dig
+        if open_:
+            ks = sorted(open_)
+            state.update((ks, [sorted(open_[k]) for k in ks], prev_slot, prev_dig, last_change))
+            state.setTimeoutTimestamp(max((ks[0] + 1) * gi - 1, wm + 1))
+        elif prev_slot is not None and (prev_slot + 2) * gi > wm:
+            # the next slot may still continue this run: keep the digest until it is closed
+            state.update(([], [], prev_slot, prev_dig, last_change))
+            state.setTimeoutTimestamp(max((prev_slot + 2) * gi - 1, wm + 1))
+        elif state.exists:
+            state.remove()
+        if out:
+            yield pd.DataFrame(out, columns=["receiver", "group_key", "notify_ts", "alerts", "kind"])
+
+    return d.groupBy("receiver", "group_key").applyInPandasWithState(
+        fn, out_schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
+
+
 # -- running a streaming query to completion ------------------------------------------------
 def run_to_table(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append",
                  keys: Sequence[str] | None = None) -> DataFrame:
