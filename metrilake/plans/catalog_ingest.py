@@ -216,3 +216,26 @@ SELECT DISTINCT CAST(user_id AS VARCHAR) AS user_id FROM events WHERE event_type
 def q_s11_label_values(spark, sf):
     """Variable values: ``label_values(m_gauge{event_type="purchase"}, user_id)``."""
     return store.label_values(A.select(T.m_gauge(spark, sf), eq={"event_type": "purchase"}), "user_id")
+
+
+@register("s4_s5_topic_to_store", S.final(S.agg(S.instant(S.view("m_gauge"), ["event_type", "user_id"], G1D,
+                                                          86_400_000), "sum", ["event_type"]), ["event_type"]))
+def q_s4_s5_topic_to_store(spark, sf):
+    """Topic → stream → batched block-store sink → windowed read.
+
+    The producer side publishes ``events`` as JSON records into the topic folder; the
+    stream is parsed by ``read_metric_topic`` and appended by the sink in files of at
+    most 1000 samples (the remote-write batch); the store is then read back for the
+    evaluation window and aggregated."""
+    import uuid
+    from ..sources import topic
+    root = shared_dir(spark, f"topic-{uuid.uuid4().hex[:8]}")
+    samples = store.to_samples(T.m_gauge(spark, sf), metric="events_value")
+    topic.to_records(samples).write.text(root + "/topic")
+    src = spark.readStream.schema("value string").text(root + "/topic")
+    q = topic.write_samples_stream(topic.read_metric_topic(spark, source=src), root + "/store",
+                                   root + "/checkpoint", batch=C.REMOTE_WRITE_BATCH)
+    q.awaitTermination()
+    back = store.read_samples(spark, root + "/store", "events_value", G1D.start, G1D.end, lookback="1d")
+    mf = store.frame(back, ["event_type", "user_id"]).drop_name()
+    return out(A.aggregate(A.instant(mf, G1D, "1d"), "sum", by=["event_type"]))
