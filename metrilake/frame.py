@@ -189,6 +189,35 @@ class MetricFrame:
         return lambda *a, **kw: fn(self, *a, **kw)
 
 
+def spread_for_expansion(df: DataFrame, factor: float, min_factor: float = 4.0) -> DataFrame:
+    """Round-robin an under-split input before an operator multiplies its rows.
+
+    A window/lookback expansion turns each sample into ``factor`` rows and its
+    partial aggregate runs in the scan's tasks.  An input with fewer splits than the
+    cluster has cores (one file holding one row group, a single Kafka partition)
+    would do that work in a handful of tasks; spreading the *unexpanded* rows costs a
+    shuffle of 1/factor of what follows.  Inputs that already have enough splits
+    (any real store) are returned unchanged."""
+    if factor < min_factor:
+        return df
+    try:
+        # a shuffle upstream already sets the partition count (and asking an adaptive
+        # plan for its RDD would run those stages): only scan-side inputs are looked at
+        tree = df._jdf.queryExecution().optimizedPlan().treeString()
+        if _SHUFFLING.search(tree):
+            return df
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < cores:
+            return df.repartition(cores)
+    except Exception:  # noqa: BLE001 - no plan/RDD view (e.g. a remote session): leave the plan as it is
+        pass
+    return df
+
+
+_SHUFFLING = re.compile(r"^[\s:|+\-]*(Aggregate|Window|WindowGroupLimit|Join|Repartition|RepartitionByExpression|"
+                        r"RebalancePartitions|Sort|Deduplicate|Distinct|Intersect|Except)\b", re.M)
+
+
 def label_list(mf: MetricFrame, by: Sequence[str] | None = None, without: Sequence[str] | None = None) -> list[str]:
     """Grouping label list for ``by`` / ``without`` (metric name always removed by ``without``)."""
     if by is not None and without is not None:

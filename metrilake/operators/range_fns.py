@@ -18,7 +18,7 @@ from typing import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..frame import NAN, NAME, TS, VALUE, Grid, MetricFrame, duration_ms
+from ..frame import NAN, NAME, TS, VALUE, Grid, MetricFrame, duration_ms, spread_for_expansion
 from .series import running_sum, series_lag
 from .slots import nan_aware, use_slots, window_table
 
@@ -26,6 +26,7 @@ from .slots import nan_aware, use_slots, window_table
 def _windows(mf: MetricFrame, grid: Grid, rng: int) -> DataFrame:
     ts = F.col(TS)
     df = mf.df.filter((ts >= F.lit(grid.start - rng)) & (ts <= F.lit(grid.end)))
+    df = spread_for_expansion(df, min(grid.n, rng / grid.step + 1) if grid.n > 1 else 1)
     return df.select(*mf.labels, TS, VALUE, F.explode(grid.covering(ts, ts + F.lit(rng))).alias("_k"))
 
 

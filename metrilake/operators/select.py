@@ -6,7 +6,7 @@ from typing import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..frame import NAME, TS, VALUE, Grid, MetricFrame, duration_ms, ensure_labels, to_ms
+from ..frame import NAME, TS, VALUE, Grid, MetricFrame, duration_ms, ensure_labels, spread_for_expansion, to_ms
 from ..functions.matchers import predicate
 
 DEFAULT_LOOKBACK = "5m"
@@ -87,6 +87,7 @@ def instant(mf: MetricFrame, grid: Grid, lookback=DEFAULT_LOOKBACK) -> MetricFra
     lb = duration_ms(lookback)
     ts = F.col(TS)
     df = mf.df.filter((ts > F.lit(grid.start - lb)) & (ts <= F.lit(grid.end)))
+    df = spread_for_expansion(df, min(grid.n, lb / grid.step + 1) if grid.n > 1 else 1)
     df = df.select(*mf.labels, TS, VALUE, F.explode(grid.covering(ts, ts + F.lit(lb - 1))).alias("_k"))
     out = (df.groupBy(*mf.labels, "_k")
              .agg(F.max(F.struct(F.col(TS), F.col(VALUE))).alias("_s"))
