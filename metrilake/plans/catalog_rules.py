@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..frame import TS, VALUE
+from ..frame import TS, VALUE, Grid
 from . import k8s_metrics as K
+from . import sqlgen as S
 from .catalog import rnd
 from .rulegroup import run_group
 from .rules import core as RC
@@ -63,8 +64,74 @@ def q_r_kube_prometheus_general(spark, sf):
     return _records(RC.KUBE_PROMETHEUS_GENERAL)(spark, sf)
 
 
-register("r_node_recording")(_records(RC.NODE_RECORDING))
+# ---- DuckDB twin of the node-exporter families and the node-recording rules
+_GR = Grid.range(START, END, "1m")
+_BASE = (f"(SELECT event_id, event_type, value, {K.T0} + (epoch_us(ts) // 1000 - {K.T0}) // {K.TIME_SCALE} AS ts, "
+         f"user_id AS uid FROM events)")
+_MODE = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in K.MODES.items()) + " END"
+_NCPU_L = ["job", "namespace", "pod", "instance", "cpu", "mode"]
+_NCPU = f"""(SELECT {", ".join(_NCPU_L)}, ts, SUM(inc) OVER (PARTITION BY {", ".join(_NCPU_L)} ORDER BY ts, event_id
+    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value FROM (
+  SELECT 'node-exporter' AS job, 'monitoring' AS namespace, 'node-exporter-' || CAST(uid % 7 AS VARCHAR) AS pod,
+         'node-' || CAST(uid % 7 AS VARCHAR) || ':9100' AS instance, CAST(uid % 4 AS VARCHAR) AS cpu, {_MODE} AS mode,
+         ts, event_id, value AS inc FROM {_BASE}))"""
+_BUSY = f"(SELECT * FROM {_NCPU} WHERE NOT regexp_full_match(mode, 'idle|iowait|steal'))"
+_NET_L = ["job", "instance", "device"]
+
+
+def _net_sql(mult):
+    return f"""(SELECT job, instance, device, ts, SUM(inc) OVER (PARTITION BY job, instance, device ORDER BY ts, event_id
+    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value FROM (
+  SELECT 'node-exporter' AS job, 'node-' || CAST(uid % 7 AS VARCHAR) || ':9100' AS instance, 'eth0' AS device,
+         ts, event_id, value * {mult} AS inc FROM {_BASE}))"""
+
+
+def _node_recording_sql():
+    r5 = S.agg(S.extrapolated(_BUSY, _NCPU_L, _GR, 300_000), "sum", [])
+    ncpu_i = S.agg(S.agg(S.instant(_NCPU, _NCPU_L, _GR, 300_000), "sum", ["instance", "cpu"]), "count", ["instance"])
+    ncpu = S.agg(S.agg(S.instant(_NCPU, _NCPU_L, _GR, 300_000), "sum", ["instance", "cpu"]), "count", [])
+    r4l = S.agg(S.extrapolated(_BUSY, _NCPU_L, _GR, 300_000), "sum", ["job", "namespace", "pod", "instance"])
+    parts = [
+        ("instance:node_cpu:rate:sum",
+         f"SELECT instance, '' AS job, '' AS namespace, '' AS pod, ts, value FROM "
+         f"{S.agg(S.extrapolated(_BUSY, _NCPU_L, _GR, 180_000), 'sum', ['instance'])}"),
+        ("instance:node_network_receive_bytes:rate:sum",
+         f"SELECT instance, '', '', '', ts, value FROM "
+         f"{S.agg(S.extrapolated(_net_sql(1000), _NET_L, _GR, 180_000), 'sum', ['instance'])}"),
+        ("instance:node_network_transmit_bytes:rate:sum",
+         f"SELECT instance, '', '', '', ts, value FROM "
+         f"{S.agg(S.extrapolated(_net_sql(300), _NET_L, _GR, 180_000), 'sum', ['instance'])}"),
+        ("instance:node_cpu:ratio",
+         f"SELECT l.instance, l.job, l.namespace, l.pod, l.ts, l.value / r.value FROM {r4l} l JOIN {ncpu_i} r "
+         f"ON l.instance = r.instance AND l.ts = r.ts"),
+        ("cluster:node_cpu:sum_rate5m", f"SELECT '', '', '', '', ts, value FROM {r5}"),
+        ("cluster:node_cpu:ratio",
+         f"SELECT '', '', '', '', l.ts, l.value / r.value FROM {r5} l JOIN {ncpu} r ON l.ts = r.ts"),
+    ]
+    body = " UNION ALL ".join(f"SELECT '{n}' AS __name__, * FROM ({q})" for n, q in parts)
+    return f"SELECT __name__, instance, job, namespace, pod, ts, ROUND(value, 6) AS value FROM ({body})"
+
+
+register("r_node_recording", _node_recording_sql())(_records(RC.NODE_RECORDING))
 register("r_node")(_records(RC.NODE))
 register("r_kubelet")(_records(RC.KUBELET))
 register("r_k8s")(_records(RC.K8S))
-register("r_general_alerts")(_alerts(RC.GENERAL))
+def _general_alerts_sql():
+    ids = "alertname, job, namespace, service, severity"
+    td = (f"(SELECT job, namespace, service, ts, CAST(COUNT(*) FILTER (WHERE value = 0) AS DOUBLE) AS down, "
+          f"CAST(COUNT(*) AS DOUBLE) AS n FROM {_UP_I} GROUP BY job, namespace, service, ts)")
+    return f"""WITH a AS (
+  SELECT 'TargetDown' AS alertname, job, namespace, service, 'warning' AS severity, ts, 100 * (down / n) AS value
+  FROM {td} WHERE down > 0 AND 100 * (down / n) > 10
+  UNION ALL
+  SELECT 'Watchdog', '', '', '', 'none', ts, 1.0 FROM {_GRID}),
+k AS (SELECT *, (ts - {_GR.start}) // {_GR.step} AS k FROM a),
+r AS (SELECT *, CASE WHEN LAG(k) OVER (PARTITION BY {ids} ORDER BY k) = k - 1 THEN 0 ELSE 1 END AS nr FROM k),
+i AS (SELECT *, SUM(nr) OVER (PARTITION BY {ids} ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS isl FROM r)
+SELECT {ids}, ts, ROUND(value, 6) AS value,
+  CASE WHEN ts - MIN(ts) OVER (PARTITION BY {ids}, isl) >= CASE alertname WHEN 'TargetDown' THEN 600000 ELSE 0 END
+       THEN 'firing' ELSE 'pending' END AS state,
+  MIN(ts) OVER (PARTITION BY {ids}, isl) AS active_at FROM i"""
+
+
+register("r_general_alerts", _general_alerts_sql())(_alerts(RC.GENERAL))
