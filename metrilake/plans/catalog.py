@@ -319,29 +319,36 @@ def q_a10_nested_count(spark, sf):
 HL = ["l_returnflag", "l_linestatus"]
 
 
-def _hq_sql(q):
-    inst = S.instant(S.view("m_bucket"), HL + ["le"], GWEEK, duration_ms("31d"))
+def hq_sql(src: str, labels, q) -> str:
+    """``histogram_quantile(q, src)`` in SQL; ``src`` has ``labels…, le, ts, value``.
+    Returns ``(labels…, ts, value)`` (unrounded)."""
+    L = list(labels)
+    lc, part = S.cols(L), ", ".join(["ts"] + L)
+    eq = lambda a, b: " AND ".join(f"{a}.{x} = {b}.{x}" for x in L + ["ts"])
     # buckets with bounds; duplicate bounds merged; counts made monotone
-    b = (f"(SELECT {S.cols(HL)}, ts, CASE WHEN le = '+Inf' THEN 'inf'::DOUBLE ELSE CAST(le AS DOUBLE) END AS ub, "
-         f"SUM(value) AS c FROM {inst} GROUP BY ALL)")
-    m = (f"(SELECT *, MAX(c) OVER (PARTITION BY {S.cols(HL)}, ts ORDER BY ub ROWS BETWEEN UNBOUNDED PRECEDING "
-         f"AND CURRENT ROW) AS mc, ROW_NUMBER() OVER (PARTITION BY {S.cols(HL)}, ts ORDER BY ub) AS i, "
-         f"COUNT(*) OVER (PARTITION BY {S.cols(HL)}, ts) AS nb, MAX(ub) OVER (PARTITION BY {S.cols(HL)}, ts) AS top "
+    b = (f"(SELECT {lc}, ts, CASE WHEN le = '+Inf' THEN 'inf'::DOUBLE ELSE CAST(le AS DOUBLE) END AS ub, "
+         f"SUM(value) AS c FROM {src} GROUP BY ALL)")
+    m = (f"(SELECT *, MAX(c) OVER (PARTITION BY {part} ORDER BY ub ROWS BETWEEN UNBOUNDED PRECEDING "
+         f"AND CURRENT ROW) AS mc, ROW_NUMBER() OVER (PARTITION BY {part} ORDER BY ub) AS i, "
+         f"COUNT(*) OVER (PARTITION BY {part}) AS nb, MAX(ub) OVER (PARTITION BY {part}) AS top "
          f"FROM {b})")
-    tot = f"(SELECT {S.cols(HL)}, ts, MAX(mc) AS total FROM {m} GROUP BY ALL)"
+    tot = f"(SELECT {lc}, ts, MAX(mc) AS total FROM {m} GROUP BY ALL)"
     j = (f"(SELECT m.*, t.total, {q} * t.total AS rank, LAG(m.ub) OVER w AS pub, LAG(m.mc) OVER w AS pmc "
-         f"FROM {m} m JOIN {tot} t USING ({S.cols(HL)}, ts) "
-         f"WINDOW w AS (PARTITION BY m.{HL[0]}, m.{HL[1]}, m.ts ORDER BY m.ub))")
-    pick = (f"(SELECT {S.cols(HL)}, ts, arg_min(i, i) FILTER (WHERE mc >= rank AND i < nb) AS bi, "
+         f"FROM {m} m JOIN {tot} t USING ({lc}, ts) "
+         f"WINDOW w AS (PARTITION BY {', '.join('m.' + x for x in L + ['ts'])} ORDER BY m.ub))")
+    pick = (f"(SELECT {lc}, ts, arg_min(i, i) FILTER (WHERE mc >= rank AND i < nb) AS bi, "
             f"MAX(nb) AS nb, MAX(total) AS total, MAX(top) AS top, MAX(rank) AS rank FROM {j} GROUP BY ALL)")
-    v = (f"(SELECT p.{HL[0]}, p.{HL[1]}, p.ts, CASE WHEN p.top <> 'inf'::DOUBLE OR p.nb < 2 OR p.total = 0 "
-         f"THEN 'nan'::DOUBLE "
-         f"WHEN p.bi IS NULL THEN (SELECT ub FROM {j} x WHERE x.{HL[0]} = p.{HL[0]} AND x.{HL[1]} = p.{HL[1]} "
-         f"AND x.ts = p.ts AND x.i = p.nb - 1) "
-         f"ELSE (SELECT CASE WHEN x.i = 1 AND x.ub <= 0 THEN x.ub ELSE COALESCE(x.pub, 0) + (x.ub - COALESCE(x.pub, 0)) "
-         f"* ((p.rank - COALESCE(x.pmc, 0)) / (x.mc - COALESCE(x.pmc, 0))) END FROM {j} x WHERE "
-         f"x.{HL[0]} = p.{HL[0]} AND x.{HL[1]} = p.{HL[1]} AND x.ts = p.ts AND x.i = p.bi) END AS value FROM {pick} p)")
-    return S.final(v, HL)
+    return (f"(SELECT {', '.join('p.' + x for x in L)}, p.ts, CASE WHEN p.top <> 'inf'::DOUBLE OR p.nb < 2 "
+            f"OR p.total = 0 THEN 'nan'::DOUBLE "
+            f"WHEN p.bi IS NULL THEN (SELECT ub FROM {j} x WHERE {eq('x', 'p')} AND x.i = p.nb - 1) "
+            f"ELSE (SELECT CASE WHEN x.i = 1 AND x.ub <= 0 THEN x.ub ELSE COALESCE(x.pub, 0) + (x.ub - COALESCE(x.pub, 0)) "
+            f"* ((p.rank - COALESCE(x.pmc, 0)) / (x.mc - COALESCE(x.pmc, 0))) END FROM {j} x WHERE "
+            f"{eq('x', 'p')} AND x.i = p.bi) END AS value FROM {pick} p)")
+
+
+def _hq_sql(q):
+    inst = S.instant(S.view("m_bucket"), HL + ["le"], GWEEK, duration_ms("31d"))
+    return S.final(hq_sql(inst, HL, q), HL)
 
 
 @register("a11_histogram_quantile", _hq_sql(0.9))

@@ -114,7 +114,27 @@ def _node_recording_sql():
 
 register("r_node_recording", _node_recording_sql())(_records(RC.NODE_RECORDING))
 register("r_node")(_records(RC.NODE))
-register("r_kubelet")(_records(RC.KUBELET))
+def _kubelet_sql():
+    from .catalog import hq_sql
+    inf = "'inf'::DOUBLE"
+    les = ", ".join(f"('{x}', {inf if x == '+Inf' else x})" for x in K.LE)
+    pleg = f"""(SELECT job, instance, le, ts, SUM(inc) OVER (PARTITION BY job, instance, le ORDER BY ts, event_id
+    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value FROM (
+  SELECT 'kubelet' AS job, 'node-' || CAST(uid % 7 AS VARCHAR) || ':9100' AS instance, b.le, ts, event_id,
+         CASE WHEN value / 40 <= b.ub THEN 1.0 ELSE 0.0 END AS inc
+  FROM {_BASE} JOIN (VALUES {les}) b(le, ub) ON TRUE))"""
+    names = (f"(SELECT 'kubelet' AS job, '/metrics' AS metrics_path, 'node-' || CAST(uid % 7 AS VARCHAR) || ':9100' "
+             f"AS instance, 'node-' || CAST(uid % 7 AS VARCHAR) AS node, ts, 1.0 AS value FROM {_BASE})")
+    r = S.agg(S.extrapolated(pleg, ["job", "instance", "le"], _GR, 300_000), "sum", ["instance", "le"])
+    n = S.instant(names, ["job", "metrics_path", "instance", "node"], _GR, 300_000)
+    j = (f"(SELECT r.instance, n.node, r.le, r.ts, r.value * n.value AS value FROM {r} r JOIN {n} n "
+         f"ON r.instance = n.instance AND r.ts = n.ts)")
+    parts = [f"SELECT '{q}' AS quantile, * FROM {hq_sql(j, ['instance', 'node'], q)}" for q in (0.99, 0.9, 0.5)]
+    return (f"SELECT 'node_quantile:kubelet_pleg_relist_duration_seconds:histogram_quantile' AS __name__, "
+            f"'' AS cluster, instance, node, quantile, ts, ROUND(value, 6) AS value FROM ({' UNION ALL '.join(parts)})")
+
+
+register("r_kubelet", _kubelet_sql())(_records(RC.KUBELET))
 register("r_k8s")(_records(RC.K8S))
 def _general_alerts_sql():
     ids = "alertname, job, namespace, service, severity"
