@@ -113,7 +113,44 @@ def _node_recording_sql():
 
 
 register("r_node_recording", _node_recording_sql())(_records(RC.NODE_RECORDING))
-register("r_node")(_records(RC.NODE))
+def _node_sql():
+    info = f"""(SELECT 'kube-state-metrics' AS job, 'ns-' || CAST(uid % 5 AS VARCHAR) AS namespace,
+         'pod-' || CAST(uid AS VARCHAR) AS pod, 'node-' || CAST(uid % 7 AS VARCHAR) AS node, ts, 1.0 AS value FROM {_BASE}
+       UNION ALL
+       SELECT 'kube-state-metrics', 'monitoring', 'node-exporter-' || CAST(uid % 7 AS VARCHAR),
+         'node-' || CAST(uid % 7 AS VARCHAR), ts, 1.0 FROM {_BASE})"""
+    ii = S.instant(f"(SELECT * FROM {info} WHERE node <> '')", ["job", "namespace", "pod", "node"], _GR, 300_000)
+    mx = f"(SELECT node, namespace, pod, ts, MAX(value) AS value FROM {ii} GROUP BY ALL)"
+    r1 = (f"(SELECT node, namespace, pod, ts, value FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY namespace, pod, ts "
+          f"ORDER BY value DESC, node) AS rn FROM {mx}) WHERE rn = 1)")
+    ncpu = S.instant(_NCPU, _NCPU_L, _GR, 300_000)
+    j = f"(SELECT r.node, c.cpu, c.ts, c.value * r.value AS value FROM {ncpu} c JOIN {r1} r USING (namespace, pod, ts))"
+    r2 = f"(SELECT node, ts, CAST(COUNT(*) AS DOUBLE) AS value FROM (SELECT node, cpu, ts FROM {j} GROUP BY ALL) GROUP BY ALL)"
+
+    def mem(cond, scale):
+        v = f"(SELECT 'node-exporter' AS job, 'node-' || CAST(uid % 7 AS VARCHAR) || ':9100' AS instance, ts, ROUND(value * {scale}) AS value FROM {_BASE} WHERE {cond})"
+        return S.instant(v, ["job", "instance"], _GR, 300_000)
+    avail = mem("uid % 7 <> 0", 1e7)
+    bu, ca, fr, sl = (mem("uid % 7 = 0", x) for x in (1e6, 3e6, 4e6, 5e5))
+    total = (f"(SELECT b.job, b.instance, b.ts, ((b.value + c.value) + f.value) + s.value AS value FROM {bu} b "
+             f"JOIN {ca} c USING (job, instance, ts) JOIN {fr} f USING (job, instance, ts) JOIN {sl} s USING (job, instance, ts))")
+    either = (f"(SELECT * FROM {avail} UNION ALL SELECT * FROM {total} t WHERE NOT EXISTS "
+              f"(SELECT 1 FROM {avail} a WHERE a.job = t.job AND a.instance = t.instance AND a.ts = t.ts))")
+    r3 = S.agg(either, "sum", [])
+    busy = S.agg(S.extrapolated(_BUSY, _NCPU_L, _GR, 300_000), "sum", [])
+    cnt = S.agg(S.agg(ncpu, "sum", ["instance", "cpu"]), "count", [])
+    r4 = f"(SELECT l.ts, l.value / r.value AS value FROM {busy} l JOIN {cnt} r ON l.ts = r.ts)"
+    parts = [
+        ("node_namespace_pod:kube_pod_info:", f"SELECT node, namespace, pod, ts, value FROM {r1}"),
+        ("node:node_num_cpu:sum", f"SELECT node, '', '', ts, value FROM {r2}"),
+        (":node_memory_MemAvailable_bytes:sum", f"SELECT '', '', '', ts, value FROM {r3}"),
+        ("cluster:node_cpu:ratio_rate5m", f"SELECT '', '', '', ts, value FROM {r4}"),
+    ]
+    body = " UNION ALL ".join(f"SELECT '{n}' AS __name__, * FROM ({q})" for n, q in parts)
+    return f"SELECT __name__, '' AS cluster, node, namespace, pod, ts, ROUND(value, 6) AS value FROM ({body})"
+
+
+register("r_node", _node_sql())(_records(RC.NODE))
 def _kubelet_sql():
     from .catalog import hq_sql
     inf = "'inf'::DOUBLE"
