@@ -172,7 +172,82 @@ def _kubelet_sql():
 
 
 register("r_kubelet", _kubelet_sql())(_records(RC.KUBELET))
-register("r_k8s")(_records(RC.K8S))
+def _k8s_sql():
+    from .catalog import _irate_sql
+    img = "CASE WHEN event_type = 'error' THEN '' ELSE 'img/' || event_type END"
+    cad_l = ["job", "metrics_path", "namespace", "pod", "container", "image"]
+    cols = (f"'kubelet' AS job, '/metrics/cadvisor' AS metrics_path, 'ns-' || CAST(uid % 5 AS VARCHAR) AS namespace, "
+            f"'pod-' || CAST(uid AS VARCHAR) AS pod, event_type AS container, {img} AS image")
+    cpu = (f"(SELECT {S.cols(cad_l)}, ts, SUM(inc) OVER (PARTITION BY {S.cols(cad_l)} ORDER BY ts, event_id "
+           f"ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value FROM "
+           f"(SELECT {cols}, ts, event_id, value / 100 AS inc FROM {_BASE}))")
+    info = f"""(SELECT 'ns-' || CAST(uid % 5 AS VARCHAR) AS namespace, 'pod-' || CAST(uid AS VARCHAR) AS pod,
+         'node-' || CAST(uid % 7 AS VARCHAR) AS node, ts, 1.0 AS value FROM {_BASE}
+       UNION ALL SELECT 'monitoring', 'node-exporter-' || CAST(uid % 7 AS VARCHAR), 'node-' || CAST(uid % 7 AS VARCHAR),
+         ts, 1.0 FROM {_BASE})"""
+    ii = S.instant(info, ["namespace", "pod", "node"], _GR, 300_000)
+    podnode = (f"(SELECT namespace, pod, node, ts, value FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY namespace, pod, ts "
+               f"ORDER BY value DESC, node) AS rn FROM (SELECT namespace, pod, node, ts, MAX(value) AS value FROM {ii} "
+               f"GROUP BY ALL)) WHERE rn = 1)")
+    parts = []
+    # sum_irate
+    ir = f"(SELECT namespace, pod, container, t AS ts, SUM(value) AS value FROM ({_irate_sql(f'(SELECT * FROM {cpu} WHERE image <> {chr(39)}{chr(39)})', cad_l, _GR, 300_000)}) x(job, metrics_path, namespace, pod, container, image, t, value) GROUP BY namespace, pod, container, t)"
+    parts.append(("node_namespace_pod_container:container_cpu_usage_seconds_total:sum_irate",
+                  f"SELECT c.namespace, c.pod, c.container, p.node, '' AS job, '' AS metrics_path, '' AS image, '' AS resource, "
+                  f"'' AS workload, '' AS workload_type, c.ts, c.value * p.value AS value FROM {ir} c JOIN {podnode} p "
+                  f"USING (namespace, pod, ts)"))
+    for name, scale in (("working_set_bytes", 1e6), ("rss", 8e5), ("cache", 2e5), ("swap", 1e4)):
+        g = S.instant(f"(SELECT {cols}, ts, value * {scale} AS value FROM {_BASE} WHERE event_type <> 'error')",
+                      cad_l, _GR, 300_000)
+        parts.append((f"node_namespace_pod_container:container_memory_{name}",
+                      f"SELECT m.namespace, m.pod, m.container, p.node, m.job, m.metrics_path, m.image, '', '', '', m.ts, "
+                      f"m.value * p.value FROM {g} m JOIN {podnode} p USING (namespace, pod, ts)"))
+    phase = ("CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in K.PHASES.items()) + " END")
+    ph = S.instant(f"(SELECT 'ns-' || CAST(uid % 5 AS VARCHAR) AS namespace, 'pod-' || CAST(uid AS VARCHAR) AS pod, "
+                   f"{phase} AS phase, ts, 1.0 AS value FROM {_BASE})", ["namespace", "pod", "phase"], _GR, 300_000)
+    active = (f"(SELECT namespace, pod, ts, MAX(value) AS value FROM {ph} WHERE regexp_full_match(phase, 'Pending|Running') "
+              f"AND value = 1 GROUP BY ALL)")
+    for kind, mult in (("requests", 1.0), ("limits", 2.0)):
+        for res, expr in (("memory", f"ROUND(value * 5e5 * {mult})"), ("cpu", f"value / 200 * {mult}")):
+            g = S.instant(f"(SELECT 'kube-state-metrics' AS job, 'ns-' || CAST(uid % 5 AS VARCHAR) AS namespace, "
+                          f"'pod-' || CAST(uid AS VARCHAR) AS pod, event_type AS container, '{res}' AS resource, ts, "
+                          f"{expr} AS value FROM {_BASE})", ["job", "namespace", "pod", "container", "resource"],
+                          _GR, 300_000)
+            parts.append((f"cluster:namespace:pod_{res}:active:kube_pod_container_resource_{kind}",
+                          f"SELECT g.namespace, g.pod, g.container, '', g.job, '', '', g.resource, '', '', g.ts, "
+                          f"g.value * a.value FROM {g} g JOIN {active} a USING (namespace, pod, ts)"))
+            mx = f"(SELECT namespace, pod, container, ts, MAX(value) AS value FROM {g} GROUP BY ALL)"
+            j = f"(SELECT m.namespace, m.pod, m.ts, m.value * a.value AS value FROM {mx} m JOIN {active} a USING (namespace, pod, ts))"
+            sm = f"(SELECT namespace, ts, SUM(v) AS value FROM (SELECT namespace, pod, ts, SUM(value) AS v FROM {j} GROUP BY ALL) GROUP BY ALL)"
+            parts.append((f"namespace_{res}:kube_pod_container_resource_{kind}:sum",
+                          f"SELECT namespace, '', '', '', '', '', '', '', '', '', ts, value FROM {sm}"))
+    kinds = "CASE uid % 4 " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(K.OWNER_KINDS)) + " END"
+    own = S.instant(f"(SELECT namespace, pod, owner_kind, lower(owner_kind) || '-' || CAST(uid % 11 AS VARCHAR) AS owner_name, "
+                    f"ts, 1.0 AS value FROM (SELECT *, 'ns-' || CAST(uid % 5 AS VARCHAR) AS namespace, "
+                    f"'pod-' || CAST(uid AS VARCHAR) AS pod, {kinds} AS owner_kind FROM {_BASE}))",
+                    ["namespace", "pod", "owner_kind", "owner_name"], _GR, 300_000)
+    rs = S.instant(f"(SELECT 'ns-' || CAST(uid % 5 AS VARCHAR) AS namespace, 'replicaset-' || CAST(uid % 11 AS VARCHAR) "
+                   f"AS replicaset, 'deploy-' || CAST(uid % 11 AS VARCHAR) AS owner_name, ts, 1.0 AS value FROM {_BASE} "
+                   f"WHERE uid % 4 = 0)", ["namespace", "replicaset", "owner_name"], _GR, 300_000)
+    rs1 = (f"(SELECT namespace, replicaset, owner_name, ts, value FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY "
+           f"namespace, replicaset, ts ORDER BY value DESC, owner_name) AS rn FROM (SELECT namespace, replicaset, owner_name, "
+           f"ts, MAX(value) AS value FROM {rs} GROUP BY ALL)) WHERE rn = 1)")
+    dep = (f"(SELECT o.namespace, r.owner_name AS workload, o.pod, o.ts, MAX(o.value * r.value) AS value FROM {own} o "
+           f"JOIN {rs1} r ON o.owner_name = r.replicaset AND o.namespace = r.namespace AND o.ts = r.ts "
+           f"WHERE o.owner_kind = 'ReplicaSet' GROUP BY ALL)")
+    parts.append(("namespace_workload_pod:kube_pod_owner:relabel",
+                  f"SELECT namespace, pod, '', '', '', '', '', '', workload, 'deployment', ts, value FROM {dep}"))
+    for kind in ("DaemonSet", "StatefulSet", "Job"):
+        o = (f"(SELECT namespace, owner_name AS workload, pod, ts, MAX(value) AS value FROM {own} "
+             f"WHERE owner_kind = '{kind}' GROUP BY ALL)")
+        parts.append(("namespace_workload_pod:kube_pod_owner:relabel",
+                      f"SELECT namespace, pod, '', '', '', '', '', '', workload, '{kind.lower()}', ts, value FROM {o}"))
+    body = " UNION ALL ".join(f"SELECT '{n}' AS __name__, * FROM ({q})" for n, q in parts)
+    return ("SELECT __name__, '' AS cluster, namespace, pod, container, node, job, metrics_path, image, resource, "
+            f"workload, workload_type, ts, ROUND(value, 6) AS value FROM ({body})")
+
+
+register("r_k8s", _k8s_sql())(_records(RC.K8S))
 def _general_alerts_sql():
     ids = "alertname, job, namespace, service, severity"
     td = (f"(SELECT job, namespace, service, ts, CAST(COUNT(*) FILTER (WHERE value = 0) AS DOUBLE) AS down, "

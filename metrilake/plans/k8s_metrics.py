@@ -103,7 +103,7 @@ def families(spark: SparkSession, sf: str) -> DictSource:
     def resources(mult):
         def f():
             res = F.explode(F.array(F.struct(lit("cpu").alias("r"), (F.col("value") / 200 * mult).alias("v")),
-                                    F.struct(lit("memory").alias("r"), (F.col("value") * 5e5 * mult).alias("v"))))
+                                    F.struct(lit("memory").alias("r"), F.round(F.col("value") * 5e5 * mult).alias("v"))))
             d = b().select(lit("kube-state-metrics").alias("job"), "namespace", "pod",
                            F.col("event_type").alias("container"), TS, res.alias("_x"))
             d = d.select("job", "namespace", "pod", "container", F.col("_x.r").alias("resource"), TS,

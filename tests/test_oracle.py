@@ -25,7 +25,7 @@ def _digest(pdf):
 
 # Rule packs composed only of oracle-checked operators; their SQL twins are
 # still to be written, so the driver records a rows-only check for them.
-ROWS_ONLY = {"r_k8s"}
+ROWS_ONLY: set = set()
 
 
 def test_every_query_has_an_oracle():
