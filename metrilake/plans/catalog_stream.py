@@ -139,7 +139,7 @@ def q_x9_lag_report(spark, sf):
 
 
 @register("x7_group_stream", f"""
-WITH wm AS (SELECT MAX(epoch_us(ts) // 1000) - 1800000 AS w FROM events),
+WITH wm AS (SELECT MAX(epoch_us(ts) // 1000) - 1800000 AS w FROM events WHERE value > 100),
 f AS (SELECT 'null' AS receiver, 'namespace=ns-' || CAST(user_id % 5 AS VARCHAR) AS group_key,
              (epoch_us(ts) // 1000) // {H6} AS slot, hash(CAST(user_id AS VARCHAR), event_type) AS fp
       FROM events WHERE value > 100),
@@ -155,10 +155,10 @@ FROM m WHERE changed OR ((slot - lc) * {H6} > 0 AND ((slot - lc) * {H6}) % {D1}
 def q_x7_group_stream(spark, sf):
     """Streaming notification grouping (X7): values above 100 fire ``HighValue`` per (user, event type),
     routed by the route tree and grouped by namespace in 6h slots, repeat 1d, group_wait 30s,
-    slots closed by the 30m watermark."""
+    slots closed by the 30m watermark of the alert stream (its newest alert time − 30m)."""
     from ..operators import alerts as AL
     from . import configs as C
-    s = X.with_delay(event_stream(spark, sf), "30m").filter(F.col(VALUE) > 100)
+    s = X.with_delay(event_stream(spark, sf).filter(F.col(VALUE) > 100), "30m")
     s = s.select(F.lit("HighValue").alias("alertname"), F.lit("info").alias("severity"),
                  F.concat(F.lit("ns-"), (F.col("user_id").cast("bigint") % 5).cast("string")).alias("namespace"),
                  "user_id", "event_type", TS, X.EVENT_TIME)

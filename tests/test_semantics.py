@@ -299,7 +299,7 @@ def test_group_stream_over_several_batches(spark, tmp_path):
     s = X.with_event_time(s.select("event_type", F.col("user_id").cast("string").alias("user_id"),
                                    F.timestamp_diff("MILLISECOND", F.lit("1970-01-01").cast("timestamp_ntz"),
                                                     F.col("ts").cast("timestamp_ntz")).alias("ts"), "value"))
-    s = X.with_delay(s, "30m").filter(F.col("value") > 100)
+    s = X.with_delay(s.filter(F.col("value") > 100), "30m")
     s = s.select(F.lit("HighValue").alias("alertname"), F.lit("info").alias("severity"),
                  F.concat(F.lit("ns-"), (F.col("user_id").cast("bigint") % 5).cast("string")).alias("namespace"),
                  "user_id", "event_type", "ts", X.EVENT_TIME)
