@@ -242,20 +242,29 @@ def _brute_annotate(samples, intervals):
                   if s[0] == i[0] and i[2] <= s[1] <= i[3])
 
 
-@pytest.mark.parametrize("bucket_ms", [1, 7, 1000, None])
-def test_annotate_matches_brute_force(spark, bucket_ms):
+@pytest.mark.parametrize("bucket_ms,fanout", [(1, 64), (7, 64), (1000, 64), (None, 64), (1, 4), (3, 2)])
+def test_annotate_matches_brute_force(spark, bucket_ms, fanout):
+    """Heavy-tailed durations (0 … 4000 ms) over several duration tiers."""
     import random
-    rnd_ = random.Random(bucket_ms or 0)
+    rnd_ = random.Random((bucket_ms or 0) * 10 + fanout)
     samples = [(rnd_.choice("ab"), rnd_.randrange(0, 5000)) for _ in range(300)]
+    samples += samples[:5]                     # exact duplicate samples stay separate rows
     intervals = []
     for k in range(40):
         s = rnd_.randrange(0, 5000)
         intervals.append((rnd_.choice("ab"), f"iv{k}", s, s + rnd_.choice([0, 1, 50, 999, 1000, 4000])))
     sdf = spark.createDataFrame(samples, "app string, ts long")
     idf = spark.createDataFrame(intervals, "app string, name string, start_ts long, end_ts long")
-    got = A.annotate(sdf, idf, on=["app"], bucket_ms=bucket_ms)
+    got = A.annotate(sdf, idf, on=["app"], bucket_ms=bucket_ms, fanout=fanout)
     assert sorted((r["app"], r["ts"], r["name"], r["start_ts"]) for r in got.collect()) == \
         _brute_annotate(samples, intervals)
+    # left: every sample once per containing interval, or once with NULLs when none contains it
+    left = A.annotate(sdf, idf, on=["app"], bucket_ms=bucket_ms, fanout=fanout, how="left")
+    want = _brute_annotate(samples, intervals)
+    hit = {(a, t) for a, t, _, _ in want}
+    want += [(a, t, None, None) for a, t in samples if (a, t) not in hit]
+    assert sorted((r["app"], r["ts"], r["name"], r["start_ts"]) for r in left.collect()) == \
+        sorted(want, key=lambda x: (x[0], x[1], x[2] or "", x[3] or -1))
 
 
 def test_annotate_bounds_inclusive_and_left(spark):
