@@ -103,7 +103,9 @@ def predict_linear(mf: MetricFrame, rng, grid: Grid, seconds: float) -> MetricFr
 
 def _pairs(mf: MetricFrame, grid: Grid, r: int) -> DataFrame:
     d = _windows(mf, grid, r)
-    w = Window.partitionBy(*mf.labels, "_k").orderBy(TS)
+    # samples with equal timestamps are taken in ascending value order – the same tie rule
+    # as the first/last pick (min/max of (ts, value)) – so a tie is never a counter reset
+    w = Window.partitionBy(*mf.labels, "_k").orderBy(TS, VALUE)
     return d.withColumn("_pv", F.lag(VALUE).over(w)).withColumn("_pt", F.lag(TS).over(w))
 
 

@@ -267,3 +267,104 @@ SELECT {ids}, ts, ROUND(value, 6) AS value,
 
 
 register("r_general_alerts", _general_alerts_sql())(_alerts(RC.GENERAL))
+
+
+def _written_records(group):
+    """Large groups: source families written once, each record written as produced."""
+    def q(spark, sf):
+        from .rulegroup import WrittenSource
+        res = run_group(spark, group, WrittenSource(spark, K.families(spark, sf)), START, END, write_records=True)
+        r = res.records
+        return r.df.select(*r.labels, TS, rnd(F.col(VALUE), 6).alias(VALUE))
+    q.__doc__ = f"Recording rules of group '{group.name}' (families and records written to the shared folder)."
+    return q
+
+
+register("r_apiserver_histogram")(_written_records(RC.APISERVER_HISTOGRAM))
+register("r_apiserver_burnrate")(_written_records(RC.APISERVER_BURNRATE))
+
+
+def q_r_apiserver_slos(spark, sf):
+    """Multi-window multi-burn-rate SLO alerts over the burn-rate group's records (two groups in order)."""
+    from .rulegroup import RecordSource, WrittenSource
+    fam = WrittenSource(spark, K.families(spark, sf))
+    burn = run_group(spark, RC.APISERVER_BURNRATE, fam, START, END, write_records=True)
+    res = run_group(spark, RC.APISERVER_SLOS, RecordSource(fam, burn.records), START, END)
+    return res.alerts.select(*res.alert_labels, TS, rnd(F.col(VALUE), 6).alias(VALUE), "state", "active_at")
+
+
+register("r_apiserver_slos")(q_r_apiserver_slos)
+
+
+# ---- DuckDB twins of the API-server families and the histogram / burn-rate packs
+_VERB = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in K.VERBS.items()) + " END"
+_API_H = f"""(SELECT 'apiserver' AS job, {_VERB} AS verb,
+    CASE uid % 3 WHEN 0 THEN 'resource' WHEN 1 THEN 'namespace' ELSE 'cluster' END AS scope,
+    CASE WHEN uid % 13 = 0 THEN 'log' ELSE '' END AS subresource, value / 50 AS lat, ts, event_id FROM {_BASE})"""
+_API_BL = ["job", "verb", "scope", "subresource", "le"]
+_API_CL = ["job", "verb", "scope", "subresource"]
+_API_TL = ["job", "verb", "code", "resource"]
+
+
+def _running(src, labels, inc):
+    return (f"(SELECT {S.cols(labels)}, ts, SUM({inc}) OVER (PARTITION BY {S.cols(labels)} ORDER BY ts, event_id "
+            f"ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value FROM {src})")
+
+
+_INF = "'inf'::DOUBLE"
+_API_BUCKET = _running(
+    f"(SELECT h.*, b.le, b.ub FROM {_API_H} h JOIN (VALUES "
+    + ", ".join(f"('{x}', {_INF if x == '+Inf' else x})" for x in K.LE) + ") b(le, ub) ON TRUE)",
+    _API_BL, "CASE WHEN lat <= ub THEN 1.0 ELSE 0.0 END")
+_API_COUNT = _running(_API_H, _API_CL, "1.0")
+_API_TOTAL = _running(
+    f"(SELECT 'apiserver' AS job, {_VERB} AS verb, CASE uid % 10 WHEN 0 THEN '500' WHEN 1 THEN '404' ELSE '200' END AS code, "
+    f"CASE WHEN uid % 2 = 0 THEN 'pods' ELSE 'nodes' END AS resource, ts, event_id FROM {_BASE})", _API_TL, "1.0")
+_NOT_STREAMING = "NOT regexp_full_match(subresource, 'proxy|attach|log|exec|portforward')"
+
+
+def _apiserver_histogram_sql():
+    from .catalog import hq_sql
+    g3 = Grid.range(START, END, "3m")
+    parts = []
+    for verbs, tag in (("LIST|GET", "read"), ("POST|PUT|PATCH|DELETE", "write")):
+        src = f"(SELECT * FROM {_API_BUCKET} WHERE regexp_full_match(verb, '{verbs}') AND {_NOT_STREAMING})"
+        s = f"(SELECT '' AS resource, le, ts, value FROM {S.agg(S.extrapolated(src, _API_BL, g3, 300_000), 'sum', ['le'])})"
+        parts.append(f"SELECT '{tag}' AS verb, ts, value FROM {hq_sql(s, ['resource'], 0.99)} WHERE value > 0")
+    return ("SELECT 'cluster_quantile:apiserver_request_slo_duration_seconds:histogram_quantile' AS __name__, "
+            "'' AS cluster, '' AS resource, '0.99' AS quantile, verb, ts, ROUND(value, 6) AS value FROM ("
+            + " UNION ALL ".join(parts) + ")")
+
+
+def _apiserver_burnrate_sql():
+    from ..frame import duration_ms
+    parts = []
+    for read, verbs in ((True, "LIST|GET"), (False, "POST|PUT|PATCH|DELETE")):
+        for w in RC.BURN_WINDOWS:
+            wm = duration_ms(w)
+            vf = f"regexp_full_match(verb, '{verbs}')"
+
+            def srate(src, labels, cond):
+                return S.agg(S.extrapolated(f"(SELECT * FROM {src} WHERE {vf} AND {cond})", labels, _GR, wm), "sum", [])
+            count = srate(_API_COUNT, _API_CL, _NOT_STREAMING)
+            if read:
+                le1 = srate(_API_BUCKET, _API_BL, f"le = '1' AND regexp_full_match(scope, 'resource|') AND {_NOT_STREAMING}")
+                le1 = f"(SELECT * FROM {le1} UNION ALL SELECT g.ts, 0.0 FROM {S.grid(_GR)} g WHERE g.ts NOT IN (SELECT ts FROM {le1}))"
+                ns5 = srate(_API_BUCKET, _API_BL, f"scope = 'namespace' AND le = '5' AND {_NOT_STREAMING}")
+                cl30 = srate(_API_BUCKET, _API_BL, f"scope = 'cluster' AND le = '30' AND {_NOT_STREAMING}")
+                fast = (f"(SELECT a.ts, (a.value + b.value) + c.value AS value FROM {le1} a JOIN {ns5} b USING (ts) "
+                        f"JOIN {cl30} c USING (ts))")
+            else:
+                fast = srate(_API_BUCKET, _API_BL, f"le = '1' AND {_NOT_STREAMING}")
+            errors = srate(_API_TOTAL, _API_TL, "regexp_full_match(code, '5..')")
+            total = srate(_API_TOTAL, _API_TL, "TRUE")
+            parts.append(
+                f"SELECT 'apiserver_request:burnrate{w}' AS __name__, '{'read' if read else 'write'}' AS verb, c.ts, "
+                f"((c.value - f.value) + e.value) / t.value AS value FROM {count} c JOIN {fast} f USING (ts) "
+                f"JOIN {errors} e USING (ts) JOIN {total} t USING (ts)")
+    return ("SELECT __name__, '' AS cluster, verb, ts, ROUND(value, 6) AS value FROM ("
+            + " UNION ALL ".join(parts) + ")")
+
+
+SQL["r_apiserver_histogram"] = _apiserver_histogram_sql()
+SQL["r_apiserver_burnrate"] = _apiserver_burnrate_sql()

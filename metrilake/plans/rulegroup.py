@@ -55,6 +55,30 @@ class StoreSource(MetricSource):
         return frame(d, keys).drop_name()
 
 
+def written(spark: SparkSession, mf: MetricFrame, name: str) -> MetricFrame:
+    """Write a frame to a table in the shared folder and read it back: later rules plan
+    against a scan instead of the whole lineage (and survive executor loss)."""
+    import re
+    import uuid
+    from ..session import shared_dir
+    path = shared_dir(spark, f"rules/{re.sub(r'[^A-Za-z0-9_]+', '_', name)}-{uuid.uuid4().hex[:8]}")
+    mf.df.write.mode("overwrite").parquet(path)
+    return MetricFrame(spark.read.parquet(path), mf.labels)
+
+
+class WrittenSource(MetricSource):
+    """Each source metric is computed once, written, and read from the table afterwards."""
+
+    def __init__(self, spark: SparkSession, base: MetricSource):
+        self._spark, self._base, self._cache = spark, base, {}
+
+    def get(self, name):
+        if name not in self._cache:
+            mf = self._base.get(name)
+            self._cache[name] = None if mf is None else written(self._spark, mf, name)
+        return self._cache[name]
+
+
 @dataclass
 class Ctx:
     spark: SparkSession
@@ -129,12 +153,14 @@ def _union(frames: Sequence[MetricFrame]) -> MetricFrame:
 
 
 def run_group(spark: SparkSession, group: RuleGroup, source: MetricSource, start, end,
-              lookback: str = "5m", drop_labels: Sequence[str] = ()) -> GroupResult:
+              lookback: str = "5m", drop_labels: Sequence[str] = (), write_records: bool = False) -> GroupResult:
     """Evaluate every rule of ``group`` at each ``interval`` from start to end.
 
     Records with the same name (several rules may record one series name) are
     unioned, so later rules read all of them.  ``drop_labels`` are removed from
-    the results (the ruler's replica label drop).
+    the results (the ruler's replica label drop).  ``write_records`` writes each recorded
+    series to the shared folder as it is produced (the ruler's sink), so a large group
+    never becomes one plan.
     """
     grid = Grid.range(start, end, group.interval)
     ctx = Ctx(spark, source, grid, lookback)
@@ -143,24 +169,42 @@ def run_group(spark: SparkSession, group: RuleGroup, source: MetricSource, start
         mf = r.expr(ctx)
         if isinstance(r, Record):
             out = _record(mf, r.name, dict(r.labels))
+            if write_records:
+                out = written(spark, out, r.name)
             prev = ctx.recorded.get(r.name)
             ctx.recorded[r.name] = out if prev is None else _union([prev, out])
             recs.append(out)
         else:
-            alerts.append(AL.alert(mf, r.name, dict(r.labels)))
+            alerts.append((duration_ms(r.for_), AL.alert(mf, r.name, dict(r.labels))))
     records = _union(recs) if recs else None
     if records is not None and drop_labels:
         records = MetricFrame(records.df.drop(*drop_labels), tuple(l for l in records.labels if l not in drop_labels))
     held, labels = None, []
     if alerts:
-        fors = {r.name: duration_ms(r.for_) for r in group.rules if isinstance(r, Alert)}
-        u = _union(alerts)
-        labels = list(u.labels)
-        held_parts = []
-        for name, f in fors.items():
-            part = MetricFrame(u.df.filter(F.col("alertname") == name), u.labels)
-            held_parts.append(AL.hold(part, f"{f // 1000}s", grid))
-        held = held_parts[0]
-        for h in held_parts[1:]:
-            held = held.unionByName(h)
+        # each rule is held with its own ``for`` (several rules may share an alert name,
+        # told apart by their static labels), then the instances are unioned
+        labels = list(dict.fromkeys(l for _, mf in alerts for l in mf.labels))
+        for f, mf in alerts:
+            h = AL.hold(mf, f"{f // 1000}s", grid)
+            for l in labels:
+                if l not in mf.labels:
+                    h = h.withColumn(l, F.lit(""))
+            h = h.select(*labels, TS, VALUE, "state", "active_at")
+            held = h if held is None else held.unionByName(h)
     return GroupResult(records, held, labels)
+
+
+class RecordSource(MetricSource):
+    """Source metrics plus the records of groups evaluated before (a later group reads
+    an earlier group's recorded series by name)."""
+
+    def __init__(self, base: MetricSource, records: MetricFrame):
+        self._base, self._rec = base, records
+
+    def get(self, name):
+        if self._rec is not None:
+            labels = tuple(l for l in self._rec.labels if l != NAME)
+            d = self._rec.df.filter(F.col(NAME) == name)
+            if d.select(NAME).limit(1).count():
+                return MetricFrame(d.select(*labels, TS, VALUE), labels)
+        return self._base.get(name)

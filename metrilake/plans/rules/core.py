@@ -250,4 +250,86 @@ K8S = RuleGroup("k8s.rules", "1m", [
     Record("namespace_workload_pod:kube_pod_owner:relabel", _owner("Job"), {"workload_type": "job"}),
 ])
 
-GROUPS = [GENERAL, KUBE_PROMETHEUS_GENERAL, NODE_RECORDING, NODE, KUBELET, K8S]
+GROUPS = [GENERAL, KUBE_PROMETHEUS_GENERAL, NODE_RECORDING, NODE, KUBELET, K8S]  # + the apiserver packs below
+
+
+# ---------------------------------------------------------------- kube-apiserver-histogram.rules
+API = {"job": "apiserver"}
+READ, WRITE = "LIST|GET", "POST|PUT|PATCH|DELETE"
+NOT_STREAMING = {"subresource": "proxy|attach|log|exec|portforward"}
+
+
+def _api_p99(verbs: str):
+    # histogram_quantile(0.99, sum by (cluster, le, resource) (rate(apiserver_request_slo_duration_seconds_bucket{
+    #   job="apiserver",verb=~"<verbs>",subresource!~"proxy|attach|log|exec|portforward"}[5m]))) > 0
+    def f(c: Ctx):
+        b = c.raw("apiserver_request_slo_duration_seconds_bucket", eq=API, re={"verb": verbs}, nre=NOT_STREAMING)
+        s = A.aggregate(A.rate(b, "5m", c.grid), "sum", by=["cluster", "le", "resource"])
+        return A.where_value(A.histogram_quantile(s, 0.99), ">", 0)
+    return f
+
+
+APISERVER_HISTOGRAM = RuleGroup("kube-apiserver-histogram.rules", "3m", [
+    Record("cluster_quantile:apiserver_request_slo_duration_seconds:histogram_quantile", _api_p99(READ),
+           {"quantile": "0.99", "verb": "read"}),
+    Record("cluster_quantile:apiserver_request_slo_duration_seconds:histogram_quantile", _api_p99(WRITE),
+           {"quantile": "0.99", "verb": "write"}),
+])
+
+
+# ---------------------------------------------------------------- kube-apiserver-burnrate.rules
+def _burnrate(window: str, read: bool):
+    # ((sum by (cluster) (rate(…_count{verbs,…}[w])) - <requests fast enough>)
+    #   + sum by (cluster) (rate(apiserver_request_total{verbs,code=~"5.."}[w])))
+    # / sum by (cluster) (rate(apiserver_request_total{verbs}[w]))
+    # where "fast enough" (read) = (sum(rate(bucket{scope=~"resource|",le="1"})) or vector(0))
+    #   + sum(rate(bucket{scope="namespace",le="5"})) + sum(rate(bucket{scope="cluster",le="30"}));
+    # (write) = sum(rate(bucket{le="1"}))
+    verbs = READ if read else WRITE
+    by = ["cluster"]
+
+    def f(c: Ctx):
+        def srate(metric, eq=None, re=None, nre=None):
+            m = c.raw(metric, eq={**API, **(eq or {})}, re={"verb": verbs, **(re or {})}, nre=nre)
+            return A.aggregate(A.rate(m, window, c.grid), "sum", by=by)
+        bucket = "apiserver_request_slo_duration_seconds_bucket"
+        count = srate("apiserver_request_slo_duration_seconds_count", nre=NOT_STREAMING)
+        if read:
+            fast = A.default_zero(srate(bucket, eq={"le": "1"}, re={"scope": "resource|"}, nre=NOT_STREAMING), c.grid)
+            fast = A.binop(fast, srate(bucket, eq={"scope": "namespace", "le": "5"}, nre=NOT_STREAMING), "+")
+            fast = A.binop(fast, srate(bucket, eq={"scope": "cluster", "le": "30"}, nre=NOT_STREAMING), "+")
+        else:
+            fast = srate(bucket, eq={"le": "1"}, nre=NOT_STREAMING)
+        errors = srate("apiserver_request_total", re={"code": "5.."})
+        bad = A.binop(A.binop(count, fast, "-"), errors, "+")
+        return A.binop(bad, srate("apiserver_request_total"), "/")
+    return f
+
+
+BURN_WINDOWS = ("1d", "1h", "2h", "30m", "3d", "5m", "6h")
+APISERVER_BURNRATE = RuleGroup("kube-apiserver-burnrate.rules", "1m", [
+    Record(f"apiserver_request:burnrate{w}", _burnrate(w, read), {"verb": "read" if read else "write"})
+    for read in (True, False) for w in BURN_WINDOWS
+])
+
+
+# ---------------------------------------------------------------- kube-apiserver-slos
+def _burn_alert(long: str, short: str, factor: float):
+    # sum(apiserver_request:burnrate<long>) > (factor * 0.01) and sum(apiserver_request:burnrate<short>) > (factor * 0.01)
+    def f(c: Ctx):
+        return AL.burn_rate_alert(A.aggregate(c.sel(f"apiserver_request:burnrate{long}"), "sum"),
+                                  A.aggregate(c.sel(f"apiserver_request:burnrate{short}"), "sum"),
+                                  factor, 0.01, "KubeAPIErrorBudgetBurn")
+    return f
+
+
+APISERVER_SLOS = RuleGroup("kube-apiserver-slos", "1m", [
+    Alert("KubeAPIErrorBudgetBurn", _burn_alert("1h", "5m", 14.4), "2m",
+          {"long": "1h", "severity": "critical", "short": "5m"}),
+    Alert("KubeAPIErrorBudgetBurn", _burn_alert("6h", "30m", 6.0), "15m",
+          {"long": "6h", "severity": "critical", "short": "30m"}),
+    Alert("KubeAPIErrorBudgetBurn", _burn_alert("1d", "2h", 3.0), "1h",
+          {"long": "1d", "severity": "warning", "short": "2h"}),
+    Alert("KubeAPIErrorBudgetBurn", _burn_alert("3d", "6h", 1.0), "3h",
+          {"long": "3d", "severity": "warning", "short": "6h"}),
+])

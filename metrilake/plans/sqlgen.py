@@ -69,8 +69,8 @@ def windowed(src: str, labels, g: Grid, rng_ms: int, with_prev: bool = False) ->
     sep = ", " if labels else ""
     if with_prev:
         part = f"PARTITION BY {cols(labels)}" if labels else ""
-        src = (f"(SELECT *, LAG(value) OVER ({part} ORDER BY ts) AS pv, LAG(ts) OVER ({part} ORDER BY ts) AS pt "
-               f"FROM {src})")
+        src = (f"(SELECT *, LAG(value) OVER ({part} ORDER BY ts, value) AS pv, "
+               f"LAG(ts) OVER ({part} ORDER BY ts, value) AS pt FROM {src})")
         extra = ", s.pv, s.pt"
     else:
         extra = ""
@@ -83,7 +83,8 @@ def extrapolated(src: str, labels, g: Grid, rng_ms: int, counter=True, per_secon
     sep = ", " if labels else ""
     w = windowed(src, labels, g, rng_ms, with_prev=True)
     corr = f"SUM(CASE WHEN pt >= t - {rng_ms} AND value < pv THEN pv ELSE 0 END)" if counter else "0"
-    agg = (f"(SELECT {lc}{sep}t, COUNT(*) AS n, arg_min(value, ts) AS fv, MIN(ts) AS ft, arg_max(value, ts) AS lv, "
+    agg = (f"(SELECT {lc}{sep}t, COUNT(*) AS n, MIN(struct_pack(t := ts, v := value)).v AS fv, MIN(ts) AS ft, "
+           f"MAX(struct_pack(t := ts, v := value)).v AS lv, "
            f"MAX(ts) AS lt, {corr} AS corr FROM {w} GROUP BY {lc}{sep}t HAVING COUNT(*) >= 2 AND MAX(ts) > MIN(ts))")
     d = "(lv - fv + corr)"
     sampled = "((lt - ft) / 1000.0)"

@@ -24,8 +24,8 @@ def _digest(pdf):
 
 
 # Queries without an oracle twin (the driver then records a rows-only check).
-# Every registered query currently has one.
-ROWS_ONLY: set = set()
+# Only the SLO alert pack (two chained groups) lacks one so far.
+ROWS_ONLY = {"r_apiserver_slos"}
 
 
 def test_every_query_has_an_oracle():
