@@ -368,3 +368,29 @@ def _apiserver_burnrate_sql():
 
 SQL["r_apiserver_histogram"] = _apiserver_histogram_sql()
 SQL["r_apiserver_burnrate"] = _apiserver_burnrate_sql()
+
+
+def _apiserver_slos_sql():
+    burn = _apiserver_burnrate_sql().replace("ROUND(value, 6) AS value", "value")
+    rules = [("1h", "5m", 14.4, 120_000, "critical"), ("6h", "30m", 6.0, 900_000, "critical"),
+             ("1d", "2h", 3.0, 3_600_000, "warning"), ("3d", "6h", 1.0, 10_800_000, "warning")]
+    sums = f"(SELECT __name__, ts, SUM(value) AS value FROM ({burn}) GROUP BY __name__, ts)"
+    parts = []
+    for lw, sw, f, for_ms, sev in rules:
+        thr = f * 0.01
+        parts.append(
+            f"SELECT 'KubeAPIErrorBudgetBurn' AS alertname, '{lw}' AS long, '{sev}' AS severity, '{sw}' AS short, "
+            f"{for_ms} AS for_ms, l.ts, l.value FROM {sums} l JOIN {sums} s ON l.ts = s.ts "
+            f"WHERE l.__name__ = 'apiserver_request:burnrate{lw}' AND s.__name__ = 'apiserver_request:burnrate{sw}' "
+            f"AND l.value > {thr} AND s.value > {thr}")
+    ids = "alertname, long, severity, short"
+    return f"""WITH a AS ({" UNION ALL ".join(parts)}),
+k AS (SELECT *, (ts - {_GR.start}) // {_GR.step} AS k FROM a),
+r AS (SELECT *, CASE WHEN LAG(k) OVER (PARTITION BY {ids} ORDER BY k) = k - 1 THEN 0 ELSE 1 END AS nr FROM k),
+i AS (SELECT *, SUM(nr) OVER (PARTITION BY {ids} ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS isl FROM r)
+SELECT {ids}, ts, ROUND(value, 6) AS value,
+  CASE WHEN ts - MIN(ts) OVER (PARTITION BY {ids}, isl) >= for_ms THEN 'firing' ELSE 'pending' END AS state,
+  MIN(ts) OVER (PARTITION BY {ids}, isl) AS active_at FROM i"""
+
+
+SQL["r_apiserver_slos"] = _apiserver_slos_sql()
