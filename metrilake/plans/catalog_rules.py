@@ -394,3 +394,21 @@ SELECT {ids}, ts, ROUND(value, 6) AS value,
 
 
 SQL["r_apiserver_slos"] = _apiserver_slos_sql()
+
+
+def _components_down_sql():
+    parts = [f"SELECT '{a}' AS alertname, '{j}' AS job, 'critical' AS severity, g.ts, 1.0 AS value FROM {_GRID} g "
+             f"WHERE g.ts NOT IN (SELECT ts FROM {_UP_I} WHERE job = '{j}' AND value = 1)"
+             for a, j in (("KubeProxyDown", "kube-proxy"), ("KubeControllerManagerDown", "kube-controller-manager"),
+                          ("KubeSchedulerDown", "kube-scheduler"))]
+    ids = "alertname, job, severity"
+    return f"""WITH a AS ({" UNION ALL ".join(parts)}),
+k AS (SELECT *, (ts - {_GR.start}) // {_GR.step} AS k FROM a),
+r AS (SELECT *, CASE WHEN LAG(k) OVER (PARTITION BY {ids} ORDER BY k) = k - 1 THEN 0 ELSE 1 END AS nr FROM k),
+i AS (SELECT *, SUM(nr) OVER (PARTITION BY {ids} ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS isl FROM r)
+SELECT {ids}, ts, value,
+  CASE WHEN ts - MIN(ts) OVER (PARTITION BY {ids}, isl) >= 900000 THEN 'firing' ELSE 'pending' END AS state,
+  MIN(ts) OVER (PARTITION BY {ids}, isl) AS active_at FROM i"""
+
+
+register("r_system_components_down", _components_down_sql())(_alerts(RC.SYSTEM_COMPONENTS))

@@ -333,3 +333,18 @@ APISERVER_SLOS = RuleGroup("kube-apiserver-slos", "1m", [
     Alert("KubeAPIErrorBudgetBurn", _burn_alert("3d", "6h", 1.0), "3h",
           {"long": "3d", "severity": "warning", "short": "6h"}),
 ])
+
+
+# ---------------------------------------------------------------- kubernetes-system-{kube-proxy,controller-manager,scheduler}
+def _component_down(job: str):
+    # absent(up{job="<job>"} == 1)
+    def f(c: Ctx):
+        return A.absent(A.where_value(c.sel("up", eq={"job": job}), "==", 1), c.grid, {"job": job})
+    return f
+
+
+SYSTEM_COMPONENTS = RuleGroup("kubernetes-system-components", "1m", [
+    Alert("KubeProxyDown", _component_down("kube-proxy"), "15m", {"severity": "critical"}),
+    Alert("KubeControllerManagerDown", _component_down("kube-controller-manager"), "15m", {"severity": "critical"}),
+    Alert("KubeSchedulerDown", _component_down("kube-scheduler"), "15m", {"severity": "critical"}),
+])
