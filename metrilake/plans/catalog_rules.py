@@ -412,3 +412,24 @@ SELECT {ids}, ts, value,
 
 
 register("r_system_components_down", _components_down_sql())(_alerts(RC.SYSTEM_COMPONENTS))
+
+
+def _node_network_sql():
+    from .catalog import _changes_sql
+    up = (f"(SELECT 'node-exporter' AS job, 'node-' || CAST(uid % 7 AS VARCHAR) || ':9100' AS instance, "
+          f"CASE WHEN uid % 4 = 3 THEN 'veth' || CAST(uid % 5 AS VARCHAR) ELSE 'eth' || CAST(uid % 2 AS VARCHAR) END "
+          f"AS device, ts, CASE WHEN event_type = 'error' THEN 0.0 ELSE 1.0 END AS value FROM {_BASE})")
+    src = f"(SELECT * FROM {up} WHERE NOT regexp_full_match(device, 'veth.+'))"
+    ch = _changes_sql(src, ["job", "instance", "device"], _GR, 120_000)
+    ids = "alertname, job, instance, device, severity"
+    return f"""WITH a AS (SELECT 'NodeNetworkInterfaceFlapping' AS alertname, job, instance, device, 'warning' AS severity,
+                        ts, value FROM {ch} WHERE value > 2),
+k AS (SELECT *, (ts - {_GR.start}) // {_GR.step} AS k FROM a),
+r AS (SELECT *, CASE WHEN LAG(k) OVER (PARTITION BY {ids} ORDER BY k) = k - 1 THEN 0 ELSE 1 END AS nr FROM k),
+i AS (SELECT *, SUM(nr) OVER (PARTITION BY {ids} ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS isl FROM r)
+SELECT {ids}, ts, ROUND(value, 6) AS value,
+  CASE WHEN ts - MIN(ts) OVER (PARTITION BY {ids}, isl) >= 120000 THEN 'firing' ELSE 'pending' END AS state,
+  MIN(ts) OVER (PARTITION BY {ids}, isl) AS active_at FROM i"""
+
+
+register("r_node_network", _node_network_sql())(_alerts(RC.NODE_NETWORK))

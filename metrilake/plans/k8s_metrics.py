@@ -173,6 +173,14 @@ def families(spark: SparkSession, sf: str) -> DictSource:
         bound = F.when(F.col("le") == "+Inf", lit(float("inf"))).otherwise(F.col("le").cast("double"))
         return _counter(d, ["job", "instance", "le"], F.when(F.col("value") / 40 <= bound, 1.0).otherwise(0.0))
 
+    def net_up():
+        # link state per interface: down (0) on an error event; every fourth user is a veth pair
+        dev = F.when(F.col("uid") % 4 == 3, F.concat(lit("veth"), (F.col("uid") % 5).cast("string"))) \
+               .otherwise(F.concat(lit("eth"), (F.col("uid") % 2).cast("string")))
+        d = b().select(lit("node-exporter").alias("job"), "instance", dev.alias("device"), TS,
+                       F.when(F.col("event_type") == "error", 0.0).otherwise(1.0).alias(VALUE))
+        return from_table(d, ["job", "instance", "device"])
+
     def kubelet_node_name():
         d = b().select(lit("kubelet").alias("job"), lit("/metrics").alias("metrics_path"), "instance", "node", TS,
                        lit(1.0).alias(VALUE))
@@ -205,4 +213,5 @@ def families(spark: SparkSession, sf: str) -> DictSource:
         "apiserver_request_slo_duration_seconds_sum": api_sum,
         "kubelet_pleg_relist_duration_seconds_bucket": pleg_bucket,
         "kubelet_node_name": kubelet_node_name,
+        "node_network_up": net_up,
     })
