@@ -433,3 +433,24 @@ SELECT {ids}, ts, ROUND(value, 6) AS value,
 
 
 register("r_node_network", _node_network_sql())(_alerts(RC.NODE_NETWORK))
+
+
+def _config_reloaders_sql():
+    from .catalog import _over_time_sql
+    ok = (f"(SELECT 'config-reloader' AS job, 'ns-' || CAST(uid % 5 AS VARCHAR) AS namespace, "
+          f"'pod-' || CAST(uid AS VARCHAR) AS pod, ts, CASE WHEN event_type = 'purchase' THEN 1.0 ELSE 0.0 END AS value "
+          f"FROM {_BASE})")
+    mx = _over_time_sql(f"(SELECT * FROM {ok} WHERE regexp_full_match(namespace, '.+'))", ["job", "namespace", "pod"],
+                        _GR, 300_000, "MAX(value)")
+    ids = "alertname, job, namespace, pod, severity"
+    return f"""WITH a AS (SELECT 'ConfigReloaderSidecarErrors' AS alertname, job, namespace, pod, 'warning' AS severity,
+                        ts, value FROM {mx} WHERE value = 0),
+k AS (SELECT *, (ts - {_GR.start}) // {_GR.step} AS k FROM a),
+r AS (SELECT *, CASE WHEN LAG(k) OVER (PARTITION BY {ids} ORDER BY k) = k - 1 THEN 0 ELSE 1 END AS nr FROM k),
+i AS (SELECT *, SUM(nr) OVER (PARTITION BY {ids} ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS isl FROM r)
+SELECT {ids}, ts, ROUND(value, 6) AS value,
+  CASE WHEN ts - MIN(ts) OVER (PARTITION BY {ids}, isl) >= 600000 THEN 'firing' ELSE 'pending' END AS state,
+  MIN(ts) OVER (PARTITION BY {ids}, isl) AS active_at FROM i"""
+
+
+register("r_config_reloaders", _config_reloaders_sql())(_alerts(RC.CONFIG_RELOADERS))

@@ -181,6 +181,12 @@ def families(spark: SparkSession, sf: str) -> DictSource:
                        F.when(F.col("event_type") == "error", 0.0).otherwise(1.0).alias(VALUE))
         return from_table(d, ["job", "instance", "device"])
 
+    def reloader_ok():
+        # 1 when the sidecar's last reload succeeded: only purchase events report success
+        d = b().select(lit("config-reloader").alias("job"), "namespace", "pod", TS,
+                       F.when(F.col("event_type") == "purchase", 1.0).otherwise(0.0).alias(VALUE))
+        return from_table(d, ["job", "namespace", "pod"])
+
     def kubelet_node_name():
         d = b().select(lit("kubelet").alias("job"), lit("/metrics").alias("metrics_path"), "instance", "node", TS,
                        lit(1.0).alias(VALUE))
@@ -214,4 +220,5 @@ def families(spark: SparkSession, sf: str) -> DictSource:
         "kubelet_pleg_relist_duration_seconds_bucket": pleg_bucket,
         "kubelet_node_name": kubelet_node_name,
         "node_network_up": net_up,
+        "reloader_last_reload_successful": reloader_ok,
     })
