@@ -6,8 +6,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import ppm
 from .common import tables
+from .golomb import exact_duplicates
+from .html_text import extract
 from .hyperminhash import near_duplicates
+from .lengths import length_histogram
+from .licenses import scan
+from .mixing import mix
+from .shards import shard
 
 
 def op1_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,8 +23,56 @@ def op1_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), "component_id", "kept")
 
 
+def op2_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix of all sources by the weights 5, 2, 1 takes of each document."""
+    out = mix(tables(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, epochs=2.0)
+    return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op3_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards of nearly equal bytes, equal texts together."""
+    return shard(tables(spark, sf_dir, "documents"), shards=40, overhead=16)
+
+
+def op5_golomb_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts of all documents."""
+    return exact_duplicates(tables(spark, sf_dir, "documents"))
+
+
+def op7_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from four fifths of them."""
+    docs = tables(spark, sf_dir, "documents")
+    model = ppm.fit(docs.filter(~ppm.held_out("doc_id")), key=F.col("doc_id"))
+    out = ppm.identify(docs, model, keep=["doc_id"])
+    return out.select("doc_id", ppm.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+def op8_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licences that the sentences of every document name."""
+    out = scan(tables(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.array_join("licenses", ",").alias("licenses"),
+                      F.concat_ws(",", F.transform("sentence_ids", lambda i: i.cast("string"))).alias("sentence_ids"), "unmatched")
+
+
+def op9_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The histogram of all documents' token counts with its sums."""
+    return length_histogram(tables(spark, sf_dir, "documents"))
+
+
+def op10_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return extract(tables(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hyperminhash": op1_hyperminhash,
+    "op2_water_filling": op2_water_filling,
+    "op3_minimax_shards": op3_minimax_shards,
+    "op5_golomb_dedup": op5_golomb_dedup,
+    "op7_ppm_language": op7_ppm_language,
+    "op8_license_rules": op8_license_rules,
+    "op9_length_histogram": op9_length_histogram,
+    "op10_tree_scoring": op10_tree_scoring,
 }
 
 SQL: dict[str, str] = {}
