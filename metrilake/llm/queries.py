@@ -14,6 +14,8 @@ from .hyperminhash import near_duplicates
 from .lengths import length_histogram
 from .licenses import scan
 from .mixing import mix
+from .packing import pack
+from .projection import near_vectors
 from .shards import shard
 
 
@@ -34,11 +36,22 @@ def op3_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(tables(spark, sf_dir, "documents"), shards=40, overhead=16)
 
 
+def op4_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 1024 tokens, filled with lexical neighbours."""
+    out = pack(tables(spark, sf_dir, "documents"), window=1024)
+    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 def op5_golomb_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal texts of all documents."""
     return exact_duplicates(tables(spark, sf_dir, "documents"))
 
 
+def op6_projection_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings of a label at a cosine of 0.93."""
+    return near_vectors(tables(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
 def op7_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from four fifths of them."""
     docs = tables(spark, sf_dir, "documents")
@@ -68,7 +81,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hyperminhash": op1_hyperminhash,
     "op2_water_filling": op2_water_filling,
     "op3_minimax_shards": op3_minimax_shards,
+    "op4_retrieval_packing": op4_retrieval_packing,
     "op5_golomb_dedup": op5_golomb_dedup,
+    "op6_projection_passes": op6_projection_passes,
     "op7_ppm_language": op7_ppm_language,
     "op8_license_rules": op8_license_rules,
     "op9_length_histogram": op9_length_histogram,
