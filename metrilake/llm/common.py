@@ -16,6 +16,8 @@ from metrilake.session import shared_dir
 BLANK = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
+FILTER_BITS = 25              # size of maybe_in's bitmap: 4 MB whatever the data
+
 #: Odd 64-bit constants of the splitmix64 finaliser (public domain, S. Vigna).
 _M1 = np.uint64(0xBF58476D1CE4E5B9)
 _M2 = np.uint64(0x94D049BB133111EB)
@@ -192,6 +194,37 @@ def _compared(dealt: DataFrame, payloads: DataFrame, compare: Callable[[list, li
             .mapInArrow(run, "a long, b long"))
 
 
+def maybe_in(fps: DataFrame) -> Callable[[str], Column]:
+    """A column function that is true for every fp of fps, and for few others.
+
+    A bitmap of 2**FILTER_BITS bits with two places a fingerprint; its size does
+    not grow with the data.  It spares a shuffle of whole texts where few of
+    them are wanted; when it fills up, more than those are shuffled, and the
+    join behind it gives the same result.
+    """
+    mask = (1 << FILTER_BITS) - 1
+    place = F.explode(F.array(F.col("fp").bitwiseAND(mask), F.shiftright("fp", 32).bitwiseAND(mask)))
+    words = (fps.select(place.alias("p"))
+             .groupBy(F.shiftright("p", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 31 as int))")).alias("m"))
+             .toArrow())
+    bits = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
+    bits[words["w"].to_numpy()] = words["m"].to_numpy().astype(np.uint32)
+    held = fps.sparkSession.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def maybe(fp):
+        import pandas as pd
+
+        x = fp.to_numpy()
+        b = held.value
+        ok = np.ones(len(x), bool)
+        for p in (x & mask, (x >> 32) & mask):
+            ok &= (b[p >> 5] >> (p & 31).astype(np.uint32)) & 1 > 0
+        return pd.Series(ok)
+
+    return maybe
+
+
 def order_key(column: str | Column, seed: str) -> Column:
     """Hexadecimal digits that order values by chance, the same in each run and engine."""
     c = F.col(column) if isinstance(column, str) else column

@@ -16,11 +16,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, groups, shared_table
+from .common import BLANK, groups, maybe_in, shared_table
 
 BLOCK_BITS = 20               # at most 2**20 rows are one source
 OWNER_ROWS = 1 << 21          # about so many rows' fingerprints meet in one owner
-FILTER_BITS = 25              # size of the suspect filter; 4 MB whatever the data
 
 
 def rice_encode(sorted_values: np.ndarray) -> tuple[int, int, bytes, bytes]:
@@ -124,36 +123,6 @@ def suspects(prints: DataFrame, owners: int) -> DataFrame:
     return both.repartition("src").sortWithinPartitions("src").mapInArrow(pick, "uid long")
 
 
-def suspect_filter(fps: DataFrame):
-    """A column function that is true for every fp of fps, and for few others.
-
-    A bitmap of 2**FILTER_BITS bits with two places a fingerprint; its size does
-    not grow with the data.  When it fills up, more texts than needed are
-    shuffled; results stay the same.
-    """
-    mask = (1 << FILTER_BITS) - 1
-    place = F.explode(F.array(F.col("fp").bitwiseAND(mask), F.shiftright("fp", 32).bitwiseAND(mask)))
-    words = (fps.select(place.alias("p"))
-             .groupBy(F.shiftright("p", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 31 as int))")).alias("m"))
-             .toArrow())
-    bits = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
-    bits[words["w"].to_numpy()] = words["m"].to_numpy().astype(np.uint32)
-    held = fps.sparkSession.sparkContext.broadcast(bits)
-
-    @F.pandas_udf("boolean")
-    def maybe(fp):
-        import pandas as pd
-
-        x = fp.to_numpy()
-        b = held.value
-        ok = np.ones(len(x), bool)
-        for p in (x & mask, (x >> 32) & mask):
-            ok &= (b[p >> 5] >> (p & 31).astype(np.uint32)) & 1 > 0
-        return pd.Series(ok)
-
-    return maybe
-
-
 def exact_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Every row of docs with the row that stays of its group of equal texts.
 
@@ -181,7 +150,7 @@ def exact_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id"
                                                          F.col("first.uid").alias("keep_uid"), "size"), "groups")
 
     # byte verification: suspects' texts meet the text of their group's first row
-    maybe = suspect_filter(group.select("fp"))
+    maybe = maybe_in(group.select("fp"))
     texts = (src.withColumn("fp", F.xxhash64("norm")).filter(maybe("fp"))
              .withColumn("sha", F.unhex(F.sha2("norm", 256))))
     held = texts.join(group.select("fp", "sha", "keep"), ["fp", "sha"])

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, group_links, mix64, seeds64, shared_table
+from .common import components, group_links, maybe_in, mix64, seeds64, shared_table
 
 BITS = 8                      # 2**BITS buckets
 K = 1 << BITS
@@ -160,8 +160,8 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
 
     Returns uid long (of this call), <key>, n_shingles long, component_id long
     (the smallest <key> reachable over links, its own included), kept boolean
-    (<key> = component_id) and first boolean (one row of each component: that
-    of the smallest key, of repeated keys the smallest uid).
+    (<key> = component_id), first boolean (one row of each component: that of
+    the smallest key, of repeated keys the smallest uid) and text_sha256 string.
 
     Links: 100 * intersection >= percent * union of the distinct shingles of
     ``width`` words; all links between different texts count, copies of one
@@ -219,7 +219,8 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
 
     # verification on the full sets, of the classes that passed only
     chosen = family.join(classes, family["node"] == classes["rep"]).select("node", "root", "rep_key", "digest")
-    full = (src.filter("text is not null").alias("s")
+    maybe = maybe_in(chosen.select(F.xxhash64("digest").alias("fp")))  # spares the shuffle of all other texts
+    full = (src.filter("text is not null").withColumn("fp", F.xxhash64("digest")).filter(maybe("fp")).alias("s")
             .join(chosen, (F.col("s.digest") == chosen["digest"]) & F.col("s.key").eqNullSafe(chosen["rep_key"]))
             .select("node", "root", "text").dropDuplicates(["node"]))
 
@@ -251,5 +252,6 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     out = out.join(lead, (out["root"] == lead["r"]) & ((out["n"] > 0) == lead["some"]), "left")
     return out.select("uid", F.col("key").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"),
                       F.coalesce(F.col("key") == F.col("component"), F.lit(False)).alias("kept"),
-                      F.coalesce(F.col("uid") == F.col("lead"), F.lit(False)).alias("first"))
+                      F.coalesce(F.col("uid") == F.col("lead"), F.lit(False)).alias("first"),
+                      F.lower(F.hex("digest")).alias("text_sha256"))
 

@@ -52,6 +52,50 @@ def source_targets(sizes: DataFrame, *, weights: Sequence[float], share: float,
     return ranked.withColumn("target", target)
 
 
+def mix_plan(rows: DataFrame, *, weights: Sequence[float], share: float, epochs: float) -> DataFrame:
+    """rows (source, size, place) as one row a source: source_size, target, whole
+    and edge, a struct (place, size).
+
+    A row is taken whole times, and once more if its (place, size) is not above
+    the edge: the prefix of the source's order whose words come nearest to what
+    the target wants beyond whole epochs.  Prefix sums run over cells of the
+    order (16**CELL_DIGITS a source), so a source with a third of all rows is
+    spread; rows are ordered only in the one cell of a source that holds its edge.
+    """
+    rows = rows.withColumn("cell", F.substring("place", 1, CELL_DIGITS))
+    cells = shared_table(rows.groupBy("source", "cell").agg(F.sum("size").alias("words")), "cells")
+    sizes = cells.groupBy("source").agg(F.sum("words").alias("source_size"))
+    goal = source_targets(sizes, weights=weights, share=share, epochs=epochs)
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
+    goal = goal.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
+    goal = shared_table(goal.select("source", "source_size", "target", "whole", "rest"), "goal")
+    until = F.sum("words").over(Window.partitionBy("source").orderBy("cell"))
+    met = cells.withColumn("until", until).join(goal.select(F.col("source").alias("g"), "rest"), F.col("source").eqNullSafe(F.col("g")))
+    edge = (met.filter("until > rest").groupBy("g").agg(F.min(F.struct("cell", (F.col("until") - F.col("words")).alias("before"))).alias("e"))
+            .select("g", F.col("e.cell").alias("edge_cell"), F.col("e.before").alias("before")))
+    edge = shared_table(goal.join(edge, F.col("source").eqNullSafe(F.col("g")), "left").drop("g"), "edge")
+    order = Window.partitionBy("source").orderBy("place", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = rows.select("source", "cell", "place", "size").join(
+        edge.filter("edge_cell is not null").select(F.col("source").alias("s"), "edge_cell", "before", "rest"),
+        F.col("source").eqNullSafe(F.col("s")) & (F.col("cell") == F.col("edge_cell")))
+    ahead = F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0))
+    last = (inside.withColumn("ahead", ahead).filter(F.col("ahead") + F.col("size") / 2 < F.col("rest"))
+            .groupBy("s").agg(F.max(F.struct("place", "size")).alias("last")))
+    plan = edge.join(last, F.col("source").eqNullSafe(F.col("s")), "left")
+    # before the edge cell's first row; all rows ("g" follows the hexadecimal digits) where no cell holds an edge
+    before = F.struct(F.coalesce("edge_cell", F.lit("g")).alias("place"), F.lit(-1).cast("long").alias("size"))
+    return shared_table(plan.select("source", "source_size", "target", "whole", F.coalesce("last", before).alias("edge")), "mix")
+
+
+def _rows(docs: DataFrame, seed: str, text: str, key: str, source: str) -> list:
+    return [F.col(source).alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+            order_key(key, seed).alias("place")]
+
+
+def _repeats():
+    return F.col("whole") + (F.struct("place", "size") <= F.col("edge")).cast("long")
+
+
 def mix(docs: DataFrame, *, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, epochs: float = 2.0,
         seed: str = "mix", text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
     """Every row of docs with what the mix takes of it.
@@ -64,49 +108,29 @@ def mix(docs: DataFrame, *, weights: Sequence[float] = (5, 2, 1), share: float =
     and rows in a seeded order once more until the rest is reached; the row at
     the edge is taken when more than half of it is wanted, so a source misses
     its target by half a row at most.  The order hashes seed and key: reruns
-    agree.  Null texts and texts without words have size 0 and take nothing
-    more than floor(e) repeats of nothing.  Null sources form one source, the
-    last.  Rows with equal or null keys share a place in the order, smaller
-    sizes first.  An empty table gives an empty result; other columns are
-    ignored.
-
-    Prefix sums run over cells of the order (16**CELL_DIGITS a source), so a
-    source with a third of all rows is spread; rows are ordered only within
-    the one cell of a source that holds its edge.
+    agree.  Null texts and texts without words have size 0.  Null sources form
+    one source, the last.  Rows with equal or null keys share a place in the
+    order, smaller sizes first, equal ones together.  An empty table gives an
+    empty result; other columns are ignored.
     """
-    rows = docs.select(F.col(key).alias("key"), F.col(source).alias("source"),
-                       F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-                       order_key(key, seed).alias("place"))
-    rows = shared_table(rows.withColumn("cell", F.substring("place", 1, CELL_DIGITS)), "sized")
-    cells = shared_table(rows.groupBy("source", "cell").agg(F.sum("size").alias("words")), "cells")
-    sizes = cells.groupBy("source").agg(F.sum("words").alias("source_size"))
-    goal = source_targets(sizes, weights=weights, share=share, epochs=epochs)
-    goal = goal.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)))
-    goal = goal.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    until = F.sum("words").over(Window.partitionBy("source").orderBy("cell"))
-    plan = cells.withColumn("before", until - F.col("words")).alias("c").join(
-        goal.alias("g"), F.col("c.source").eqNullSafe(F.col("g.source"))).select(
-        F.col("c.source").alias("p_source"), F.col("c.cell").alias("p_cell"), "before", "words", "source_size", "target", "whole", "rest")
-    met = rows.join(plan, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("cell") == F.col("p_cell")))
-    met = met.drop("p_source", "p_cell")
-    edge = (F.col("before") < F.col("rest")) & (F.col("rest") < F.col("before") + F.col("words"))
-    inside = met.filter(~edge).withColumn("more", F.col("before") + F.col("words") <= F.col("rest"))
-    order = Window.partitionBy("source").orderBy("place", "size").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0))
-    at_edge = met.filter(edge).withColumn("more", ahead + F.col("size") / 2 < F.col("rest"))
-    out = inside.unionByName(at_edge)
-    repeats = F.col("whole") + F.col("more").cast("long")
-    return out.select(F.col("key").alias(key), "source", "size", "source_size", "target", repeats.alias("repeats"),
-                      (F.col("size") * repeats).alias("taken"))
+    rows = shared_table(docs.select(F.col(key).alias("key"), *_rows(docs, seed, text, key, source)), "sized")
+    plan = mix_plan(rows, weights=weights, share=share, epochs=epochs).withColumnRenamed("source", "_source")
+    out = rows.join(plan, F.col("source").eqNullSafe(F.col("_source")))
+    return out.select(F.col("key").alias(key), "source", "size", "source_size", "target", _repeats().alias("repeats"),
+                      (F.col("size") * _repeats()).alias("taken"))
 
 
-def apply_mix(docs: DataFrame, taken: DataFrame, *, key: str = "doc_id") -> DataFrame:
-    """docs with every row repeated as often as taken (key, repeats) says.
+def mixed(docs: DataFrame, *, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, epochs: float = 2.0,
+          seed: str = "mix", text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
+    """docs as the mix takes them: each row as often as mix says, all columns.
 
-    Rows that share a key must have equal repeats (mix gives them so unless the
-    edge falls between them, then the larger number is used).
+    Decisions follow from a row's source, size and key, so texts are not
+    shuffled while the sources' plan is small enough for Spark to broadcast.
     """
-    times = taken.groupBy(F.col(key).alias("_key")).agg(F.max("repeats").alias("_repeats"))
-    return (docs.join(times, docs[key].eqNullSafe(times["_key"]))
-            .withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_repeats").cast("int"))))
-            .drop("_key", "_repeats", "_copy"))
+    row = _rows(docs, seed, text, key, source)
+    sized = shared_table(docs.select(*row), "sized")
+    plan = mix_plan(sized, weights=weights, share=share, epochs=epochs)
+    plan = plan.select(F.col("source").alias("_source"), F.col("whole").alias("_whole"), F.col("edge").alias("_edge"))
+    more = (F.struct(row[2], row[1]) <= F.col("_edge")).cast("long")
+    out = docs.join(plan, F.col(source).eqNullSafe(F.col("_source"))).withColumn("_times", F.col("_whole") + more)
+    return out.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_times").cast("int")))).select(*[docs[c] for c in docs.columns])
