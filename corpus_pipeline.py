@@ -22,9 +22,9 @@ from metrilake.llm.packing import pack
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
-#: A document whose best code takes more bits a byte than a coder that knows
-#: nothing but 128 equally likely bytes is in none of the learned languages.
-MOST_BITS = 7.0
+#: A document whose best code takes more bits than its raw bytes is in none of
+#: the learned languages.
+MOST_BITS = 8.0
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

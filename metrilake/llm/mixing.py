@@ -130,7 +130,7 @@ def mixed(docs: DataFrame, *, weights: Sequence[float] = (5, 2, 1), share: float
     row = _rows(docs, seed, text, key, source)
     sized = shared_table(docs.select(*row), "sized")
     plan = mix_plan(sized, weights=weights, share=share, epochs=epochs)
-    plan = plan.select(F.col("source").alias("_source"), F.col("whole").alias("_whole"), F.col("edge").alias("_edge"))
-    more = (F.struct(row[2], row[1]) <= F.col("_edge")).cast("long")
-    out = docs.join(plan, F.col(source).eqNullSafe(F.col("_source"))).withColumn("_times", F.col("_whole") + more)
-    return out.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_times").cast("int")))).select(*[docs[c] for c in docs.columns])
+    plan = plan.withColumnRenamed("source", "_source")
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), *row)
+    out = rows.join(plan, F.col("source").eqNullSafe(F.col("_source"))).select("row", _repeats().cast("int").alias("repeats"))
+    return out.select("row", F.explode(F.array_repeat(F.lit(1), F.col("repeats")))).select("row.*")

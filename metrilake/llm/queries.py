@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ppm
+from . import ppm, sql
 from .common import tables
 from .golomb import exact_duplicates
 from .html_text import extract
@@ -90,4 +90,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_tree_scoring": op10_tree_scoring,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_hyperminhash": sql.OP1,
+    "op2_water_filling": sql.OP2,
+    "op5_golomb_dedup": sql.OP5,
+    "op6_projection_passes": sql.OP6,
+    "op8_license_rules": sql.OP8,
+}

@@ -2,55 +2,65 @@
 from __future__ import annotations
 
 import os
-
-import numpy as np
+from array import array
 
 
 class Encoder:
     """Ids of byte_bpe_50k.json, the same as the tokenizers library gives
     without special tokens.
 
-    A piece between single spaces, with the space before it, is encoded once
-    and its ids are kept (up to a bound): words repeat far more than texts do.
-    A text whose white space allows no such cut is encoded whole.
+    A piece between single spaces or line feeds, with a space before it, is
+    encoded once and its ids are kept (up to a bound): words repeat far more
+    than texts do.  A text whose white space allows no such cut is encoded whole.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 800_000):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self._whole = Tokenizer.from_file(path)
         self._whole.encode_special_tokens = True
         self._quick = _ranked(path)
-        self._kept: dict[str, bytes | None] = _Kept(self, most)
+        self._after_space = _Kept(self, " ", most)
+        self._at_start = _Kept(self, "", most // 8)
+        self._line = self._encode("\n")
 
     def _encode(self, text: str) -> bytes:
         # Letters of the first Unicode blocks are classed alike by both libraries.
         if self._quick is not None and (text.isascii() or max(text) < "ɐ"):
-            return np.array(self._quick.encode_ordinary(text), np.uint16).tobytes()
-        return np.array(self._whole.encode(text, add_special_tokens=False).ids, np.uint16).tobytes()
+            return array("H", self._quick.encode_ordinary(text)).tobytes()
+        return array("H", self._whole.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __call__(self, text: str | None) -> bytes:
         """The ids as native 16-bit unsigned integers (the vocabulary has 50,257)."""
         if not text:
             return b""
-        head, *pieces = text.split(" ")
-        if not head or head[-1].isspace() or head[0].isspace():
-            return self._encode(text)
-        out = list(map(self._kept.__getitem__, pieces))
-        if None in out:
-            return self._encode(text)
-        return self._encode(head) + b"".join(out)
+        out: list[bytes | None] = []
+        for line in text.split("\n"):
+            head, *pieces = line.split(" ")
+            out.append(self._at_start[head])
+            out += map(self._after_space.__getitem__, pieces)
+            out.append(self._line)
+        out.pop()
+        return self._encode(text) if None in out else b"".join(out)
 
 
 class _Kept(dict):
-    def __init__(self, encoder: Encoder, most: int):
-        self.encoder, self.most = encoder, most
+    """Ids of pieces with what stands before them; None where the white space
+    around a piece joins its own or its neighbour's."""
+
+    def __init__(self, encoder: Encoder, before: str, most: int):
+        self.encoder, self.before, self.most = encoder, before, most
+        self.marks = {c: encoder._encode(c) for c in ",."}
 
     def __missing__(self, piece: str) -> bytes | None:
         if not piece or piece[0].isspace() or piece[-1].isspace():
-            return None  # this space joins a run of white space
-        ids = self.encoder._encode(" " + piece)
+            return None
+        mark = self.marks.get(piece[-1])
+        if mark is not None and piece[:-1].isalpha():  # a word and the mark behind it are split before merging
+            ids = self[piece[:-1]] + mark
+        else:
+            ids = self.encoder._encode(self.before + piece)
         if len(piece) <= 64:
             if len(self) >= self.most:
                 self.clear()
