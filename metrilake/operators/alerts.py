@@ -124,12 +124,14 @@ def group_notifications(routed: DataFrame, labels: Sequence[str], group_interval
     fp = F.xxhash64(*[F.coalesce(F.col(l), F.lit("")) for l in labels])
     d = (routed.filter(F.col("state") == "firing")
          .withColumn("_slot", F.floor(F.col(TS) / F.lit(gi)).cast("bigint"))
+         # an instance counts once a slot, however often it was evaluated in it
+         .select("receiver", "group_key", "_slot", fp.alias("_fp")).distinct()
          .groupBy("receiver", "group_key", "_slot")
-         .agg(F.bit_xor(fp).alias("_digest"), F.countDistinct(fp).alias("alerts")))
+         .agg(F.bit_xor("_fp").alias("_digest"), F.count(F.lit(1)).alias("alerts")))
     w = Window.partitionBy("receiver", "group_key").orderBy("_slot")
-    prev_slot, prev_dig = F.lag("_slot").over(w), F.lag("_digest").over(w)
+    prev_slot, prev_dig, prev_n = F.lag("_slot").over(w), F.lag("_digest").over(w), F.lag("alerts").over(w)
     d = d.withColumn("_new_run", prev_slot.isNull() | (prev_slot != F.col("_slot") - 1))
-    d = d.withColumn("_changed", F.col("_new_run") | (prev_dig != F.col("_digest")))
+    d = d.withColumn("_changed", F.col("_new_run") | (prev_dig != F.col("_digest")) | (prev_n != F.col("alerts")))
     wc = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     d = d.withColumn("_last_change", F.max(F.when(F.col("_changed"), F.col("_slot"))).over(wc))
     since = (F.col("_slot") - F.col("_last_change")) * F.lit(gi)

@@ -58,7 +58,7 @@ def scalar_op(mf: MetricFrame, op: str, s, scalar_left: bool = False, bool_: boo
     """vector ⊕ scalar (or scalar ⊕ vector with ``scalar_left``); s is a number or :class:`Scalar`."""
     df = mf.df
     if isinstance(s, Scalar):
-        df = df.join(F.broadcast(s.df.withColumnRenamed(VALUE, "_s")), on=TS, how="inner")
+        df = df.join(s.df.withColumnRenamed(VALUE, "_s"), on=TS, how="inner")
         sv = F.col("_s")
     else:
         sv = F.lit(float(s))

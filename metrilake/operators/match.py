@@ -71,6 +71,8 @@ def binop(l, r, op: str, on: Sequence[str] | None = None, ignoring: Sequence[str
     if check_unique:
         one_df = assert_unique(MetricFrame(one_df, tuple(one_cols)), keys, "the one side")
     o = _prefixed(one_df, one_cols + [TS, VALUE], "_o_")
+    if check_unique and group_left is None and group_right is None:
+        many = many.with_df(assert_unique(many, keys, "the other side"))
     cond = F.col(TS) == F.col("_o_" + TS)
     for k in keys:
         cond = cond & (F.col(k) == F.col("_o_" + k))

@@ -148,7 +148,9 @@ def attach_target_labels(df: DataFrame, target: Column, honor: bool, col: str =
         return df.withColumn(col, F.map_concat(scraped, extra))
     clash = F.map_filter(scraped, lambda k, v: F.map_contains_key(target, k) & (v != ""))
     renamed = F.transform_keys(clash, lambda k, v: F.concat(F.lit("exported_"), k))
-    plain = F.map_filter(scraped, lambda k, v: ~F.map_contains_key(target, k))
+    # an exported_<name> that the sample carries already gives way to the renamed label
+    plain = F.map_filter(scraped, lambda k, v: ~F.map_contains_key(target, k) & ~F.map_contains_key(renamed, k))
+    renamed = F.map_filter(renamed, lambda k, v: ~F.map_contains_key(target, k))
     return df.withColumn(col, F.map_concat(plain, renamed, target))
 
 

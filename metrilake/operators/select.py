@@ -1,6 +1,7 @@
 """Selectors (P1–P3), the as-of instant selector (J10) and frame construction."""
 from __future__ import annotations
 
+import re
 from typing import Mapping, Sequence
 
 from pyspark.sql import DataFrame
@@ -54,10 +55,13 @@ def select(mf: MetricFrame, eq: Mapping[str, str] | None = None, ne: Mapping[str
     return mf.with_df(mf.df.filter(cond))
 
 
+_ESCAPE = re.compile(r"[\\.^$|?*+()\[\]{}]")
+
+
 def bind(values: Mapping[str, object]) -> dict:
     """Dashboard variables → matcher kwargs.
 
-    ``{"cluster": "a"}`` → eq; a list → regex alternation; ``None`` or ``"$__all"``
+    ``{"cluster": "a"}`` → eq; a list → regex alternation of its escaped values; ``None`` or ``"$__all"``
     (the "All" choice, ``.*``) → no matcher at all.
     """
     eq, re_ = {}, {}
@@ -65,7 +69,7 @@ def bind(values: Mapping[str, object]) -> dict:
         if v is None or v == "$__all" or v == ".*":
             continue
         if isinstance(v, (list, tuple)):
-            re_[k] = "|".join(str(x) for x in v)
+            re_[k] = "|".join(_ESCAPE.sub(r"\\\g<0>", str(x)) for x in v)
         else:
             eq[k] = str(v)
     return {"eq": eq, "re": re_}

@@ -23,6 +23,8 @@ the raw samples instead of m.
 """
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,8 +39,7 @@ SLOT_MIN_M = 64
 
 def use_slots(grid: Grid, rng: int, strategy: str = "auto") -> bool:
     """``strategy``: "auto" (by steps per window), "slots" or "expand"."""
-    aligned = grid.n > 1 and rng % grid.step == 0
-    if strategy == "expand" or not aligned:
+    if strategy == "expand" or grid.n <= 1:
         return False
     return strategy == "slots" or rng // grid.step >= SLOT_MIN_M
 
@@ -50,6 +51,11 @@ def window_table(mf: MetricFrame, grid: Grid, rng: int) -> DataFrame:
     (ts, value), ``last`` (ts, value, pts, pv – the sample before it in the
     window, if any), ``corr`` (counter drops), ``chg`` (value changes).
     """
+    if rng % grid.step:  # slots of the greatest common divisor, every step/divisor-th window
+        sub = math.gcd(rng, grid.step)
+        fine = window_table(mf, Grid(grid.start, grid.end, sub), rng)
+        per = grid.step // sub
+        return fine.filter(F.col("_k") % F.lit(per) == 0).withColumn("_k", (F.col("_k") / F.lit(per)).cast("bigint"))
     keys = list(mf.labels)
     m = rng // grid.step
     step, start = grid.step, grid.start
@@ -57,17 +63,26 @@ def window_table(mf: MetricFrame, grid: Grid, rng: int) -> DataFrame:
     d = mf.df.filter((ts >= F.lit(start - rng)) & (ts <= F.lit(grid.end)))
     d = d.withColumn("_j", F.ceil((ts - F.lit(start)) / F.lit(step)).cast("bigint"))
     # ---- 1. per (series, slot)
-    w = Window.partitionBy(*keys, "_j").orderBy(TS)
+    w = Window.partitionBy(*keys, "_j").orderBy(TS, VALUE)
     d = d.withColumn("_pv", F.lag(VALUE).over(w)).withColumn("_pt", F.lag(TS).over(w))
     drop = F.when(F.col("_pv").isNotNull() & (v < F.col("_pv")), F.col("_pv")).otherwise(F.lit(0.0))
     change = F.when(F.col("_pv").isNotNull() & (v != F.col("_pv")), F.lit(1)).otherwise(F.lit(0))
     real = F.when(~F.isnan(v), v)
+    # samples exactly on the slot's right edge: the window that ends a whole range later holds them too
+    on = ts == F.lit(start) + F.col("_j") * F.lit(step)
+    edge = F.when(F.count(F.when(on, 1)) > 0, F.struct(
+        F.max(ts).alias("ts"), F.max(F.when(on, F.struct(ts.alias("t"), v.alias("v"))))["v"].alias("v"),
+        F.min(F.when(on, F.struct(ts.alias("t"), v.alias("v"))))["v"].alias("fv"), F.count(F.when(on, 1)).alias("n"),
+        F.sum(F.when(on, v)).alias("sum"), F.min(F.when(on, real)).alias("min"), F.max(F.when(on, real)).alias("max"),
+        F.sum(F.when(on, F.isnan(v).cast("int"))).alias("nans"),
+        F.sum(F.when(on & (F.col("_pt") == ts), change).otherwise(0)).alias("chg"),
+        F.max(F.when(on & (F.col("_pt") == ts), F.struct(ts.alias("t"), v.alias("v"), F.col("_pv").alias("pv"))))["pv"].alias("pv")))
     s = (d.groupBy(*keys, "_j").agg(
         F.count(v).alias("n"), F.sum(v).alias("sum"), F.min(real).alias("min"), F.max(real).alias("max"),
         F.sum(F.isnan(v).cast("int")).alias("nans"),
         F.min(F.struct(ts.alias("ts"), v.alias("v"))).alias("first"),
         F.max(F.struct(ts.alias("ts"), v.alias("v"), F.col("_pt").alias("pts"), F.col("_pv").alias("pv"))).alias("last"),
-        F.sum(drop).alias("corr"), F.sum(change).alias("chg")))
+        F.sum(drop).alias("corr"), F.sum(change).alias("chg"), edge.alias("edge")))
     # ---- 2. pair consecutive non-empty slots (bounded: one row per slot of a series)
     ws = Window.partitionBy(*keys).orderBy("_j")
     prev_last = F.lag("last").over(ws)
@@ -83,8 +98,6 @@ def window_table(mf: MetricFrame, grid: Grid, rng: int) -> DataFrame:
                                        .otherwise(F.col("_prev.v")).alias("pv")))
           .withColumn("first", F.struct(F.col("first.ts").alias("ts"), F.col("first.v").alias("v"),
                                         F.col("bnd").alias("bnd"), F.col("bchg").alias("bchg")))
-          .withColumn("edge", F.when(F.col("last.ts") == F.lit(start) + F.col("_j") * F.lit(step),
-                                     F.struct(F.col("last.ts").alias("ts"), F.col("last.v").alias("v"))))
           .drop("_prev"))
     # ---- 3. one row per slot index from the series' first slot to the grid end
     # rows start m slots early so that every window's first row (and edge row) exists
@@ -121,26 +134,25 @@ def window_table(mf: MetricFrame, grid: Grid, rng: int) -> DataFrame:
     add = lambda a, b: a + b
     e = F.col("E")
     has_e = e.isNotNull()
-    n = comb("n", add) + has_e.cast("int")
+    n = comb("n", add) + F.coalesce(e["n"], F.lit(0))
     first = comb("first", F.least)
     last = comb("last", F.greatest)
     mn = comb("min", F.least)
     mx = comb("max", F.greatest)
     ev = e["v"]
-    ev_real = F.when(has_e & ~F.isnan(ev), ev)
     out = t.select(
         *keys, F.col("_j").alias("_k"), n.alias("n"),
-        (comb("sum", add) + F.coalesce(ev, F.lit(0.0))).alias("sum"),
-        F.least(mn, ev_real).alias("min"), F.greatest(mx, ev_real).alias("max"),
-        (comb("nans", add) + F.when(has_e & F.isnan(ev), 1).otherwise(0)).alias("nans"),
-        F.when(has_e, F.struct(e["ts"].alias("ts"), ev.alias("v")))
+        (comb("sum", add) + F.coalesce(e["sum"], F.lit(0.0))).alias("sum"),
+        F.least(mn, e["min"]).alias("min"), F.greatest(mx, e["max"]).alias("max"),
+        (comb("nans", add) + F.coalesce(e["nans"], F.lit(0))).alias("nans"),
+        F.when(has_e, F.struct(e["ts"].alias("ts"), e["fv"].alias("v")))
          .otherwise(F.struct(first["ts"].alias("ts"), first["v"].alias("v"))).alias("first"),
-        F.when(last.isNull(), F.struct(e["ts"].alias("ts"), ev.alias("v"), F.lit(None).cast("bigint").alias("pts"),
-                                       F.lit(None).cast("double").alias("pv")))
+        F.when(last.isNull(), F.struct(e["ts"].alias("ts"), ev.alias("v"), F.when(e["n"] > 1, e["ts"]).alias("pts"),
+                                       e["pv"].alias("pv")))
          .otherwise(last).alias("last"),
         (comb("corr", add) + comb("bnd", add) - F.when(has_e, F.lit(0.0)).otherwise(F.coalesce(first["bnd"], F.lit(0.0))))
         .alias("corr"),
-        (comb("chg", add) + comb("bchg", add) - F.when(has_e, F.lit(0)).otherwise(F.coalesce(first["bchg"], F.lit(0))))
+        (comb("chg", add) + comb("bchg", add) - F.when(has_e, -e["chg"]).otherwise(F.coalesce(first["bchg"], F.lit(0))))
         .alias("chg"),
     )
     return out.filter(F.col("n") > 0)

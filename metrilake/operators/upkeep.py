@@ -38,20 +38,27 @@ def downsample(mf: MetricFrame, resolution="5m", counter: bool = True) -> DataFr
     """
     r = duration_ms(resolution)
     base = monotonic(mf) if counter else mf
+    real = F.when(~F.isnan(VALUE), F.col(VALUE))  # a NaN loses to any number
+    nan = F.when(F.count(VALUE) > 0, F.lit(float("nan")))
     d = (base.df.withColumn("_slot", (F.floor(F.col(TS) / F.lit(r)) * F.lit(r)).cast("bigint"))
          .groupBy(*mf.labels, "_slot")
-         .agg(F.count(F.lit(1)).alias("count"), F.sum(VALUE).alias("sum"), F.min(VALUE).alias("min"),
-              F.max(VALUE).alias("max"), F.max(F.struct(F.col(TS), F.col(VALUE)))[VALUE].alias("counter")))
+         .agg(F.count(F.lit(1)).alias("count"), F.sum(VALUE).alias("sum"), F.coalesce(F.min(real), nan).alias("min"),
+              F.coalesce(F.max(real), nan).alias("max"), F.max(F.struct(F.col(TS), F.col(VALUE)))[VALUE].alias("counter")))
     return d.select(*mf.labels, F.col("_slot").alias(TS), "count", "sum", "min", "max", "counter")
 
 
+def _real(fn, c: str):
+    """min or max over numbers; NaN only where there is nothing else."""
+    return F.coalesce(fn(F.when(~F.isnan(c), F.col(c))), F.when(F.count(c) > 0, F.lit(float("nan"))))
+
+
 def rollup(agg: DataFrame, labels: Sequence[str], resolution="1h") -> DataFrame:
     """Coarser level from a downsampled one (1h from 5m) without touching raw data."""
     r = duration_ms(resolution)
     d = (agg.withColumn("_slot", (F.floor(F.col(TS) / F.lit(r)) * F.lit(r)).cast("bigint"))
          .groupBy(*labels, "_slot")
-         .agg(F.sum("count").alias("count"), F.sum("sum").alias("sum"), F.min("min").alias("min"),
-              F.max("max").alias("max"), F.max(F.struct(F.col(TS), F.col("counter")))["counter"].alias("counter")))
+         .agg(F.sum("count").alias("count"), F.sum("sum").alias("sum"), _real(F.min, "min").alias("min"),
+              _real(F.max, "max").alias("max"), F.max(F.struct(F.col(TS), F.col("counter")))["counter"].alias("counter")))
     return d.select(*labels, F.col("_slot").alias(TS), "count", "sum", "min", "max", "counter")
 
 
@@ -98,8 +105,9 @@ def settled(df: DataFrame, now, delay="30m", ingest_col: str = "uploaded_ts") ->
 
 def compact(mf: MetricFrame, partitions: int | None = None) -> MetricFrame:
     """Merge overlapping blocks (T7): one sample per (series, ts), clustered by series
-    and sorted by time, ready to be written as one block."""
-    d = mf.df.dropDuplicates(list(mf.labels) + [TS])
+    and sorted by time, ready to be written as one block.  Where blocks disagree the
+    larger value stays, a NaN only if there is no number."""
+    d = mf.df.groupBy(*mf.labels, TS).agg(_real(F.max, VALUE).alias(VALUE))
     d = d.repartitionByRange(*([partitions] if partitions else []), *mf.labels, TS) \
         .sortWithinPartitions(*mf.labels, TS)
     return mf.with_df(d)

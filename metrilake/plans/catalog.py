@@ -21,9 +21,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 # Evaluation grids over the events month (2024-01) and the lineitem years.
-G6H = Grid.range("2024-01-02T00:00:00", "2024-01-30T00:00:00", "6h")
-G1D = Grid.range("2024-01-02T00:00:00", "2024-01-30T00:00:00", "1d")
-GWEEK = Grid.range("1995-01-01T00:00:00", "2001-09-01T00:00:00", "7d")
+G6H = Grid.range("2024-01-02T00:00:00", "2024-01-31T00:00:00", "6h")
+G1D = Grid.range("2024-01-02T00:00:00", "2024-01-31T00:00:00", "1d")
+GWEEK = Grid.range("1995-01-01T00:00:00", "2001-12-02T00:00:00", "7d")
 LB = duration_ms("1d")      # lookback for the sparse event series
 D1, D2, D3 = duration_ms("1d"), duration_ms("2d"), duration_ms("3d")
 

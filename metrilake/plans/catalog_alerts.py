@@ -92,24 +92,34 @@ def q_e6_inhibit(spark, sf):
     return AL.inhibit(held_alerts(spark, sf), C.INHIBIT_RULES, AL_LABELS)
 
 
-@register("e7_e8_route_group", f"""
-WITH f AS (SELECT 'null' AS receiver, 'namespace=' || namespace AS group_key, ts // 21600000 AS slot,
+def _group_sql(slot: int, repeat: int) -> str:
+    return f"""
+WITH f AS (SELECT 'null' AS receiver, 'namespace=' || namespace AS group_key, ts // {slot} AS slot,
                   alertname, namespace, user_id, event_type, severity FROM {HELD} WHERE state = 'firing'),
 g AS (SELECT receiver, group_key, slot, COUNT(DISTINCT (alertname, namespace, user_id, event_type, severity)) AS alerts,
-             bit_xor(hash(alertname, namespace, user_id, event_type, severity)) AS dig FROM f GROUP BY ALL),
+             list_sort(list(DISTINCT (alertname, namespace, user_id, event_type, severity))) AS dig FROM f GROUP BY ALL),
 l AS (SELECT *, LAG(slot) OVER w AS ps, LAG(dig) OVER w AS pd FROM g WINDOW w AS (PARTITION BY receiver, group_key ORDER BY slot)),
 c AS (SELECT *, (ps IS NULL OR ps <> slot - 1) AS new_run, (ps IS NULL OR ps <> slot - 1 OR pd <> dig) AS changed FROM l),
 m AS (SELECT *, MAX(CASE WHEN changed THEN slot END) OVER (PARTITION BY receiver, group_key ORDER BY slot
         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS lc FROM c)
-SELECT receiver, group_key, slot * 21600000 + CASE WHEN new_run THEN 30000 ELSE 0 END AS notify_ts, alerts,
+SELECT receiver, group_key, slot * {slot} + CASE WHEN new_run THEN 30000 ELSE 0 END AS notify_ts, alerts,
        CASE WHEN changed THEN 'update' ELSE 'repeat' END AS kind
-FROM m WHERE changed OR ((slot - lc) * 21600000 > 0 AND ((slot - lc) * 21600000) % 86400000 = 0)""")
+FROM m WHERE changed OR ((slot - lc) * {slot} > 0 AND ((slot - lc) * {slot}) % {repeat} = 0)"""
+
+
+@register("e7_e8_route_group", _group_sql(21_600_000, 86_400_000))
 def q_e7_e8_route_group(spark, sf):
     """Route tree (E7) then notification grouping by namespace."""
     r = AL.route(held_alerts(spark, sf), C.ROUTE)
     return AL.group_notifications(r, AL_LABELS, "6h", "1d", C.ROUTE["group_wait"])
 
 
+@register("e8_group_daily", _group_sql(86_400_000, 172_800_000))
+def q_e8_group_daily(spark, sf):
+    """Daily groups over 6-hourly evaluations: an instance seen several times in a slot counts once."""
+    return AL.group_notifications(AL.route(held_alerts(spark, sf), C.ROUTE), AL_LABELS, "1d", "2d", C.ROUTE["group_wait"])
+
+
 @register("e9_resolve", f"""
 WITH f AS (SELECT * FROM {HELD} WHERE state = 'firing'),
 n AS (SELECT *, CASE WHEN ts - LAG(ts) OVER (PARTITION BY {", ".join(AL_LABELS)} ORDER BY ts) <= 43200000 THEN 0 ELSE 1 END AS nw FROM f),

@@ -182,7 +182,8 @@ def q_s1_graphite_templates(spark, sf):
                                                         86_400_000), "sum", ["event_type"]), ["event_type"]))
 def q_s6_store_roundtrip(spark, sf):
     """Write samples as day-partitioned blocks, read a window back with partition pruning."""
-    root = shared_dir(spark, f"blocks/{abs(hash(sf))}")
+    import uuid
+    root = shared_dir(spark, f"blocks-{uuid.uuid4().hex[:8]}")
     samples = store.to_samples(T.m_gauge(spark, sf), metric="events_value")
     store.write_samples(samples, root, mode="overwrite")
     back = store.read_samples(spark, root, "events_value", G1D.start, G1D.end, lookback="1d")
@@ -224,8 +225,8 @@ def q_s4_s5_topic_to_store(spark, sf):
     """Topic → stream → batched block-store sink → windowed read.
 
     The producer side publishes ``events`` as JSON records into the topic folder; the
-    stream is parsed by ``read_metric_topic`` and appended by the sink in files of at
-    most 1000 samples (the remote-write batch); the store is then read back for the
+    stream is parsed by ``read_metric_topic`` and written by the sink, a batch in a
+    folder of its own; the store is then read back for the
     evaluation window and aggregated."""
     import uuid
     from ..sources import topic
@@ -234,7 +235,7 @@ def q_s4_s5_topic_to_store(spark, sf):
     topic.to_records(samples).write.text(root + "/topic")
     src = spark.readStream.schema("value string").text(root + "/topic")
     q = topic.write_samples_stream(topic.read_metric_topic(spark, source=src), root + "/store",
-                                   root + "/checkpoint", batch=C.REMOTE_WRITE_BATCH)
+                                   root + "/checkpoint")
     q.awaitTermination()
     back = store.read_samples(spark, root + "/store", "events_value", G1D.start, G1D.end, lookback="1d")
     mf = store.frame(back, ["event_type", "user_id"]).drop_name()

@@ -8,7 +8,7 @@ from .. import api as A
 from ..frame import TS, VALUE, Grid, MetricFrame, epoch_ms
 from ..functions import humanize as H
 from ..operators import table as TB
-from ..operators.sort import sort_by, sort_desc
+from ..operators.sort import desc_order, numbered, table_order
 from ..sources import exposition
 from ..sources import tables as T
 from . import fixtures as X
@@ -157,19 +157,21 @@ def q_d12_chained_values(spark, sf):
     return TB.chained_values(T.m_gauge_ns(spark, sf), "user_id", namespace="ns-1", event_type=["click", "view"])
 
 
-@register("o1_sort_desc", S.final(S.agg(_I6, "sum", ET), ET))
+@register("o1_sort_desc", "SELECT event_type, ts, ROUND(value, 6) AS value, row_number() OVER (ORDER BY ts, value DESC, event_type) AS row "
+          f"FROM {S.agg(_I6, 'sum', ET)}")
 def q_o1_sort_desc(spark, sf):
     """``sort_desc(sum by (event_type) (...))`` (O1)."""
     s = A.aggregate(A.instant(T.m_gauge(spark, sf), G6H, "1d"), "sum", by=ET)
-    d = sort_desc(s)
-    return d.select(*ET, TS, rnd(VALUE, 6).alias(VALUE))
+    d = numbered(s.df, desc_order(s))
+    return d.select(*ET, TS, rnd(VALUE, 6).alias(VALUE), "row")
 
 
-@register("o3_table_sort", f"SELECT event_type, user_id, ROUND(MAX(value), 6) AS value FROM {_I6} GROUP BY ALL")
+@register("o3_table_sort", "SELECT *, row_number() OVER (ORDER BY value DESC, event_type, user_id) AS row FROM "
+          f"(SELECT event_type, user_id, ROUND(MAX(value), 6) AS value FROM {_I6} GROUP BY ALL)")
 def q_o3_table_sort(spark, sf):
     """Table sorted by a column, descending, then by name (O3)."""
     d = TB.reduce_series(A.instant(T.m_gauge(spark, sf), G6H, "1d"), "max").withColumn(VALUE, rnd(VALUE, 6))
-    return sort_by(d, [(VALUE, True), ("event_type", False), ("user_id", False)])
+    return numbered(d, table_order([(VALUE, True), ("event_type", False), ("user_id", False)]))
 
 
 TEMPLATE = ('User {{ $labels.user_id }} ({{ $labels.event_type }}) at {{ $value | humanizePercentage }} '

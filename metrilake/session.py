@@ -51,6 +51,8 @@ def shared_dir(spark: SparkSession, sub: str = "") -> str:
     if not base:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = jdir.get() if jdir.isDefined() else None
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not base:
         base = tempfile.mkdtemp(prefix="metrilake-")
         spark.conf.set("spark.checkpoint.dir", base)

@@ -31,12 +31,12 @@ def to_records(samples: DataFrame) -> DataFrame:
     return samples.select(F.to_json(F.struct("metric", "labels", "ts", "value")).alias("value"))
 
 
-def write_samples_stream(stream: DataFrame, path: str, checkpoint: str, batch: int = 1000,
-                         trigger: dict | None = None):
-    """Append micro-batches to the partitioned block store.
+def write_samples_stream(stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
+    """Add micro-batches to the partitioned block store.
 
-    ``batch`` bounds the rows per written file (the remote-write batch size);
-    the checkpoint makes the sink exactly-once across restarts.
+    ``foreachBatch`` may run a batch again after a failure, so a batch owns the
+    folder of its id (partition column ``batch``) and overwrites it: a replay leaves
+    the store unchanged.
     """
     from .store import series_id, write_samples
 
@@ -44,8 +44,7 @@ def write_samples_stream(stream: DataFrame, path: str, checkpoint: str, batch: i
         d = df.withColumn("series_id", series_id(F.col("metric"), F.col("labels")))
         (d.withColumn("resolution", F.lit("raw")).withColumn("date", F.to_date(F.timestamp_millis("ts")))
           .sortWithinPartitions("metric", "series_id", "ts")
-          .write.mode("append").option("maxRecordsPerFile", batch)
-          .partitionBy("resolution", "date").parquet(path))
+          .write.mode("overwrite").partitionBy("resolution", "date").parquet(f"{path}/batch={epoch}"))
 
     w = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
     w = w.trigger(**(trigger or {"availableNow": True}))

@@ -226,7 +226,8 @@ def run_to_table(spark: SparkSession, stream: DataFrame, name: str, mode: str =
     path, ckpt = root + "/data", root + "/checkpoint"
 
     def sink(df: DataFrame, epoch: int):
-        df.withColumn("_batch", F.lit(epoch)).write.mode("append").parquet(path)
+        # a batch that runs again after a failure replaces what it wrote before
+        df.write.mode("overwrite").parquet(f"{path}/_batch={epoch}")
 
     q = (stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", ckpt)
          .trigger(availableNow=True).start())

@@ -320,3 +320,86 @@ def test_group_stream_over_several_batches(spark, tmp_path):
     want = sorted(tuple(r[c] for c in sorted(want.columns)) for r in want.to_dict("records"))
     assert len(got) == len(want) > 0
     assert got == want
+
+
+@pytest.mark.parametrize("rng,step", [("60s", "20s"), ("70s", "30s")])
+def test_slots_equal_expansion_on_ties_nan_and_resets(spark, rng, step):
+    import random
+    rnd = random.Random(11)
+    data = []
+    for job in "abc":
+        for _ in range(120):
+            t = rnd.randrange(0, 60) * 10_000  # on the edges of slots, often the same time twice
+            v = float(rnd.choice([rnd.randrange(50), rnd.randrange(50), float("nan")])) if job == "c" else float(rnd.randrange(50))
+            data.append((job, t, v))
+    m = mf_of(spark, data)
+    g = Grid.range(0, 600_000, step)
+    fns = [A.rate, A.increase, A.irate, A.changes, A.avg_over_time, A.min_over_time, A.max_over_time, A.last_over_time]
+    for fn in fns:
+        src = m if fn in (A.min_over_time, A.max_over_time, A.last_over_time, A.avg_over_time) else m.with_df(m.df.filter("job <> 'c'"))
+        a, b = (values(fn(src, rng, g, strategy=s)) for s in ("slots", "expand"))
+        assert [x[:2] for x in a] == [x[:2] for x in b], fn.__name__
+        for (_, t, x), (_, _, y) in zip(a, b):
+            assert (math.isnan(x) and math.isnan(y)) or x == pytest.approx(y), (fn.__name__, t)
+
+
+def test_long_grids_have_no_cap(spark):
+    g = Grid.range("2024-01-01", "2024-01-31", "3m")
+    assert g.n == 14_401 and g.df(spark).count() == 14_401
+
+
+def test_one_to_one_rejects_duplicates_on_either_side(spark):
+    one = mf_of(spark, [("a", 0, 1.0)])
+    two = mf_of(spark, [("a", "x", 0, 1.0), ("a", "y", 0, 2.0)], labels=("job", "pod"))
+    for l, r in ((one, two), (two, one)):
+        with pytest.raises(Exception, match="duplicate series"):
+            A.binop(l, r, "+", on=["job"]).df.collect()
+    assert len(values(A.binop(two, one, "+", on=["job"], group_left=[]))) == 2
+
+
+def test_notification_slot_counts_an_instance_once(spark):
+    from metrilake.operators.alerts import group_notifications
+    rows_ = [("r", "g", "A", 0, "firing"), ("r", "g", "A", 60_000, "firing"), ("r", "g", "B", 300_000, "firing"), ("r", "g", "B", 360_000, "firing")]
+    d = spark.createDataFrame(rows_, "receiver string, group_key string, alertname string, ts long, state string")
+    got = sorted((r.notify_ts, r.alerts, r.kind) for r in group_notifications(d, ["alertname"], "5m", "12h").collect())
+    assert got == [(0, 1, "update"), (300_000, 1, "update")]
+
+
+def test_downsample_and_compaction_prefer_numbers_to_nan(spark):
+    from metrilake.operators import upkeep as U
+    m = mf_of(spark, [("a", 0, float("nan")), ("a", 1000, 3.0), ("a", 2000, 5.0)])
+    r = U.downsample(m, "5m", counter=False).first()
+    assert (r["min"], r["max"]) == (3.0, 5.0)
+    blocks = m.with_df(m.df.unionByName(mf_of(spark, [("a", 0, 1.0), ("a", 1000, 2.0)]).df))
+    assert values(U.compact(blocks)) == [(("a",), 0, 1.0), (("a",), 1000, 3.0), (("a",), 2000, 5.0)]
+
+
+def test_target_labels_over_an_exported_label(spark):
+    from metrilake.operators.relabel import attach_target_labels
+    d = spark.createDataFrame([({"x": "1", "exported_x": "0", "y": "2"},)], "labels map<string,string>")
+    got = attach_target_labels(d, F.create_map(F.lit("x"), F.lit("t")), honor=False).first().labels
+    assert got == {"x": "t", "exported_x": "1", "y": "2"}
+
+
+def test_list_variables_match_their_values_only(spark):
+    from metrilake.operators.select import bind
+    m = mf_of(spark, [("10.0.0.1:9100", 0, 1.0), ("10a0b0c1:9100", 0, 2.0), ("b", 0, 3.0)])
+    b = bind({"job": ["10.0.0.1:9100", "b"]})
+    assert [k for k, _, _ in values(A.select(m, **b))] == [("10.0.0.1:9100",), ("b",)]
+
+
+def test_a_replayed_batch_leaves_the_store_unchanged(spark, tmp_path):
+    from metrilake.sources import store, topic
+    m = mf_of(spark, [("a", 0, 1.0), ("a", 60_000, 2.0)])
+    topic.to_records(store.to_samples(m, metric="x")).write.text(str(tmp_path / "topic"))
+    for checkpoint in ("c1", "c2"):  # a lost checkpoint runs batch 0 again
+        src = spark.readStream.schema("value string").text(str(tmp_path / "topic"))
+        topic.write_samples_stream(topic.read_metric_topic(spark, source=src), str(tmp_path / "store"), str(tmp_path / checkpoint)).awaitTermination()
+    assert store.read_samples(spark, str(tmp_path / "store"), "x").count() == 2
+
+
+def test_numbered_rows_follow_the_order(spark):
+    from metrilake.operators.sort import numbered, table_order
+    d = spark.range(500).selectExpr("id", "id * 7919 % 500 as v").repartition(7)
+    got = {r.v: r.row for r in numbered(d, table_order([("v", True)])).collect()}
+    assert got == {v: 500 - v for v in range(500)}
