@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metrilake.llm import ppm
-from metrilake.llm.common import BLANK, maybe_in, shared_table
+from metrilake.llm.common import maybe_in, normal, shared_table
 from metrilake.llm.golomb import exact_duplicates
 from metrilake.llm.hyperminhash import near_duplicates
 from metrilake.llm.mixing import mixed
@@ -42,8 +42,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the smallest doc_id stays."""
-    norm = F.regexp_replace(F.coalesce("text", F.lit("")), BLANK, " ")
-    return _stay(docs, exact_duplicates(docs).withColumnRenamed("kept", "first"), F.sha2(norm, 256))
+    return _stay(docs, exact_duplicates(docs).withColumnRenamed("kept", "first"), F.sha2(normal(F.col("text")), 256))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,10 +68,11 @@ def _stay(docs: DataFrame, decided: DataFrame, digest: Column) -> DataFrame:
     """
     same = decided.groupBy("doc_id", "text_sha256").agg(F.max("first").alias("_first"), F.count(F.lit(1)).alias("_n"))
     odd = shared_table(same.filter("not _first or _n > 1").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha256"), "_first"), "odd")
-    maybe = maybe_in(odd.select(F.xxhash64("_id", "_sha256").alias("fp")))
-    rows = docs.select(*COLUMNS, digest.alias("_digest")).withColumn("_fp", F.xxhash64("doc_id", "_digest"))
+    maybe = maybe_in(odd.select(F.xxhash64("_id").alias("fp")))
+    rows = docs.select(*COLUMNS, F.xxhash64("doc_id").alias("_fp"))
     clear = rows.filter(~maybe("_fp"))
-    asked = rows.filter(maybe("_fp")).join(odd, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_sha256")), "left")
+    asked = rows.filter(maybe("_fp")).withColumn("_digest", digest).join(
+        odd, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_sha256")), "left")
     plain = asked.filter("_first is null")
     again = asked.filter("_first").dropDuplicates(["doc_id", "_digest"])
     return clear.select(*COLUMNS).unionByName(plain.select(*COLUMNS)).unionByName(again.select(*COLUMNS))

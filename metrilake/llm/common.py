@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 from metrilake.session import shared_dir
 
-#: Python bytes.split() and the contracts cut words at exactly these: space, \t \n \v \f \r.
-BLANK = r"[\x20\x09-\x0D]+"
+#: Words end at space, \t \n \v \f \r, as Python's bytes.split() has it.
 WORD = r"[^\x20\x09-\x0D]+"
+#: The runs of blanks that one space does not equal already.
+ODD_BLANK = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
+BATCH_ROWS = 1000             # whole texts that a Python worker receives at once
 
 FILTER_BITS = 25              # size of maybe_in's bitmap: 4 MB whatever the data
 
@@ -37,6 +39,19 @@ def seeds64(n: int, seed: int) -> np.ndarray:
     return mix64(base + np.uint64(seed))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Sends whole texts to Python in batches of BATCH_ROWS rows at most, so that
+    a worker's memory follows a batch of texts, not Spark's 10,000 rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def normal(text: Column) -> Column:
+    """Every run of blanks as one space; null as empty."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), ODD_BLANK, " ")
+
+
 def shared_table(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the cluster's shared folder and reads it back.
 
@@ -73,6 +88,8 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
             last = key
     if held:
         yield pa.Table.from_batches(held)
+    held.clear()
+    pa.default_memory_pool().release_unused()
 
 
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, groups, maybe_in, shared_table
+from .common import groups, maybe_in, normal, shared_table, small_batches
 
 BLOCK_BITS = 20               # at most 2**20 rows are one source
 OWNER_ROWS = 1 << 21          # about so many rows' fingerprints meet in one owner
@@ -137,8 +137,8 @@ def exact_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id"
     joined with one text a group.  Other columns are ignored; an empty table
     gives an empty result.
     """
-    norm = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), BLANK, " ")
-    src = docs.select(F.col(key).alias("key"), norm.alias("norm"))
+    small_batches(docs.sparkSession)
+    src = docs.select(F.col(key).alias("key"), normal(F.col(text)).alias("norm"))
     t = shared_table(src.select(F.monotonically_increasing_id().alias("uid"), "key", F.xxhash64("norm").alias("fp"),
                                 F.unhex(F.sha2("norm", 256)).alias("sha")), "prints")
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

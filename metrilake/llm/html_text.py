@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 # Element names of the HTML standard by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
@@ -274,6 +276,7 @@ def extract(pages: DataFrame, *, html: str = "html", key: str = "page_id", url:
                 [batch.column("k"), batch.column("u"), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())],
                 ["k", "u", "text", "n_chars"])
 
+    small_batches(pages.sparkSession)
     src = pages.select(F.col(key).alias("k"), F.col(url).alias("u"), F.col(html).alias("html"))
     kinds = dict(src.dtypes)
     got = src.mapInArrow(run, f"k {kinds['k']}, u {kinds['u']}, text string, n_chars long")

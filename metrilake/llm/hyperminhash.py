@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, group_links, maybe_in, mix64, seeds64, shared_table
+from .common import components, group_links, maybe_in, mix64, seeds64, shared_table, small_batches
 
 BITS = 8                      # 2**BITS buckets
 K = 1 << BITS
@@ -39,7 +39,7 @@ class _Words(dict):
     """64-bit hashes of words, kept up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -175,6 +175,7 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     1e-5, and by the sketch comparison (5 standard errors below the threshold)
     under 1e-6; there is no cap on a bucket or class (see group_links).
     """
+    small_batches(docs.sparkSession)
     part = Fraction(percent, 100)
     rows = band_rows(float(part))
     low = float(part) - 5 * (float(part) * (1 - float(part)) / K) ** 0.5
@@ -194,6 +195,8 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
                 [batch.column("uid"), batch.column("key"), batch.column("digest"), pa.array(n, pa.int64()),
                  pa.array(regs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
                 ["uid", "key", "digest", "n", "sketch", "bands"])
+        _words.clear()
+        pa.default_memory_pool().release_unused()
 
     t = shared_table(
         src.select(F.monotonically_increasing_id().alias("uid"), "key", "digest", "text")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from .common import small_batches
 from .tokens import default_path, encoder
 
 STEP = 1024                   # lengths in a block of the two-level sums
@@ -16,6 +17,7 @@ STEP = 1024                   # lengths in a block of the two-level sums
 
 def token_counts(docs: DataFrame, *, text: str = "text", path: str | None = None) -> DataFrame:
     """n_tokens long, a row for each row of docs; null and empty texts have none.  Whole texts are encoded."""
+    small_batches(docs.sparkSession)
     at = path or default_path()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import groups, shared_table
+from .common import groups, shared_table, small_batches
 from .tokens import default_path, encoder
 
 VOCABULARY = 1 << 16          # ids fit 16 bits; bounds every table of terms
@@ -157,6 +157,7 @@ def pack(docs: DataFrame, *, window: int = 1024, text: str = "text", key: str =
     each id of the vocabulary.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     t = shared_table(encode(docs, text=text, key=key, path=path or default_path(), window=window), "ids")
     stats = (t.filter("terms is not null").select(F.explode(F.arrays_zip("terms", "counts")).alias("z"))
              .groupBy(F.col("z.terms").alias("term")).agg(F.sum("z.counts").alias("df")).toArrow())

@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from .common import small_batches
+
 ORDER = 3                     # bytes of the longest context
 SAMPLE_ROWS = 400             # labelled documents of a language that the trees are counted on
 LEAST = 4                     # a context of ORDER bytes is kept from so many occurrences in a language
@@ -125,6 +127,7 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: Column
     none is given); whole texts are counted.  The driver receives counts of
     distinct (ORDER + 1)-byte strings of the sample.
     """
+    small_batches(docs.sparkSession)
     src = docs.filter(F.col(lang).isNotNull() & (F.length(text) > 0)).select(
         F.col(lang).alias("lang"), F.xxhash64(F.lit(11), key if key is not None else F.col(text)).alias("h"), F.col(text).alias("text"))
     # a share of each language that holds about twice the sample, so that no language is ranked whole
@@ -166,6 +169,7 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", keep: list[st
     given, the text itself if named).  Rows are independent; nothing is
     shuffled, nothing but the text enters a prediction.
     """
+    small_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c != text] if keep is None else keep
     held = docs.sparkSession.sparkContext.broadcast(model)  # contexts of the bounded sample
     src = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)],

@@ -14,7 +14,7 @@ class Encoder:
     than texts do.  A text whose white space allows no such cut is encoded whole.
     """
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 250_000):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
