@@ -5,7 +5,8 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["metrilake.plans.catalog", "metrilake.plans.catalog_ingest", "metrilake.plans.catalog_alerts", "metrilake.plans.catalog_upkeep", "metrilake.plans.catalog_stream", "metrilake.plans.catalog_table", "metrilake.plans.catalog_rules"]
+MODULES = ["metrilake.plans.catalog", "metrilake.plans.catalog_ingest", "metrilake.plans.catalog_alerts", "metrilake.plans.catalog_upkeep", "metrilake.plans.catalog_stream", "metrilake.plans.catalog_table", "metrilake.plans.catalog_rules",
+           "metrilake.plans.catalog_cluster"]
 
 
 def _load():

@@ -32,6 +32,9 @@ class DictSource(MetricSource):
         self._f = dict(families)
         self._cache: dict[str, MetricFrame] = {}
 
+    def with_families(self, more: Mapping[str, Callable[[], MetricFrame]]) -> "DictSource":
+        return DictSource({**self._f, **more})
+
     def get(self, name):
         if name not in self._f:
             return None
