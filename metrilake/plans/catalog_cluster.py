@@ -103,7 +103,7 @@ def _held_sql(parts: list[tuple[str, str, str, str]], labels: list[str]) -> str:
     """parts: alert name, severity, for, SQL of (some labels, ts, value)."""
     rows = []
     for name, severity, for_, sql in parts:
-        rows.append(f"SELECT '{name}' AS alertname, '{severity}' AS severity, {duration_ms(for_)} AS for_ms, {', '.join(labels)}, ts, value FROM ({sql})")
+        rows.append(f"SELECT '{name}' AS alertname, '{severity}' AS severity, {duration_ms(for_)} AS for_ms, {', '.join([*labels, 'ts', 'value'])} FROM ({sql})")
     ids = ", ".join(["alertname", "severity", *labels])
     return f"""WITH a AS ({" UNION ALL ".join(rows)}),
 r AS (SELECT *, CASE WHEN LAG(ts) OVER (PARTITION BY {ids} ORDER BY ts) = ts - {G.step} THEN 0 ELSE 1 END AS fresh FROM a),
@@ -151,6 +151,93 @@ def _system_sql() -> str:
     ], ["cluster", "instance", "job", "namespace"])
 
 
+def _ratio(part: str, whole: str, limit: float, by: str = "") -> str:
+    """part / whole above a limit; both are sums of rates by some labels."""
+    key = f"{by}, ts" if by else "ts"
+    summed = [f"(SELECT {key}, SUM(value) AS value FROM {x} GROUP BY ALL)" for x in (part, whole)]
+    return f"SELECT {key}, p.value / w.value AS value FROM {summed[0]} p JOIN {summed[1]} w USING ({key}) WHERE p.value / w.value > {limit}"
+
+
+def _wide(labels: list[str]):
+    def f(sql: str, *have: str, **fixed: str) -> str:
+        cols = [x if x in have else f"'{fixed.get(x, '')}' AS {x}" for x in labels]
+        return f"SELECT {', '.join(cols)}, ts, value FROM ({sql})"
+    return f
+
+
+def _rate10(name: str) -> str:
+    src, labels = N.sql(name)
+    return S.extrapolated(src, labels, G, 600_000)
+
+
+def _state_metrics_sql() -> str:
+    parts = [(f"KubeStateMetrics{kind}Errors", "critical", "15m",
+              _ratio(_rate(f"kube_state_metrics_{kind.lower()}_total", "result = 'error'"), _rate(f"kube_state_metrics_{kind.lower()}_total"), 0.01))
+             for kind in ("List", "Watch")]
+    total, ordinal = _inst("kube_state_metrics_total_shards"), _inst("kube_state_metrics_shard_ordinal")
+    parts.append(("KubeStateMetricsShardingMismatch", "critical", "15m", f"SELECT * FROM (SELECT ts, VAR_POP(value) AS value FROM {total} GROUP BY ts) WHERE value <> 0"))
+    have = f"(SELECT ts, SUM(m) AS value FROM (SELECT shard_ordinal, ts, pow(2, MAX(value)) AS m FROM {ordinal} GROUP BY ALL) GROUP BY ts)"
+    parts.append(("KubeStateMetricsShardsMissing", "critical", "15m",
+                  f"SELECT ts, t.m - h.value AS value FROM (SELECT ts, pow(2, MAX(value)) - 1 AS m FROM {total} GROUP BY ts) t JOIN {have} h USING (ts) WHERE t.m - h.value <> 0"))
+    return _held_sql(parts, [])
+
+
+def _operator_sql() -> str:
+    from .catalog import _over_time_sql
+    wide = _wide(["controller", "namespace", "job", "status", "label_state"])
+    by = "controller, namespace"
+
+    def fam(name):
+        return f"prometheus_operator_{name}"
+
+    def over(name, where, f):
+        src, labels = N.sql(fam(name))
+        return _over_time_sql(f"(SELECT * FROM {src} WHERE {where})", labels, G, M5, f)
+    ready = over("ready", "true", "MAX(value)")
+    two = ["controller", "namespace"]
+    return _held_sql([
+        ("PrometheusOperatorListErrors", "warning", "15m", wide(_ratio(_rate10(fam("list_operations_failed_total")), _rate10(fam("list_operations_total")), 0.4, by), *two)),
+        ("PrometheusOperatorWatchErrors", "warning", "15m", wide(_ratio(_rate(fam("watch_operations_failed_total")), _rate(fam("watch_operations_total")), 0.4, by), *two)),
+        ("PrometheusOperatorSyncFailed", "warning", "10m", wide(f"SELECT * FROM {over('syncs', 'status = ' + chr(39) + 'failed' + chr(39), 'MIN(value)')} WHERE value > 0", *two, "job", "status")),
+        ("PrometheusOperatorReconcileErrors", "warning", "10m", wide(_ratio(_rate(fam("reconcile_errors_total")), _rate(fam("reconcile_operations_total")), 0.1, by), *two)),
+        ("PrometheusOperatorNodeLookupErrors", "warning", "10m", wide(f"SELECT * FROM {_rate(fam('node_address_lookup_errors_total'))} WHERE value > 0.1", *two, "job")),
+        ("PrometheusOperatorNotReady", "warning", "5m", wide(f"SELECT {by}, ts, MIN(value) AS value FROM {ready} WHERE value = 0 GROUP BY ALL", *two)),
+        ("PrometheusOperatorRejectedResources", "warning", "5m",
+         wide(f"SELECT *, state AS label_state FROM {over('managed_resources', 'state = ' + chr(39) + 'rejected' + chr(39), 'MIN(value)')} WHERE value > 0", *two, "job", "label_state")),
+    ], ["controller", "namespace", "job", "status", "label_state"])
+
+
+def _apiserver_sql() -> str:
+    from .catalog import _over_time_sql
+    from .catalog_rules import _API_TL, _API_TOTAL, _GRID, _UP_I
+    labels = ["job", "instance", "name", "namespace", "cluster"]
+    wide = _wide(labels)
+    used = f"(SELECT * FROM {_inst('apiserver_client_certificate_expiration_seconds_count')} WHERE value > 0)"
+    bucket = f"(SELECT job, le, ts, SUM(value) AS value FROM {_rate('apiserver_client_certificate_expiration_seconds_bucket')} GROUP BY ALL)"
+    left = hq_sql(bucket, ["job"], 0.01)
+    parts = [("KubeClientCertificateExpiration", severity, "0s", wide(f"SELECT u.* FROM {used} u SEMI JOIN (SELECT * FROM {left} WHERE value < {limit}) l USING (job, ts)", "job", "instance"))
+             for severity, limit in (("warning", 604800), ("critical", 86400))]
+    src, have = N.sql("aggregator_unavailable_apiservice_total")
+    errors = f"(SELECT name, namespace, ts, SUM(value) AS value FROM {S.extrapolated(src, have, G, 600_000, per_second=False)} GROUP BY ALL)"
+    parts.append(("KubeAggregatedAPIErrors", "warning", "0s", wide(f"SELECT * FROM {errors} WHERE value > 4", "name", "namespace")))
+    src, have = N.sql("aggregator_unavailable_apiservice")
+    away = f"(SELECT name, namespace, ts, (1 - MAX(value)) * 100 AS value FROM {_over_time_sql(src, have, G, 600_000, 'AVG(value)')} GROUP BY ALL)"
+    parts.append(("KubeAggregatedAPIDown", "warning", "5m", wide(f"SELECT * FROM {away} WHERE value < 85", "name", "namespace")))
+    parts.append(("KubeAPIDown", "critical", "15m",
+                  wide(f"SELECT g.ts, 1.0::DOUBLE AS value FROM {_GRID} g WHERE g.ts NOT IN (SELECT ts FROM {_UP_I} WHERE job = 'apiserver' AND value = 1)", job="apiserver")))
+    ended = f"(SELECT ts, SUM(value) AS value FROM {_rate10('apiserver_request_terminations_total')} GROUP BY ts)"
+    every = f"(SELECT ts, SUM(value) AS value FROM {S.extrapolated(_API_TOTAL, _API_TL, G, 600_000)} GROUP BY ts)"
+    parts.append(("KubeAPITerminatedRequests", "warning", "5m",
+                  wide(f"SELECT ts, e.value / (a.value + e.value) AS value FROM {ended} e JOIN {every} a USING (ts) WHERE e.value / (a.value + e.value) > 0.2")))
+    return _held_sql(parts, labels)
+
+
+_alerts("r_kube_state_metrics", R.KUBE_STATE_METRICS)
+_alerts("r_prometheus_operator", R.PROMETHEUS_OPERATOR)
+_alerts("r_kubernetes_system_apiserver", R.KUBERNETES_SYSTEM_APISERVER)
+SQL["r_kube_state_metrics"] = _state_metrics_sql()
+SQL["r_prometheus_operator"] = _operator_sql()
+SQL["r_kubernetes_system_apiserver"] = _apiserver_sql()
 _records("r_node_exporter_rules", R.NODE_EXPORTER_RULES)
 _records("r_kube_scheduler", R.KUBE_SCHEDULER)
 _alerts("r_kubernetes_resources", R.KUBERNETES_RESOURCES)

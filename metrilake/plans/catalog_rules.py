@@ -46,6 +46,7 @@ def _alerts(group):
 
 
 _UP = f"""(SELECT CASE WHEN event_id % 997 = 0 THEN 'kube-scheduler' WHEN event_id % 499 = 1 THEN 'kube-controller-manager'
+  WHEN event_id % 787 = 2 THEN 'apiserver'
   WHEN event_id % 10 = 3 THEN 'kube-proxy' ELSE 'job-' || CAST(user_id % 3 AS VARCHAR) END AS job, 'ns-' || CAST(user_id % 5 AS VARCHAR) AS namespace,
   'svc-' || CAST(user_id % 3 AS VARCHAR) AS service,
   {K.T0} + (epoch_us(ts) // 1000 - {K.T0}) // {K.TIME_SCALE} AS ts,

@@ -138,7 +138,7 @@ def families(spark: SparkSession, sf: str) -> DictSource:
     def up():
         # control-plane components report rarely, so that they are absent now and then
         e = F.col("event_id")
-        job = (F.when(e % 997 == 0, lit("kube-scheduler")).when(e % 499 == 1, lit("kube-controller-manager"))
+        job = (F.when(e % 997 == 0, lit("kube-scheduler")).when(e % 499 == 1, lit("kube-controller-manager")).when(e % 787 == 2, lit("apiserver"))
                .when(e % 10 == 3, lit("kube-proxy")).otherwise(F.concat(lit("job-"), (F.col("uid") % 3).cast("string"))))
         d = b().select(job.alias("job"), "namespace",
                        F.concat(lit("svc-"), (F.col("uid") % 3).cast("string")).alias("service"), "instance", "pod",

@@ -25,7 +25,19 @@ _NS = "concat('ns-', cast(uid % 5 as string))"
 _POD = "concat('pod-', cast(uid as string))"
 _SCHED = {"job": "'kube-scheduler'", "instance": "concat('cp-', cast(uid % 2 as string), ':10259')", "pod": "concat('kube-scheduler-', cast(uid % 2 as string))"}
 
-#: family -> (labels, "gauge" | "counter" | "bucket", value, filter); a bucket's value is the observation
+_CTRL = {"job": "'prometheus-operator'", "namespace": "'monitoring'", "controller": "case uid % 3 when 0 then 'prometheus' when 1 then 'alertmanager' else 'thanos' end"}
+_API = {"job": "'apiserver'", "instance": "concat('cp-', cast(uid % 2 as string), ':6443')"}
+_SVC = {"name": "concat('v1.svc', cast(uid % 6 as string))", "namespace": _NS}
+
+
+def _one(cond: str) -> str:
+    return f"case when {cond} then 1.0 else 0.0 end"
+
+
+_FAILED = _one("event_type in ('error', 'signup') or uid % 3 = 1")
+
+#: family -> (labels, kind, value, filter).  Kinds: gauge, counter, bucket (bounds LE), or bucket:bounds;
+#: a bucket's value is the observation
 EXTRA: dict[str, tuple[dict[str, str], str, str, str]] = {
     "node_load1": (_NODE, "gauge", "value / 16", "true"),
     "node_memory_MemTotal_bytes": (_HOST, "gauge", "8e9 + 1e9 * (uid % 7)", "true"),
@@ -50,11 +62,34 @@ EXTRA: dict[str, tuple[dict[str, str], str, str, str]] = {
                                         "counter", "floor(value) + 1", "true"),
     "kubernetes_build_info": ({"job": "case when uid % 4 = 3 then 'coredns' else 'kubelet' end", "instance": "concat('node-', cast(uid % 7 as string), ':10250')",
                                "git_version": "concat('v1.', cast(20 + uid % 2 as string), '.', cast(uid % 3 as string), '-x', cast(uid % 5 as string))"}, "gauge", "1.0", "true"),
+    "kube_state_metrics_list_total": (_KSM | {"result": "case when event_type = 'error' then 'error' else 'success' end"}, "counter", "1.0", "true"),
+    "kube_state_metrics_watch_total": (_KSM | {"result": "case when event_type = 'error' and uid % 20 = 0 then 'error' else 'success' end"}, "counter", "1.0", "true"),
+    "kube_state_metrics_total_shards": (_KSM | {"shard_ordinal": "cast(uid % 3 as string)"}, "gauge", "case when event_id % 97 = 0 then 4.0 else 3.0 end", "true"),
+    "kube_state_metrics_shard_ordinal": (_KSM | {"shard_ordinal": "cast(uid % 3 as string)"}, "gauge", "cast(uid % 3 as double)", "event_id % 31 <> 0"),
+    "prometheus_operator_list_operations_total": (_CTRL, "counter", "1.0", "true"),
+    "prometheus_operator_list_operations_failed_total": (_CTRL, "counter", _FAILED, "true"),
+    "prometheus_operator_watch_operations_total": (_CTRL, "counter", "1.0", "true"),
+    "prometheus_operator_watch_operations_failed_total": (_CTRL, "counter", _one("event_type <> 'click' and uid % 3 <> 2"), "true"),
+    "prometheus_operator_syncs": (_CTRL | {"status": "case when event_type = 'error' then 'failed' else 'ok' end"}, "gauge", "case when uid % 3 = 0 then 0.0 else floor(value) end", "true"),
+    "prometheus_operator_reconcile_operations_total": (_CTRL, "counter", "1.0", "true"),
+    "prometheus_operator_reconcile_errors_total": (_CTRL, "counter", _one("event_type = 'error' and uid % 3 <> 0"), "true"),
+    "prometheus_operator_node_address_lookup_errors_total": (_CTRL, "counter", _one("event_type = 'error'"), "true"),
+    "prometheus_operator_ready": (_CTRL, "gauge", _one("uid % 3 <> 2"), "true"),
+    "prometheus_operator_managed_resources": (_CTRL | {"state": "case when event_type = 'view' then 'rejected' else 'selected' end"}, "gauge", "case when uid % 3 = 0 then 0.0 else 2.0 end", "true"),
+    "apiserver_client_certificate_expiration_seconds_count": (_API, "counter", "1.0", "true"),
+    "apiserver_client_certificate_expiration_seconds_bucket": (_API, "bucket:0,1800,86400,604800,2592000,+Inf", "value * 40000", "true"),
+    "aggregator_unavailable_apiservice_total": (_SVC, "counter", _one("event_type = 'error'"), "true"),
+    "aggregator_unavailable_apiservice": (_SVC, "gauge", _one("event_type = 'error'"), "true"),
+    "apiserver_request_terminations_total": (_API, "counter", "case when event_type = 'error' then 2.0 else 0.0 end", "true"),
     "rest_client_requests_total": ({"job": "'kubelet'", "namespace": _NS, "instance": "concat('node-', cast(uid % 7 as string), ':10250')",
                                     "code": "case when event_type = 'error' then '503' when event_type = 'signup' then '404' else '200' end"}, "counter", "1.0", "true"),
 }
 
 
+def _bounds(kind: str) -> list[str]:
+    return kind.partition(":")[2].split(",") if ":" in kind else LE
+
+
 def extended(spark: SparkSession, sf: str, source: DictSource) -> DictSource:
     """source with the families of EXTRA."""
     def make(labels, kind, value, where):
@@ -65,8 +100,8 @@ def extended(spark: SparkSession, sf: str, source: DictSource) -> DictSource:
             d = d.select(*[F.col(f"l_{n}").alias(n) for n in labels], "event_id", TS, "v")
             if kind == "gauge":
                 return from_table(d.select(*labels, TS, F.col("v").alias(VALUE)), list(labels))
-            if kind == "bucket":
-                d = d.select("*", F.explode(F.array(*[F.lit(x) for x in LE])).alias("le"))
+            if kind.startswith("bucket"):
+                d = d.select("*", F.explode(F.array(*[F.lit(x) for x in _bounds(kind)])).alias("le"))
                 bound = F.when(F.col("le") == "+Inf", F.lit(float("inf"))).otherwise(F.col("le").cast("double"))
                 return _counter(d, [*labels, "le"], F.when(F.col("v") <= bound, 1.0).otherwise(0.0))
             return _counter(d, list(labels), F.col("v"))
@@ -84,8 +119,8 @@ def sql(name: str) -> tuple[str, list[str]]:
     if kind == "gauge":
         return f"(SELECT {', '.join(names)}, ts, v AS value FROM {src})", names
     inc = "v"
-    if kind == "bucket":
-        les = ", ".join(f"('{x}')" for x in LE)
+    if kind.startswith("bucket"):
+        les = ", ".join(f"('{x}')" for x in _bounds(kind))
         src = f"(SELECT * FROM {src} CROSS JOIN (VALUES {les}) b(le))"
         inc = "CASE WHEN v <= (CASE WHEN le = '+Inf' THEN 'inf'::DOUBLE ELSE CAST(le AS DOUBLE) END) THEN 1.0 ELSE 0.0 END"
         names.append("le")

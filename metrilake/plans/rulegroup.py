@@ -155,6 +155,14 @@ def _union(frames: Sequence[MetricFrame]) -> MetricFrame:
     return MetricFrame(out, tuple(labels))
 
 
+def _clear(mf: MetricFrame) -> MetricFrame:
+    """Labels named like the columns of the for-state become ``label_<name>``."""
+    for name in ("state", "active_at"):
+        if name in mf.labels:
+            mf = MetricFrame(mf.df.withColumnRenamed(name, f"label_{name}"), tuple(f"label_{x}" if x == name else x for x in mf.labels))
+    return mf
+
+
 def run_group(spark: SparkSession, group: RuleGroup, source: MetricSource, start, end,
               lookback: str = "5m", drop_labels: Sequence[str] = (), write_records: bool = False) -> GroupResult:
     """Evaluate every rule of ``group`` at each ``interval`` from start to end.
@@ -178,7 +186,7 @@ def run_group(spark: SparkSession, group: RuleGroup, source: MetricSource, start
             ctx.recorded[r.name] = out if prev is None else _union([prev, out])
             recs.append(out)
         else:
-            alerts.append((duration_ms(r.for_), AL.alert(mf, r.name, dict(r.labels))))
+            alerts.append((duration_ms(r.for_), _clear(AL.alert(mf, r.name, dict(r.labels)))))
     records = _union(recs) if recs else None
     if records is not None and drop_labels:
         records = MetricFrame(records.df.drop(*drop_labels), tuple(l for l in records.labels if l not in drop_labels))

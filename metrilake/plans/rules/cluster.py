@@ -1,5 +1,6 @@
-"""Rule packs: node-exporter.rules, kube-scheduler.rules, kubernetes-resources
-and kubernetes-system."""
+"""Rule packs: node-exporter.rules, kube-scheduler.rules, kubernetes-resources,
+kubernetes-system, kubernetes-system-apiserver, kube-state-metrics and
+prometheus-operator."""
 from __future__ import annotations
 
 from ... import api as A
@@ -135,3 +136,99 @@ KUBERNETES_SYSTEM = RuleGroup("kubernetes-system", "1m", [
     Alert("KubeVersionMismatch", _versions, "15m", {"severity": "warning"}),
     Alert("KubeClientErrors", _client_errors, "15m", {"severity": "warning"}),
 ])
+
+
+def _share(part, whole, limit: float):
+    def f(c: Ctx):
+        return A.where_value(A.binop(part(c), whole(c), "/"), ">", limit)
+    return f
+
+
+def _summed(name: str, rng: str = "5m", by=None, **eq):
+    return lambda c: A.aggregate(A.rate(c.raw(name, eq=eq), rng, c.grid), "sum", by=by)
+
+
+def _total_shards(c: Ctx):
+    return c.sel("kube_state_metrics_total_shards", eq=KSM)
+
+
+def _shards_missing(c: Ctx):
+    want = A.scalar_op(A.scalar_op(A.aggregate(_total_shards(c), "max"), "^", 2, scalar_left=True), "-", 1)
+    have = A.aggregate(c.sel("kube_state_metrics_shard_ordinal", eq=KSM), "max", by=["shard_ordinal"])
+    have = A.aggregate(A.scalar_op(have, "^", 2, scalar_left=True), "sum")
+    return A.where_value(A.binop(want, have, "-"), "!=", 0)
+
+
+KUBE_STATE_METRICS = RuleGroup("kube-state-metrics", "1m", [
+    Alert("KubeStateMetricsListErrors", _share(_summed("kube_state_metrics_list_total", result="error", **KSM),
+                                               _summed("kube_state_metrics_list_total", **KSM), 0.01), "15m", {"severity": "critical"}),
+    Alert("KubeStateMetricsWatchErrors", _share(_summed("kube_state_metrics_watch_total", result="error", **KSM),
+                                                _summed("kube_state_metrics_watch_total", **KSM), 0.01), "15m", {"severity": "critical"}),
+    Alert("KubeStateMetricsShardingMismatch", lambda c: A.where_value(A.aggregate(_total_shards(c), "stdvar"), "!=", 0), "15m", {"severity": "critical"}),
+    Alert("KubeStateMetricsShardsMissing", _shards_missing, "15m", {"severity": "critical"}),
+])
+
+OPERATOR = {"job": "prometheus-operator", "namespace": "monitoring"}
+_BY = ["controller", "namespace"]
+
+
+def _operator(name: str, rng: str = "5m"):
+    return _summed(f"prometheus_operator_{name}", rng, by=_BY, **OPERATOR)
+
+
+def _over(fn, name: str, rng: str = "5m", **eq):
+    return lambda c: fn(c.raw(f"prometheus_operator_{name}", eq={**OPERATOR, **eq}), rng, c.grid)
+
+
+PROMETHEUS_OPERATOR = RuleGroup("prometheus-operator", "1m", [
+    Alert("PrometheusOperatorListErrors", _share(_operator("list_operations_failed_total", "10m"), _operator("list_operations_total", "10m"), 0.4),
+          "15m", {"severity": "warning"}),
+    Alert("PrometheusOperatorWatchErrors", _share(_operator("watch_operations_failed_total"), _operator("watch_operations_total"), 0.4),
+          "15m", {"severity": "warning"}),
+    Alert("PrometheusOperatorSyncFailed", lambda c: A.where_value(_over(A.min_over_time, "syncs", status="failed")(c), ">", 0), "10m", {"severity": "warning"}),
+    Alert("PrometheusOperatorReconcileErrors", _share(_operator("reconcile_errors_total"), _operator("reconcile_operations_total"), 0.1),
+          "10m", {"severity": "warning"}),
+    Alert("PrometheusOperatorNodeLookupErrors",
+          lambda c: A.where_value(A.rate(c.raw("prometheus_operator_node_address_lookup_errors_total", eq=OPERATOR), "5m", c.grid), ">", 0.1),
+          "10m", {"severity": "warning"}),
+    Alert("PrometheusOperatorNotReady", lambda c: A.aggregate(A.where_value(_over(A.max_over_time, "ready")(c), "==", 0), "min", by=_BY), "5m", {"severity": "warning"}),
+    Alert("PrometheusOperatorRejectedResources", lambda c: A.where_value(_over(A.min_over_time, "managed_resources", state="rejected")(c), ">", 0),
+          "5m", {"severity": "warning"}),
+])
+
+API = {"job": "apiserver"}
+
+
+def _certificate(limit: float):
+    def f(c: Ctx):
+        used = A.where_value(c.sel("apiserver_client_certificate_expiration_seconds_count", eq=API), ">", 0)
+        left = A.rate(c.raw("apiserver_client_certificate_expiration_seconds_bucket", eq=API), "5m", c.grid)
+        left = A.histogram_quantile(A.aggregate(left, "sum", by=["job", "le"]), 0.01)
+        return A.set_and(used, A.where_value(left, "<", limit), on=["job"])
+    return f
+
+
+def _api_errors(c: Ctx):
+    n = A.increase(c.raw("aggregator_unavailable_apiservice_total"), "10m", c.grid)
+    return A.where_value(A.aggregate(n, "sum", by=["name", "namespace", "cluster"]), ">", 4)
+
+
+def _api_unavailable(c: Ctx):
+    away = A.avg_over_time(c.raw("aggregator_unavailable_apiservice"), "10m", c.grid)
+    up = A.scalar_op(A.aggregate(away, "max", by=["name", "namespace", "cluster"]), "-", 1, scalar_left=True)
+    return A.where_value(A.scalar_op(up, "*", 100), "<", 85)
+
+
+def _terminated(c: Ctx):
+    ended = _summed("apiserver_request_terminations_total", "10m", **API)(c)
+    return A.where_value(A.binop(ended, A.binop(_summed("apiserver_request_total", "10m", **API)(c), ended, "+"), "/"), ">", 0.2)
+
+
+KUBERNETES_SYSTEM_APISERVER = RuleGroup("kubernetes-system-apiserver", "1m", [
+    Alert("KubeClientCertificateExpiration", _certificate(604800), "0s", {"severity": "warning"}),
+    Alert("KubeClientCertificateExpiration", _certificate(86400), "0s", {"severity": "critical"}),
+    Alert("KubeAggregatedAPIErrors", _api_errors, "0s", {"severity": "warning"}),
+    Alert("KubeAggregatedAPIDown", _api_unavailable, "5m", {"severity": "warning"}),
+    Alert("KubeAPIDown", lambda c: A.absent(A.where_value(c.sel("up", eq=API), "==", 1), c.grid, API), "15m", {"severity": "critical"}),
+    Alert("KubeAPITerminatedRequests", _terminated, "5m", {"severity": "warning"}),
+])
