@@ -232,6 +232,73 @@ def _apiserver_sql() -> str:
     return _held_sql(parts, labels)
 
 
+def _kubelet_sql() -> str:
+    from .catalog import _changes_sql
+    from .catalog_rules import _BASE, _GRID, _UP_I
+    labels = ["cluster", "job", "node", "condition", "status", "key", "effect", "instance", "metrics_path", "quantile"]
+    wide = _wide(labels)
+    quote = lambda x: "'" + x + "'"
+    cond = _inst("kube_node_status_condition", "condition = 'Ready' AND status = 'true'")
+    parts = [("KubeNodeNotReady", "warning", "15m", wide(f"SELECT * FROM {cond} WHERE value = 0", "job", "node", "condition", "status"))]
+    gone = _inst("kube_node_spec_taint", "key = 'node.kubernetes.io/unreachable' AND effect = 'NoSchedule'")
+    planned = _inst("kube_node_spec_taint", f"regexp_full_match(key, {quote(R.LEAVING)})")
+    parts.append(("KubeNodeUnreachable", "warning", "15m",
+                  wide(f"SELECT * FROM {gone} WHERE value = 1 AND (job, node, effect, ts) NOT IN (SELECT (job, node, effect, ts) FROM {planned})", "job", "node", "key", "effect")))
+    phase = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in K.PHASES.items()) + " END"
+    pods = f"(SELECT DISTINCT 'ns-' || CAST(uid % 5 AS VARCHAR) AS namespace, 'pod-' || CAST(uid AS VARCHAR) AS pod, 'node-' || CAST(uid % 7 AS VARCHAR) AS node, {phase} AS phase, g.ts " \
+           f"FROM {_BASE} b JOIN {_GRID} g ON b.ts > g.ts - {M5} AND b.ts <= g.ts)"
+    room = f"(SELECT node, ts, MAX(value) AS value FROM {_inst('kube_node_status_capacity', 'resource = ' + quote('pods'))} WHERE value <> 1 GROUP BY ALL)"
+    parts.append(("KubeletTooManyPods", "info", "15m",
+                  wide(f"SELECT node, ts, n / value AS value FROM (SELECT node, ts, COUNT(*) AS n FROM {pods} WHERE phase = 'Running' GROUP BY ALL) JOIN {room} USING (node, ts) WHERE n / value > 0.95", "node")))
+    src, have = N.sql("kube_node_status_condition")
+    ready = f"(SELECT * FROM {src} WHERE condition = 'Ready' AND status = 'true')"
+    flaps = f"(SELECT node, ts, SUM(value) AS value FROM {_changes_sql(ready, have, G, 900_000)} GROUP BY ALL)"
+    parts.append(("KubeNodeReadinessFlapping", "warning", "15m", wide(f"SELECT * FROM {flaps} WHERE value > 2", "node")))
+    pleg = _inst("node_quantile:kubelet_pleg_relist_duration_seconds:histogram_quantile", "quantile = '0.99'")
+    parts.append(("KubeletPlegDurationHigh", "warning", "5m", wide(f"SELECT * FROM {pleg} WHERE value >= 10", "job", "instance", "metrics_path", "quantile")))
+    bucket = f"(SELECT instance, le, ts, SUM(value) AS value FROM {_rate('kubelet_pod_worker_duration_seconds_bucket')} GROUP BY ALL)"
+    name = (f"(SELECT DISTINCT 'node-' || CAST(uid % 7 AS VARCHAR) || ':9100' AS instance, 'node-' || CAST(uid % 7 AS VARCHAR) AS node, g.ts "
+            f"FROM {_BASE} b JOIN {_GRID} g ON b.ts > g.ts - {M5} AND b.ts <= g.ts)")
+    parts.append(("KubeletPodStartUpLatencyHigh", "warning", "15m",
+                  wide(f"SELECT instance, node, ts, value FROM {hq_sql(bucket, ['instance'], 0.99)} JOIN {name} USING (instance, ts) WHERE value > 60", "instance", "node")))
+    own = ["job", "instance", "metrics_path"]
+    for who, title in (("client", "Client"), ("server", "Server")):
+        for severity, limit in (("warning", 604800), ("critical", 86400)):
+            parts.append((f"Kubelet{title}CertificateExpiration", severity, "0s",
+                          wide(f"SELECT * FROM {_inst(f'kubelet_certificate_manager_{who}_ttl_seconds')} WHERE value < {limit}", *own)))
+    for family, title in (("kubelet_certificate_manager_client_expiration_renew_errors", "Client"), ("kubelet_server_expiration_renew_errors", "Server")):
+        parts.append((f"Kubelet{title}CertificateRenewalErrors", "warning", "15m", wide(f"SELECT * FROM {_rate(family, per_second=False)} WHERE value > 0", *own)))
+    parts.append(("KubeletDown", "critical", "15m",
+                  wide(f"SELECT g.ts, 1.0::DOUBLE AS value FROM {_GRID} g WHERE g.ts NOT IN (SELECT ts FROM {_UP_I} WHERE job = 'kubelet' AND value = 1)", job="kubelet", metrics_path="/metrics")))
+    return _held_sql(parts, labels)
+
+
+def _storage_sql() -> str:
+    from .catalog import _regr_sql
+    labels = ["job", "metrics_path", "namespace", "persistentvolumeclaim", "persistentvolume", "phase"]
+    wide = _wide(labels)
+    claim = "namespace, persistentvolumeclaim, ts"
+    own = ["job", "metrics_path", "namespace", "persistentvolumeclaim"]
+    ro = f"SELECT ({claim}) FROM {_inst('kube_persistentvolumeclaim_access_mode')} WHERE access_mode = 'ReadOnlyMany' AND value = 1"
+    out = f"SELECT ({claim}) FROM {_inst('kube_persistentvolumeclaim_labels')} WHERE label_excluded_from_alerts = 'true' AND value = 1"
+    parts = []
+    for name, (left, room, used) in (("KubePersistentVolumeFillingUp", R._BYTES), ("KubePersistentVolumeInodesFillingUp", R._INODES)):
+        share = (f"(SELECT l.job, l.metrics_path, l.namespace, l.persistentvolumeclaim, l.ts, l.value / r.value AS value FROM {_inst(left)} l JOIN {_inst(room)} r "
+                 f"USING (namespace, persistentvolumeclaim, ts) JOIN {_inst(used)} u USING (namespace, persistentvolumeclaim, ts) WHERE u.value > 0)")
+        keep = f"({claim}) NOT IN ({ro}) AND ({claim}) NOT IN ({out})"
+        src, have = N.sql(left)
+        soon = f"SELECT ({claim}) FROM {_regr_sql(src, have, G, 21_600_000, 'slope * 345600 + icpt')} WHERE value < 0"
+        parts.append((name, "critical", "1m", wide(f"SELECT * FROM {share} WHERE value < 0.03 AND {keep}", *own)))
+        parts.append((name, "warning", "1h", wide(f"SELECT * FROM {share} WHERE value < 0.15 AND {keep} AND ({claim}) IN ({soon})", *own)))
+    parts.append(("KubePersistentVolumeErrors", "critical", "5m",
+                  wide(f"SELECT * FROM {_inst('kube_persistentvolume_status_phase')} WHERE phase IN ('Failed', 'Pending') AND value > 0", "job", "persistentvolume", "phase")))
+    return _held_sql(parts, labels)
+
+
+_alerts("r_kubernetes_system_kubelet", R.KUBERNETES_SYSTEM_KUBELET)
+_alerts("r_kubernetes_storage", R.KUBERNETES_STORAGE)
+SQL["r_kubernetes_system_kubelet"] = _kubelet_sql()
+SQL["r_kubernetes_storage"] = _storage_sql()
 _alerts("r_kube_state_metrics", R.KUBE_STATE_METRICS)
 _alerts("r_prometheus_operator", R.PROMETHEUS_OPERATOR)
 _alerts("r_kubernetes_system_apiserver", R.KUBERNETES_SYSTEM_APISERVER)

@@ -29,6 +29,13 @@ _CTRL = {"job": "'prometheus-operator'", "namespace": "'monitoring'", "controlle
 _API = {"job": "'apiserver'", "instance": "concat('cp-', cast(uid % 2 as string), ':6443')"}
 _SVC = {"name": "concat('v1.svc', cast(uid % 6 as string))", "namespace": _NS}
 
+_NODE_OF = "concat('node-', cast(uid % 7 as string))"
+_KUBELET = {"job": "'kubelet'", "metrics_path": "'/metrics'", "instance": "concat('node-', cast(uid % 7 as string), ':10250')"}
+_PVC = {"namespace": _NS, "persistentvolumeclaim": "concat('pvc-', cast(uid % 10 as string))"}
+_VOLUME = {"job": "'kubelet'", "metrics_path": "'/metrics'", **_PVC}
+_LEFT = f"5e8 + floor(value) * 1e4 - (ts - {T0}) * (uid % 3) * 100"
+_ROOM = "case uid % 10 when 0 then 3e10 when 1 then 4e9 when 2 then 4e9 when 4 then 4e9 when 5 then 3e10 else 1e9 end"
+
 
 def _one(cond: str) -> str:
     return f"case when {cond} then 1.0 else 0.0 end"
@@ -81,6 +88,28 @@ EXTRA: dict[str, tuple[dict[str, str], str, str, str]] = {
     "aggregator_unavailable_apiservice_total": (_SVC, "counter", _one("event_type = 'error'"), "true"),
     "aggregator_unavailable_apiservice": (_SVC, "gauge", _one("event_type = 'error'"), "true"),
     "apiserver_request_terminations_total": (_API, "counter", "case when event_type = 'error' then 2.0 else 0.0 end", "true"),
+    "kube_node_status_condition": (_KSM | {"node": _NODE_OF, "condition": "case when uid % 2 = 0 then 'Ready' else 'DiskPressure' end", "status": "case when uid % 5 = 4 then 'false' else 'true' end"},
+                                   "gauge", _one("event_type <> 'error' and uid % 7 <> 3"), "true"),
+    "kube_node_spec_taint": (_KSM | {"node": _NODE_OF, "effect": "'NoSchedule'",
+                                     "key": "case when event_id % 50 = 7 and uid % 2 = 0 then 'aws-node-termination-handler/spot-itn' else 'node.kubernetes.io/unreachable' end"},
+                             "gauge", "1.0", "uid % 4 = 0"),
+    "kube_node_status_capacity": (_KSM | {"node": _NODE_OF, "resource": "case when uid % 2 = 0 then 'pods' else 'cpu' end"}, "gauge", "case when uid % 7 = 5 then 1.0 else 10.0 + 2 * (uid % 7) end", "true"),
+    "node_quantile:kubelet_pleg_relist_duration_seconds:histogram_quantile": (_KUBELET | {"quantile": "case when uid % 2 = 0 then '0.99' else '0.5' end"}, "gauge", "value / 4", "true"),
+    "kubelet_pod_worker_duration_seconds_bucket": (_KUBELET, "bucket:0.5,5,30,60,120,+Inf", "value", "true"),
+    "kubelet_certificate_manager_client_ttl_seconds": (_KUBELET, "gauge", "floor(value) * 9000", "true"),
+    "kubelet_certificate_manager_server_ttl_seconds": (_KUBELET, "gauge", "floor(value) * 30000", "true"),
+    "kubelet_certificate_manager_client_expiration_renew_errors": (_KUBELET, "counter", _one("event_type = 'error' and uid % 7 = 2"), "true"),
+    "kubelet_server_expiration_renew_errors": (_KUBELET, "counter", _one("event_id % 500 = 3"), "true"),
+    "kubelet_volume_stats_available_bytes": (_VOLUME, "gauge", _LEFT, "true"),
+    "kubelet_volume_stats_capacity_bytes": (_VOLUME, "gauge", _ROOM, "true"),
+    "kubelet_volume_stats_used_bytes": (_VOLUME, "gauge", "floor(value)", "true"),
+    "kubelet_volume_stats_inodes_free": (_VOLUME, "gauge", f"floor(({_LEFT}) / 1000)", "true"),
+    "kubelet_volume_stats_inodes": (_VOLUME, "gauge", f"({_ROOM}) / 800", "true"),
+    "kubelet_volume_stats_inodes_used": (_VOLUME, "gauge", "floor(value / 2)", "true"),
+    "kube_persistentvolumeclaim_access_mode": (_PVC | {"access_mode": "case when uid % 10 = 5 then 'ReadOnlyMany' else 'ReadWriteOnce' end"}, "gauge", "1.0", "true"),
+    "kube_persistentvolumeclaim_labels": (_PVC | {"label_excluded_from_alerts": "case when uid % 10 = 2 then 'true' else '' end"}, "gauge", "1.0", "true"),
+    "kube_persistentvolume_status_phase": (_KSM | {"persistentvolume": "concat('pv-', cast(uid % 10 as string))",
+                                                   "phase": "case event_type when 'error' then 'Failed' when 'signup' then 'Pending' else 'Bound' end"}, "gauge", _one("uid % 3 <> 0"), "true"),
     "rest_client_requests_total": ({"job": "'kubelet'", "namespace": _NS, "instance": "concat('node-', cast(uid % 7 as string), ':10250')",
                                     "code": "case when event_type = 'error' then '503' when event_type = 'signup' then '404' else '200' end"}, "counter", "1.0", "true"),
 }

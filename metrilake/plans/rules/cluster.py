@@ -1,6 +1,6 @@
 """Rule packs: node-exporter.rules, kube-scheduler.rules, kubernetes-resources,
-kubernetes-system, kubernetes-system-apiserver, kube-state-metrics and
-prometheus-operator."""
+kubernetes-system, kubernetes-system-apiserver, kubernetes-system-kubelet,
+kubernetes-storage, kube-state-metrics and prometheus-operator."""
 from __future__ import annotations
 
 from ... import api as A
@@ -232,3 +232,90 @@ KUBERNETES_SYSTEM_APISERVER = RuleGroup("kubernetes-system-apiserver", "1m", [
     Alert("KubeAPIDown", lambda c: A.absent(A.where_value(c.sel("up", eq=API), "==", 1), c.grid, API), "15m", {"severity": "critical"}),
     Alert("KubeAPITerminatedRequests", _terminated, "5m", {"severity": "warning"}),
 ])
+
+
+READY = {"condition": "Ready", "status": "true"}
+KUBELET = {"job": "kubelet", "metrics_path": "/metrics"}
+LEAVING = "ToBeDeletedByClusterAutoscaler|cloud.google.com/impending-node-termination|aws-node-termination-handler/spot-itn"
+
+
+def _unreachable(c: Ctx):
+    gone = c.sel("kube_node_spec_taint", eq={**KSM, "key": "node.kubernetes.io/unreachable", "effect": "NoSchedule"})
+    planned = c.sel("kube_node_spec_taint", eq=KSM, re={"key": LEAVING})
+    return A.where_value(A.set_unless(gone, planned, ignoring=["key", "value"]), "==", 1)
+
+
+def _too_many_pods(c: Ctx):
+    one = ["instance", "pod", "namespace", "cluster"]
+    running = A.where_value(c.sel("kube_pod_status_phase", eq={**KSM, "phase": "Running"}), "==", 1)
+    on_node = A.binop(running, A.topk(c.sel("kube_pod_info", eq=KSM), 1, by=one), "*", on=one, group_left=["node"], check_unique=False)
+    room = A.where_value(c.sel("kube_node_status_capacity", eq={**KSM, "resource": "pods"}), "!=", 1)
+    by = ["cluster", "node"]
+    return A.where_value(A.binop(A.aggregate(on_node, "count", by=by), A.aggregate(room, "max", by=by), "/"), ">", 0.95)
+
+
+def _flapping(c: Ctx):
+    n = A.changes(c.raw("kube_node_status_condition", eq=READY), "15m", c.grid)
+    return A.where_value(A.aggregate(n, "sum", by=["cluster", "node"]), ">", 2)
+
+
+def _startup_latency(c: Ctx):
+    r = A.rate(c.raw("kubelet_pod_worker_duration_seconds_bucket", eq=KUBELET), "5m", c.grid)
+    slow = A.histogram_quantile(A.aggregate(r, "sum", by=["cluster", "instance", "le"]), 0.99)
+    return A.where_value(A.binop(slow, c.sel("kubelet_node_name", eq=KUBELET), "*", on=["cluster", "instance"], group_left=["node"]), ">", 60)
+
+
+def _below(name: str, limit: float):
+    return lambda c: A.where_value(c.sel(name), "<", limit)
+
+
+def _grew(name: str):
+    return lambda c: A.where_value(A.increase(c.raw(name), "5m", c.grid), ">", 0)
+
+
+_TTL = "kubelet_certificate_manager_{}_ttl_seconds"
+KUBERNETES_SYSTEM_KUBELET = RuleGroup("kubernetes-system-kubelet", "1m", [
+    Alert("KubeNodeNotReady", lambda c: A.where_value(c.sel("kube_node_status_condition", eq={**KSM, **READY}), "==", 0), "15m", {"severity": "warning"}),
+    Alert("KubeNodeUnreachable", _unreachable, "15m", {"severity": "warning"}),
+    Alert("KubeletTooManyPods", _too_many_pods, "15m", {"severity": "info"}),
+    Alert("KubeNodeReadinessFlapping", _flapping, "15m", {"severity": "warning"}),
+    Alert("KubeletPlegDurationHigh",
+          lambda c: A.where_value(c.sel("node_quantile:kubelet_pleg_relist_duration_seconds:histogram_quantile", eq={"quantile": "0.99"}), ">=", 10),
+          "5m", {"severity": "warning"}),
+    Alert("KubeletPodStartUpLatencyHigh", _startup_latency, "15m", {"severity": "warning"}),
+    Alert("KubeletClientCertificateExpiration", _below(_TTL.format("client"), 604800), "0s", {"severity": "warning"}),
+    Alert("KubeletClientCertificateExpiration", _below(_TTL.format("client"), 86400), "0s", {"severity": "critical"}),
+    Alert("KubeletServerCertificateExpiration", _below(_TTL.format("server"), 604800), "0s", {"severity": "warning"}),
+    Alert("KubeletServerCertificateExpiration", _below(_TTL.format("server"), 86400), "0s", {"severity": "critical"}),
+    Alert("KubeletClientCertificateRenewalErrors", _grew("kubelet_certificate_manager_client_expiration_renew_errors"), "15m", {"severity": "warning"}),
+    Alert("KubeletServerCertificateRenewalErrors", _grew("kubelet_server_expiration_renew_errors"), "15m", {"severity": "warning"}),
+    Alert("KubeletDown", lambda c: A.absent(A.where_value(c.sel("up", eq={"job": "kubelet"}), "==", 1), c.grid, KUBELET), "15m", {"severity": "critical"}),
+])
+
+
+def _filling(left: str, room: str, used: str, limit: float, days: float = 0):
+    """The claims whose share left is below the limit, that hold something, are
+    writable and not excluded, and (with days) run out within them."""
+    claim = ["namespace", "persistentvolumeclaim"]
+
+    def f(c: Ctx):
+        out = A.where_value(A.binop(c.sel(left, eq=KUBELET), c.sel(room, eq=KUBELET), "/"), "<", limit)
+        out = A.set_and(out, A.where_value(c.sel(used, eq=KUBELET), ">", 0))
+        if days:
+            out = A.set_and(out, A.where_value(A.predict_linear(c.raw(left, eq=KUBELET), "6h", c.grid, days * 86_400), "<", 0))
+        out = A.set_unless(out, A.where_value(c.sel("kube_persistentvolumeclaim_access_mode", eq={"access_mode": "ReadOnlyMany"}), "==", 1), on=claim)
+        return A.set_unless(out, A.where_value(c.sel("kube_persistentvolumeclaim_labels", eq={"label_excluded_from_alerts": "true"}), "==", 1), on=claim)
+    return f
+
+
+_BYTES = tuple(f"kubelet_volume_stats_{x}_bytes" for x in ("available", "capacity", "used"))
+_INODES = ("kubelet_volume_stats_inodes_free", "kubelet_volume_stats_inodes", "kubelet_volume_stats_inodes_used")
+KUBERNETES_STORAGE = RuleGroup("kubernetes-storage", "1m", [
+    Alert("KubePersistentVolumeFillingUp", _filling(*_BYTES, 0.03), "1m", {"severity": "critical"}),
+    Alert("KubePersistentVolumeFillingUp", _filling(*_BYTES, 0.15, 4), "1h", {"severity": "warning"}),
+    Alert("KubePersistentVolumeInodesFillingUp", _filling(*_INODES, 0.03), "1m", {"severity": "critical"}),
+    Alert("KubePersistentVolumeInodesFillingUp", _filling(*_INODES, 0.15, 4), "1h", {"severity": "warning"}),
+    Alert("KubePersistentVolumeErrors",
+          lambda c: A.where_value(c.sel("kube_persistentvolume_status_phase", eq=KSM, re={"phase": "Failed|Pending"}), ">", 0),
+          "5m", {"severity": "critical"}),
+])
