@@ -3,8 +3,8 @@
 Sources (blocks of rows) send each owner of a fingerprint range the sorted
 distinct fingerprints they hold, as Rice-coded gaps; owners answer with a
 bitmap of those that occur elsewhere too or more than once; only rows whose
-bit is set (suspects) are shuffled with their texts, which are compared byte
-by byte.
+bit is set (suspects) have their texts compared byte by byte, by the smallest
+and largest text of each group.
 """
 from __future__ import annotations
 
@@ -133,8 +133,7 @@ def exact_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id"
     \\t\\n\\v\\f\\r by one space; null counts as empty, so null and empty texts
     are one group (blanks alone are another: one space).  The smallest key
     stays, null keys come last; of repeated rows one stays.  Groups of any size
-    are fine: a source sends a fingerprint once, and the shuffle of suspects is
-    joined with one text a group.  Other columns are ignored; an empty table
+    are fine: a source sends a fingerprint once, a map task two texts a group.  Other columns are ignored; an empty table
     gives an empty result.
     """
     small_batches(docs.sparkSession)
@@ -149,14 +148,15 @@ def exact_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id"
     group = shared_table(least.filter("size > 1").select("fp", "sha", F.col("first.key").alias("keep"),
                                                          F.col("first.uid").alias("keep_uid"), "size"), "groups")
 
-    # byte verification: suspects' texts meet the text of their group's first row
-    maybe = maybe_in(group.select("fp"))
-    texts = (src.withColumn("fp", F.xxhash64("norm")).filter(maybe("fp"))
-             .withColumn("sha", F.unhex(F.sha2("norm", 256))))
-    held = texts.join(group.select("fp", "sha", "keep"), ["fp", "sha"])
-    head = (held.filter(F.col("key").eqNullSafe(F.col("keep"))).dropDuplicates(["fp", "sha"])
-            .select("fp", "sha", F.col("norm").alias("head")))
-    wrong = shared_table(held.join(head, ["fp", "sha"]).filter("norm <> head").select("fp", "sha").distinct(), "wrong")
+    # byte verification: a group is whole if its smallest text is its largest; map tasks send
+    # two texts a group, however many rows it has, and rows that are no suspects are not normalised
+    maybe = maybe_in(found.select(F.xxhash64("key").alias("fp")))
+    texts = (docs.withColumn("_asked", F.xxhash64(F.col(key))).filter(maybe("_asked"))
+             .select(F.col(key).alias("key"), normal(F.col(text)).alias("norm"))
+             .select("key", "norm", F.xxhash64("norm").alias("fp"), F.unhex(F.sha2("norm", 256)).alias("sha")))
+    held = texts.join(group.select("fp", "sha"), ["fp", "sha"], "left_semi")
+    ends = held.groupBy("fp", "sha").agg(F.min("norm").alias("low"), F.max("norm").alias("high"))
+    wrong = shared_table(ends.filter("low <> high").select("fp", "sha"), "wrong")
     out = (t.join(group, ["fp", "sha"], "left")
            .select("uid", "key", "fp", "sha", F.coalesce("keep", "key").alias("keep_id"), F.coalesce("size", F.lit(1)).alias("size"),
                    (F.col("uid") == F.coalesce("keep_uid", "uid")).alias("kept")))
@@ -165,7 +165,7 @@ def exact_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id"
     if wrong.isEmpty():
         return out.select(*result)
     # equal hashes, unequal bytes: those groups are formed anew by the bytes themselves
-    rows = (held.drop("keep").join(wrong, ["fp", "sha"], "left_semi")
+    rows = (held.join(wrong, ["fp", "sha"], "left_semi")
             .withColumn("uid", F.monotonically_increasing_id()))
     rows = shared_table(rows, "collided")
     exact = rows.groupBy("fp", "sha", "norm").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("size"))
