@@ -44,7 +44,7 @@ D1 = 86_400_000
 
 
 @register("x1_stream_eval", f"""
-SELECT event_type, (epoch_us(ts) // 1000 // {H6} + 1) * {H6} AS eval_ts, arg_max(value, ts) AS last,
+SELECT event_type, (epoch_us(ts) // 1000 + {H6} - 1) // {H6} * {H6} AS eval_ts, arg_max(value, ts) AS last,
        COUNT(*) AS samples, ROUND(SUM(value), 6) AS sum FROM events GROUP BY ALL""")
 def q_x1_stream_eval(spark, sf):
     """Tumbling 6h evaluation of a stream with a 30m watermark, update mode."""
@@ -54,16 +54,17 @@ def q_x1_stream_eval(spark, sf):
 
 
 @register("x2_stream_range", f"""
-WITH w AS (SELECT e.event_type, e.value, epoch_us(e.ts) // 1000 AS t, k.i FROM events e, range(0, 4) k(i)),
-x AS (SELECT event_type, value, t, (t // {H6} - i) * {H6} AS ws FROM w)
-SELECT event_type, ws + {D1} AS eval_ts, MIN(value) AS min, MAX(value) AS max, COUNT(*) AS samples,
-       ROUND(arg_max(value, t) - arg_min(value, t), 6) AS delta FROM x GROUP BY event_type, ws""")
+WITH w AS (SELECT e.event_type, e.value, epoch_us(e.ts) // 1000 AS t, k.i FROM events e, range(0, 5) k(i)),
+x AS (SELECT event_type, value, t, (t + {H6} - 1) // {H6} * {H6} + i * {H6} AS eval_ts FROM w),
+y AS (SELECT *, LAG(value) OVER (PARTITION BY event_type, eval_ts ORDER BY t, value) AS before FROM x WHERE eval_ts - {D1} <= t)
+SELECT event_type, eval_ts, MIN(value) AS min, MAX(value) AS max, COUNT(*) AS samples, ROUND(arg_max(value, t) - arg_min(value, t), 6) AS delta,
+       ROUND(arg_max(value, t) - arg_min(value, t) + SUM(CASE WHEN value < before THEN before ELSE 0 END), 6) AS increase FROM y GROUP BY event_type, eval_ts""")
 def q_x2_stream_range(spark, sf):
     """Sliding ``[1d]`` every 6h on a stream."""
     s = X.with_delay(event_stream(spark, sf), "30m")
     r = X.run_to_table(spark, X.stream_range(s, ["event_type"], "1d", "6h"), "x2", "update",
                        ["event_type", "eval_ts"])
-    return r.select("event_type", "eval_ts", "min", "max", "samples", rnd("delta", 6).alias("delta"))
+    return r.select("event_type", "eval_ts", "min", "max", "samples", rnd("delta", 6).alias("delta"), rnd("increase", 6).alias("increase"))
 
 
 @register("x4_dedup_stream", """

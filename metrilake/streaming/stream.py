@@ -36,26 +36,35 @@ def with_delay(stream: DataFrame, delay="30m") -> DataFrame:
 
 
 def stream_eval(stream: DataFrame, labels: Sequence[str], interval="3m") -> DataFrame:
-    """Tumbling evaluation interval (X1): per series and interval the last sample
-    (the instant value at the interval's end), plus count/sum."""
-    w = F.window(EVENT_TIME, _interval(interval))
+    """Tumbling evaluation interval (X1): per series and evaluation time t the last
+    sample of (t - interval, t] (the instant value at t), plus count/sum.  Spark's windows
+    are closed on the left, so they start one millisecond, a sample's resolution, later."""
+    w = F.window(EVENT_TIME, _interval(interval), startTime="1 millisecond")
     return (stream.groupBy(w.alias("w"), *labels)
             .agg(F.max(F.struct(F.col(TS), F.col(VALUE))).alias("_l"), F.count(F.lit(1)).alias("samples"),
                  F.sum(VALUE).alias("sum"))
-            .select(*labels, (F.unix_millis(F.col("w.end"))).alias("eval_ts"), F.col("_l." + VALUE).alias("last"),
+            .select(*labels, (F.unix_millis(F.col("w.end")) - 1).alias("eval_ts"), F.col("_l." + VALUE).alias("last"),
                     "samples", "sum"))
 
 
 def stream_range(stream: DataFrame, labels: Sequence[str], rng="5m", step="1m") -> DataFrame:
-    """Sliding range ``[range]`` evaluated every ``step`` (X2): per series and window
-    the first/last sample, min/max and count – enough for ``*_over_time`` and an
-    increase over the window.  Spark windows are [start, end)."""
-    w = F.window(EVENT_TIME, _interval(rng), _interval(step))
+    """Sliding range ``[t - range, t]`` evaluated every ``step`` (X2): per series and window
+    min/max and count for ``*_over_time``, the difference of the last and first sample, and
+    the counter increase between them, which adds what each reset took away.  A window holds
+    its samples in state until the watermark passes it; it is one millisecond longer than
+    the range, as Spark's windows are open on the right."""
+    r, s = duration_ms(rng), duration_ms(step)
+    w = F.window(EVENT_TIME, f"{r + 1} milliseconds", f"{s} milliseconds", f"{-r % s} milliseconds")
+    drop = lambda a, x: F.struct(x[VALUE].alias("last"), (
+        a["sum"] + F.when(x[VALUE] < a["last"], a["last"]).otherwise(F.lit(0.0))).alias("sum"))
+    start = F.struct(F.lit(float("-inf")).alias("last"), F.lit(0.0).alias("sum"))
     return (stream.groupBy(w.alias("w"), *labels)
             .agg(F.min(F.struct(F.col(TS), F.col(VALUE))).alias("_f"), F.max(F.struct(F.col(TS), F.col(VALUE))).alias("_l"),
-                 F.min(VALUE).alias("min"), F.max(VALUE).alias("max"), F.count(F.lit(1)).alias("samples"))
-            .select(*labels, F.unix_millis(F.col("w.end")).alias("eval_ts"), "min", "max", "samples",
-                    (F.col("_l." + VALUE) - F.col("_f." + VALUE)).alias("delta")))
+                 F.min(VALUE).alias("min"), F.max(VALUE).alias("max"), F.count(F.lit(1)).alias("samples"),
+                 F.sort_array(F.collect_list(F.struct(F.col(TS), F.col(VALUE)))).alias("_all"))
+            .withColumn("_d", F.col("_l." + VALUE) - F.col("_f." + VALUE))
+            .select(*labels, (F.unix_millis(F.col("w.start")) + F.lit(r)).alias("eval_ts"), "min", "max", "samples",
+                    F.col("_d").alias("delta"), (F.col("_d") + F.aggregate("_all", start, drop)["sum"]).alias("increase")))
 
 
 def dedup_stream(stream: DataFrame, labels: Sequence[str], slot=None) -> DataFrame:

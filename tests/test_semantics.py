@@ -403,3 +403,16 @@ def test_numbered_rows_follow_the_order(spark):
     d = spark.range(500).selectExpr("id", "id * 7919 % 500 as v").repartition(7)
     got = {r.v: r.row for r in numbered(d, table_order([("v", True)])).collect()}
     assert got == {v: 500 - v for v in range(500)}
+
+
+def test_stream_windows_hold_their_right_edge(spark, tmp_path):
+    from metrilake.streaming import stream as X
+    data = [("a", 0, 5.0), ("a", 60_000, 9.0), ("a", 90_000, 2.0), ("a", 120_000, 3.0)]
+    mf_of(spark, data).df.write.parquet(str(tmp_path / "in"))
+    src = spark.readStream.schema("job string, ts long, value double").parquet(str(tmp_path / "in"))
+    s = X.with_delay(X.with_event_time(src), "30m")
+    got = X.run_to_table(spark, X.stream_eval(s, ["job"], "1m"), "edge1", "update", ["job", "eval_ts"])
+    assert sorted((r.eval_ts, r["last"], r.samples) for r in got.collect()) == [(0, 5.0, 1), (60_000, 9.0, 1), (120_000, 3.0, 2)]
+    got = X.run_to_table(spark, X.stream_range(s, ["job"], "1m", "1m"), "edge2", "update", ["job", "eval_ts"])
+    # [60s, 120s] holds 9, 2 and 3: 3 - 9 and the 9 that the reset took away
+    assert {r.eval_ts: (r.samples, r.delta, r.increase) for r in got.collect()}[120_000] == (3, -6.0, 3.0)
