@@ -299,6 +299,69 @@ _alerts("r_kubernetes_system_kubelet", R.KUBERNETES_SYSTEM_KUBELET)
 _alerts("r_kubernetes_storage", R.KUBERNETES_STORAGE)
 SQL["r_kubernetes_system_kubelet"] = _kubelet_sql()
 SQL["r_kubernetes_storage"] = _storage_sql()
+def _apps_sql() -> str:
+    from .catalog import _changes_sql, _over_time_sql
+    from .catalog_rules import _BASE, _GRID
+    labels = ["cluster", "job", "namespace", "pod", "container", "reason", "deployment", "statefulset", "daemonset", "job_name", "horizontalpodautoscaler"]
+    wide = _wide(labels)
+
+    def of(name):
+        return f"kube_{name}"
+
+    def compare(kind, left, op, right, more=""):
+        return f"(SELECT l.job, l.namespace, l.{kind}, l.ts, l.value FROM {_inst(of(left))} l JOIN {_inst(of(right))} r USING (namespace, {kind}, ts) WHERE l.value {op} r.value{more})"
+
+    def steady(kind, name, rng):
+        src, have = N.sql(of(name))
+        return f"(namespace, {kind}, ts) IN (SELECT (namespace, {kind}, ts) FROM {_changes_sql(src, have, G, rng)} WHERE value = 0)"
+
+    def add(name, for_, sql, *have):
+        parts.append((name, "warning", for_, wide(sql, *have)))
+    parts: list = []
+    src, have = N.sql("kube_pod_container_status_waiting_reason")
+    crash = _over_time_sql(f"(SELECT * FROM {src} WHERE reason = 'CrashLoopBackOff')", have, G, M5, "MAX(value)")
+    add("KubePodCrashLooping", "15m", f"SELECT * FROM {crash} WHERE value >= 1", "job", "namespace", "pod", "container", "reason")
+    pending = ", ".join(f"'{k}'" for k, v in K.PHASES.items() if v in ("Pending", "Unknown"))
+    pods = (f"(SELECT DISTINCT 'ns-' || CAST(uid % 5 AS VARCHAR) AS namespace, 'pod-' || CAST(uid AS VARCHAR) AS pod, g.ts, 1.0::DOUBLE AS value "
+            f"FROM {_BASE} b JOIN {_GRID} g ON b.ts > g.ts - {M5} AND b.ts <= g.ts WHERE event_type IN ({pending}) AND uid % 4 <> 3)")
+    add("KubePodNotReady", "15m", f"SELECT * FROM {pods}", "namespace", "pod")
+    own = ("job", "namespace")
+    add("KubeDeploymentGenerationMismatch", "15m",
+        f"SELECT * FROM {compare('deployment', 'deployment_status_observed_generation', '<>', 'deployment_metadata_generation')}", *own, "deployment")
+    add("KubeDeploymentReplicasMismatch", "15m", f"SELECT * FROM {compare('deployment', 'deployment_spec_replicas', '>', 'deployment_status_replicas_available')} "
+        f"WHERE {steady('deployment', 'deployment_status_replicas_updated', 600_000)}", *own, "deployment")
+    add("KubeStatefulSetReplicasMismatch", "15m", f"SELECT * FROM {compare('statefulset', 'statefulset_status_replicas_ready', '<>', 'statefulset_status_replicas')} "
+        f"WHERE {steady('statefulset', 'statefulset_status_replicas_updated', 600_000)}", *own, "statefulset")
+    add("KubeStatefulSetGenerationMismatch", "15m",
+        f"SELECT * FROM {compare('statefulset', 'statefulset_status_observed_generation', '<>', 'statefulset_metadata_generation')}", *own, "statefulset")
+    old = f"(SELECT * FROM {_inst('kube_statefulset_status_current_revision')} ANTI JOIN {_inst('kube_statefulset_status_update_revision')} USING (namespace, statefulset, revision, ts))"
+    add("KubeStatefulSetUpdateNotRolledOut", "15m", f"SELECT b.* FROM {compare('statefulset', 'statefulset_replicas', '<>', 'statefulset_status_replicas_updated')} b "
+        f"SEMI JOIN {old} USING (namespace, statefulset, ts) WHERE {steady('statefulset', 'statefulset_status_replicas_updated', M5)}", *own, "statefulset")
+    want = "daemonset_status_desired_number_scheduled"
+    off = [compare("daemonset", "daemonset_status_current_number_scheduled", "<>", want),
+           f"(SELECT * FROM {_inst('kube_daemonset_status_number_misscheduled')} WHERE value <> 0)",
+           compare("daemonset", "daemonset_status_updated_number_scheduled", "<>", want), compare("daemonset", "daemonset_status_number_available", "<>", want)]
+    any_ = " UNION ALL ".join(f"SELECT job, namespace, daemonset, ts, value, {i} AS place FROM {x}" for i, x in enumerate(off))
+    add("KubeDaemonSetRolloutStuck", "15m", f"SELECT * FROM (SELECT job, namespace, daemonset, ts, arg_min(value, place) AS value FROM ({any_}) GROUP BY ALL) "
+        f"WHERE {steady('daemonset', 'daemonset_status_updated_number_scheduled', M5)}", *own, "daemonset")
+    waiting = f"(SELECT namespace, pod, container, ts, SUM(value) AS value FROM {_inst('kube_pod_container_status_waiting_reason')} GROUP BY ALL)"
+    add("KubeContainerWaiting", "1h", f"SELECT * FROM {waiting} WHERE value > 0", "namespace", "pod", "container")
+    add("KubeDaemonSetNotScheduled", "10m", f"SELECT w.job, w.namespace, w.daemonset, w.ts, w.value - n.value AS value FROM {_inst(of(want))} w "
+        f"JOIN {_inst('kube_daemonset_status_current_number_scheduled')} n USING (namespace, daemonset, ts) WHERE w.value - n.value > 0", *own, "daemonset")
+    add("KubeDaemonSetMisScheduled", "15m", f"SELECT * FROM {_inst('kube_daemonset_status_number_misscheduled')} WHERE value > 0", *own, "daemonset")
+    begun = (f"(SELECT s.namespace, s.job_name, s.ts, s.ts / 1000.0 - s.value AS value FROM {_inst('kube_job_status_start_time')} s "
+             f"JOIN {_inst('kube_job_status_active')} a USING (namespace, job_name, ts) WHERE a.value > 0)")
+    add("KubeJobNotCompleted", "0s", f"SELECT * FROM {begun} WHERE value > 43200", "namespace", "job_name")
+    add("KubeJobFailed", "15m", f"SELECT * FROM {_inst('kube_job_failed')} WHERE value > 0", *own, "job_name")
+    hpa, now = "horizontalpodautoscaler", "horizontalpodautoscaler_status_current_replicas"
+    low, high = (f"(namespace, {hpa}, ts) IN (SELECT (namespace, {hpa}, ts) FROM {compare(hpa, now, op, f'{hpa}_spec_{x}_replicas')})" for op, x in ((">", "min"), ("<", "max")))
+    add("KubeHpaReplicasMismatch", "15m", f"SELECT * FROM {compare(hpa, f'{hpa}_status_desired_replicas', '<>', now)} WHERE {low} AND {high} AND {steady(hpa, now, 900_000)}", *own, hpa)
+    add("KubeHpaMaxedOut", "15m", f"SELECT * FROM {compare(hpa, now, '=', f'{hpa}_spec_max_replicas')}", *own, hpa)
+    return _held_sql(parts, labels)
+
+
+_alerts("r_kubernetes_apps", R.KUBERNETES_APPS)
+SQL["r_kubernetes_apps"] = _apps_sql()
 _alerts("r_kube_state_metrics", R.KUBE_STATE_METRICS)
 _alerts("r_prometheus_operator", R.PROMETHEUS_OPERATOR)
 _alerts("r_kubernetes_system_apiserver", R.KUBERNETES_SYSTEM_APISERVER)

@@ -37,6 +37,19 @@ _LEFT = f"5e8 + floor(value) * 1e4 - (ts - {T0}) * (uid % 3) * 100"
 _ROOM = "case uid % 10 when 0 then 3e10 when 1 then 4e9 when 2 then 4e9 when 4 then 4e9 when 5 then 3e10 else 1e9 end"
 
 
+def _object(label: str) -> dict[str, str]:
+    return _KSM | {"namespace": _NS, label: f"concat('{label[:3]}-', cast(uid % 10 as string))"}
+
+
+def _less(*which: int) -> str:
+    """Replicas of an object, one less for some objects."""
+    return f"(uid % 10) % 3 + 3.0 - case when uid % 10 in ({', '.join(map(str, which))}) then 1 else 0 end"
+
+
+_REPLICAS = "(uid % 10) % 3 + 3.0"
+_UPDATED = "(uid % 10) % 3 + 3.0 - case when uid % 10 = 2 then 1 else 0 end + case when uid % 10 = 7 then event_id % 2 else 0 end"
+
+
 def _one(cond: str) -> str:
     return f"case when {cond} then 1.0 else 0.0 end"
 
@@ -110,6 +123,33 @@ EXTRA: dict[str, tuple[dict[str, str], str, str, str]] = {
     "kube_persistentvolumeclaim_labels": (_PVC | {"label_excluded_from_alerts": "case when uid % 10 = 2 then 'true' else '' end"}, "gauge", "1.0", "true"),
     "kube_persistentvolume_status_phase": (_KSM | {"persistentvolume": "concat('pv-', cast(uid % 10 as string))",
                                                    "phase": "case event_type when 'error' then 'Failed' when 'signup' then 'Pending' else 'Bound' end"}, "gauge", _one("uid % 3 <> 0"), "true"),
+    "kube_deployment_status_observed_generation": (_object("deployment"), "gauge", "4.0 - case when uid % 10 = 3 then 1 else 0 end", "true"),
+    "kube_deployment_metadata_generation": (_object("deployment"), "gauge", "4.0", "true"),
+    "kube_deployment_spec_replicas": (_object("deployment"), "gauge", _REPLICAS, "true"),
+    "kube_deployment_status_replicas_available": (_object("deployment"), "gauge", _less(2, 7), "true"),
+    "kube_deployment_status_replicas_updated": (_object("deployment"), "gauge", _UPDATED, "true"),
+    "kube_statefulset_status_replicas_ready": (_object("statefulset"), "gauge", _less(2, 7), "true"),
+    "kube_statefulset_status_replicas": (_object("statefulset"), "gauge", _REPLICAS, "true"),
+    "kube_statefulset_status_replicas_updated": (_object("statefulset"), "gauge", _UPDATED, "true"),
+    "kube_statefulset_status_observed_generation": (_object("statefulset"), "gauge", "2.0 + case when uid % 10 = 4 then 1 else 0 end", "true"),
+    "kube_statefulset_metadata_generation": (_object("statefulset"), "gauge", "2.0", "true"),
+    "kube_statefulset_status_current_revision": (_object("statefulset") | {"revision": "'r1'"}, "gauge", "1.0", "true"),
+    "kube_statefulset_status_update_revision": (_object("statefulset") | {"revision": "case when uid % 10 in (2, 7) then 'r2' else 'r1' end"}, "gauge", "1.0", "true"),
+    "kube_statefulset_replicas": (_object("statefulset"), "gauge", _REPLICAS, "true"),
+    "kube_daemonset_status_current_number_scheduled": (_object("daemonset"), "gauge", _less(1), "true"),
+    "kube_daemonset_status_desired_number_scheduled": (_object("daemonset"), "gauge", _REPLICAS, "true"),
+    "kube_daemonset_status_number_misscheduled": (_object("daemonset"), "gauge", "case when uid % 10 = 5 then 2.0 else 0.0 end", "true"),
+    "kube_daemonset_status_updated_number_scheduled": (_object("daemonset"), "gauge", _UPDATED, "true"),
+    "kube_daemonset_status_number_available": (_object("daemonset"), "gauge", _less(8), "true"),
+    "kube_pod_container_status_waiting_reason": (_KSM | {"namespace": _NS, "pod": _POD, "container": "event_type",
+                                                         "reason": "case when uid % 4 = 0 then 'CrashLoopBackOff' else 'ImagePullBackOff' end"}, "gauge", _one("uid % 9 < 3"), "true"),
+    "kube_job_status_start_time": (_object("job_name"), "gauge", f"{T0 // 1000 - 42_000} + 300.0 * (uid % 10) - 2000", "true"),
+    "kube_job_status_active": (_object("job_name"), "gauge", _one("uid % 10 < 7"), "true"),
+    "kube_job_failed": (_object("job_name"), "gauge", _one("uid % 10 = 9"), "true"),
+    "kube_horizontalpodautoscaler_status_desired_replicas": (_object("horizontalpodautoscaler"), "gauge", _less(1, 4, 6), "true"),
+    "kube_horizontalpodautoscaler_status_current_replicas": (_object("horizontalpodautoscaler"), "gauge", "(uid % 10) % 3 + 3.0 + case when uid % 10 = 4 then event_id % 2 else 0 end", "true"),
+    "kube_horizontalpodautoscaler_spec_min_replicas": (_object("horizontalpodautoscaler"), "gauge", "case when uid % 10 = 6 then 9.0 else 1.0 end", "true"),
+    "kube_horizontalpodautoscaler_spec_max_replicas": (_object("horizontalpodautoscaler"), "gauge", "case when uid % 10 in (0, 3) then (uid % 10) % 3 + 3.0 else 10.0 end", "true"),
     "rest_client_requests_total": ({"job": "'kubelet'", "namespace": _NS, "instance": "concat('node-', cast(uid % 7 as string), ':10250')",
                                     "code": "case when event_type = 'error' then '503' when event_type = 'signup' then '404' else '200' end"}, "counter", "1.0", "true"),
 }

@@ -1,6 +1,6 @@
 """Rule packs: node-exporter.rules, kube-scheduler.rules, kubernetes-resources,
 kubernetes-system, kubernetes-system-apiserver, kubernetes-system-kubelet,
-kubernetes-storage, kube-state-metrics and prometheus-operator."""
+kubernetes-storage, kubernetes-apps, kube-state-metrics and prometheus-operator."""
 from __future__ import annotations
 
 from ... import api as A
@@ -319,3 +319,88 @@ KUBERNETES_STORAGE = RuleGroup("kubernetes-storage", "1m", [
           lambda c: A.where_value(c.sel("kube_persistentvolume_status_phase", eq=KSM, re={"phase": "Failed|Pending"}), ">", 0),
           "5m", {"severity": "critical"}),
 ])
+
+
+def _is(c: Ctx, name: str, **match):
+    return c.sel(f"kube_{name}", eq=KSM, **match)
+
+
+def _steady(c: Ctx, name: str, rng: str):
+    return A.where_value(A.changes(c.raw(f"kube_{name}", eq=KSM), rng, c.grid), "==", 0)
+
+
+def _compare(left: str, op: str, right: str):
+    return lambda c: A.binop(_is(c, left), _is(c, right), op)
+
+
+def _stuck(left: str, op: str, right: str, updated: str):
+    return lambda c: A.set_and(_compare(left, op, right)(c), _steady(c, updated, "10m"))
+
+
+def _not_ready(c: Ctx):
+    by = ["namespace", "pod", "cluster"]
+    waiting = A.aggregate(_is(c, "pod_status_phase", re={"phase": "Pending|Unknown"}), "max", by=by)
+    owner = A.aggregate(c.sel("kube_pod_owner", ne={"owner_kind": "Job"}), "max", by=["namespace", "pod", "owner_kind", "cluster"])
+    owned = A.binop(waiting, A.topk(owner, 1, by=by), "*", on=by, group_left=["owner_kind"], check_unique=False)
+    return A.where_value(A.aggregate(owned, "sum", by=by), ">", 0)
+
+
+def _not_rolled_out(c: Ctx):
+    old = A.aggregate(A.set_unless(_is(c, "statefulset_status_current_revision"), _is(c, "statefulset_status_update_revision")), "max", without=["revision"])
+    behind = A.binop(_is(c, "statefulset_replicas"), _is(c, "statefulset_status_replicas_updated"), "!=")
+    return A.set_and(A.binop(old, behind, "*"), _steady(c, "statefulset_status_replicas_updated", "5m"))
+
+
+def _daemonset_stuck(c: Ctx):
+    def off(name: str):
+        return A.binop(_is(c, f"daemonset_status_{name}"), _is(c, "daemonset_status_desired_number_scheduled"), "!=")
+    odd = A.set_or(off("current_number_scheduled"), A.where_value(_is(c, "daemonset_status_number_misscheduled"), "!=", 0))
+    odd = A.set_or(A.set_or(odd, off("updated_number_scheduled")), off("number_available"))
+    return A.set_and(odd, _steady(c, "daemonset_status_updated_number_scheduled", "5m"))
+
+
+def _container_waiting(c: Ctx):
+    return A.where_value(A.aggregate(_is(c, "pod_container_status_waiting_reason"), "sum", by=["namespace", "pod", "container", "cluster"]), ">", 0)
+
+
+def _not_scheduled(c: Ctx):
+    missing = A.binop(_is(c, "daemonset_status_desired_number_scheduled"), _is(c, "daemonset_status_current_number_scheduled"), "-")
+    return A.where_value(missing, ">", 0)
+
+
+def _job_not_completed(c: Ctx):
+    begun = A.set_and(_is(c, "job_status_start_time"), A.where_value(_is(c, "job_status_active"), ">", 0))
+    begun = A.aggregate(begun, "max", by=["namespace", "job_name", "cluster"])
+    return A.where_value(A.scalar_op(begun, "-", A.time_(c.spark, c.grid), scalar_left=True), ">", 43200)
+
+
+def _hpa_mismatch(c: Ctx):
+    now = "horizontalpodautoscaler_status_current_replicas"
+    out = A.binop(_is(c, "horizontalpodautoscaler_status_desired_replicas"), _is(c, now), "!=")
+    out = A.set_and(out, A.binop(_is(c, now), _is(c, "horizontalpodautoscaler_spec_min_replicas"), ">"))
+    out = A.set_and(out, A.binop(_is(c, now), _is(c, "horizontalpodautoscaler_spec_max_replicas"), "<"))
+    return A.set_and(out, _steady(c, now, "15m"))
+
+
+WARNING = {"severity": "warning"}
+KUBERNETES_APPS = RuleGroup("kubernetes-apps", "1m", [
+    Alert("KubePodCrashLooping",
+          lambda c: A.where_value(A.max_over_time(c.raw("kube_pod_container_status_waiting_reason", eq={**KSM, "reason": "CrashLoopBackOff"}), "5m", c.grid), ">=", 1),
+          "15m", WARNING),
+    Alert("KubePodNotReady", _not_ready, "15m", WARNING),
+    Alert("KubeDeploymentGenerationMismatch", _compare("deployment_status_observed_generation", "!=", "deployment_metadata_generation"), "15m", WARNING),
+    Alert("KubeDeploymentReplicasMismatch",
+          _stuck("deployment_spec_replicas", ">", "deployment_status_replicas_available", "deployment_status_replicas_updated"), "15m", WARNING),
+    Alert("KubeStatefulSetReplicasMismatch",
+          _stuck("statefulset_status_replicas_ready", "!=", "statefulset_status_replicas", "statefulset_status_replicas_updated"), "15m", WARNING),
+    Alert("KubeStatefulSetGenerationMismatch", _compare("statefulset_status_observed_generation", "!=", "statefulset_metadata_generation"), "15m", WARNING),
+    Alert("KubeStatefulSetUpdateNotRolledOut", _not_rolled_out, "15m", WARNING),
+    Alert("KubeDaemonSetRolloutStuck", _daemonset_stuck, "15m", WARNING),
+    Alert("KubeContainerWaiting", _container_waiting, "1h", WARNING),
+    Alert("KubeDaemonSetNotScheduled", _not_scheduled, "10m", WARNING),
+    Alert("KubeDaemonSetMisScheduled", lambda c: A.where_value(_is(c, "daemonset_status_number_misscheduled"), ">", 0), "15m", WARNING),
+    Alert("KubeJobNotCompleted", _job_not_completed, "0s", WARNING),
+    Alert("KubeJobFailed", lambda c: A.where_value(_is(c, "job_failed"), ">", 0), "15m", WARNING),
+    Alert("KubeHpaReplicasMismatch", _hpa_mismatch, "15m", WARNING),
+    Alert("KubeHpaMaxedOut", _compare("horizontalpodautoscaler_status_current_replicas", "==", "horizontalpodautoscaler_spec_max_replicas"), "15m", WARNING),
+])
