@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import small_batches
+from .common import shared_table, small_batches
 from .tokens import default_path, encoder
 
 STEP = 1024                   # lengths in a block of the two-level sums
@@ -45,6 +45,7 @@ def length_histogram(docs: DataFrame, *, text: str = "text", path: str | None =
     blocks of STEP lengths and then within blocks.
     """
     hist = token_counts(docs, text=text, path=path).groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs"))
+    hist = shared_table(hist, "lengths")  # texts are encoded once
     hist = hist.withColumn("block", F.floor(F.col("n_tokens") / STEP)).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
     blocks = hist.groupBy("block").agg(F.sum("n_docs").alias("bd"), F.sum("tokens").alias("bt"))
     after = Window.orderBy(F.desc("block"))  # longest text / STEP rows at most
