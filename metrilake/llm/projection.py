@@ -4,6 +4,9 @@ A pass hashes every vector to a string of random-hyperplane bits, orders the
 vectors of a label by it and compares each with a bounded window of its
 neighbours.  Pairs that reach the cosine join classes; the union over all
 passes gives components, inside which links are then counted exactly.
+
+How many passes a label needs is measured on its keys.  Where comparing all its
+pairs costs no more than those passes, all pairs are compared instead.
 """
 from __future__ import annotations
 
@@ -16,12 +19,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, groups, shared_table
+from .common import components, group_links, groups, shared_table
 
 BITS = 63                     # bits of an order key
 WINDOW = 64                   # neighbours that a vector is compared with on either side
 MISS = 1e-5                   # chance that no pass brings a pair at the threshold close
 AT_ONCE = 4                   # passes in one job
+LEAST = 4                     # passes at least; so many are measured
 BLOCK = 1024                  # vectors of a component that are compared with as many others at once
 
 
@@ -39,13 +43,59 @@ def unit(vector, scale_first: bool = True) -> bytes | None:
     return (x / np.sqrt((x * x).sum())).tobytes()
 
 
-def passes_for(rows: int, cosine: float, window: int = WINDOW, miss: float = MISS) -> int:
-    """Passes after which a pair at the cosine has come within a window with a
-    probability of 1 - miss, among so many rows of one label: keys that agree in
-    log2(rows / window) leading bits lie within a window of each other."""
+def prefix_depths(grp: np.ndarray, key: np.ndarray, window: int) -> np.ndarray:
+    """For rows in the order of (grp, key): leading bits after which at most window + 1
+    rows, the row's own included, share them; BITS + 1 if even whole keys are shared by more."""
+    lag = window + 1
+    n = len(key)
+    if n <= lag:
+        return np.zeros(n, np.int64)
+    x = key[:-lag] ^ key[lag:]
+    high, low = x >> 32, x & 0xFFFFFFFF
+    size = np.where(high > 0, 32 + np.frexp(high.astype(np.float64))[1], np.frexp(low.astype(np.float64))[1])
+    crowded = np.where(grp[:-lag] == grp[lag:], BITS - size + 1, 0)
+    edge = np.zeros(lag, np.int64)  # a row's run starts at most lag places before it
+    return np.lib.stride_tricks.sliding_window_view(np.concatenate([edge, crowded, edge]), lag + 1).max(axis=1)
+
+
+def _measured(keyed: DataFrame, cosine: float, window: int) -> DataFrame:
+    """(grp, near) of keyed's (pass, grp, key, uid): a bound on the chance that one pass brings a pair at the cosine
+    close, for the row of each grp with the most crowded keys; null if no row could be measured.
+
+    A pair agrees in a bit with the chance 1 - angle / pi wherever its vectors lie.  Rows so close to the edge of a
+    partition that their run may reach over it are left to the other passes.
+    """
     bit = 1 - math.acos(cosine) / math.pi
-    near = bit ** max(0.0, math.log2(max(1, rows) / window) + 1)
-    return max(4, math.ceil(math.log(miss) / math.log(1 - near))) if near < 1 else 4
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        t = pa.Table.from_batches(held)
+        number, grp, uid = t["pass"].to_numpy(), t["grp"].to_numpy(), t["uid"].to_numpy()
+        lag = window + 1
+        for n in np.unique(number):
+            at = np.flatnonzero(number == n)
+            depth = prefix_depths(grp[at], t["key"].to_numpy()[at], window)
+            near = np.where(depth > BITS, 0.0, bit ** depth)
+            inner = slice(lag, max(lag, len(at) - lag))
+            yield pa.RecordBatch.from_arrays([pa.array(grp[at][inner]), pa.array(uid[at][inner]), pa.array(near[inner])], ["grp", "uid", "near"])
+
+    return (keyed.select("pass", "grp", "key", "uid").repartitionByRange("pass", "grp", "key", "uid").sortWithinPartitions("pass", "grp", "key", "uid")
+            .mapInArrow(run, "grp long, uid long, near double").groupBy("grp", "uid").agg(F.avg("near").alias("near"))
+            .groupBy("grp").agg(F.min("near").alias("near")))
+
+
+def _passes(thin: DataFrame, cosine: float, window: int, seed: int) -> DataFrame:
+    """(grp, todo) of thin's (grp, uid, payload): passes after which a pair at the cosine has come within a window with
+    a probability of 1 - MISS; null where all pairs are no more comparisons than that."""
+    size = shared_table(thin.groupBy("grp").agg(F.count(F.lit(1)).alias("rows")), "sizes")
+    large = thin.join(size.filter(F.col("rows") > LEAST * 2 * window), "grp").select("grp", "uid", "payload")
+    keyed = large.mapInArrow(_keys(list(range(LEAST)), seed), "pass int, grp long, key long, uid long, payload binary")
+    near = F.least("near", F.lit(1 - 1e-9))
+    todo = F.when(F.col("near") > 0, F.greatest(F.lit(LEAST), F.ceil(F.lit(math.log(MISS)) / F.log1p(-near))))
+    return shared_table(size.join(_measured(keyed, cosine, window), "grp", "left")
+                        .select("grp", F.when(todo * 2 * window < F.col("rows"), todo).cast("int").alias("todo")), "passes")
 
 
 def sparse_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -163,10 +213,12 @@ def near_vectors(vectors: DataFrame, *, cosine: float = 0.93, embedding: str = "
     component's id only if no row of it has a key (then null and not kept).
     An empty table gives an empty result; other columns are ignored.
 
-    Passes: as many as bring a pair at the threshold within a window of the
-    largest label's order with a probability of 1 - MISS (passes_for).  Links
-    are counted exactly within components, block against block, so windows do
-    not cap them.
+    Passes: for each label as many as bring a pair at the threshold within a
+    window of its order with a probability of 1 - MISS, by how crowded its keys
+    are where they are most so (_passes).  A label whose pairs are no more than
+    the comparisons of its passes is compared whole, without a miss.  Links are
+    counted exactly within components, block against block, so windows do not
+    cap them.
     """
     src = vectors.select(F.monotonically_increasing_id().alias("uid"), F.col(key).cast("long").alias("key"),
                          F.col(label).cast("string").alias("label"), F.col(embedding).cast("array<double>").alias("v"))
@@ -182,15 +234,22 @@ def near_vectors(vectors: DataFrame, *, cosine: float = 0.93, embedding: str = "
     good = t.filter("payload is not null")
     classes = shared_table(good.groupBy("grp", "label", "payload").agg(F.min("uid").alias("rep"), F.min("key").alias("least"),
                                                                       F.count(F.lit(1)).alias("copies")), "vectors")
-    most = classes.groupBy("grp").count().agg(F.max("count")).first()[0] or 0
-    todo = passes_for(most, cosine, window)
     thin = classes.select("grp", F.col("rep").alias("uid"), "payload")
-    edges = None
-    for first in range(0, todo, AT_ONCE):
-        numbers = list(range(first, min(todo, first + AT_ONCE)))
-        keyed = thin.mapInArrow(_keys(numbers, seed), "pass int, grp long, key long, uid long, payload binary")
-        found = shared_table(_sorted_pass_edges(keyed, cosine, window).distinct(), "found")
-        edges = found if edges is None else edges.unionByName(found)
+    plan = _passes(thin, cosine, window, seed)
+
+    def linked(left: list[bytes], right: list[bytes]) -> np.ndarray:
+        x, y = (np.frombuffer(b"".join(side), np.float64).reshape(len(side), -1) for side in (left, right))
+        return x @ y.T >= cosine
+
+    short = thin.join(plan.filter("todo is null"), "grp")
+    edges = group_links(short.select("grp", "uid", F.lit(1).cast("long").alias("weight")), thin.select("uid", "payload"), linked,
+                        most=2 * BLOCK, name="vectors")
+    most = plan.agg(F.max("todo")).first()[0] or 0
+    for first in range(0, most, AT_ONCE):
+        numbers = list(range(first, min(most, first + AT_ONCE)))
+        keyed = (thin.join(plan.filter(F.col("todo") > first), "grp").select("grp", "uid", "payload")
+                 .mapInArrow(_keys(numbers, seed), "pass int, grp long, key long, uid long, payload binary"))
+        edges = edges.unionByName(shared_table(_sorted_pass_edges(keyed, cosine, window).distinct(), "found"))
     root = shared_table(components(edges, "vec"), "roots")
 
     # exact counts within components

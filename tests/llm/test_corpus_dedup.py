@@ -173,3 +173,44 @@ def test_near_vectors_match_brute_force(spark):
     assert dict(zip(got.vec_id, got.component_id)) == want
     assert dict(zip(got.vec_id, got.n_links)) == {r[0]: n[r[0]] for r in rows}
     assert projection.near_vectors(df.filter("false")).count() == 0
+
+
+def unit_rows(x):
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def isolated_pairs(rnd, n, dim, shared, pairs):
+    """n vectors of a mutual cosine of about ``shared``, the last ``pairs`` of them at a cosine of 0.935 to the first ones."""
+    axis = np.eye(dim)[0]
+    x = unit_rows(np.sqrt(shared) * axis + np.sqrt(1 - shared) * unit_rows(rnd.standard_normal((n, dim)) * (1 - axis)))
+    off = rnd.standard_normal((pairs, dim))
+    off = unit_rows(off - (off * x[:pairs]).sum(axis=1, keepdims=True) * x[:pairs])
+    x[n - pairs:] = 0.935 * x[:pairs] + np.sqrt(1 - 0.935 ** 2) * off
+    return x
+
+
+@pytest.mark.parametrize("n,shared,by_passes", [(1500, 0.8, False), (3000, 0.0, True)])
+def test_isolated_pairs_of_dense_and_spread_labels_are_found(spark, n, shared, by_passes):
+    x = isolated_pairs(np.random.default_rng(4), n, 64, shared, 100)
+    df = spark.createDataFrame([(i, [float(a) for a in v], 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int").repartition(3)
+    thin = spark.createDataFrame([(1, i, v.tobytes()) for i, v in enumerate(x)], "grp long, uid long, payload binary")
+    assert (projection._passes(thin, 0.93, 4, 5).first().todo is not None) == by_passes
+    got = projection.near_vectors(df, window=4).toPandas()
+    sim = x @ x.T
+    links = [(int(a), int(b)) for a, b in zip(*np.nonzero(sim >= 0.93)) if a < b]
+    assert len(links) >= 100
+    assert dict(zip(got.vec_id, got.component_id)) == classes(range(n), links)
+
+
+def test_prefix_depths_match_counts():
+    rnd = np.random.default_rng(3)
+    key = np.concatenate([rnd.integers(0, 1 << 63, 60), (np.int64(5) << 59) + rnd.integers(0, 1 << 20, 30), np.full(9, 77)])
+    grp = np.repeat([1, 2], [50, 49])
+    order = np.lexsort((key, grp))
+    grp, key = grp[order], key[order]
+    for window in (1, 4, 8):
+        want = []
+        for g, k in zip(grp, key):
+            shared = [int(((grp == g) & (key >> (63 - d) == k >> (63 - d))).sum()) for d in range(64)]
+            want.append(next((d for d in range(64) if shared[d] <= window + 1), 64))
+        assert projection.prefix_depths(grp, key, window).tolist() == want
