@@ -25,6 +25,8 @@ SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 SCOPES = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"},
           "tbody": {"table"}, "tfoot": {"table"}, "option": {"select"}}
 
+LINKED = 0.5                  # share of link text up to which what stands beside the article is text
+
 # Words in class, id and role that mark what is no article text.
 _UNLIKELY = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|banner|sponsor\w*|promo\w*|sidebar|side|menu|nav\w*|navigation|breadcrumbs?|footer|"
@@ -233,24 +235,45 @@ def main_text(page: str | None) -> str:
         _blocks(root, out, run)
         _flush(out, run)
         return "\n".join(out)
-    siblings = best.parent.children if best.parent is not None else [best]
-    least = max(10.0, top * 0.2)
-    for s in siblings:
-        if not isinstance(s, Node) or s.tag not in BLOCK:
+    place = _widest(best)
+    loose: list[Node | str] = []  # text and inline elements between two blocks
+    for s in place.parent.children if place.parent is not None else [place]:
+        if isinstance(s, str) or s.tag not in BLOCK and s is not place:
+            loose.append(s)
             continue
-        keep = s is best or s.score * (1 - _density(s)) >= least or s.tag == best.tag == "article"
-        if not keep and s.tag == "p":
-            keep = s.length > 80 and _density(s) < 0.25 or 0 < s.length and _density(s) == 0 and re.search(r"[.!?](?:\s|$)", _own(s)) is not None
-        if not keep and re.fullmatch("h[1-6]", s.tag):
-            keep = best.tag not in ("article", "main")
-        if keep:
+        _loose(loose, out, run)
+        if s is place or _density(s) <= LINKED:
             _blocks(s, out, run)
+    _loose(loose, out, run)
     _flush(out, run)
     return "\n".join(out)
 
 
-def _own(node: Node) -> str:
-    return "".join(c if isinstance(c, str) else _own(c) for c in node.children)
+def _is_article(node: Node) -> bool:
+    return node.tag in ("article", "main") or node.attrs.get("role") in ("main", "article")
+
+
+def _widest(best: Node) -> Node:
+    """The outermost article or main around best; without one the outermost node beside which unlinked text stands."""
+    article, place, node = None, best, best
+    while node is not None:
+        if _is_article(node):
+            article = node
+        up = node.parent
+        if up is not None and up.length - up.linked > node.length - node.linked:
+            place = node
+        node = up
+    return article or place
+
+
+def _loose(items: list[Node | str], out: list[str], run: list[str]) -> None:
+    size = sum(len(c.strip()) if isinstance(c, str) else c.length for c in items)
+    if size and sum(c.linked for c in items if isinstance(c, Node)) <= LINKED * size:
+        holder = Node("span", {}, None)
+        holder.children = list(items)
+        _blocks(holder, out, run)
+        _flush(out, run)
+    items.clear()
 
 
 def extract(pages: DataFrame, *, html: str = "html", key: str = "page_id", url: str = "url") -> DataFrame:
@@ -261,9 +284,11 @@ def extract(pages: DataFrame, *, html: str = "html", key: str = "page_id", url:
     Scripts, forms, menus, headers and footers of the page, sidebars, notices,
     adverts and reader comments are cut from the tree by element, role and the
     words of class and id.  Paragraphs pass points for length and commas to
-    their ancestors, discounted by link density; the best container and those
-    siblings that hold text too are kept whole: short paragraphs and very long
-    texts are neither dropped nor cut.  Character references are decoded, white
+    their ancestors, discounted by link density.  The article or main around the best
+    container is kept, or without one the outermost container beside which
+    unlinked text stands, with all its siblings that are not mostly links:
+    short paragraphs and sections and very long texts are neither dropped nor
+    cut.  Character references are decoded, white
     space in a block becomes one space, blocks are joined by a line feed.  Null
     and empty pages, and pages without text, give an empty text.  Repeated rows
     are rows of their own; other columns are ignored.  A page is one row's work:

@@ -268,3 +268,18 @@ def test_pages_give_their_article(spark):
     odd = spark.createDataFrame([(1, None, None), (1, "u", ""), (None, "u", "<p>x")], "page_id long, url string, html string")
     assert sorted(r.text for r in extract(odd).collect()) == ["", "", "x"]
     assert extract(odd.filter("false")).count() == 0
+
+
+def test_short_parts_beside_long_ones_are_kept():
+    par = "a long paragraph, with commas, four of them, all in all, " + "and words " * 24
+    line = " ".join(par.split())
+    long, short = f"<p>{par}" * 10, f"<p>{par}"
+    both = "\n".join([line] * 11)
+    for page in (f"<article><section>{long}</section><section>{short}</section></article>",
+                 f"<body><div>{long}</div><div>{short}</div></body>",
+                 f"<body><div><div><section>{long}</section></div><div><section>{short}</section></div></div></body>"):
+        assert main_text(page) == both
+    parts = "<h2>Head</h2><ul><li>item</ul><table><tr><td>cell</table><blockquote>said</blockquote><pre>code</pre>"
+    links = "<div><a href=a>One</a> <a href=b>Two</a></div><a href=c>Three</a>"
+    page = f"<body>{links}<div>{long}</div>{parts}loose <b>text</b> and <a href=d>a link</a></body>"
+    assert main_text(page) == "\n".join([line] * 10 + ["Head", "item", "cell", "said", "code", "loose text and a link"])
