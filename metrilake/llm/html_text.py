@@ -17,7 +17,7 @@ RAW = frozenset("script style textarea title xmp noembed noframes iframe".split(
 BLOCK = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure
     footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li listing main menu nav ol optgroup option p plaintext
     pre search section summary table tbody td tfoot th thead title tr ul""".split())
-DROPPED = frozenset("""head script style noscript template nav footer aside form button select option input textarea iframe object embed
+DROPPED = frozenset("""head script style noscript template nav footer aside button select option input textarea iframe object embed
     svg math canvas audio video dialog menu title datalist""".split())
 CLOSES_P = BLOCK - frozenset("body caption head html optgroup option tbody td tfoot th thead title tr legend li dd dt".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
@@ -122,16 +122,41 @@ def _unwanted(node: Node, in_article: bool) -> bool:
     if node.tag in DROPPED or node.tag == "header" and not in_article:
         return True
     a = node.attrs
-    if not a:
-        return False
-    if "hidden" in a or a.get("aria-hidden") == "true" or "style" in a and _HIDDEN.search(a["style"]):
+    return bool(a) and ("hidden" in a or a.get("aria-hidden") == "true" or "style" in a and bool(_HIDDEN.search(a["style"])))
+
+
+def _marked(node: Node, in_article: bool) -> bool:
+    """Whether class, id or role say that a node is no article text; inside the article only as whole words of them,
+    and not the id of a heading or a section, which names its subject."""
+    if node.tag == "form":
         return True
-    if node.tag in ("body", "html", "article", "main") or node.tag == "header" and in_article:
+    a = node.attrs
+    if not a or node.tag in ("body", "html") or _is_article(node) or node.tag == "header" and in_article:
         return False
-    marks = f"{a.get('class', '')} {a.get('id', '')} {a.get('role', '')}"
-    if a.get("role") in ("main", "article") or not marks.strip():
+    words, ident, role = a.get("class", "").split(), a.get("id", "").strip(), a.get("role", "")
+    if any(_LIKELY.fullmatch(x) for x in (*words, ident)):
         return False
-    return bool(_UNLIKELY.search(marks)) and not _LIKELY.fullmatch(a.get("class", "").strip())
+    if not in_article:
+        return bool(_UNLIKELY.search(f"{' '.join(words)} {ident} {role}"))
+    named = node.tag == "section" or "section" in words or re.fullmatch("h[1-6]", node.tag)
+    return any(_UNLIKELY.fullmatch(x) for x in (*words, *role.split(), *([] if named else [ident])))
+
+
+def _cut_marked(root: Node, best: Node | None) -> list[tuple[Node, list]]:
+    """Takes marked nodes out of a measured tree, but none that holds most of its unlinked text;
+    gives the nodes that lost children with those they had.  What lies in best is inside the article."""
+    most = (root.length - root.linked) / 2
+    cut = []
+    left = [(root, False)]
+    while left:
+        node, inside = left.pop()
+        inside = inside or node is best or _is_article(node)
+        kept = [c for c in node.children if isinstance(c, str) or c.length - c.linked > most or not _marked(c, inside)]
+        if len(kept) < len(node.children):
+            cut.append((node, node.children))
+            node.children = kept
+        left += [(c, inside) for c in kept if isinstance(c, Node)]
+    return cut
 
 
 def _prune(node: Node, in_article: bool) -> None:
@@ -148,6 +173,7 @@ def _prune(node: Node, in_article: bool) -> None:
 
 def _measure(node: Node, in_link: bool) -> None:
     in_link = in_link or node.tag == "a"
+    node.length = node.linked = node.commas = 0
     for c in node.children:
         if isinstance(c, str):
             n = len(c.strip())
@@ -187,12 +213,14 @@ def _pass_points(node: Node, out: list[Node]) -> None:
             _pass_points(c, out)
 
 
-def _blocks(node: Node, out: list[str], run: list[str]) -> None:
-    """The text blocks of a subtree in page order; run gathers the text of the block that is open."""
+def _blocks(node: Node, out: list[str], run: list[str], best: Node | None = None, inside: bool = False) -> None:
+    """The text blocks of a subtree in page order; run gathers the text of the block that is open.
+    Lists of links are left out, but for those inside an article or best."""
     edge = node.tag in BLOCK
+    inside = inside or node is best or _is_article(node)
     if edge:
         _flush(out, run)
-    if node.tag in ("ul", "ol", "table", "div", "section", "dl") and node.length and _density(node) > 0.66 and node.commas * 20 < node.length:
+    if not inside and node.tag in ("ul", "ol", "table", "div", "section", "dl") and node.length and _density(node) > 0.66 and node.commas * 20 < node.length:
         return  # a list of links
     for c in node.children:
         if isinstance(c, str):
@@ -200,7 +228,7 @@ def _blocks(node: Node, out: list[str], run: list[str]) -> None:
         elif c.tag in ("br", "wbr", "img"):
             run.append(" " if c.tag == "br" else "")
         else:
-            _blocks(c, out, run)
+            _blocks(c, out, run, best, inside)
     if edge:
         _flush(out, run)
 
@@ -213,22 +241,37 @@ def _flush(out: list[str], run: list[str]) -> None:
         run.clear()
 
 
-def main_text(page: str | None) -> str:
-    """The article's text, one line a block; empty if there is none."""
-    if not page:
-        return ""
-    root = parse(page)
-    _prune(root, False)
-    _measure(root, False)
+def _best(root: Node) -> Node | None:
+    """The container with the most points."""
     nodes: list[Node] = []
     _pass_points(root, nodes)
     best, top = None, 0.0
     for n in nodes:
         marks = f"{n.attrs.get('class', '')} {n.attrs.get('id', '')}"
-        bonus = 25 if n.tag in ("article", "main") or n.attrs.get("role") in ("main", "article") else 5 if n.attrs and _LIKELY.search(marks) else 0
+        bonus = 25 if _is_article(n) else 5 if n.attrs and _LIKELY.search(marks) else 0
         value = (n.score + (bonus if n.length else 0)) * (1 - _density(n)) if n.score or bonus else 0.0
         if value > top and n.tag in BLOCK:
             best, top = n, value
+    return best
+
+
+def main_text(page: str | None) -> str:
+    """The article's text, one line a block; empty if there is none."""
+    if not page:
+        return ""
+    root = parse(page)
+    _prune(root, False)
+    _measure(root, False)
+    cut = _cut_marked(root, None)
+    if cut:
+        _measure(root, False)
+    best = _best(root)
+    if cut and best is not None and not _in_article(best):  # without an article, the best container is it
+        for node, children in cut:
+            node.children = children
+        _measure(root, False)
+        _cut_marked(root, best)
+        _measure(root, False)
     out: list[str] = []
     run: list[str] = []
     if best is None:
@@ -243,7 +286,7 @@ def main_text(page: str | None) -> str:
             continue
         _loose(loose, out, run)
         if s is place or _density(s) <= LINKED:
-            _blocks(s, out, run)
+            _blocks(s, out, run, best)
     _loose(loose, out, run)
     _flush(out, run)
     return "\n".join(out)
@@ -253,6 +296,12 @@ def _is_article(node: Node) -> bool:
     return node.tag in ("article", "main") or node.attrs.get("role") in ("main", "article")
 
 
+def _in_article(node: Node | None) -> bool:
+    while node is not None and not _is_article(node):
+        node = node.parent
+    return node is not None
+
+
 def _widest(best: Node) -> Node:
     """The outermost article or main around best; without one the outermost node beside which unlinked text stands."""
     article, place, node = None, best, best
@@ -283,7 +332,9 @@ def extract(pages: DataFrame, *, html: str = "html", key: str = "page_id", url:
 
     Scripts, forms, menus, headers and footers of the page, sidebars, notices,
     adverts and reader comments are cut from the tree by element, role and the
-    words of class and id.  Paragraphs pass points for length and commas to
+    words of class and id, inside an article (or the best container) by whole
+    words only; what holds most of the page's unlinked text is never cut by
+    them.  Lists of links are left out outside the article.  Paragraphs pass points for length and commas to
     their ancestors, discounted by link density.  The article or main around the best
     container is kept, or without one the outermost container beside which
     unlinked text stands, with all its siblings that are not mostly links:

@@ -283,3 +283,18 @@ def test_short_parts_beside_long_ones_are_kept():
     links = "<div><a href=a>One</a> <a href=b>Two</a></div><a href=c>Three</a>"
     page = f"<body>{links}<div>{long}</div>{parts}loose <b>text</b> and <a href=d>a link</a></body>"
     assert main_text(page) == "\n".join([line] * 10 + ["Head", "item", "cell", "said", "code", "loose text and a link"])
+
+
+def test_marks_do_not_cut_article_text():
+    line = "A sentence of the text, which is long enough to count, stands here."
+    p = f"<p>{line}"
+    parts = (f"<h2 id=related-work>Related work</h2>{p}<section id=search-algorithms>{p}</section><section id=discussion><h3 id=form-validation>Forms</h3>{p}</section>"
+             f"<ul><li><a href=a>First reference</a><li><a href=b>Second reference</a></ul>")
+    want = "\n".join([line] * 4 + ["Related work", line, line, "Forms", line, "First reference", "Second reference"])
+    gone = "<div class='box ad'>Buy now</div><div class=comments>Great, thanks.</div>"
+    outside = f"<div class=left-sidebar>{p}</div><ul><li><a href=a>Home</a><li><a href=b>All pages</a></ul>"
+    for page in (f"<article>{p * 4}{parts}{gone}</article>{outside}", f"<body>{outside}<div>{p * 4}{parts}{gone}</div></body>",
+                 f"<body>{outside}<div class='content has-sidebar'>{p * 4}{parts}{gone}</div></body>",
+                 f"<body><div id=page class=no-sidebar>{outside}<div>{p * 4}{parts}{gone}</div></div></body>",
+                 f"<body><form id=form1><div class=with-sidebar>{outside}<div>{p * 4}{parts}{gone}</div></div></form></body>"):
+        assert main_text(page) == want
