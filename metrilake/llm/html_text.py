@@ -159,78 +159,87 @@ def _cut_marked(root: Node, best: Node | None) -> list[tuple[Node, list]]:
     return cut
 
 
-def _prune(node: Node, in_article: bool) -> None:
-    kept = []
-    for c in node.children:
-        if isinstance(c, Node):
-            inside = in_article or c.tag in ("article", "main") or c.attrs.get("role") in ("main", "article")
-            if _unwanted(c, in_article):
-                continue
-            _prune(c, inside)
-        kept.append(c)
-    node.children = kept
-
-
-def _measure(node: Node, in_link: bool) -> None:
-    in_link = in_link or node.tag == "a"
-    node.length = node.linked = node.commas = 0
-    for c in node.children:
-        if isinstance(c, str):
-            n = len(c.strip())
-            node.length += n
-            node.commas += c.count(",") + c.count("，") + c.count("、")
-            if in_link:
-                node.linked += n
-        else:
-            _measure(c, in_link)
-            node.length += c.length
-            node.commas += c.commas
-            node.linked += c.linked
+def _prune(root: Node) -> None:
+    left = [(root, False)]
+    while left:
+        node, in_article = left.pop()
+        node.children = [c for c in node.children if isinstance(c, str) or not _unwanted(c, in_article)]
+        left += [(c, in_article or _is_article(c)) for c in node.children if isinstance(c, Node)]
+
+
+def _measure(root: Node) -> None:
+    order: list[Node] = []  # parents before children
+    left = [(root, False)]
+    while left:
+        node, in_link = left.pop()
+        in_link = in_link or node.tag == "a"
+        node.length = node.linked = node.commas = 0
+        for c in node.children:
+            if isinstance(c, str):
+                n = len(c.strip())
+                node.length += n
+                node.commas += c.count(",") + c.count("，") + c.count("、")
+                if in_link:
+                    node.linked += n
+            else:
+                left.append((c, in_link))
+        order.append(node)
+    for node in reversed(order):
+        if node is not root:
+            up = node.parent
+            up.length += node.length
+            up.commas += node.commas
+            up.linked += node.linked
 
 
 def _density(node: Node) -> float:
     return node.linked / node.length if node.length else 0.0
 
 
-def _pass_points(node: Node, out: list[Node]) -> None:
+def _pass_points(root: Node, out: list[Node]) -> None:
     """A paragraph's points: 1, its commas, and its length in hundreds up to 3.
 
     The parent gets them whole, the next ancestor half, those above a third of
     that and less.  Text that stands in a container itself counts as a paragraph of it.
     """
-    own = sum(len(c.strip()) for c in node.children if isinstance(c, str))
-    paragraph = node.tag in ("p", "pre", "blockquote", "td", "dd", "li") or node.tag in ("div", "section", "article", "main", "body") and own
-    if paragraph and (size := node.length if node.tag in ("p", "pre") else own) >= 25:
-        commas = node.commas if node.tag in ("p", "pre") else sum(c.count(",") for c in node.children if isinstance(c, str))
-        points = (1 + commas + min(size / 100, 3)) * (1 - _density(node))
-        up, level = (node.parent if node.tag in ("p", "pre", "td", "dd", "li", "blockquote") else node), 0
-        while up is not None:
-            up.score += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
-            up, level = up.parent, level + 1
-    out.append(node)
-    for c in node.children:
-        if isinstance(c, Node):
-            _pass_points(c, out)
-
-
-def _blocks(node: Node, out: list[str], run: list[str], best: Node | None = None, inside: bool = False) -> None:
+    left = [root]
+    while left:
+        node = left.pop()
+        own = sum(len(c.strip()) for c in node.children if isinstance(c, str))
+        paragraph = node.tag in ("p", "pre", "blockquote", "td", "dd", "li") or node.tag in ("div", "section", "article", "main", "body") and own
+        if paragraph and (size := node.length if node.tag in ("p", "pre") else own) >= 25:
+            commas = node.commas if node.tag in ("p", "pre") else sum(c.count(",") for c in node.children if isinstance(c, str))
+            points = (1 + commas + min(size / 100, 3)) * (1 - _density(node))
+            up, level = (node.parent if node.tag in ("p", "pre", "td", "dd", "li", "blockquote") else node), 0
+            while up is not None:
+                up.score += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
+                up, level = up.parent, level + 1
+        out.append(node)
+        left += [c for c in reversed(node.children) if isinstance(c, Node)]
+
+
+def _blocks(root: Node, out: list[str], run: list[str], best: Node | None = None) -> None:
     """The text blocks of a subtree in page order; run gathers the text of the block that is open.
     Lists of links are left out, but for those inside an article or best."""
-    edge = node.tag in BLOCK
-    inside = inside or node is best or _is_article(node)
-    if edge:
-        _flush(out, run)
-    if not inside and node.tag in ("ul", "ol", "table", "div", "section", "dl") and node.length and _density(node) > 0.66 and node.commas * 20 < node.length:
-        return  # a list of links
-    for c in node.children:
-        if isinstance(c, str):
-            run.append(c)
-        elif c.tag in ("br", "wbr", "img"):
-            run.append(" " if c.tag == "br" else "")
+    left: list[tuple[Node | str | None, bool]] = [(root, False)]  # None: a block ends
+    while left:
+        node, inside = left.pop()
+        if node is None:
+            _flush(out, run)
+        elif isinstance(node, str):
+            run.append(node)
+        elif node.tag in ("br", "wbr", "img"):
+            run.append(" " if node.tag == "br" else "")
         else:
-            _blocks(c, out, run, best, inside)
-    if edge:
-        _flush(out, run)
+            inside = inside or node is best or _is_article(node)
+            edge = node.tag in BLOCK
+            if edge:
+                _flush(out, run)
+            if not inside and node.tag in ("ul", "ol", "table", "div", "section", "dl") and node.length and _density(node) > 0.66 and node.commas * 20 < node.length:
+                continue  # a list of links
+            if edge:
+                left.append((None, inside))
+            left += [(c, inside) for c in reversed(node.children)]
 
 
 def _flush(out: list[str], run: list[str]) -> None:
@@ -260,18 +269,18 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
-    _prune(root, False)
-    _measure(root, False)
+    _prune(root)
+    _measure(root)
     cut = _cut_marked(root, None)
     if cut:
-        _measure(root, False)
+        _measure(root)
     best = _best(root)
     if cut and best is not None and not _in_article(best):  # without an article, the best container is it
         for node, children in cut:
             node.children = children
-        _measure(root, False)
+        _measure(root)
         _cut_marked(root, best)
-        _measure(root, False)
+        _measure(root)
     out: list[str] = []
     run: list[str] = []
     if best is None:

@@ -298,3 +298,9 @@ def test_marks_do_not_cut_article_text():
                  f"<body><div id=page class=no-sidebar>{outside}<div>{p * 4}{parts}{gone}</div></div></body>",
                  f"<body><form id=form1><div class=with-sidebar>{outside}<div>{p * 4}{parts}{gone}</div></div></form></body>"):
         assert main_text(page) == want
+
+
+@pytest.mark.parametrize("tag", ["span", "div", "font", "b"])
+def test_ten_thousand_unclosed_tags(tag):
+    assert main_text(f"<{tag}>" * 10_000 + "<p>deep text, with a comma, long enough</p>tail") == "deep text, with a comma, long enough\ntail"
+    assert main_text(f"<{tag}>x" * 10_000).replace("\n", "") == "x" * 10_000
