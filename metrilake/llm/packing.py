@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import groups, shared_table, small_batches
@@ -22,7 +22,6 @@ from .tokens import default_path, encoder
 VOCABULARY = 1 << 16          # ids fit 16 bits; bounds every table of terms
 END = 0                       # id that ends a document
 SHARD_TOKENS = 1 << 20        # tokens of rests that one index holds, about
-TERMS = 16                    # rarest terms of a seed that form its query
 K1, B = 1.2, 0.75             # BM25
 
 
@@ -65,18 +64,19 @@ def encode(docs: DataFrame, *, text: str, key: str, path: str, window: int) -> D
     return src.mapInArrow(run, ddl)
 
 
-def rarest(ids: np.ndarray, idf: np.ndarray, most: int) -> np.ndarray:
-    """The distinct ids of the highest idf, ties by id."""
+def rarest(ids: np.ndarray, idf: np.ndarray, most: int | None) -> np.ndarray:
+    """The distinct ids of the highest idf, ties by id; all if most is null."""
     terms = np.unique(ids)
-    if len(terms) <= most:
+    if most is None or len(terms) <= most:
         return terms
     return terms[np.lexsort((terms, -idf[terms]))[:most]]
 
 
-def fill(rests: list[np.ndarray], idf: np.ndarray, window: int, terms: int) -> list[list[tuple[int, int, int]]]:
+def fill(rests: list[np.ndarray], idf: np.ndarray, window: int, terms: int | None = None) -> list[list[tuple[int, int, int]]]:
     """Sequences of pieces (rest number, first id, ids) that hold every id of the rests once.
 
-    Seeds come in the given order.  A seed's window takes its unused neighbours
+    Seeds come in the given order; all distinct ids of a seed, or the rarest
+    ``terms``, are its query.  A seed's window takes its unused neighbours
     by falling BM25 score (ties: the earlier one), then, where no neighbour
     shares a term, the next unused rest; the one that does not fit is cut there
     and its remainder seeds the next window.
@@ -95,6 +95,7 @@ def fill(rests: list[np.ndarray], idf: np.ndarray, window: int, terms: int) -> l
     weight = idf[tok] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / mean))
     start = np.searchsorted(tok, np.arange(VOCABULARY + 1))
     unused = np.ones(len(rests), bool)
+    left = held = len(rests)                     # unused rests; those the index holds
     out: list[list[tuple[int, int, int]]] = []
     nxt = 0
     seed: tuple[int, int] | None = None          # a rest and its first id not yet placed
@@ -106,11 +107,16 @@ def fill(rests: list[np.ndarray], idf: np.ndarray, window: int, terms: int) -> l
                 return out
             seed = (nxt, 0)
             unused[nxt] = False
+            left -= 1
         i, at = seed
         pieces = [(i, at, int(size[i] - at))]
         room = window - pieces[0][2]
         seed = None
-        if room:
+        if room and left:
+            if left * 4 < held * 3:              # used rests leave the index
+                keep = unused[doc]
+                tok, doc, weight, held = tok[keep], doc[keep], weight[keep], left
+                start = np.searchsorted(tok, np.arange(VOCABULARY + 1))
             spans = [slice(start[t], start[t + 1]) for t in rarest(rests[i], idf, terms)]
             score = np.bincount(np.concatenate([doc[s] for s in spans]), np.concatenate([weight[s] for s in spans]), minlength=len(rests))
             score[~unused] = 0
@@ -128,6 +134,7 @@ def fill(rests: list[np.ndarray], idf: np.ndarray, window: int, terms: int) -> l
                         break
                     j = nxt
                 unused[j] = False
+                left -= 1
                 take = min(room, int(size[j]))
                 pieces.append((j, 0, take))
                 room -= take
@@ -137,7 +144,7 @@ def fill(rests: list[np.ndarray], idf: np.ndarray, window: int, terms: int) -> l
 
 
 def pack(docs: DataFrame, *, window: int = 1024, text: str = "text", key: str = "doc_id", path: str | None = None,
-         shard_tokens: int = SHARD_TOKENS, terms: int = TERMS, with_ids: bool = False) -> DataFrame:
+         shard_tokens: int = SHARD_TOKENS, terms: int | None = None, with_ids: bool = False) -> DataFrame:
     """The pieces of all documents in sequences of at most ``window`` ids.
 
     Returns, a row for each piece, uid long (the document's row in this call),
@@ -152,9 +159,10 @@ def pack(docs: DataFrame, *, window: int = 1024, text: str = "text", key: str =
     their own.  An empty table gives an empty result; other columns are ignored.
 
     Term statistics count all documents.  Topics (a rest's most telling term)
-    of more than ``shard_tokens`` are split by hash, small ones share a shard,
-    so an index is bounded whatever the data; the driver holds one number for
-    each id of the vocabulary.
+    of more than ``shard_tokens`` are split by the second most telling one, and
+    by hash only where both are shared by more; small ones share a shard, so an
+    index is bounded whatever the data (three times ``shard_tokens`` and a
+    window); the driver holds one number for each id of the vocabulary.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -170,23 +178,27 @@ def pack(docs: DataFrame, *, window: int = 1024, text: str = "text", key: str =
     def topic(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf = held.value
         for batch in batches:
-            got = []
+            got, second = [], []
             for r in batch.column("rest"):
                 ids, count = np.unique(np.frombuffer(r.as_py(), np.uint16), return_counts=True)
                 value = count * idf[ids]
-                got.append(int(ids[np.argmax(value)]))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("uid", "key", "n", "rest")], pa.array(got, pa.int32())],
-                                             ["uid", "key", "n", "rest", "topic"])
+                best = int(np.argmax(value))
+                got.append(int(ids[best]))
+                value[best] = -1
+                second.append(int(ids[np.argmax(value)]))  # of one id, itself
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("uid", "key", "n", "rest")], pa.array(got, pa.int32()), pa.array(second, pa.int32())],
+                                             ["uid", "key", "n", "rest", "topic", "second"])
 
-    rests = rows.filter(F.length("rest") > 0).select("uid", "key", "n", "rest").mapInArrow(topic, "uid long, key long, n long, rest binary, topic int")
+    rests = rows.filter(F.length("rest") > 0).select("uid", "key", "n", "rest").mapInArrow(topic, "uid long, key long, n long, rest binary, topic int, second int")
     rests = shared_table(rests, "rests")
     sizes = rests.groupBy("topic").agg(F.sum(F.length("rest") / 2).cast("long").alias("ids")).toArrow()
     first, parts = _shards(dict(zip(sizes["topic"].to_pylist(), sizes["ids"].to_pylist())), shard_tokens)
     places = spark.createDataFrame(pa.table({"topic": pa.array(list(first), pa.int32()), "first": pa.array(list(first.values()), pa.int64()),
                                              "parts": pa.array([parts[k] for k in first], pa.int64())}))
-    dealt = (rests.join(F.broadcast(places), "topic")  # at most VOCABULARY rows
-             .withColumn("shard", F.col("first") + F.pmod(F.xxhash64("uid"), F.col("parts")))
-             .select("shard", "uid", "key", "n", "rest"))
+    placed = rests.join(F.broadcast(places), "topic")  # at most VOCABULARY rows
+    dealt = placed.filter("parts = 1").select(F.col("first").alias("shard"), "uid", "key", "n", "rest")
+    if max(parts.values(), default=1) > 1:
+        dealt = dealt.unionByName(_split(placed.filter("parts > 1"), shard_tokens))
     names = ["uid", "key", "start", "length", "crc", "n", "seq", "offset", "ids"]
     ddl = "uid long, key long, start long, length long, crc long, n long, seq long, offset long, ids binary"
 
@@ -229,6 +241,17 @@ def pack(docs: DataFrame, *, window: int = 1024, text: str = "text", key: str =
                       F.col("seq").alias("sequence_id"), "offset", *(["ids"] if with_ids else []))
 
 
+def _split(hot: DataFrame, most: int) -> DataFrame:
+    """Shards of the rests of large topics: in the order of the second term, so that those that share it lie together;
+    what more than ``most`` ids share is dealt by hash over as many shards as it needs."""
+    by = Window.partitionBy("topic").orderBy("second").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    size = hot.groupBy("topic", "second").agg(F.sum(F.length("rest") / 2).cast("long").alias("ids"))  # a topic: at most VOCABULARY rows
+    at = size.select("topic", "second", ((F.sum("ids").over(by) - F.col("ids")) / most).cast("long").alias("skip"),
+                     F.ceil(F.col("ids") / most).alias("span"))
+    place = F.least(F.col("skip") + F.pmod(F.xxhash64("uid"), F.col("span")), F.col("parts") - 1)
+    return hot.join(at, ["topic", "second"]).select((F.col("first") + place).alias("shard"), "uid", "key", "n", "rest")
+
+
 def _shards(sizes: dict[int, int], most: int) -> tuple[dict[int, int], dict[int, int]]:
     """First shard and number of shards of each topic: large topics get shards
     of their own, small ones share one in the order of their ids."""

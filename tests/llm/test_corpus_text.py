@@ -304,3 +304,23 @@ def test_marks_do_not_cut_article_text():
 def test_ten_thousand_unclosed_tags(tag):
     assert main_text(f"<{tag}>" * 10_000 + "<p>deep text, with a comma, long enough</p>tail") == "deep text, with a comma, long enough\ntail"
     assert main_text(f"<{tag}>x" * 10_000).replace("\n", "") == "x" * 10_000
+
+
+def test_commoner_shared_terms_decide_beyond_the_rarest():
+    idf = np.ones(packing.VOCABULARY, np.float32)
+    idf[100:200] = 5
+    rare = [list(range(100 + 20 * i, 120 + 20 * i)) for i in range(4)]  # 20 terms that no other rest has
+    rests = [np.array(r + [*common, 0], np.uint16) for r, common in zip(rare, ([1, 2, 3], [7, 8, 9], [4, 5, 6], [1, 2, 3]))]
+    got = packing.fill(rests, idf, 48)
+    assert [[i for i, _, _ in s] for s in got] == [[0, 3], [1, 2]]
+
+
+def test_large_topics_are_dealt_by_their_second_term(spark):
+    rows = [(i, 7, i % 5, bytes(200)) for i in range(50)] + [(50 + i, 7, 9, bytes(200)) for i in range(30)]
+    hot = spark.createDataFrame([(u, None, 100, r, t, s, 10, 8) for u, t, s, r in rows],
+                                "uid long, key long, n long, rest binary, topic int, second int, first long, parts long").repartition(3)
+    shard = {r.uid: r.shard for r in packing._split(hot, 1000).collect()}
+    assert set(shard) == set(range(80))
+    for second in range(5):
+        assert {shard[u] for u, _, s, _ in rows if s == second} == {10 + second}
+    assert {shard[u] for u, _, s, _ in rows if s == 9} == {15, 16, 17}
