@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ppm, sql
+from . import ppm, sql, suffix_tree, turns
 from .common import tables
 from .golomb import exact_duplicates
 from .html_text import extract
@@ -17,6 +17,7 @@ from .mixing import mix
 from .packing import pack
 from .projection import near_vectors
 from .shards import shard
+from .whitening import whiten
 
 
 def op1_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +78,24 @@ def op10_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(tables(spark, sf_dir, "pages"))
 
 
+def op11_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log10 probability under a suffix tree of six sevenths of them, and under their unigrams."""
+    docs = tables(spark, sf_dir, "documents").withColumn("held_out", suffix_tree.held_out("doc_id"))
+    tree, counts = suffix_tree.fit(docs.filter("not held_out"))
+    return suffix_tree.score(docs, tree, counts, keep=["doc_id", "held_out"])
+
+
+def op12_refined_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings on the first 16 whitened components."""
+    out = whiten(tables(spark, sf_dir, "embeddings"), keep=["vec_id"])
+    return out.select("vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest repair of every damaged conversation."""
+    return turns.repair(turns.damaged(tables(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hyperminhash": op1_hyperminhash,
     "op2_water_filling": op2_water_filling,
@@ -88,6 +107,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_rules": op8_license_rules,
     "op9_length_histogram": op9_length_histogram,
     "op10_tree_scoring": op10_tree_scoring,
+    "op11_suffix_tree": op11_suffix_tree,
+    "op12_refined_whitening": op12_refined_whitening,
+    "op13_turn_repair": op13_turn_repair,
 }
 
 SQL: dict[str, str] = {
@@ -96,4 +118,5 @@ SQL: dict[str, str] = {
     "op5_golomb_dedup": sql.OP5,
     "op6_projection_passes": sql.OP6,
     "op8_license_rules": sql.OP8,
+    "op13_turn_repair": sql.OP13,
 }

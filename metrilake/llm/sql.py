@@ -82,3 +82,67 @@ SELECT doc_id, concat_ws(',', {', '.join(names)}) AS licenses, coalesce(array_to
 
 
 OP8 = _op8()
+
+
+def _crc32(text: str) -> str:
+    """SQL for the crc32 of an ASCII text: the usual table by its rule (polynomial 0xEDB88320), one look-up a byte."""
+    table = []
+    for b in range(256):
+        for _ in range(8):
+            b = (b >> 1) ^ (0xEDB88320 if b & 1 else 0)
+        table.append(b)
+    return (f"xor(list_reduce([4294967295::BIGINT] || list_transform(string_split({text}, ''), lambda x: unicode(x)::BIGINT), "
+            f"lambda c, b: xor(c >> 8, ({table}::BIGINT[])[CAST(xor(c, b) & 255 AS INTEGER) + 1])), 4294967295::BIGINT)")
+
+
+def _op13() -> str:
+    """Costs and audits of all turns up to each by state (nothing, s, u, a), the cost as nine digits before the audit."""
+    def plus(x: str, cost: str, edit: str) -> str:
+        return f"(lpad(CAST(CAST({x}[1:9] AS BIGINT) + {cost} AS VARCHAR), 9, '0') || {x}[10:] || '{edit}')"
+
+    def stays(x: str, role: str) -> str:
+        keep = plus(x, "late", "K")
+        return (f"CASE WHEN gone THEN NULL WHEN letter = '{role}' THEN {keep}" + ("" if role == "s" else f" ELSE {plus(x, '1 + late', 'R')}") + " END")
+
+    closed = f"""SELECT *, q0 AS c0, q1 AS c1, least(q2, {plus('q0', '5', 'I')}, {plus('q1', '5', 'I')}, {plus('q3', '5', 'I')}) AS c2"""
+    step = f"""SELECT conv_id, i + 1 AS i, {plus('c0', '2', 'D')} AS q0, least({plus('c1', '2', 'D')}, {stays('c0', 's')}) AS q1,
+      least({plus('c2', '2', 'D')}, {stays('c0', 'u')}, {stays('c1', 'u')}, {stays('c3', 'u')}) AS q2, least({plus('c3', '2', 'D')}, {stays('c2', 'a')}) AS q3"""
+    return rf"""
+WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  {_crc32("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS kind FROM conversations),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+        CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+        unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM k),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos,
+             regexp_extract(text, '([^ 	-])[ 	-]*$', 1) AS mark FROM d),
+f AS (SELECT *, CASE WHEN mark = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'd'
+                     WHEN mark NOT IN ('.', '!', '?') THEN 't' ELSE '-' END AS fault, left(role, 1) AS letter,
+             lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) AS before FROM o),
+g AS (SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (WHERE fault = 'b') AS blank,
+             count(*) FILTER (WHERE fault = 'd') AS duplicate, count(*) FILTER (WHERE fault = 't') AS truncated,
+             count(*) FILTER (WHERE before IS NOT NULL AND before || letter NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM f GROUP BY conv_id),
+a AS (SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+             coalesce(illegal, 0) AS illegal, coalesce(n, 0) AS n
+      FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN g ON c.conv_id IS NOT DISTINCT FROM g.conv_id),
+w AS (SELECT conv_id, 0 AS i, '000000000' AS q0, NULL::VARCHAR AS q1, NULL::VARCHAR AS q2, NULL::VARCHAR AS q3 FROM a
+  UNION ALL
+  {step} FROM (SELECT *, least(q3, {plus('c2', '5', 'I')}) AS c3 FROM ({closed} FROM (
+    SELECT w.*, f.letter, f.fault IN ('b', 'd') AS gone, CASE f.fault WHEN 't' THEN 5 ELSE 0 END AS late
+    FROM w JOIN f ON w.conv_id IS NOT DISTINCT FROM f.conv_id AND f.pos = w.i + 1)))),
+r AS (SELECT conv_id, least(q0, q3, {plus('c2', '5', 'I')}) AS best
+      FROM ({closed} FROM (SELECT w.* FROM w JOIN a ON a.conv_id IS NOT DISTINCT FROM w.conv_id AND a.n = w.i))),
+u AS (SELECT conv_id, unnest(string_split(best[10:], '')) AS edit, generate_subscripts(string_split(best[10:], ''), 1) AS nth FROM r WHERE length(best) > 9),
+p AS (SELECT *, count(*) FILTER (WHERE edit <> 'I') OVER (PARTITION BY conv_id ORDER BY nth) AS pos,
+             count(*) FILTER (WHERE edit <> 'D') OVER (PARTITION BY conv_id ORDER BY nth) AS place FROM u),
+l AS (SELECT p.*, f.role, f.text, max(CASE WHEN edit = 'K' AND place = 1 AND f.letter = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY p.conv_id) AS lead
+      FROM p LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.pos = p.pos AND p.edit <> 'I'),
+s AS (SELECT conv_id, string_agg((CASE WHEN edit = 'K' THEN role WHEN (place - lead) % 2 = 1 THEN 'user' ELSE 'assistant' END) || ':'
+             || (CASE WHEN edit = 'I' THEN '' ELSE text END), E'
+' ORDER BY nth) AS body FROM l WHERE edit <> 'D' GROUP BY conv_id)
+SELECT a.conv_id, a.gaps, a.blank, a.duplicate, a.truncated, a.illegal, CAST(r.best[1:9] AS BIGINT) AS cost, r.best[10:] AS audit,
+       sha256(coalesce(s.body, '')) AS repaired_sha256
+FROM a JOIN r ON a.conv_id IS NOT DISTINCT FROM r.conv_id LEFT JOIN s ON a.conv_id IS NOT DISTINCT FROM s.conv_id
+"""
+
+
+OP13 = _op13()
