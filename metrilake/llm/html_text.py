@@ -27,58 +27,93 @@ SCOPES = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {
 
 LINKED = 0.5                  # share of link text up to which what stands beside the article is text
 
-# Words in class, id and role that mark what is no article text.
-_UNLIKELY = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|banner|sponsor\w*|promo\w*|sidebar|side|menu|nav\w*|navigation|breadcrumbs?|footer|"
-    r"masthead|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|"
-    r"social|related|recommend\w*|comments?|comment-list|respond|reply|replies|disqus|discussion|widget|pagination|pager|paging|toolbar|toc|skip|"
-    r"search|complementary|contentinfo|dialog|form|hidden|sr-only|print-only|noprint)(?=$|[\s_-])", re.I)
-_LIKELY = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|post|story|text|hentry|page)(?=$|[\s_-])", re.I)
+DEEPEST = 1024                # open elements on a path; deeper ones are closed at once, their text stays
+DEEPEST_INLINE = 256          # of them such as are no blocks
+
+# Parts of class words, ids and roles (between marks or capitals) that say what is no article text.
+_JUNK = re.compile(r"ads?|adv|advert\w*|adsense|banner|sponsor\w*|promo\w*|sidebar|menu|nav\w*|navigation|breadcrumbs?|footer|masthead|cookies?|consent|gdpr|"
+                   r"notification|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommend\w*|"
+                   r"disqus|widget|pagination|pager|paging|toolbar|copyright|complementary|contentinfo")
+_COMMENTS = re.compile(r"comments?|commentlist|respond|reply|replies|disqus")
+#: Words that can also name an article's subject: inside it they count as a whole class word or role only.
+_VAGUE = re.compile(r"side|notice|alert|discussion|search|form|toc|skip|hidden|dialog|sr-only|print-only|noprint")
+_LIKELY = re.compile(r"article|body|content|entry|main|post|story|text|hentry|page")
+_STATE = re.compile(r"(?:has|with|without|no|not|is)[-_]")
+_PARTS = re.compile(r"[\s_-]+|(?<=[a-z])(?=[A-Z])")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<(?:![^>]*|\?[^>]*)>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>", re.S)
+_NAME = re.compile(r"[A-Za-z][^\s/>]*")
+_INSIDE_TAG = re.compile(r"(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>")
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "children", "length", "linked", "score", "commas")
+    __slots__ = ("tag", "attrs", "parent", "children", "length", "linked", "score", "commas", "depth", "inline")
 
     def __init__(self, tag: str, attrs: dict, parent: Node | None):
         self.tag, self.attrs, self.parent = tag, attrs, parent
         self.children: list[Node | str] = []
         self.length = self.linked = self.commas = 0
         self.score = 0.0
+        self.depth = parent.depth + 1 if parent else 0
+        self.inline = (parent.inline if parent else 0) + (tag not in BLOCK)
 
 
 def parse(page: str) -> Node:
-    """A tree of the page's elements and decoded text; open and unknown tags are tolerated."""
+    """A tree of the page's elements and decoded text; open and unknown tags are tolerated.
+
+    The page is read once: a tag ends at the first > outside quotes, or at the first > at all if none is outside; one
+    that the page's end cuts off is dropped with what follows.  Elements nested too deep stay empty and their
+    text goes to the place where they stand, so that no end tag has more than DEEPEST elements to look through.
+    """
     root = at = Node("html", {}, None)
-    pos, end = 0, len(page)
+    pos, end, last = 0, len(page), page.rfind(">")
+    deep: dict[str, int] = {}          # open elements too deep to hold text, by name
+    opened: dict[str, int] = {}        # elements ever opened, by name
     while pos < end:
-        m = _TAG.search(page, pos)
-        if not m:
-            rest = page[pos:]
-            cut = re.search(r"<(?:/?[A-Za-z][^>]*|!--.*)$", rest, re.S)  # a tag that the page's end cuts off
-            _text(at, rest[: cut.start()] if cut else rest)
+        here = page.find("<", pos)
+        if here < 0:
+            _text(at, page[pos:])
             break
-        if m.start() > pos:
-            _text(at, page[pos:m.start()])
-        pos = m.end()
-        name = (m[2] or "").lower()
-        if not name:
+        if here > pos:
+            _text(at, page[pos:here])
+        if page.startswith("<!--", here):
+            stop = page.find("-->", here + 4)
+            pos = stop + 3 if stop >= 0 else end
+            continue
+        closing = page.startswith("</", here)
+        m = _NAME.match(page, here + 1 + closing)
+        if not m:
+            if page.startswith(("<!", "<?"), here):
+                stop = page.find(">", here)
+                pos = stop + 1 if stop >= 0 else end
+            else:
+                _text(at, "<")
+                pos = here + 1
             continue
-        if m[1]:
-            at = _close(at, name)
+        if here > last:
+            break
+        stop = _INSIDE_TAG.match(page, m.end())
+        inner, pos = (page[m.end():stop.end() - 1], stop.end()) if stop else (page[m.end():page.find(">", m.end())], page.find(">", m.end()) + 1)
+        if not pos:
+            break
+        name = m[0].lower()
+        if closing:
+            if deep.get(name):
+                deep[name] -= 1
+                at.children.append(Node(name, {}, at))
+            elif opened.get(name):
+                at = _close(at, name)
             continue
-        attrs = {a.lower(): (b or c or d or "") for a, b, c, d in _ATTR.findall(m[3])} if m[3] else {}
         if name == "html":
             continue
-        if name in CLOSES_P:
+        if name in CLOSES_P and opened.get("p"):
             at = _close(at, "p", inside=True)
-        if name in SAME:
+        if name in SAME and any(opened.get(x) for x in SAME[name]):
             at = _close_same(at, SAME[name], SCOPES[name])
+        attrs = {a.lower(): (b or c or d or "") for a, b, c, d in _ATTR.findall(inner)} if inner else {}
         node = Node(name, attrs, at)
         at.children.append(node)
-        if name in VOID or m[3].endswith("/") and name in ("svg", "path"):
+        if name in VOID or inner.endswith("/") and name in ("svg", "path"):
             continue
         if name in RAW:
             stop = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(page, pos)
@@ -87,6 +122,10 @@ def parse(page: str) -> Node:
                 _text(node, body)
             pos = stop.end() if stop else end
             continue
+        if node.depth > DEEPEST or node.inline > DEEPEST_INLINE and name not in BLOCK:
+            deep[name] = deep.get(name, 0) + 1
+            continue
+        opened[name] = opened.get(name, 0) + 1
         at = node
     return root
 
@@ -125,38 +164,88 @@ def _unwanted(node: Node, in_article: bool) -> bool:
     return bool(a) and ("hidden" in a or a.get("aria-hidden") == "true" or "style" in a and bool(_HIDDEN.search(a["style"])))
 
 
+def _words(node: Node) -> tuple[list[str], str, list[str]]:
+    """Class words, id and roles, without words of a page's state such as has-sidebar."""
+    a = node.attrs
+    return ([w for w in a.get("class", "").split() if not _STATE.match(w)], a.get("id", "").strip(), a.get("role", "").split())
+
+
+def _parts(word: str) -> list[str]:
+    return [p.lower() for p in _PARTS.split(word) if p]
+
+
+def _holds(pattern: re.Pattern, words: list[str]) -> bool:
+    return any(pattern.fullmatch(p) for w in words for p in _parts(w))
+
+
+def _is_comments(node: Node) -> bool:
+    """Whether class words or the whole id name reader comments."""
+    if not node.attrs or node.tag in ("body", "html") or re.fullmatch("h[1-6]", node.tag):
+        return False
+    words, ident, _ = _words(node)
+    return _holds(_COMMENTS, words) or bool(_COMMENTS.fullmatch(ident.lower())) or len(p := _parts(ident)) > 1 and bool(_COMMENTS.fullmatch(p[0])) and p[-1] in ("section", "list", "area")
+
+
 def _marked(node: Node, in_article: bool) -> bool:
-    """Whether class, id or role say that a node is no article text; inside the article only as whole words of them,
-    and not the id of a heading or a section, which names its subject."""
-    if node.tag == "form":
+    """Whether class, id or role say that a node is no article text.
+
+    Outside the article any part of them does.  Inside it parts of class words and whole roles and ids do; words that
+    can be an article's subject only as whole class words or roles, and ids of headings and sections not at all.
+    """
+    if not node.attrs or node.tag in ("body", "html"):
+        return False
+    if _is_comments(node):
         return True
-    a = node.attrs
-    if not a or node.tag in ("body", "html") or _is_article(node) or node.tag == "header" and in_article:
+    if _is_article(node) or node.tag == "header" and in_article:
         return False
-    words, ident, role = a.get("class", "").split(), a.get("id", "").strip(), a.get("role", "")
-    if any(_LIKELY.fullmatch(x) for x in (*words, ident)):
+    words, ident, roles = _words(node)
+    if any(_LIKELY.fullmatch(x.lower()) for x in (*words, ident)):
         return False
     if not in_article:
-        return bool(_UNLIKELY.search(f"{' '.join(words)} {ident} {role}"))
-    named = node.tag == "section" or "section" in words or re.fullmatch("h[1-6]", node.tag)
-    return any(_UNLIKELY.fullmatch(x) for x in (*words, *role.split(), *([] if named else [ident])))
+        named = [*words, ident, *roles]
+        return _holds(_JUNK, named) or _holds(_COMMENTS, named) or _holds(_VAGUE, named)
+    if node.tag != "section" and "section" not in words and not re.fullmatch("h[1-6]", node.tag):
+        roles = [*roles, ident]
+    return _holds(_JUNK, words) or any(_VAGUE.fullmatch(x.lower()) for x in words) or any(_JUNK.fullmatch(x.lower()) or _VAGUE.fullmatch(x.lower()) and x != "discussion" for x in roles)
 
 
-def _cut_marked(root: Node, best: Node | None) -> list[tuple[Node, list]]:
-    """Takes marked nodes out of a measured tree, but none that holds most of its unlinked text;
-    gives the nodes that lost children with those they had.  What lies in best is inside the article."""
-    most = (root.length - root.linked) / 2
-    cut = []
-    left = [(root, False)]
+def _cut_marked(root: Node, best: Node) -> None:
+    """Takes forms and marked nodes out of the tree, whatever they hold, but for those around best."""
+    around = set()
+    node, article = best, best
+    while node is not None:
+        around.add(id(node))
+        if _is_article(node):
+            article = node
+        node = node.parent
+    left = [(root, root is article)]
     while left:
         node, inside = left.pop()
-        inside = inside or node is best or _is_article(node)
-        kept = [c for c in node.children if isinstance(c, str) or c.length - c.linked > most or not _marked(c, inside)]
+        node.children = [c for c in node.children if isinstance(c, str) or id(c) in around or not (c.tag == "form" or _marked(c, inside))]
+        left += [(c, inside or c is article) for c in node.children if isinstance(c, Node)]
+
+
+def _set_aside(root: Node, marked: bool) -> list[tuple[Node, list]]:
+    """Takes reader comments out of a tree, and if asked for all marked nodes but those around a first heading;
+    gives the nodes that lost children with those they had."""
+    titled = set()
+    left, order = [root], []
+    while left:
+        node = left.pop()
+        order.append(node)
+        left += [c for c in node.children if isinstance(c, Node)]
+    for node in order:
+        if node.tag == "h1":
+            while node is not None and id(node) not in titled:
+                titled.add(id(node))
+                node = node.parent
+    lost = []
+    for node in order:
+        kept = [c for c in node.children if isinstance(c, str) or not (_is_comments(c) or marked and id(c) not in titled and _marked(c, False))]
         if len(kept) < len(node.children):
-            cut.append((node, node.children))
+            lost.append((node, node.children))
             node.children = kept
-        left += [(c, inside) for c in kept if isinstance(c, Node)]
-    return cut
+    return lost
 
 
 def _prune(root: Node) -> None:
@@ -256,8 +345,7 @@ def _best(root: Node) -> Node | None:
     _pass_points(root, nodes)
     best, top = None, 0.0
     for n in nodes:
-        marks = f"{n.attrs.get('class', '')} {n.attrs.get('id', '')}"
-        bonus = 25 if _is_article(n) else 5 if n.attrs and _LIKELY.search(marks) else 0
+        bonus = 25 if _is_article(n) else 5 if n.attrs and _holds(_LIKELY, [n.attrs.get("class", ""), n.attrs.get("id", "")]) else 0
         value = (n.score + (bonus if n.length else 0)) * (1 - _density(n)) if n.score or bonus else 0.0
         if value > top and n.tag in BLOCK:
             best, top = n, value
@@ -270,17 +358,17 @@ def main_text(page: str | None) -> str:
         return ""
     root = parse(page)
     _prune(root)
-    _measure(root)
-    cut = _cut_marked(root, None)
-    if cut:
+    best = None
+    for marked in (True, False):       # marked nodes are looked into only where nothing else holds a paragraph
+        lost = _set_aside(root, marked)
         _measure(root)
-    best = _best(root)
-    if cut and best is not None and not _in_article(best):  # without an article, the best container is it
-        for node, children in cut:
+        best = _best(root)
+        for node, children in lost:
             node.children = children
-        _measure(root)
-        _cut_marked(root, best)
-        _measure(root)
+        if best is not None:
+            _cut_marked(root, best)
+            break
+    _measure(root)
     out: list[str] = []
     run: list[str] = []
     if best is None:
@@ -341,10 +429,12 @@ def extract(pages: DataFrame, *, html: str = "html", key: str = "page_id", url:
 
     Scripts, forms, menus, headers and footers of the page, sidebars, notices,
     adverts and reader comments are cut from the tree by element, role and the
-    words of class and id, inside an article (or the best container) by whole
-    words only; what holds most of the page's unlinked text is never cut by
-    them.  Lists of links are left out outside the article.  Paragraphs pass points for length and commas to
-    their ancestors, discounted by link density.  The article or main around the best
+    words of class and id, however long they are, but never what lies around the
+    best container.  Inside the article (or the best container) words that can be
+    its subject count only as whole class words.  Lists of links are left out
+    outside the article.  Paragraphs pass points for length and commas to their
+    ancestors, discounted by link density; reader comments, and where anything
+    else holds a paragraph other marked nodes, give none.  The article or main around the best
     container is kept, or without one the outermost container beside which
     unlinked text stands, with all its siblings that are not mostly links:
     short paragraphs and sections and very long texts are neither dropped nor
