@@ -30,128 +30,165 @@ def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def encode(docs: DataFrame, *, text: str, key: str, path: str, window: int) -> DataFrame:
-    """Rows (uid, key, n, body, rest) of the documents' ids, END included: body
-    holds the whole windows, rest what is left, as 16-bit ids.  Each task adds
-    one row of (terms, counts): in how many of its documents a term occurs."""
+def encode(docs: DataFrame, *, text: str, key: str, path: str, window: int, with_ids: bool) -> DataFrame:
+    """Rows (uid, key, n, crcs, body, rest) of the documents' ids, END included: crcs holds one number for each whole
+    window, body their ids if asked for, rest what is left, as 16-bit ids.  Each task adds one row of (terms,
+    counts): in how many of its documents a term occurs."""
     src = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    ddl = "uid long, key long, n long, body binary, rest binary, terms array<int>, counts array<long>"
-    schema = pa.schema([("uid", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("body", pa.binary()), ("rest", pa.binary()),
-                        ("terms", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])
+    ddl = "uid long, key long, n long, crcs array<long>, body binary, rest binary, terms array<int>, counts array<long>"
+    longs = pa.list_(pa.int64())
+    schema = pa.schema([("uid", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("crcs", longs), ("body", pa.binary()), ("rest", pa.binary()),
+                        ("terms", pa.list_(pa.int32())), ("counts", longs)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         seen = np.zeros(VOCABULARY, np.int64)
         end = np.array([END], np.uint16).tobytes()
         for batch in batches:
-            n, body, rest = [], [], []
+            n, crcs, body, rest = [], [], [], []
             for t in batch.column("text"):
                 ids = enc(t.as_py()) + end
                 held = np.frombuffer(ids, np.uint16)
                 seen[np.unique(held)] += 1
-                cut = len(held) // window * window * 2
+                cut = len(held) // window * window
                 n.append(len(held))
-                body.append(ids[:cut])
-                rest.append(ids[cut:])
+                crcs.append([crc(held[a:a + window]) for a in range(0, cut, window)])
+                body.append(ids[:cut * 2] if with_ids else None)
+                rest.append(ids[cut * 2:])
             void = pa.nulls(len(n))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("uid"), batch.column("key"), pa.array(n, pa.int64()), pa.array(body, pa.binary()), pa.array(rest, pa.binary()),
+                [batch.column("uid"), batch.column("key"), pa.array(n, pa.int64()), pa.array(crcs, longs), pa.array(body, pa.binary()), pa.array(rest, pa.binary()),
                  void.cast(schema.field("terms").type), void.cast(schema.field("counts").type)], schema=schema)
         terms = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_pydict({"uid": [None], "key": [None], "n": [None], "body": [None], "rest": [None],
-                                          "terms": [terms.astype(np.int32)], "counts": [seen[terms]]}, schema=schema)
+        yield pa.RecordBatch.from_pydict({**{c: [None] for c in schema.names}, "terms": [terms.astype(np.int32)], "counts": [seen[terms]]}, schema=schema)
 
     return src.mapInArrow(run, ddl)
 
 
-def rarest(ids: np.ndarray, idf: np.ndarray, most: int | None) -> np.ndarray:
-    """The distinct ids of the highest idf, ties by id; all if most is null."""
-    terms = np.unique(ids)
-    if most is None or len(terms) <= most:
-        return terms
-    return terms[np.lexsort((terms, -idf[terms]))[:most]]
+class Index:
+    """BM25 postings of the rests of a shard.
 
+    Terms of at least a DENSE-th of the rests stand as rows of a matrix, whose sum over a query's terms is one addition
+    a rest and term; the others as lists of (rest, weight).  Together they hold no more entries than DENSE times
+    the postings.  Scores are sums over all terms of the query, in the order of the ids.
+    """
+
+    DENSE = 8
+
+    def __init__(self, rests: list[np.ndarray], idf: np.ndarray):
+        found = [np.unique(r, return_counts=True) for r in rests]
+        self.terms = [t for t, _ in found]
+        size = np.array([len(r) for r in rests])
+        tok = np.concatenate(self.terms)
+        doc = np.repeat(np.arange(len(rests), dtype=np.int32), [len(t) for t in self.terms])
+        tf = np.concatenate([c for _, c in found]).astype(np.float32)
+        order = np.argsort(tok, kind="stable")
+        tok, doc, tf = tok[order], doc[order], tf[order]
+        weight = (idf[tok] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / max(1.0, size.mean())))).astype(np.float32)
+        df = np.bincount(tok, minlength=VOCABULARY)
+        common = np.flatnonzero(df * self.DENSE >= len(rests))
+        self.row = np.full(VOCABULARY, -1, np.int32)
+        self.row[common] = np.arange(len(common))
+        often = self.row[tok] >= 0
+        self.matrix = np.zeros((len(common), len(rests)), np.float32)
+        self.matrix[self.row[tok[often]], doc[often]] = weight[often]
+        self.rests = np.arange(len(rests))           # the rest of each column
+        self._set(tok[~often], doc[~often], weight[~often])
+
+    def _set(self, tok: np.ndarray, doc: np.ndarray, weight: np.ndarray) -> None:
+        self.tok, self.doc, self.weight = tok, doc, weight
+        self.start = np.searchsorted(tok, np.arange(VOCABULARY + 1))
+
+    def keep(self, columns: np.ndarray) -> None:
+        """Only these columns stay."""
+        at = np.cumsum(columns, dtype=np.int32) - 1
+        stay = columns[self.doc]
+        self.matrix = self.matrix[:, columns]
+        self.rests = self.rests[columns]
+        self._set(self.tok[stay], at[self.doc[stay]], self.weight[stay])
+
+    def scores(self, terms: np.ndarray) -> np.ndarray:
+        """The score of each column for a query."""
+        rows = self.row[terms]
+        out = self.matrix[rows[rows >= 0]].sum(axis=0, dtype=np.float32).astype(np.float64)
+        spans = [slice(self.start[t], self.start[t + 1]) for t in terms[rows < 0] if self.start[t] < self.start[t + 1]]
+        if spans:
+            out += np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), minlength=len(out))
+        return out
 
-def fill(rests: list[np.ndarray], idf: np.ndarray, window: int, terms: int | None = None) -> list[list[tuple[int, int, int]]]:
-    """Sequences of pieces (rest number, first id, ids) that hold every id of the rests once.
 
-    Seeds come in the given order; all distinct ids of a seed, or the rarest
-    ``terms``, are its query.  A seed's window takes its unused neighbours
-    by falling BM25 score (ties: the earlier one), then, where no neighbour
-    shares a term, the next unused rest; the one that does not fit is cut there
-    and its remainder seeds the next window.
+def falling(score: np.ndarray, some: int = 32) -> Iterator[int]:
+    """The places of positive scores, the highest first, ties in their order; few are sorted unless more are asked for."""
+    n = len(score)
+    done = np.inf
+    while True:
+        low = np.partition(score, n - some)[n - some] if some < n else 0.0
+        near = np.flatnonzero((score >= low) & (score > 0) & (score < done))
+        yield from near[np.argsort(-score[near], kind="stable")].tolist()
+        if low <= 0:
+            return
+        done, some = low, some * 8
+
+
+def fill(rests: list[np.ndarray], idf: np.ndarray, window: int) -> list[list[tuple[int, int, int, bool]]]:
+    """Sequences of pieces (rest number, first id, ids, whether retrieval placed it) that hold every id of the rests once.
+
+    Seeds come in the given order; all distinct ids of a seed are its query.  A seed's window takes its unused
+    neighbours by falling BM25 score (ties: the earlier one), then, where no neighbour shares a term, the next
+    unused rest; the one that does not fit is cut there and its remainder seeds the next window.
     """
-    size = np.array([len(r) for r in rests])
-    mean = max(1.0, size.mean()) if len(rests) else 1.0
-    tok, doc, tf = [], [], []
-    for i, r in enumerate(rests):
-        t, c = np.unique(r, return_counts=True)
-        tok.append(t)
-        doc.append(np.full(len(t), i, np.int32))
-        tf.append(c)
-    tok, doc, tf = np.concatenate(tok), np.concatenate(doc), np.concatenate(tf).astype(np.float32)
-    order = np.argsort(tok, kind="stable")
-    tok, doc, tf = tok[order], doc[order], tf[order]
-    weight = idf[tok] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / mean))
-    start = np.searchsorted(tok, np.arange(VOCABULARY + 1))
+    size = [len(r) for r in rests]
+    index = Index(rests, idf)
     unused = np.ones(len(rests), bool)
-    left = held = len(rests)                     # unused rests; those the index holds
-    out: list[list[tuple[int, int, int]]] = []
+    left = len(rests)
+    out: list[list[tuple[int, int, int, bool]]] = []
     nxt = 0
-    seed: tuple[int, int] | None = None          # a rest and its first id not yet placed
+    seed: tuple[int, int, bool] | None = None    # a rest, its first id not yet placed, and how it was found
     while True:
         if seed is None:
             while nxt < len(rests) and not unused[nxt]:
                 nxt += 1
             if nxt == len(rests):
                 return out
-            seed = (nxt, 0)
+            seed = (nxt, 0, False)
             unused[nxt] = False
             left -= 1
-        i, at = seed
-        pieces = [(i, at, int(size[i] - at))]
+        i, at, found = seed
+        pieces = [(i, at, size[i] - at, found)]
         room = window - pieces[0][2]
         seed = None
         if room and left:
-            if left * 4 < held * 3:              # used rests leave the index
-                keep = unused[doc]
-                tok, doc, weight, held = tok[keep], doc[keep], weight[keep], left
-                start = np.searchsorted(tok, np.arange(VOCABULARY + 1))
-            spans = [slice(start[t], start[t + 1]) for t in rarest(rests[i], idf, terms)]
-            score = np.bincount(np.concatenate([doc[s] for s in spans]), np.concatenate([weight[s] for s in spans]), minlength=len(rests))
-            score[~unused] = 0
-            near = np.flatnonzero(score > 0)
-            near = near[np.lexsort((near, -score[near]))]
-            k = 0
-            while room:
-                if k < len(near):
-                    j = int(near[k])
-                    k += 1
-                else:
-                    while nxt < len(rests) and not unused[nxt]:
+            if left * 4 < len(index.rests) * 3:      # used rests leave the index
+                index.keep(unused[index.rests])
+            score = index.scores(index.terms[i])
+            score[~unused[index.rests]] = 0
+            near = falling(score)
+            while room and left:
+                k = next(near, None)
+                if k is None:
+                    while not unused[nxt]:
                         nxt += 1
-                    if nxt == len(rests):
-                        break
-                    j = nxt
+                j = nxt if k is None else int(index.rests[k])
                 unused[j] = False
                 left -= 1
-                take = min(room, int(size[j]))
-                pieces.append((j, 0, take))
+                take = min(room, size[j])
+                pieces.append((j, 0, take, k is not None))
                 room -= take
                 if take < size[j]:
-                    seed = (j, take)
+                    seed = (j, take, k is not None)
         out.append(pieces)
 
 
 def pack(docs: DataFrame, *, window: int = 1024, text: str = "text", key: str = "doc_id", path: str | None = None,
-         shard_tokens: int = SHARD_TOKENS, terms: int | None = None, with_ids: bool = False) -> DataFrame:
+         shard_tokens: int = SHARD_TOKENS, with_ids: bool = False) -> DataFrame:
     """The pieces of all documents in sequences of at most ``window`` ids.
 
     Returns, a row for each piece, uid long (the document's row in this call),
     <key>, start long (its document's ids before it), length long, ids_crc32
     long, doc_tokens long, sequence_id long, offset long (its place in the
-    sequence, gapless from 0) and, if asked for, ids binary (little-endian
-    unsigned 16-bit).
+    sequence, gapless from 0), by string (how the piece came there: whole, a window cut from its document; neighbour,
+    found by retrieval; next, a first seed, or in order where no neighbour was left) and, if asked for, ids binary
+    (little-endian unsigned 16-bit).
 
     A document is the ids of its whole text and END; null and empty texts are
     END alone.  Every id lies in exactly one piece.  All sequences but the last
@@ -166,7 +203,7 @@ def pack(docs: DataFrame, *, window: int = 1024, text: str = "text", key: str =
     """
     spark = docs.sparkSession
     small_batches(spark)
-    t = shared_table(encode(docs, text=text, key=key, path=path or default_path(), window=window), "ids")
+    t = shared_table(encode(docs, text=text, key=key, path=path or default_path(), window=window, with_ids=with_ids), "ids")
     stats = (t.filter("terms is not null").select(F.explode(F.arrays_zip("terms", "counts")).alias("z"))
              .groupBy(F.col("z.terms").alias("term")).agg(F.sum("z.counts").alias("df")).toArrow())
     df = np.zeros(VOCABULARY, np.float64)
@@ -199,12 +236,8 @@ def pack(docs: DataFrame, *, window: int = 1024, text: str = "text", key: str =
     dealt = placed.filter("parts = 1").select(F.col("first").alias("shard"), "uid", "key", "n", "rest")
     if max(parts.values(), default=1) > 1:
         dealt = dealt.unionByName(_split(placed.filter("parts > 1"), shard_tokens))
-    names = ["uid", "key", "start", "length", "crc", "n", "seq", "offset", "ids"]
-    ddl = "uid long, key long, start long, length long, crc long, n long, seq long, offset long, ids binary"
-
-    def table(found: list[tuple]) -> pa.RecordBatch:
-        cols = list(zip(*found))
-        return pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:8]], pa.array(cols[8], pa.binary())], names)
+    names = ["uid", "key", "start", "length", "crc", "n", "seq", "offset", "by", "ids"]
+    ddl = "uid long, key long, start long, length long, crc long, n long, seq long, offset long, by string, ids binary"
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf = held.value
@@ -212,33 +245,25 @@ def pack(docs: DataFrame, *, window: int = 1024, text: str = "text", key: str =
             ids = [np.frombuffer(r, np.uint16) for r in g["rest"].to_pylist()]
             uid, keys, n = g["uid"].to_pylist(), g["key"].to_pylist(), g["n"].to_pylist()
             base = g["shard"][0].as_py() << 32
-            found = []
-            for s, pieces in enumerate(fill(ids, idf, window, terms)):
+            rows = []
+            for s, pieces in enumerate(fill(ids, idf, window)):
                 at = 0
-                for i, a, size in pieces:
+                for i, a, size, found in pieces:
                     part = ids[i][a:a + size]
-                    found.append((uid[i], keys[i], n[i] - len(ids[i]) + a, size, crc(part), n[i], (base + s) * 2, at,
-                                  part.tobytes() if with_ids else None))
+                    rows.append((uid[i], keys[i], n[i] - len(ids[i]) + a, size, crc(part), n[i], (base + s) * 2, at,
+                                 "neighbour" if found else "next", part.tobytes() if with_ids else None))
                     at += size
-            yield table(found)
+            cols = list(zip(*rows))
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:8]], pa.array(cols[8], pa.string()), pa.array(cols[9], pa.binary())], names)
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for uid, k, n, body in zip(*[batch.column(c).to_pylist() for c in ("uid", "key", "n", "body")]):
-                ids = np.frombuffer(body, np.uint16)
-                for a in range(0, len(ids), window):
-                    part = ids[a:a + window]
-                    found.append((uid, k, a, window, crc(part), n, None, 0, part.tobytes() if with_ids else None))
-            if found:
-                yield table(found)
-
-    packed = (dealt.repartition("shard").sortWithinPartitions("shard", "uid").mapInArrow(shards, ddl))
-    full = (rows.filter(F.length("body") > 0).select("uid", "key", "n", "body").mapInArrow(whole, ddl)
-            .withColumn("seq", F.monotonically_increasing_id() * 2 + 1))
+    packed = dealt.repartition("shard").sortWithinPartitions("shard", "uid").mapInArrow(shards, ddl)
+    full = (rows.filter(F.size("crcs") > 0).select("uid", "key", "n", "body", F.posexplode("crcs").alias("w", "crc"))
+            .select("uid", "key", (F.col("w") * F.lit(window)).cast("long").alias("start"), F.lit(window).cast("long").alias("length"), "crc", "n",
+                    (F.monotonically_increasing_id() * 2 + 1).alias("seq"), F.lit(0).cast("long").alias("offset"), F.lit("whole").alias("by"),
+                    F.expr(f"substring(body, w * {2 * window} + 1, {2 * window})").alias("ids")))
     out = packed.unionByName(full)
     return out.select("uid", F.col("key").alias(key), "start", "length", F.col("crc").alias("ids_crc32"), F.col("n").alias("doc_tokens"),
-                      F.col("seq").alias("sequence_id"), "offset", *(["ids"] if with_ids else []))
+                      F.col("seq").alias("sequence_id"), "offset", "by", *(["ids"] if with_ids else []))
 
 
 def _split(hot: DataFrame, most: int) -> DataFrame:

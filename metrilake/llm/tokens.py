@@ -2,16 +2,20 @@
 from __future__ import annotations
 
 import os
+import re
 from array import array
 
 
+_FAR = re.compile("[\u0250-\U0010ffff]")
+
+
 class Encoder:
-    """Ids of byte_bpe_50k.json, the same as the tokenizers library gives
-    without special tokens.
+    """Ids of byte_bpe_50k.json, the same as the tokenizers library gives with add_special_tokens=False: none are put
+    around a text; where a text itself spells one out, that is one id, and the library encodes the text whole.
 
-    A piece between single spaces or line feeds, with a space before it, is
-    encoded once and its ids are kept (up to a bound): words repeat far more
-    than texts do.  A text whose white space allows no such cut is encoded whole.
+    The quicker library encodes texts of the first Unicode blocks, whose letters and blanks both libraries class
+    alike.  Of others, a piece between single spaces or line feeds, with a space before it, is encoded once and
+    its ids are kept (up to a bound); a text whose white space allows no such cut is encoded whole.
     """
 
     def __init__(self, path: str, most: int = 250_000):
@@ -19,15 +23,14 @@ class Encoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self._whole = Tokenizer.from_file(path)
-        self._whole.encode_special_tokens = True
+        self._special = [t.content for t in self._whole.get_added_tokens_decoder().values()]
         self._quick = _ranked(path)
         self._after_space = _Kept(self, " ", most)
         self._at_start = _Kept(self, "", most // 8)
         self._line = self._encode("\n")
 
     def _encode(self, text: str) -> bytes:
-        # Letters of the first Unicode blocks are classed alike by both libraries.
-        if self._quick is not None and (text.isascii() or max(text) < "ɐ"):
+        if self._quick is not None and (text.isascii() or not _FAR.search(text)):
             return array("H", self._quick.encode_ordinary(text)).tobytes()
         return array("H", self._whole.encode(text, add_special_tokens=False).ids).tobytes()
 
@@ -35,6 +38,10 @@ class Encoder:
         """The ids as native 16-bit unsigned integers (the vocabulary has 50,257)."""
         if not text:
             return b""
+        if any(t in text for t in self._special):
+            return array("H", self._whole.encode(text, add_special_tokens=False).ids).tobytes()
+        if self._quick is not None and not _FAR.search(text):
+            return self._encode(text)
         out: list[bytes | None] = []
         for line in text.split("\n"):
             head, *pieces = line.split(" ")

@@ -189,19 +189,37 @@ def isolated_pairs(rnd, n, dim, shared, pairs):
     return x
 
 
-@pytest.mark.parametrize("n,shared,by_passes", [(1500, 0.8, False), (3000, 0.0, True)])
-def test_isolated_pairs_of_dense_and_spread_labels_are_found(spark, n, shared, by_passes):
+@pytest.mark.parametrize("n,shared,window,left", [(1500, 0.8, 4, True), (1500, 0.8, 64, False), (3000, 0.0, 4, False), (400, 0.8, 256, False)])
+def test_isolated_pairs_of_dense_and_spread_labels_are_found(spark, n, shared, window, left):
+    """By the passes alone, but where rows stay too crowded for them; then by comparing those whole."""
     x = isolated_pairs(np.random.default_rng(4), n, 64, shared, 100)
     df = spark.createDataFrame([(i, [float(a) for a in v], 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int").repartition(3)
     thin = spark.createDataFrame([(1, i, v.tobytes()) for i, v in enumerate(x)], "grp long, uid long, payload binary")
-    assert (projection._passes(thin, 0.93, 4, 5).first().todo is not None) == by_passes
-    got = projection.near_vectors(df, window=4).toPandas()
     sim = x @ x.T
     links = [(int(a), int(b)) for a, b in zip(*np.nonzero(sim >= 0.93)) if a < b]
     assert len(links) >= 100
+    edges, rest = projection.sorted_passes(thin, cosine=0.93, window=window, seed=5)
+    rest = {r.uid for r in rest.collect()}
+    assert bool(rest) == left
+    found = classes(range(n), [(r.a, r.b) for r in edges.collect()])
+    missed = [(a, b) for a, b in links if found[a] != found[b]]
+    assert all(a in rest and b in rest for a, b in missed)
+    got = projection.near_vectors(df, window=window).toPandas()
     assert dict(zip(got.vec_id, got.component_id)) == classes(range(n), links)
 
 
+def test_nearness_is_a_bound_for_a_part_of_the_order():
+    """Of any stretch of the order, no row is nearer than in the whole of it, and those far from its ends are as near."""
+    rnd = np.random.default_rng(3)
+    key = np.sort(rnd.integers(0, 1 << 62, 500) * 2 + 1)
+    grp = np.zeros(500, np.int64)
+    whole = projection.nearness(grp, key, 0.93, 4)
+    for a, b in ((0, 500), (100, 300), (7, 12), (3, 4)):
+        part = projection.nearness(grp[a:b], key[a:b], 0.93, 4)
+        assert (part <= whole[a:b] + 1e-12).all() and (part[20:-20] == whole[a:b][20:-20]).mean() > (0.9 if b - a > 60 else -1)
+    assert (projection.nearness(np.zeros(3), np.array([1, 2, 3]), 0.93, 8) < 1).all()
+
+
 def test_prefix_depths_match_counts():
     rnd = np.random.default_rng(3)
     key = np.concatenate([rnd.integers(0, 1 << 63, 60), (np.int64(5) << 59) + rnd.integers(0, 1 << 20, 30), np.full(9, 77)])

@@ -24,11 +24,10 @@ def test_ids_equal_the_tokenizers_library():
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(default_path())
-    whole.encode_special_tokens = True
     enc = encoder(default_path())
     rnd = random.Random(1)
     made = ["".join(rnd.choice("ab Ab \n\t'.,1é漢 ́") for _ in range(60)) for _ in range(300)]
-    for t in [*[x for x in ODD if x], *made, "<|endoftext|> x"]:
+    for t in [*[x for x in ODD if x], *made, "<|endoftext|> x", "a<|endoftext|>b", "two <|endoftext|>\n\n <|endoftext|>  x", "<|endoftext", "a<|endoftext|>" * 3]:
         assert np.frombuffer(enc(t), np.uint16).tolist() == whole.encode(t, add_special_tokens=False).ids, repr(t)
     assert enc(None) == enc("") == b""
 
@@ -67,7 +66,55 @@ def test_packing_places_every_id_once(spark):
 def test_windows_fill_with_lexical_neighbours():
     idf = np.ones(packing.VOCABULARY, np.float32)
     rests = [np.array([1, 2, 3], np.uint16), np.array([7, 8, 9], np.uint16), np.array([1, 2, 4], np.uint16), np.array([7, 8, 5, 6], np.uint16)]
-    assert packing.fill(rests, idf, 6, 16) == [[(0, 0, 3), (2, 0, 3)], [(1, 0, 3), (3, 0, 3)], [(3, 3, 1)]]
+    assert packing.fill(rests, idf, 6) == [[(0, 0, 3, False), (2, 0, 3, True)], [(1, 0, 3, False), (3, 0, 3, True)], [(3, 3, 1, True)]]
+
+
+def plain_scores(rests, idf):
+    """BM25 of each rest for each other as a query, term by term."""
+    mean = sum(map(len, rests)) / len(rests)
+    count = [Counter(r.tolist()) for r in rests]
+    return [[sum(float(idf[t]) * c[t] * 2.2 / (c[t] + 1.2 * (0.25 + 0.75 * len(r) / mean)) for t in q if t in c) for r, c in zip(rests, count)] for q in count]
+
+
+@pytest.mark.parametrize("seed,window,words", [(1, 40, 60), (2, 64, 300), (3, 16, 8), (4, 1024, 2000)])
+def test_windows_are_filled_as_a_plain_bm25_search_fills_them(seed, window, words):
+    rnd = np.random.default_rng(seed)
+    idf = rnd.uniform(0.1, 6, packing.VOCABULARY).astype(np.float32)
+    rests = [np.minimum(rnd.zipf(1.3, rnd.integers(1, min(window, 300))), words).astype(np.uint16) for _ in range(260)]
+    rests += [rests[5], rests[5], rests[7], np.array([0], np.uint16), np.array([0], np.uint16)]
+    score = plain_scores(rests, idf)
+    unused, seed_at, by_search = set(range(len(rests))), None, 0
+    for pieces in packing.fill(rests, idf, window):
+        (i, at, size, _), *others = pieces
+        assert size == len(rests[i]) - at
+        if seed_at is None:
+            assert i == min(unused) and at == 0
+            unused.remove(i)
+        else:
+            assert (i, at) == seed_at
+        room, seed_at = window - size, None
+        for j, start, n, found in others:
+            best = max(score[i][x] for x in unused)
+            assert start == 0 and n == min(room, len(rests[j])) and found == (best > 0)
+            if best > 0:
+                assert score[i][j] == pytest.approx(best, rel=1e-5)
+                assert all(len(rests[x]) != len(rests[j]) or (rests[x] != rests[j]).any() for x in unused if x < j)  # of equal rests the earlier one
+                by_search += 1
+            else:
+                assert j == min(unused)
+            unused.remove(j)
+            room -= n
+            seed_at = (j, n) if n < len(rests[j]) else None
+        assert room == 0 or not unused
+    assert not unused and seed_at is None and by_search > 50
+
+
+def test_falling_scores_with_ties():
+    rnd = np.random.default_rng(0)
+    for n in (0, 1, 31, 32, 33, 500):
+        for kinds in (3, 1000):
+            score = rnd.integers(0, kinds, n).astype(float)
+            assert list(packing.falling(score)) == sorted(np.flatnonzero(score > 0).tolist(), key=lambda i: (-score[i], i))
 
 
 def test_length_histogram_answers(spark):
@@ -235,6 +282,66 @@ def test_code_lengths_match_a_plain_ppm():
     assert model.code_lengths([text])[0] == pytest.approx(want, rel=1e-4)
 
 
+def gnu(name, short, versions):
+    return (f"This {short} is free software{versions[0]} you can redistribute it and/or modify\nit under the terms of the GNU {name} General Public License as published by\n"
+            f"the Free Software Foundation{versions[1]}\n\nThis {short} is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\n"
+            f"MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU\n{name} General Public License for more details.\n\n"
+            f"You should have received a copy of the GNU {name} General Public License\nalong with this {short}; if not, see <https://www.gnu.org/licenses/>.\n").replace("GNU  General", "GNU General").replace("\n General", "\nGeneral")
+
+
+BSD = ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n"
+       "1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n\n"
+       "2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.\n")
+OWN = "\n3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n"
+AS_IS = ('\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"\nAND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE\n'
+         "IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE\nDISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE\n"
+         "FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL\nDAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR\nSERVICES; LOSS OF USE, DATA, OR PROFITS.\n")
+APACHE = ('Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n'
+          "    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software\ndistributed under the License is distributed on an \"AS IS\" BASIS,\n"
+          "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\nSee the License for the specific language governing permissions and\nlimitations under the License.\n")
+ISC = ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n\n"
+       'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH\nREGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND\n'
+       "FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,\nINDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS\n"
+       "OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER\nTORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF\nTHIS SOFTWARE.\n")
+NOTICES = [
+    ("Apache-2.0", APACHE), ("BSD-2-Clause", BSD + AS_IS), ("BSD-3-Clause", BSD + OWN + AS_IS), ("ISC", ISC),
+    ("GPL-3.0-or-later", gnu("", "program", (":", ", either version 3 of the License, or\n(at your option) any later version."))),
+    ("GPL-2.0-or-later", gnu("", "program", (";", "; either version 2 of the License, or\n(at your option) any later version."))),
+    ("LGPL-2.1-or-later", gnu("Lesser", "library", (";", "; either\nversion 2.1 of the License, or (at your option) any later version."))),
+    ("LGPL-3.0-or-later", gnu("Lesser", "program", (":", ", either version 3 of the License, or\n(at your option) any later version."))),
+    ("AGPL-3.0-or-later", gnu("Affero", "program", (":", ", either version 3 of the License, or\n(at your option) any later version."))),
+    ("Unlicense", "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy it.\n\nFor more information, please refer to <https://unlicense.org/>"),
+    ("EPL-2.0", "This program and the accompanying materials are made\navailable under the terms of the Eclipse Public License 2.0\nwhich is available at https://www.eclipse.org/legal/epl-2.0/\n"),
+    ("CC0-1.0", "To the extent possible under law, the author(s) have dedicated all copyright\nand related and neighboring rights to this software to the public domain\nworldwide. This software is distributed without any warranty.\n\n"
+                "You should have received a copy of the CC0 Public Domain Dedication along with\nthis software."),
+    *[(name, f"// SPDX-License-Identifier: {i}") for i, name in licenses.SPDX.items()],
+]
+
+
+def test_notices_of_all_licences_are_matched_whole(spark):
+    """As they stand, behind comment marks, and with empty tables, repeated rows and clashing names."""
+    marked = [(name, "\n".join(" * " + x if x else " *" for x in t.split("\n"))) for name, t in NOTICES if "\n" in t]
+    rows = [(i, t, name) for i, (name, t) in enumerate([*NOTICES, *marked])]
+    rows += rows[:3]
+    docs = spark.createDataFrame([(i, t, [], 1) for i, t, _ in rows], "doc_id long, text string, licenses array<string>, unmatched int")
+    got = sorted((r.doc_id, r.licenses, r.unmatched) for r in licenses.scan(docs).collect())
+    assert got == sorted((i, [name], 0) for i, _, name in rows)
+    assert licenses.scan(docs.filter("false")).count() == 0
+
+
+def test_the_licence_scan_matches_its_sql(spark, duck):
+    import pandas as pd
+    from metrilake.llm import queries, sql
+    rows = [(i, t) for i, (_, t) in enumerate([*NOTICES, *[("", " * " + x.replace("\n", "\n * ")) for _, x in NOTICES], ("", None), ("", ""), ("", "licence; \n#\n permission. x")])]
+    spark.createDataFrame(rows, "doc_id long, text string").createOrReplaceTempView("notices")
+    got = licenses.scan(spark.table("notices")).select("doc_id", F.array_join("licenses", ",").alias("licenses"),
+                                                      F.concat_ws(",", F.transform("sentence_ids", lambda i: i.cast("string"))).alias("sentence_ids"), "unmatched")
+    con = duck.cursor()
+    con.execute("CREATE TEMP TABLE documents AS SELECT * FROM (VALUES " + ", ".join(["(?::BIGINT, ?::VARCHAR)"] * len(rows)) + ") t(doc_id, text)", [x for r in rows for x in r])
+    want = con.execute(sql.OP8).fetchall()
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <header><a href="/">Home</a> Site name</header><nav><ul><li><a href="/a">A</a></li></ul></nav><div class="cookie-notice">We use cookies, a lot.</div>
 <div id="main-content"><h1>Head &amp; tail</h1><p>First paragraph, long enough to score, with some commas, and <b>bold&nbsp;text</b> that goes on.
@@ -300,6 +407,46 @@ def test_marks_do_not_cut_article_text():
         assert main_text(page) == want
 
 
+LINE = "A sentence of the text, which is long enough to count, stands here."
+TALK = "I agree with all of it, truly, every single word, thanks and bye."
+
+
+@pytest.mark.parametrize("junk", ["section class=comments-section", "section id=comments", "div class=post-comments", "div class=ad-slot", "div class=share-buttons",
+                                  "div class=newsletter-signup", "div class=cookie-banner", "div class=related-posts", "ol class=commentlist", "div class=copyright",
+                                  "div class=cookieBanner", "div id=comments", "article class=comment", "div class='post comments'", "div class=sidebar", "section class='related section'"])
+@pytest.mark.parametrize("n,m", [(8, 14), (2, 6), (8, 2)])
+def test_marked_parts_go_whatever_their_length(junk, n, m):
+    text, talk = f"<h1>Head</h1>{f'<p>{LINE}' * n}", f"<{junk}>{f'<p>{TALK}' * m}</{junk.split()[0]}>"
+    want = "\n".join(["Head"] + [LINE] * n)
+    for page in (f"<main>{text}{talk}</main>", f"<article>{text}{talk}</article>", f"<body><article>{text}</article>{talk}</body>", f"<body>{talk}<article>{text}</article></body>",
+                 f"<body>{talk}<div>{text}</div></body>", f"<body><div class=content>{text}</div>{talk}</body>", f"<main><div>{text}</div>{talk}</main>",
+                 f"<body><form><div>{text}</div>{talk}</form></body>"):
+        assert main_text(page) == want, page
+
+
+def test_a_marked_wrapper_around_all_text_stays():
+    p = f"<p>{LINE}" * 5
+    want = "\n".join([LINE] * 5)
+    for page in (f"<div class=modal>{p}</div>", f"<form>{p}</form>", f"<div class=widget><article>{p}</article></div>", f"<div class=page-sidebar><h1>Head</h1>{p}</div><p>All rights are with their owners, as ever."):
+        assert want in main_text(page)
+
+
+@pytest.mark.parametrize("bad", ["<a ", "<a \"", "<a '\"", "<!x ", "</b ", "<", "<b></i>", "<i><table><div></i>", "<b><li></li>", "<li><ul><div><li></li>", "<p><li><b><hr>", "&amp", "<!--", "<b x='>", "<p>x<q>y"])
+def test_a_malformed_page_of_a_million_characters_is_read_in_a_pass(bad):
+    import time
+
+    at = time.process_time()
+    main_text(f"<p>{LINE}</p>" + bad * (1_000_000 // len(bad)))
+    main_text(bad * (1_000_000 // len(bad)) + f"> '> \"><p>{LINE}</p>")
+    assert time.process_time() - at < 60
+
+
+def test_tags_that_are_cut_off_or_badly_quoted():
+    assert main_text("<p>one <a href='x>two</a> three") == "one two three"
+    assert main_text("a < b and c > d <b>e</b>") == "a < b and c > d e"
+    assert main_text("<p title='a > b'>text</p>") == "text"
+
+
 @pytest.mark.parametrize("tag", ["span", "div", "font", "b"])
 def test_ten_thousand_unclosed_tags(tag):
     assert main_text(f"<{tag}>" * 10_000 + "<p>deep text, with a comma, long enough</p>tail") == "deep text, with a comma, long enough\ntail"
@@ -312,7 +459,7 @@ def test_commoner_shared_terms_decide_beyond_the_rarest():
     rare = [list(range(100 + 20 * i, 120 + 20 * i)) for i in range(4)]  # 20 terms that no other rest has
     rests = [np.array(r + [*common, 0], np.uint16) for r, common in zip(rare, ([1, 2, 3], [7, 8, 9], [4, 5, 6], [1, 2, 3]))]
     got = packing.fill(rests, idf, 48)
-    assert [[i for i, _, _ in s] for s in got] == [[0, 3], [1, 2]]
+    assert [[p[0] for p in s] for s in got] == [[0, 3], [1, 2]]
 
 
 def test_large_topics_are_dealt_by_their_second_term(spark):
