@@ -148,14 +148,13 @@ def exact_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id"
     group = shared_table(least.filter("size > 1").select("fp", "sha", F.col("first.key").alias("keep"),
                                                          F.col("first.uid").alias("keep_uid"), "size"), "groups")
 
-    # byte verification: a group is whole if its smallest text is its largest; map tasks send
-    # two texts a group, however many rows it has, and rows that are no suspects are not normalised
+    # byte verification: a group is whole if its smallest text is its largest; both are aggregated before anything
+    # is joined, so a map task sends two texts a group, however many rows it has; rows that are no suspects are not normalised
     maybe = maybe_in(found.select(F.xxhash64("key").alias("fp")))
     texts = (docs.withColumn("_asked", F.xxhash64(F.col(key))).filter(maybe("_asked"))
              .select(F.col(key).alias("key"), normal(F.col(text)).alias("norm"))
              .select("key", "norm", F.xxhash64("norm").alias("fp"), F.unhex(F.sha2("norm", 256)).alias("sha")))
-    held = texts.join(group.select("fp", "sha"), ["fp", "sha"], "left_semi")
-    ends = held.groupBy("fp", "sha").agg(F.min("norm").alias("low"), F.max("norm").alias("high"))
+    ends = texts.groupBy("fp", "sha").agg(F.min("norm").alias("low"), F.max("norm").alias("high"))
     wrong = shared_table(ends.filter("low <> high").select("fp", "sha"), "wrong")
     out = (t.join(group, ["fp", "sha"], "left")
            .select("uid", "key", "fp", "sha", F.coalesce("keep", "key").alias("keep_id"), F.coalesce("size", F.lit(1)).alias("size"),
@@ -165,7 +164,7 @@ def exact_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id"
     if wrong.isEmpty():
         return out.select(*result)
     # equal hashes, unequal bytes: those groups are formed anew by the bytes themselves
-    rows = (held.join(wrong, ["fp", "sha"], "left_semi")
+    rows = (texts.join(wrong, ["fp", "sha"], "left_semi")
             .withColumn("uid", F.monotonically_increasing_id()))
     rows = shared_table(rows, "collided")
     exact = rows.groupBy("fp", "sha", "norm").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("size"))
