@@ -71,7 +71,7 @@ def _op8() -> str:
     last = len(RULES)
     return rf"""
 WITH p AS (SELECT doc_id, list_filter(list_transform(string_split_regex(regexp_replace(lower(coalesce(text, '')), '[.!?;](\s|$)', chr(1) || '\1', 'g'),
-             chr(1) || '|\n\s*\n'), lambda x: trim(x, E' \t\r\n')), lambda x: regexp_matches(x, '{STEMS}')) AS parts FROM documents),
+             chr(1) || '|\n[^\p{{L}}\p{{N}}\n]*\n'), lambda x: trim(x, E' \t\r\n')), lambda x: regexp_matches(x, '{STEMS}')) AS parts FROM documents),
 b AS (SELECT doc_id, flatten(list_transform(parts, lambda x: CASE WHEN contains(x, chr(10)) THEN list_concat([x], string_split(x, chr(10))) ELSE [x] END)) AS parts FROM p),
 m AS (SELECT doc_id, list_filter(list_transform(parts, lambda x: MAP {{{known}}}[trim(regexp_replace(x, '[^\p{{L}}\p{{N}}]+', ' ', 'g'))]), lambda x: x IS NOT NULL) AS ids FROM b),
 r0 AS (SELECT doc_id, ids, CASE WHEN len(ids) > 0 THEN ',' || array_to_string(ids, ',,') || ',' ELSE '' END AS s0 FROM m),
@@ -114,7 +114,9 @@ d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role
         CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
         unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM k),
 o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos,
-             regexp_extract(text, '([^ 	-])[ 	-]*$', 1) AS mark FROM d),
+             regexp_extract(text, '([^ 	-
+])[ 	-
+]*$', 1) AS mark FROM d),
 f AS (SELECT *, CASE WHEN mark = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'd'
                      WHEN mark NOT IN ('.', '!', '?') THEN 't' ELSE '-' END AS fault, left(role, 1) AS letter,
              lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) AS before FROM o),
