@@ -5,8 +5,11 @@ vectors of a label by it and compares each with a bounded window of its
 neighbours.  Pairs that reach the cosine join classes; the union over all
 passes gives components, inside which links are then counted exactly.
 
-How many passes a label needs is measured on its keys.  Where comparing all its
-pairs costs no more than those passes, all pairs are compared instead.
+A pass also measures, for each row, how many leading bits it takes until no more
+rows than a window share them.  A pair at the cosine agrees in that many bits
+with a known chance, and is then compared; so each row knows the chance that
+all its passes missed a partner of it, and takes part until that is below MISS.
+Rows that are still too crowded after ROUNDS are compared with each other whole.
 """
 from __future__ import annotations
 
@@ -22,10 +25,9 @@ from pyspark.sql import functions as F
 from .common import components, group_links, groups, shared_table
 
 BITS = 63                     # bits of an order key
-WINDOW = 64                   # neighbours that a vector is compared with on either side
+WINDOW = 256                  # neighbours that a vector is compared with on either side
 MISS = 1e-5                   # chance that no pass brings a pair at the threshold close
-AT_ONCE = 4                   # passes in one job
-LEAST = 4                     # passes at least; so many are measured
+ROUNDS = (4, 4, 8, 16, 32)    # passes in one job
 BLOCK = 1024                  # vectors of a component that are compared with as many others at once
 
 
@@ -58,44 +60,16 @@ def prefix_depths(grp: np.ndarray, key: np.ndarray, window: int) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(np.concatenate([edge, crowded, edge]), lag + 1).max(axis=1)
 
 
-def _measured(keyed: DataFrame, cosine: float, window: int) -> DataFrame:
-    """(grp, near) of keyed's (pass, grp, key, uid): a bound on the chance that one pass brings a pair at the cosine
-    close, for the row of each grp with the most crowded keys; null if no row could be measured.
-
-    A pair agrees in a bit with the chance 1 - angle / pi wherever its vectors lie.  Rows so close to the edge of a
-    partition that their run may reach over it are left to the other passes.
-    """
-    bit = 1 - math.acos(cosine) / math.pi
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        t = pa.Table.from_batches(held)
-        number, grp, uid = t["pass"].to_numpy(), t["grp"].to_numpy(), t["uid"].to_numpy()
-        lag = window + 1
-        for n in np.unique(number):
-            at = np.flatnonzero(number == n)
-            depth = prefix_depths(grp[at], t["key"].to_numpy()[at], window)
-            near = np.where(depth > BITS, 0.0, bit ** depth)
-            inner = slice(lag, max(lag, len(at) - lag))
-            yield pa.RecordBatch.from_arrays([pa.array(grp[at][inner]), pa.array(uid[at][inner]), pa.array(near[inner])], ["grp", "uid", "near"])
-
-    return (keyed.select("pass", "grp", "key", "uid").repartitionByRange("pass", "grp", "key", "uid").sortWithinPartitions("pass", "grp", "key", "uid")
-            .mapInArrow(run, "grp long, uid long, near double").groupBy("grp", "uid").agg(F.avg("near").alias("near"))
-            .groupBy("grp").agg(F.min("near").alias("near")))
-
-
-def _passes(thin: DataFrame, cosine: float, window: int, seed: int) -> DataFrame:
-    """(grp, todo) of thin's (grp, uid, payload): passes after which a pair at the cosine has come within a window with
-    a probability of 1 - MISS; null where all pairs are no more comparisons than that."""
-    size = shared_table(thin.groupBy("grp").agg(F.count(F.lit(1)).alias("rows")), "sizes")
-    large = thin.join(size.filter(F.col("rows") > LEAST * 2 * window), "grp").select("grp", "uid", "payload")
-    keyed = large.mapInArrow(_keys(list(range(LEAST)), seed), "pass int, grp long, key long, uid long, payload binary")
-    near = F.least("near", F.lit(1 - 1e-9))
-    todo = F.when(F.col("near") > 0, F.greatest(F.lit(LEAST), F.ceil(F.lit(math.log(MISS)) / F.log1p(-near))))
-    return shared_table(size.join(_measured(keyed, cosine, window), "grp", "left")
-                        .select("grp", F.when(todo * 2 * window < F.col("rows"), todo).cast("int").alias("todo")), "passes")
+def nearness(grp: np.ndarray, key: np.ndarray, cosine: float, window: int) -> np.ndarray:
+    """For the rows of a partition, in order (grp: the run of a pass and group that a row is in): a bound on the chance
+    that its pass compares a row with a partner at the cosine.  What lies beyond the partition counts as sharing all
+    bits with the row at its edge."""
+    if not len(key):
+        return np.zeros(0)
+    lag = window + 1
+    grp, key = (np.concatenate([np.full(lag, x[0]), x, np.full(lag, x[-1])]) for x in (grp, key))
+    depth = prefix_depths(grp, key, window)[lag:-lag]
+    return np.where(depth > BITS, 0.0, (1 - math.acos(cosine) / math.pi) ** depth)
 
 
 def sparse_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,8 +111,9 @@ def _window_edges(x: np.ndarray, uid: np.ndarray, grp: np.ndarray, cosine: float
     return sparse_forest(a, b) if len(a) else (a, b)
 
 
-def _sorted_pass_edges(keyed: DataFrame, cosine: float, window: int) -> DataFrame:
-    """keyed: pass, grp, key, uid, payload; edges (a, b) of all passes.
+def _sorted_pass_edges(keyed: DataFrame, cosine: float, window: int) -> tuple[DataFrame, DataFrame]:
+    """keyed: pass, grp, key, uid, payload; edges (a, b) of all passes, and (uid, missed): log of the chance that they
+    all missed a partner of the row.
 
     Rows at the edges of a partition of the order go to a second step, which
     compares the end of each with the start of the next.
@@ -148,9 +123,13 @@ def _sorted_pass_edges(keyed: DataFrame, cosine: float, window: int) -> DataFram
         tail = None
         head: list[pa.RecordBatch] = []
         heads = 0
+        thin: list[list[np.ndarray]] = [[], [], [], []]
         for batch in batches:
             if not batch.num_rows:
                 continue
+            for held, c in zip(thin, ("pass", "grp", "uid", "key")):
+                held.append(batch.column(c).to_numpy())
+            batch = batch.drop_columns("key")
             if heads < window:
                 head.append(batch.slice(0, window - heads))
                 heads += head[-1].num_rows
@@ -161,7 +140,13 @@ def _sorted_pass_edges(keyed: DataFrame, cosine: float, window: int) -> DataFram
             for border, side, t in ((place, 1, pa.Table.from_batches(head)), (place + 1, 0, tail)):
                 n = t.num_rows
                 yield from pa.table([pa.array([None] * n, pa.int64())] * 2 + [pa.array(np.full(n, border, np.int64)), pa.array(np.full(n, side, np.int32)),
-                                    pa.array(np.arange(n, dtype=np.int64)), t["pass"], t["grp"], t["uid"], t["payload"]], names=names).to_batches()
+                                    pa.array(np.arange(n, dtype=np.int64)), t["pass"], t["grp"], t["uid"], t["payload"], pa.nulls(n, pa.float64())], names=names).to_batches()
+            number, grp, uid, key = (np.concatenate(x) for x in thin)
+            runs = np.cumsum(np.diff(number, prepend=number[0]).astype(bool) | np.diff(grp, prepend=grp[0]).astype(bool))
+            with np.errstate(divide="ignore"):
+                missed = np.maximum(np.log1p(-nearness(runs, key, cosine, window)), -1e3)
+            void = pa.nulls(len(uid))
+            yield pa.RecordBatch.from_arrays([*[void.cast(schema.field(c).type) for c in names[:7]], pa.array(uid), void.cast(pa.binary()), pa.array(missed)], names)
 
     def _edges(t: pa.Table, cosine: float, window: int, across: int | None = None) -> Iterator[pa.RecordBatch]:
         pay = t["payload"].to_pylist()
@@ -186,15 +171,36 @@ def _sorted_pass_edges(keyed: DataFrame, cosine: float, window: int) -> DataFram
                 for e in _edges(t, cosine, window, cut):
                     yield e.select(["a", "b"])
 
-    names = ["a", "b", "border", "side", "at", "pass", "grp", "uid", "payload"]
+    names = ["a", "b", "border", "side", "at", "pass", "grp", "uid", "payload", "missed"]
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("border", pa.int64()), ("side", pa.int32()), ("at", pa.int64()),
-                        ("pass", pa.int32()), ("grp", pa.int64()), ("uid", pa.int64()), ("payload", pa.binary())])
-    ddl = "a long, b long, border long, side int, at long, pass int, grp long, uid long, payload binary"
+                        ("pass", pa.int32()), ("grp", pa.int64()), ("uid", pa.int64()), ("payload", pa.binary()), ("missed", pa.float64())])
+    ddl = "a long, b long, border long, side int, at long, pass int, grp long, uid long, payload binary, missed double"
     ordered = keyed.repartitionByRange("pass", "grp", "key", "uid").sortWithinPartitions("pass", "grp", "key", "uid")
-    both = shared_table(ordered.select("pass", "grp", "uid", "payload").mapInArrow(inner, ddl), "pass")
+    both = shared_table(ordered.select("pass", "grp", "uid", "key", "payload").mapInArrow(inner, ddl), "pass")
     within = both.filter("a is not null").select("a", "b")
-    between = both.filter("a is null").repartition("border").sortWithinPartitions("border").mapInArrow(border, "a long, b long")
-    return within.unionByName(between)
+    between = both.filter("border is not null").repartition("border").sortWithinPartitions("border").mapInArrow(border, "a long, b long")
+    return within.unionByName(between).distinct(), both.filter("missed is not null").groupBy("uid").agg(F.sum("missed").alias("missed"))
+
+
+def sorted_passes(thin: DataFrame, *, cosine: float, window: int, seed: int, rounds: tuple[int, ...] = ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """thin: grp, uid, payload; edges (a, b) that the passes find, and the rows of thin that are left after them.
+
+    A row takes part until its partners are missed with a chance below MISS.  That bound is the row's own, so a pair
+    needs only one of its rows to reach it: rows that go on are compared among themselves.
+    """
+    left, edges, missed, first = thin, None, None, 0
+    for n in rounds:
+        keyed = left.mapInArrow(_keys(list(range(first, first + n)), seed), "pass int, grp long, key long, uid long, payload binary")
+        found, more = _sorted_pass_edges(keyed, cosine, window)
+        found = shared_table(found, "found")
+        edges = found if edges is None else edges.unionByName(found)
+        missed = more if missed is None else missed.unionByName(more).groupBy("uid").agg(F.sum("missed").alias("missed"))
+        missed = shared_table(missed.filter(F.col("missed") > math.log(MISS)), "missed")
+        left = thin.join(missed.select("uid"), "uid", "left_semi").select("grp", "uid", "payload")
+        first += n
+        if missed.isEmpty():
+            break
+    return edges, left
 
 
 def near_vectors(vectors: DataFrame, *, cosine: float = 0.93, embedding: str = "embedding", label: str = "label", key: str = "vec_id",
@@ -213,12 +219,11 @@ def near_vectors(vectors: DataFrame, *, cosine: float = 0.93, embedding: str = "
     component's id only if no row of it has a key (then null and not kept).
     An empty table gives an empty result; other columns are ignored.
 
-    Passes: for each label as many as bring a pair at the threshold within a
-    window of its order with a probability of 1 - MISS, by how crowded its keys
-    are where they are most so (_passes).  A label whose pairs are no more than
-    the comparisons of its passes is compared whole, without a miss.  Links are
-    counted exactly within components, block against block, so windows do not
-    cap them.
+    A pair at the threshold is missed by all passes with a chance below MISS (two
+    vectors agree in a hyperplane's bit with a chance of 1 - angle / pi, wherever
+    they lie); rows too crowded for that after all rounds are compared with
+    each other whole, block against block.  Links are counted exactly within
+    components, block against block, so windows do not cap them.
     """
     src = vectors.select(F.monotonically_increasing_id().alias("uid"), F.col(key).cast("long").alias("key"),
                          F.col(label).cast("string").alias("label"), F.col(embedding).cast("array<double>").alias("v"))
@@ -235,21 +240,13 @@ def near_vectors(vectors: DataFrame, *, cosine: float = 0.93, embedding: str = "
     classes = shared_table(good.groupBy("grp", "label", "payload").agg(F.min("uid").alias("rep"), F.min("key").alias("least"),
                                                                       F.count(F.lit(1)).alias("copies")), "vectors")
     thin = classes.select("grp", F.col("rep").alias("uid"), "payload")
-    plan = _passes(thin, cosine, window, seed)
-
     def linked(left: list[bytes], right: list[bytes]) -> np.ndarray:
         x, y = (np.frombuffer(b"".join(side), np.float64).reshape(len(side), -1) for side in (left, right))
         return x @ y.T >= cosine
 
-    short = thin.join(plan.filter("todo is null"), "grp")
-    edges = group_links(short.select("grp", "uid", F.lit(1).cast("long").alias("weight")), thin.select("uid", "payload"), linked,
-                        most=2 * BLOCK, name="vectors")
-    most = plan.agg(F.max("todo")).first()[0] or 0
-    for first in range(0, most, AT_ONCE):
-        numbers = list(range(first, min(most, first + AT_ONCE)))
-        keyed = (thin.join(plan.filter(F.col("todo") > first), "grp").select("grp", "uid", "payload")
-                 .mapInArrow(_keys(numbers, seed), "pass int, grp long, key long, uid long, payload binary"))
-        edges = edges.unionByName(shared_table(_sorted_pass_edges(keyed, cosine, window).distinct(), "found"))
+    edges, left = sorted_passes(thin, cosine=cosine, window=window, seed=seed)
+    edges = edges.unionByName(group_links(left.select("grp", "uid", F.lit(1).cast("long").alias("weight")), thin.select("uid", "payload"), linked,
+                                          most=2 * BLOCK, name="vectors"))
     root = shared_table(components(edges, "vec"), "roots")
 
     # exact counts within components
