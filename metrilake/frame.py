@@ -98,7 +98,7 @@ class Grid:
     """Evaluation times start, start+step, …, ≤ end (epoch ms).
 
     A grid has no cap: it is three numbers on the driver, its points are made by
-    Spark where they are needed (``df``) or follow from a sample's time (``covering``).
+    Spark where they are needed (``df``) or follow from a sample's time.
     """
     start: int
     end: int
@@ -134,20 +134,13 @@ class Grid:
     def ts_of(self, k: Column) -> Column:
         return (F.lit(self.start) + k * F.lit(self.step)).cast("bigint")
 
-    def covering(self, lo: Column, hi: Column) -> Column:
-        """Array of grid indices k with lo <= t_k <= hi (empty when none)."""
-        kmin = F.greatest(F.lit(0).cast("bigint"),
-                          F.ceil((lo - F.lit(self.start)) / F.lit(self.step)).cast("bigint"))
-        kmax = F.least(F.lit(self.n - 1).cast("bigint"),
-                       F.floor((hi - F.lit(self.start)) / F.lit(self.step)).cast("bigint"))
-        return F.when(kmin <= kmax, F.sequence(kmin, kmax)).otherwise(F.array().cast("array<bigint>"))
-
 
 # --- MetricFrame ---------------------------------------------------------------------
 @dataclass(frozen=True)
 class MetricFrame:
     df: DataFrame
     labels: tuple[str, ...]
+    empty: bool = False        # known to hold no rows, whatever it is made of
 
     def __post_init__(self):
         object.__setattr__(self, "labels", tuple(self.labels))
@@ -158,7 +151,7 @@ class MetricFrame:
         return self.df.sparkSession
 
     def with_df(self, df: DataFrame, labels: Iterable[str] | None = None) -> "MetricFrame":
-        return MetricFrame(df, tuple(self.labels if labels is None else labels))
+        return MetricFrame(df, tuple(self.labels if labels is None else labels), self.empty)
 
     def select_std(self) -> DataFrame:
         return self.df.select(*self.labels, TS, VALUE)
@@ -167,7 +160,7 @@ class MetricFrame:
         if NAME not in self.labels:
             return self
         labels = tuple(l for l in self.labels if l != NAME)
-        return MetricFrame(self.df.drop(NAME), labels)
+        return MetricFrame(self.df.drop(NAME), labels, self.empty)
 
     def to_table(self, timestamps: bool = False) -> DataFrame:
         """Plain result table: labels, ts (epoch ms or timestamp), value."""
@@ -183,35 +176,6 @@ class MetricFrame:
         return lambda *a, **kw: fn(self, *a, **kw)
 
 
-def spread_for_expansion(df: DataFrame, factor: float, min_factor: float = 4.0) -> DataFrame:
-    """Round-robin an under-split input before an operator multiplies its rows.
-
-    A window/lookback expansion turns each sample into ``factor`` rows and its
-    partial aggregate runs in the scan's tasks.  An input with fewer splits than the
-    cluster has cores (one file holding one row group, a single Kafka partition)
-    would do that work in a handful of tasks; spreading the *unexpanded* rows costs a
-    shuffle of 1/factor of what follows.  Inputs that already have enough splits
-    (any real store) are returned unchanged."""
-    if factor < min_factor:
-        return df
-    try:
-        # a shuffle upstream already sets the partition count (and asking an adaptive
-        # plan for its RDD would run those stages): only scan-side inputs are looked at
-        tree = df._jdf.queryExecution().optimizedPlan().treeString()
-        if _SHUFFLING.search(tree):
-            return df
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < cores:
-            return df.repartition(cores)
-    except Exception:  # noqa: BLE001 - no plan/RDD view (e.g. a remote session): leave the plan as it is
-        pass
-    return df
-
-
-_SHUFFLING = re.compile(r"^[\s:|+\-]*(Aggregate|Window|WindowGroupLimit|Join|Repartition|RepartitionByExpression|"
-                        r"RebalancePartitions|Sort|Deduplicate|Distinct|Intersect|Except)\b", re.M)
-
-
 def label_list(mf: MetricFrame, by: Sequence[str] | None = None, without: Sequence[str] | None = None) -> list[str]:
     """Grouping label list for ``by`` / ``without`` (metric name always removed by ``without``)."""
     if by is not None and without is not None:
@@ -232,7 +196,7 @@ def ensure_labels(mf: MetricFrame, names: Iterable[str]) -> MetricFrame:
     df = mf.df
     for n in missing:
         df = df.withColumn(n, F.lit(""))
-    return MetricFrame(df, mf.labels + tuple(missing))
+    return MetricFrame(df, mf.labels + tuple(missing), mf.empty)
 
 
 def null_safe_on(left: DataFrame, right: DataFrame, keys: Sequence[str], rprefix: str) -> Column:

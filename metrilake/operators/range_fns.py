@@ -1,33 +1,21 @@
 """Range (window) functions over one series: W1–W13.
 
 Window semantics: at grid time t a function sees the samples with
-t - range <= ts <= t.  Every sample is expanded to the grid points whose window
-contains it (≤ range/step + 1 of them) and the work is grouped by (series, t):
-
-* functions that only need an order-free summary (``*_over_time``, ``deriv``,
-  ``predict_linear``) aggregate with a map-side partial merge;
-* functions over consecutive pairs (``rate``, ``increase``, ``irate``,
-  ``changes``) take ``lag`` inside each (series, t) window and aggregate in the
-  same partitioning – one shuffle, and a group never exceeds the samples of one
-  series inside one window, however hot that series is.
+t - range <= ts <= t.  All of them read one row per (series, t) from
+``slots.window_table``, which merges summaries of the series' slots: samples are
+shuffled once, whatever range and step are, and no group holds more than the
+samples of one series in one slot.
 """
 from __future__ import annotations
 
 from typing import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..frame import NAN, NAME, TS, VALUE, Grid, MetricFrame, duration_ms, spread_for_expansion
+from ..frame import NAME, TS, VALUE, Grid, MetricFrame, duration_ms, fdiv
 from .series import running_sum, series_lag
-from .slots import nan_aware, use_slots, window_table
-
-
-def _windows(mf: MetricFrame, grid: Grid, rng: int) -> DataFrame:
-    ts = F.col(TS)
-    df = mf.df.filter((ts >= F.lit(grid.start - rng)) & (ts <= F.lit(grid.end)))
-    df = spread_for_expansion(df, min(grid.n, rng / grid.step + 1) if grid.n > 1 else 1)
-    return df.select(*mf.labels, TS, VALUE, F.explode(grid.covering(ts, ts + F.lit(rng))).alias("_k"))
+from .slots import MOMENTS, nan_aware, window_table
 
 
 def _labels_out(mf: MetricFrame, keep_name: bool = False) -> tuple[str, ...]:
@@ -43,91 +31,57 @@ def _finish(mf: MetricFrame, grid: Grid, agg: DataFrame, value: Column, keep_nam
     return MetricFrame(out, labels)
 
 
-def _nan_aware(fn, v: Column) -> Column:
-    # NaN loses to any number; all-NaN window gives NaN
-    real = fn(F.when(~F.isnan(v), v))
-    return F.when(real.isNull() & (F.count(v) > 0), F.lit(NAN)).otherwise(real)
-
-
-def over_time(mf: MetricFrame, fn: str, rng, grid: Grid, strategy: str = "auto") -> MetricFrame:
-    """avg/min/max/last/sum/count ``_over_time``."""
-    r = duration_ms(rng)
-    if fn in ("avg", "min", "max", "last") and use_slots(grid, r, strategy):
-        t = window_table(mf, grid, r)
-        val = {"avg": F.col("sum") / F.col("n"), "min": nan_aware(F.col("min"), F.col("nans")),
-               "max": nan_aware(F.col("max"), F.col("nans")), "last": F.col("last.v")}[fn]
-        return _finish(mf, grid, t.select(*mf.labels, "_k", val.alias("_r")), F.col("_r"), keep_name=(fn == "last"))
-    d = _windows(mf, grid, r)
-    v = F.col(VALUE)
-    aggs = {
-        "avg": F.avg(v),
-        "min": _nan_aware(F.min, v),
-        "max": _nan_aware(F.max, v),
-        "last": F.max(F.struct(F.col(TS), v))[VALUE],
-    }
-    if fn not in aggs:
+def over_time(mf: MetricFrame, fn: str, rng, grid: Grid) -> MetricFrame:
+    """avg/min/max/last ``_over_time``."""
+    parts = {"avg": {"sum"}, "min": {"min", "nans"}, "max": {"max", "nans"}, "last": {"last"}}
+    if fn not in parts:
         raise ValueError(f"unknown over_time function {fn}")
-    agg = d.groupBy(*mf.labels, "_k").agg(aggs[fn].alias("_r"))
-    return _finish(mf, grid, agg, F.col("_r"), keep_name=(fn == "last"))
+    t = window_table(mf, grid, duration_ms(rng), parts[fn])
+    val = {"avg": lambda: F.col("sum") / F.col("n"), "min": lambda: nan_aware(F.col("min"), F.col("nans")),
+           "max": lambda: nan_aware(F.col("max"), F.col("nans")), "last": lambda: F.col("last.v")}[fn]()
+    return _finish(mf, grid, t, val, keep_name=(fn == "last"))
 
 
-def avg_over_time(mf, rng, grid, strategy="auto"): return over_time(mf, "avg", rng, grid, strategy)
-def min_over_time(mf, rng, grid, strategy="auto"): return over_time(mf, "min", rng, grid, strategy)
-def max_over_time(mf, rng, grid, strategy="auto"): return over_time(mf, "max", rng, grid, strategy)
-def last_over_time(mf, rng, grid, strategy="auto"): return over_time(mf, "last", rng, grid, strategy)
+def avg_over_time(mf, rng, grid): return over_time(mf, "avg", rng, grid)
+def min_over_time(mf, rng, grid): return over_time(mf, "min", rng, grid)
+def max_over_time(mf, rng, grid): return over_time(mf, "max", rng, grid)
+def last_over_time(mf, rng, grid): return over_time(mf, "last", rng, grid)
 
 
-def _regression(mf: MetricFrame, rng, grid: Grid):
-    r = duration_ms(rng)
-    d = _windows(mf, grid, r)
-    x = ((F.col(TS) - grid.ts_of(F.col("_k"))) / F.lit(1000.0))
-    return (d.withColumn("_x", x)
-             .groupBy(*mf.labels, "_k")
-             .agg(F.count(VALUE).alias("_n"),
-                  F.regr_slope(F.col(VALUE), F.col("_x")).alias("_slope"),
-                  F.regr_intercept(F.col(VALUE), F.col("_x")).alias("_icpt")))
+def _regression(mf: MetricFrame, rng, grid: Grid) -> tuple[DataFrame, Column, Column]:
+    """The windows with at least two samples, slope per second and value at t of their least-squares lines.
+
+    The sums of the slots are about origins near the window (see ``window_table``); slots are summed about their
+    own means first, so neither epoch times nor large values cost digits.
+    """
+    t = window_table(mf, grid, duration_ms(rng), set(MOMENTS))
+    n, sx, sy = F.col("n"), F.col("sx"), F.col("sy")
+    var, cov = F.col("sxx") - sx * sx / n, F.col("sxy") - sx * sy / n
+    slope = F.when(F.col("_wide"), fdiv(cov, var))
+    at = (grid.ts_of(F.col("_k")) - F.col("x0")) / F.lit(1000.0)
+    # samples that share one timestamp leave only rounding in var
+    t = t.filter(n >= 2).withColumn("_wide", var > F.col("sxx") * F.lit(1e-14))
+    return t, slope, F.col("y0") + sy / n + slope * (at - sx / n)
 
 
 def deriv(mf: MetricFrame, rng, grid: Grid) -> MetricFrame:
     """Least-squares slope per second (W4); needs two samples."""
-    agg = _regression(mf, rng, grid)
-    return _finish(mf, grid, agg, F.col("_slope"), cond=F.col("_n") >= 2)
+    t, slope, _ = _regression(mf, rng, grid)
+    return _finish(mf, grid, t, slope)
 
 
 def predict_linear(mf: MetricFrame, rng, grid: Grid, seconds: float) -> MetricFrame:
     """Value the least-squares line reaches ``seconds`` after t."""
-    agg = _regression(mf, rng, grid)
-    return _finish(mf, grid, agg, F.col("_slope") * F.lit(float(seconds)) + F.col("_icpt"),
-                   cond=F.col("_n") >= 2)
-
+    t, slope, now = _regression(mf, rng, grid)
+    return _finish(mf, grid, t, slope * F.lit(float(seconds)) + now)
 
-def _pairs(mf: MetricFrame, grid: Grid, r: int) -> DataFrame:
-    d = _windows(mf, grid, r)
-    # samples with equal timestamps are taken in ascending value order – the same tie rule
-    # as the first/last pick (min/max of (ts, value)) – so a tie is never a counter reset
-    w = Window.partitionBy(*mf.labels, "_k").orderBy(TS, VALUE)
-    return d.withColumn("_pv", F.lag(VALUE).over(w)).withColumn("_pt", F.lag(TS).over(w))
 
-
-def _extrapolated(mf: MetricFrame, rng, grid: Grid, is_counter: bool, is_rate: bool,
-                  strategy: str = "auto") -> MetricFrame:
+def _extrapolated(mf: MetricFrame, rng, grid: Grid, is_counter: bool, is_rate: bool) -> MetricFrame:
     r = duration_ms(rng)
-    v, pv = F.col(VALUE), F.col("_pv")
-    if use_slots(grid, r, strategy):
-        t = window_table(mf, grid, r)
-        agg = t.select(*mf.labels, "_k", F.col("n").alias("_n"),
-                       F.struct(F.col("first.ts").alias(TS), F.col("first.v").alias(VALUE)).alias("_f"),
-                       F.struct(F.col("last.ts").alias(TS), F.col("last.v").alias(VALUE)).alias("_l"),
-                       F.col("corr").alias("_corr"))
-    else:
-        agg = (_pairs(mf, grid, r).groupBy(*mf.labels, "_k")
-               .agg(F.count(v).alias("_n"),
-                    F.min(F.struct(F.col(TS), v)).alias("_f"),
-                    F.max(F.struct(F.col(TS), v)).alias("_l"),
-                    F.sum(F.when(pv.isNotNull() & (v < pv), pv).otherwise(F.lit(0.0))).alias("_corr")))
+    agg = window_table(mf, grid, r, {"first", "last", "drops"} if is_counter else {"first", "last"})
     t = grid.ts_of(F.col("_k"))
-    fv, ft, lv, lt, n = F.col("_f." + VALUE), F.col("_f." + TS), F.col("_l." + VALUE), F.col("_l." + TS), F.col("_n")
-    delta = lv - fv + (F.col("_corr") if is_counter else F.lit(0.0))
+    fv, ft, lv, lt, n = F.col("first.v"), F.col("first.ts"), F.col("last.v"), F.col("last.ts"), F.col("n")
+    delta = lv - fv + (F.col("drops") if is_counter else F.lit(0.0))
     to_start = (ft - (t - F.lit(r))) / F.lit(1000.0)
     to_end = (t - lt) / F.lit(1000.0)
     sampled = (lt - ft) / F.lit(1000.0)
@@ -145,42 +99,29 @@ def _extrapolated(mf: MetricFrame, rng, grid: Grid, is_counter: bool, is_rate: b
     return _finish(mf, grid, agg, res, cond=(n >= 2) & (lt > ft))
 
 
-def rate(mf: MetricFrame, rng, grid: Grid, strategy: str = "auto") -> MetricFrame:
+def rate(mf: MetricFrame, rng, grid: Grid) -> MetricFrame:
     """Per-second counter increase, reset-aware and extrapolated to the window edges."""
-    return _extrapolated(mf, rng, grid, is_counter=True, is_rate=True, strategy=strategy)
+    return _extrapolated(mf, rng, grid, is_counter=True, is_rate=True)
 
 
-def increase(mf: MetricFrame, rng, grid: Grid, strategy: str = "auto") -> MetricFrame:
+def increase(mf: MetricFrame, rng, grid: Grid) -> MetricFrame:
     """Counter increase over the window (W3) = rate × range."""
-    return _extrapolated(mf, rng, grid, is_counter=True, is_rate=False, strategy=strategy)
+    return _extrapolated(mf, rng, grid, is_counter=True, is_rate=False)
 
 
-def irate(mf: MetricFrame, rng, grid: Grid, strategy: str = "auto") -> MetricFrame:
+def irate(mf: MetricFrame, rng, grid: Grid) -> MetricFrame:
     """Per-second rate from the last two samples in the window, no extrapolation."""
     r = duration_ms(rng)
-    if use_slots(grid, r, strategy):
-        t = window_table(mf, grid, r)
-        agg = t.select(*mf.labels, "_k", F.struct(F.col("last.ts").alias(TS), F.col("last.v").alias(VALUE),
-                                                  F.col("last.pts").alias("_pt"), F.col("last.pv").alias("_pv")).alias("_l"))
-    else:
-        agg = (_pairs(mf, grid, r).groupBy(*mf.labels, "_k")
-               .agg(F.max(F.struct(F.col(TS), F.col(VALUE), F.col("_pt"), F.col("_pv"))).alias("_l")))
-    lv, lt, pv, pt = (F.col("_l." + VALUE), F.col("_l." + TS), F.col("_l._pv"), F.col("_l._pt"))
+    agg = window_table(mf, grid, r, {"prev"})
+    lv, lt, pv, pt = F.col("last.v"), F.col("last.ts"), F.col("last.pv"), F.col("last.pts")
     diff = F.when(lv < pv, lv).otherwise(lv - pv)
     in_window = pt.isNotNull() & (pt >= grid.ts_of(F.col("_k")) - F.lit(r)) & (lt > pt)
     return _finish(mf, grid, agg, diff / ((lt - pt) / F.lit(1000.0)), cond=in_window)
 
 
-def changes(mf: MetricFrame, rng, grid: Grid, strategy: str = "auto") -> MetricFrame:
+def changes(mf: MetricFrame, rng, grid: Grid) -> MetricFrame:
     """Number of value changes between consecutive samples in the window."""
-    r = duration_ms(rng)
-    v, pv = F.col(VALUE), F.col("_pv")
-    if use_slots(grid, r, strategy):
-        agg = window_table(mf, grid, r).select(*mf.labels, "_k", F.col("chg").alias("_c"))
-    else:
-        agg = (_pairs(mf, grid, r).groupBy(*mf.labels, "_k")
-               .agg(F.sum(F.when(pv.isNotNull() & (v != pv), F.lit(1)).otherwise(F.lit(0))).alias("_c")))
-    return _finish(mf, grid, agg, F.col("_c"))
+    return _finish(mf, grid, window_table(mf, grid, duration_ms(rng), {"changes"}), F.col("changes"))
 
 
 def subquery_grid(grid: Grid, rng, res) -> Grid:

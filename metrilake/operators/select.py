@@ -4,10 +4,10 @@ from __future__ import annotations
 import re
 from typing import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..frame import NAME, TS, VALUE, Grid, MetricFrame, duration_ms, ensure_labels, spread_for_expansion, to_ms
+from ..frame import NAME, TS, VALUE, Grid, MetricFrame, duration_ms, ensure_labels, to_ms
 from ..functions.matchers import predicate
 
 DEFAULT_LOOKBACK = "5m"
@@ -83,17 +83,26 @@ def time_bounds(mf: MetricFrame, lo: int, hi: int) -> MetricFrame:
 def instant(mf: MetricFrame, grid: Grid, lookback=DEFAULT_LOOKBACK) -> MetricFrame:
     """As-of selection: at each grid time t the newest sample in (t - lookback, t].
 
-    Each sample is expanded to the grid points it can serve (at most
-    ceil(lookback/step) of them) and the newest sample per (series, t) wins
-    through an aggregation with map-side partial merge, so a hot series is
-    spread over its grid points instead of landing in one task.
+    A slot is what lies between two grid points.  Its newest sample (merged
+    map-side, so a hot series shuffles a row a slot and map task) serves the grid
+    points from the slot's end to the next slot that holds a sample, or as long
+    as the lookback reaches.  The next slot is looked for inside blocks of
+    a lookback's slots, of which a group holds two of one series.
     """
     lb = duration_ms(lookback)
-    ts = F.col(TS)
+    ts, keys = F.col(TS), list(mf.labels)
     df = mf.df.filter((ts > F.lit(grid.start - lb)) & (ts <= F.lit(grid.end)))
-    df = spread_for_expansion(df, min(grid.n, lb / grid.step + 1) if grid.n > 1 else 1)
-    df = df.select(*mf.labels, TS, VALUE, F.explode(grid.covering(ts, ts + F.lit(lb - 1))).alias("_k"))
-    out = (df.groupBy(*mf.labels, "_k")
-             .agg(F.max(F.struct(F.col(TS), F.col(VALUE))).alias("_s"))
-             .select(*mf.labels, grid.ts_of(F.col("_k")).alias(TS), F.col("_s." + VALUE).alias(VALUE)))
+    j = F.greatest(F.lit(0).cast("bigint"), F.ceil((ts - F.lit(grid.start)) / F.lit(grid.step)).cast("bigint"))
+    s = df.select(*keys, TS, VALUE, j.alias("_j")).groupBy(*keys, "_j").agg(F.max(F.struct(TS, VALUE)).alias("_s"))
+    reach = F.least(F.floor((F.col("_s." + TS) + F.lit(lb - 1 - grid.start)) / F.lit(grid.step)).cast("bigint"),
+                    F.lit(grid.n - 1).cast("bigint"))
+    if grid.n > 1 and lb > grid.step:
+        m = F.lit(lb // grid.step + 1)
+        s = s.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("_ahead"))     # a slot is also seen from the block before
+        s = s.withColumn("_B", F.floor(F.col("_j") / m).cast("bigint") - F.col("_ahead"))
+        s = s.withColumn("_next", F.lead("_j").over(Window.partitionBy(*keys, "_B").orderBy("_j"))).filter("_ahead = 0")
+        reach = F.least(reach, F.col("_next") - 1)
+    s = s.withColumn("_reach", reach).filter("_j <= _reach")
+    out = s.select(*keys, F.explode(F.sequence("_j", "_reach")).alias("_k"), "_s").select(
+        *keys, grid.ts_of(F.col("_k")).alias(TS), F.col("_s." + VALUE).alias(VALUE))
     return MetricFrame(out, mf.labels)

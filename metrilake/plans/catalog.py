@@ -484,31 +484,29 @@ def q_u3_absent_fill(spark, sf):
     return out(A.set_or(s, A.scalar_op(A.absent(A.instant(sel, G6H, "5m"), G6H, {}), "*", 0)))
 
 
-# ---------------------------------------------------------------- long windows (slot path)
-# These force strategy="slots" so that the slot path (used automatically from
-# 64 steps per window) is verified at test scale as well.
+# ---------------------------------------------------------------- long windows
 D5, D7 = duration_ms("5d"), duration_ms("7d")
 
 
 @register("wl_rate_sum_by", S.final(S.agg(S.extrapolated(S.view("m_user_counter"), GL, G6H, D5), "sum", ET), ET))
 def q_wl_rate_sum_by(spark, sf):
-    """``sum by (event_type) (rate(x[5d]))`` every 6h through the slot path."""
-    return out(A.aggregate(A.rate(T.m_user_counter(spark, sf), "5d", G6H, "slots"), "sum", by=ET))
+    """``sum by (event_type) (rate(x[5d]))``, a window of 20 steps."""
+    return out(A.aggregate(A.rate(T.m_user_counter(spark, sf), "5d", G6H), "sum", by=ET))
 
 
 @register("wl_increase_resets", S.final(S.extrapolated(S.view("m_counter_reset"), ET, G6H, D5, per_second=False), ET))
 def q_wl_increase_resets(spark, sf):
-    return out(A.increase(T.m_counter_reset(spark, sf), "5d", G6H, "slots"))
+    return out(A.increase(T.m_counter_reset(spark, sf), "5d", G6H))
 
 
 @register("wl_irate", S.final(_irate_sql(S.view("m_counter_reset"), ET, G6H, D5), ET))
 def q_wl_irate(spark, sf):
-    return out(A.irate(T.m_counter_reset(spark, sf), "5d", G6H, "slots"))
+    return out(A.irate(T.m_counter_reset(spark, sf), "5d", G6H))
 
 
 @register("wl_changes", S.final(_changes_sql(S.view("m_state"), ["user_id"], G6H, D7), ["user_id"]))
 def q_wl_changes(spark, sf):
-    return out(A.changes(T.m_state(spark, sf), "7d", G6H, "slots"))
+    return out(A.changes(T.m_state(spark, sf), "7d", G6H))
 
 
 for _fn, _f in (("avg", "AVG(value)"), ("max", "MAX(value)"), ("min", "MIN(value)"), ("last", "arg_max(value, ts)")):
@@ -517,7 +515,7 @@ for _fn, _f in (("avg", "AVG(value)"), ("max", "MAX(value)"), ("min", "MIN(value
             g = T.m_gauge(spark, sf)
             if fn == "avg":
                 g = g.with_df(g.df.withColumn(VALUE, F.col(VALUE) * SQRT2))
-            return out(A.over_time(g, fn, "7d", G6H, "slots"))
+            return out(A.over_time(g, fn, "7d", G6H))
         return q
     src = _G7 if _fn == "avg" else S.view("m_gauge")
     register(f"wl_{_fn}_over_time", S.final(_over_time_sql(src, GL, G6H, D7, _f), GL))(_mk(_fn))
@@ -531,19 +529,19 @@ def q_wl_avg_over_recorded(spark, sf):
     """``avg_over_time(recorded[5d])`` where the recorded series sit exactly on the grid:
     the sample at t - 5d is inside the closed window (slot edge case)."""
     rec = A.aggregate(A.scalar_op(_inst(T.m_gauge(spark, sf)), "*", SQRT2), "sum", by=ET)
-    return out(A.avg_over_time(rec, "5d", G6H, "slots"))
+    return out(A.avg_over_time(rec, "5d", G6H))
 
 
 @register("wl_max_over_recorded", S.final(_over_time_sql(S.agg(_I6, "count", ET), ET, G6H, D5, "MAX(value)"), ET))
 def q_wl_max_over_recorded(spark, sf):
     rec = A.aggregate(_inst(T.m_gauge(spark, sf)), "count", by=ET)
-    return out(A.max_over_time(rec, "5d", G6H, "slots"))
+    return out(A.max_over_time(rec, "5d", G6H))
 
 
 @register("wl_rate_over_recorded", S.final(S.extrapolated(S.agg(_I6, "count", ET), ET, G6H, D5), ET))
 def q_wl_rate_over_recorded(spark, sf):
     rec = A.aggregate(_inst(T.m_gauge(spark, sf)), "count", by=ET)
-    return out(A.rate(rec, "5d", G6H, "slots"))
+    return out(A.rate(rec, "5d", G6H))
 
 
 # ---------------------------------------------------------------- histogram mean, interval join, rename fallback

@@ -39,6 +39,12 @@ def event_stream(spark: SparkSession, sf: str, max_files: int | None = None) ->
     return X.with_event_time(s)
 
 
+def event_batches(spark: SparkSession, sf: str, order: str = TS, parts: int = 5) -> DataFrame:
+    """``events`` replayed in micro-batches along a column (``replayed``)."""
+    e = T.table(spark, sf, "events").select("event_type", F.col("user_id").cast("string").alias("user_id"), "event_id", to_ms("ts").alias(TS), "value")
+    return X.with_event_time(X.replayed(spark, e, order, parts, "events"))
+
+
 H6 = 21_600_000
 D1 = 86_400_000
 
@@ -58,12 +64,12 @@ WITH w AS (SELECT e.event_type, e.value, epoch_us(e.ts) // 1000 AS t, k.i FROM e
 x AS (SELECT event_type, value, t, (t + {H6} - 1) // {H6} * {H6} + i * {H6} AS eval_ts FROM w),
 y AS (SELECT *, LAG(value) OVER (PARTITION BY event_type, eval_ts ORDER BY t, value) AS before FROM x WHERE eval_ts - {D1} <= t)
 SELECT event_type, eval_ts, MIN(value) AS min, MAX(value) AS max, COUNT(*) AS samples, ROUND(arg_max(value, t) - arg_min(value, t), 6) AS delta,
-       ROUND(arg_max(value, t) - arg_min(value, t) + SUM(CASE WHEN value < before THEN before ELSE 0 END), 6) AS increase FROM y GROUP BY event_type, eval_ts""")
+       ROUND(arg_max(value, t) - arg_min(value, t) + SUM(CASE WHEN value < before THEN before ELSE 0 END), 6) AS increase FROM y
+WHERE eval_ts <= (SELECT MAX(epoch_us(ts) // 1000) - 1800000 FROM events) GROUP BY event_type, eval_ts""")
 def q_x2_stream_range(spark, sf):
-    """Sliding ``[1d]`` every 6h on a stream."""
-    s = X.with_delay(event_stream(spark, sf), "30m")
-    r = X.run_to_table(spark, X.stream_range(s, ["event_type"], "1d", "6h"), "x2", "update",
-                       ["event_type", "eval_ts"])
+    """Sliding ``[1d]`` every 6h over a stream of five batches, each window as the 30m watermark passes it."""
+    s = X.with_delay(event_batches(spark, sf), "30m")
+    r = X.run_to_table(spark, X.stream_range(s, ["event_type"], "1d", "6h"), "x2")
     return r.select("event_type", "eval_ts", "min", "max", "samples", rnd("delta", 6).alias("delta"), rnd("increase", 6).alias("increase"))
 
 
@@ -103,9 +109,9 @@ SELECT event_type, event_id, ts, value,
   COALESCE(ts < MAX(ts) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE)
   AS out_of_order FROM {JITTER_SQL}""")
 def q_x5_split_late(spark, sf):
-    """Arrival-order check per series on a jittered stream: samples older than the newest seen are flagged."""
-    s = event_stream(spark, sf).withColumn(TS, F.col(TS) - (F.col("event_id") % 3) * F.lit(600_000))
-    r = X.run_to_table(spark, X.split_late(s.drop("user_id", X.EVENT_TIME), ["event_type"], "event_id"), "x5")
+    """Arrival-order check per series on a jittered stream of five batches: samples older than the newest seen are flagged."""
+    s = event_batches(spark, sf, "event_id").withColumn(TS, F.col(TS) - (F.col("event_id") % 3) * F.lit(600_000))
+    r = X.split_late_to_table(spark, s.drop("user_id", X.EVENT_TIME), ["event_type"], "event_id", "x5", block=1000)
     return r.select("event_type", "event_id", TS, VALUE, "out_of_order")
 
 
@@ -118,9 +124,9 @@ i AS (SELECT *, SUM(nr) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBO
 SELECT user_id, ts, CASE WHEN ts - MIN(ts) OVER (PARTITION BY user_id, isl) >= {D1} THEN 'firing' ELSE 'pending' END AS state,
        MIN(ts) OVER (PARTITION BY user_id, isl) AS active_at FROM i WHERE active""")
 def q_x6_hold_stream(spark, sf):
-    """Streaming ``for 1d`` per user on the condition value > 100; a false or a 2d gap resets."""
-    s = event_stream(spark, sf).select("user_id", TS, (F.col(VALUE) > 100).alias("active"))
-    r = X.run_to_table(spark, X.hold_stream(s, ["user_id"], "1d", "2d"), "x6")
+    """Streaming ``for 1d`` per user on the condition value > 100, in five batches; a false or a 2d gap resets."""
+    s = event_batches(spark, sf).select("user_id", TS, (F.col(VALUE) > 100).alias("active"), X.EVENT_TIME)
+    r = X.run_to_table(spark, X.hold_stream(X.with_delay(s, "30m"), ["user_id"], "1d", "2d"), "x6")
     return r.select("user_id", TS, "state", "active_at")
 
 
@@ -140,6 +146,21 @@ def q_x9_lag_report(spark, sf):
     return out(X.lag_report(highest, sent), 3)
 
 
+@register("x9_lag_stream", """
+WITH b AS (SELECT event_type, epoch_us(ts) // 1000 AS t, CAST(event_id // 200 AS BIGINT) AS batch FROM events WHERE event_id < 1000),
+k AS (SELECT DISTINCT batch FROM b), s AS (SELECT DISTINCT event_type AS stream FROM b)
+SELECT s.stream, k.batch * 1000 AS ts, ROUND((MAX(b.t) - MAX(b.t) FILTER (WHERE b.event_type = s.stream)) / 1000.0, 3) AS value
+FROM s, k JOIN b ON b.batch <= k.batch GROUP BY s.stream, k.batch
+HAVING COUNT(*) FILTER (WHERE b.event_type = s.stream AND b.batch = k.batch) > 0""")
+def q_x9_lag_stream(spark, sf):
+    """Lag per event type after each batch of a running stream, from what the batches' observations report."""
+    e = T.table(spark, sf, "events").filter("event_id < 1000").select("event_type", "event_id", to_ms("ts").alias(TS))
+    types = [r[0] for r in e.select("event_type").distinct().orderBy("event_type").collect()]
+    s = X.replayed(spark, e.withColumn("batch", F.floor(F.col("event_id") / 200)), "batch", 5, "x9").drop("batch")
+    highest, sent = X.observed_times(spark, s, "event_type", types, "x9")
+    return out(X.lag_report(highest, sent), 3)
+
+
 @register("x7_group_stream", f"""
 WITH wm AS (SELECT MAX(epoch_us(ts) // 1000) - 1800000 AS w FROM events WHERE value > 100),
 f AS (SELECT 'null' AS receiver, 'namespace=ns-' || CAST(user_id % 5 AS VARCHAR) AS group_key,

@@ -24,7 +24,9 @@ def build_session(master: str | None = None, partitions: int = 8, app: str = "me
     b = (b.config("spark.ui.enabled", "false")
           .config("spark.sql.shuffle.partitions", str(partitions))
           .config("spark.ui.showConsoleProgress", "false")
-          .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
+          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+          # a plan of many columns is built several times faster without a stack trace for each expression
+          .config("spark.python.sql.dataFrameDebugging.enabled", "false"))
     for k, v in RUNTIME_CONF.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
@@ -48,14 +50,13 @@ def shared_dir(spark: SparkSession, sub: str = "") -> str:
     registered as the checkpoint dir.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
+    if not base:  # set by this function before
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = jdir.get() if jdir.isDefined() else None
     if not base and not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not base:
         base = tempfile.mkdtemp(prefix="metrilake-")
-        spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
     if sub:
         base = base.rstrip("/") + "/" + sub

@@ -1,22 +1,29 @@
 """Structured Streaming operators: X1–X9.
 
 Streams carry samples ``(labels…, ts_event TIMESTAMP, ts ms, value)``; the
-event-time column is what watermarks and windows use.  Results of stateful
-queries are written per micro-batch (``foreachBatch``) into a table in the
-cluster's shared folder with the batch id, so a restarted query resumes from
-its checkpoint and readers take the newest version of each key.
+event-time column is what watermarks and windows use.  Operators that keep state
+of their own are stateful processors (``transformWithStateInPandas``): state is a
+few numbers or an append-only list per key in the state store, timers on the
+watermark close windows and drop idle keys.  Results are written per micro-batch
+(``foreachBatch``) into a table in the cluster's shared folder with the batch
+id, so a restarted query resumes from its checkpoint and readers take the newest
+version of each key.
 """
 from __future__ import annotations
 
+import math
+import threading
 import uuid
 from typing import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from ..frame import TS, VALUE, duration_ms
+from ..frame import TS, VALUE, MetricFrame, duration_ms
 from ..session import shared_dir
 
 EVENT_TIME = "event_time"
@@ -47,24 +54,107 @@ def stream_eval(stream: DataFrame, labels: Sequence[str], interval="3m") -> Data
                     "samples", "sum"))
 
 
+# -- X2: sliding ranges from slots --------------------------------------------------------
+_SLOT = {"n": "bigint", "min": "double", "max": "double", "first_ts": "bigint", "first": "double", "last_ts": "bigint", "last": "double", "drops": "double",
+         "e_n": "bigint", "e_first": "double", "e_last": "double", "e_drops": "double"}
+
+
+def _drops(v: np.ndarray) -> float:
+    """The sum of the values before counter drops of samples in order."""
+    return float(v[:-1][v[1:] < v[:-1]].sum()) if len(v) > 1 else 0.0
+
+
+class _Slots(StatefulProcessor):
+    """Samples of one (series, slot), appended to a list until the watermark passes the slot's end; then one summary.
+
+    A slot is (end - width, end]; ``e_`` fields are of the samples exactly at its end, which a window that begins
+    there holds too.
+    """
+
+    def __init__(self, keys: list[str]):
+        self.keys = keys
+
+    def init(self, handle):
+        self.handle = handle
+        self.samples = handle.getListState("samples", f"{TS} bigint, {VALUE} double")
+
+    def handleInputRows(self, key, rows, timerValues):
+        end = int(key[-1])
+        if not self.samples.exists():
+            self.handle.registerTimer(end)
+        for pdf in rows:
+            self.samples.appendList(list(zip(pdf[TS].tolist(), pdf[VALUE].tolist())))
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        got = list(self.samples.get())
+        self.samples.clear()
+        t, v = np.array([x[0] for x in got], np.int64), np.array([x[1] for x in got], np.float64)
+        order = np.lexsort((v, t))
+        t, v = t[order], v[order]
+        e = v[t == int(key[-1])]
+        yield pd.DataFrame([(*key[:-1], pd.Timestamp(int(key[-1]), unit="ms"), int(key[-1]), len(v), float(v.min()), float(v.max()), int(t[0]), float(v[0]),
+                             int(t[-1]), float(v[-1]), _drops(v), len(e), float(e[0]) if len(e) else None, float(e[-1]) if len(e) else None, _drops(e))],
+                           columns=[*self.keys, EVENT_TIME, "slot", *_SLOT])
+
+
+class _Ranges(StatefulProcessor):
+    """The slots of one series that open windows still need; a window's merge of them when the watermark passes its end."""
+
+    def __init__(self, keys: list[str], rng: int, step: int, width: int):
+        self.keys, self.rng, self.step, self.width = keys, rng, step, width
+
+    def init(self, handle):
+        self.handle = handle
+        self.slots = handle.getMapState("slots", "slot bigint", ", ".join(f"{c} {t}" for c, t in _SLOT.items()))
+
+    def handleInputRows(self, key, rows, timerValues):
+        for pdf in rows:
+            for slot, *summary in pdf[["slot", *_SLOT]].itertuples(index=False):
+                self.slots.updateValue((int(slot),), tuple(None if isinstance(x, float) and math.isnan(x) else x for x in summary))
+                first = -(-int(slot) // self.step) * self.step
+                for end in range(first, int(slot) + self.rng + 1, self.step):     # windows that hold the slot, or its end
+                    self.handle.registerTimer(end)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        end = expiredTimerInfo.getExpiryTimeInMs()
+        begin = end - self.rng
+        held = sorted((k[0], dict(zip(_SLOT, v))) for k, v in self.slots.iterator())
+        parts = []       # (n, min, max, first, last, drops) in order
+        for slot, s in held:
+            if slot == begin and s["e_n"]:
+                parts.append((s["e_n"], s["e_first"], s["e_last"], s["e_first"], s["e_last"], s["e_drops"]))
+            elif begin < slot <= end:
+                parts.append((s["n"], s["min"], s["max"], s["first"], s["last"], s["drops"]))
+            if slot < begin + self.width:       # no later window holds it
+                self.slots.removeKey((slot,))
+        if not parts:
+            return
+        n, low, high, first, last, drops = zip(*parts)
+        fallen = sum(drops) + sum(a for a, b in zip(last, first[1:]) if b < a)
+        yield pd.DataFrame([(*key, end, min(low), max(high), sum(n), last[-1] - first[0], last[-1] - first[0] + fallen)],
+                           columns=[*self.keys, "eval_ts", "min", "max", "samples", "delta", "increase"])
+
+
 def stream_range(stream: DataFrame, labels: Sequence[str], rng="5m", step="1m") -> DataFrame:
-    """Sliding range ``[t - range, t]`` evaluated every ``step`` (X2): per series and window
-    min/max and count for ``*_over_time``, the difference of the last and first sample, and
-    the counter increase between them, which adds what each reset took away.  A window holds
-    its samples in state until the watermark passes it; it is one millisecond longer than
-    the range, as Spark's windows are open on the right."""
+    """Sliding range ``[t - range, t]`` evaluated every ``step`` (X2), in append mode: per series and window, once the
+    watermark has passed it, min/max and count for ``*_over_time``, the difference of the last and first sample, and the
+    counter increase between them, which adds what each reset took away.
+
+    Two chained stateful steps.  Samples go to slots that divide range and step, keyed by (series, slot): a hot series is
+    spread over its slots, each sample is held once, in a list that only grows, until the slot closes.  Closed slots, a
+    summary each, go to their series, which merges those of a window; it holds the slots of one range.
+    """
     r, s = duration_ms(rng), duration_ms(step)
-    w = F.window(EVENT_TIME, f"{r + 1} milliseconds", f"{s} milliseconds", f"{-r % s} milliseconds")
-    drop = lambda a, x: F.struct(x[VALUE].alias("last"), (
-        a["sum"] + F.when(x[VALUE] < a["last"], a["last"]).otherwise(F.lit(0.0))).alias("sum"))
-    start = F.struct(F.lit(float("-inf")).alias("last"), F.lit(0.0).alias("sum"))
-    return (stream.groupBy(w.alias("w"), *labels)
-            .agg(F.min(F.struct(F.col(TS), F.col(VALUE))).alias("_f"), F.max(F.struct(F.col(TS), F.col(VALUE))).alias("_l"),
-                 F.min(VALUE).alias("min"), F.max(VALUE).alias("max"), F.count(F.lit(1)).alias("samples"),
-                 F.sort_array(F.collect_list(F.struct(F.col(TS), F.col(VALUE)))).alias("_all"))
-            .withColumn("_d", F.col("_l." + VALUE) - F.col("_f." + VALUE))
-            .select(*labels, (F.unix_millis(F.col("w.start")) + F.lit(r)).alias("eval_ts"), "min", "max", "samples",
-                    F.col("_d").alias("delta"), (F.col("_d") + F.aggregate("_all", start, drop)["sum"]).alias("increase")))
+    width, keys = math.gcd(r, s), list(labels)
+    end = (F.ceil(F.col(TS) / F.lit(width)) * F.lit(width)).cast("bigint")
+    text = ", ".join(f"{k} string" for k in keys)
+    slots = (stream.select(*keys, TS, VALUE, EVENT_TIME, end.alias("slot")).groupBy(*keys, "slot")
+             .transformWithStateInPandas(_Slots(keys), f"{text}, {EVENT_TIME} timestamp, slot bigint, " + ", ".join(f"{c} {t}" for c, t in _SLOT.items()),
+                                         "Append", "EventTime", eventTimeColumnName=EVENT_TIME))
+    return slots.groupBy(*keys).transformWithStateInPandas(
+        _Ranges(keys, r, s, width), f"{text}, eval_ts bigint, min double, max double, samples bigint, delta double, increase double", "Append", "EventTime")
 
 
 def dedup_stream(stream: DataFrame, labels: Sequence[str], slot=None) -> DataFrame:
@@ -78,84 +168,108 @@ def dedup_stream(stream: DataFrame, labels: Sequence[str], slot=None) -> DataFra
 
 
 # -- X5: out-of-order split ---------------------------------------------------------------
-def split_late(stream: DataFrame, labels: Sequence[str], order: str) -> DataFrame:
-    """Flag samples older than the newest already seen for their series.
+def split_late(batch: DataFrame, newest: DataFrame, labels: Sequence[str], order: str, block: int = 10_000) -> tuple[DataFrame, DataFrame]:
+    """Flag samples older than the newest that arrived before them for their series.
 
-    Arrival order is ``order`` (e.g. a sequence number or offset).  State per
-    series is one number – the newest timestamp – kept by
-    ``applyInPandasWithState``; rows arrive in Arrow chunks, never as one list.
+    ``batch`` is a micro-batch whose arrival order is ``order`` (a sequence number or offset that grows from batch to
+    batch), ``newest`` holds (labels, newest ts) of what arrived earlier.  A series' rows are taken in blocks of
+    ``block`` arrival numbers: the running maximum inside a block is a window of that many rows at most, the maximum of
+    the blocks before it, and of earlier batches, is joined to it.  Returns the flagged rows and the series' new maxima.
+    """
+    keys = list(labels)
+    d = batch.withColumn("_b", F.floor(F.col(order) / F.lit(block)))
+    before = Window.partitionBy(*keys, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    tops = d.groupBy(*keys, "_b").agg(F.max(TS).alias("_top"))
+    earlier = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carry = (tops.withColumn("_carry", F.max("_top").over(earlier)).join(newest.select(*keys, "newest"), keys, "left")
+             .select(*keys, "_b", F.greatest("_carry", "newest").alias("_carry")))
+    late = F.col(TS) < F.greatest("_in", "_carry")
+    out = (d.withColumn("_in", F.max(TS).over(before)).join(carry, [*keys, "_b"])
+           .select(*batch.columns, F.coalesce(late, F.lit(False)).alias("out_of_order")))
+    return out, tops.groupBy(*keys).agg(F.max("_top").alias("newest"))
+
+
+def split_late_to_table(spark: SparkSession, stream: DataFrame, labels: Sequence[str], order: str, name: str, block: int = 10_000) -> DataFrame:
+    """``split_late`` over a stream; the state between batches is a table of maxima by batch in the shared folder.
+
+    A batch reads what earlier ones left and writes the maxima of the series it saw, so a batch that runs
+    again after a failure gives the same rows; every 32nd writes those of all series, and readers begin there.
     """
     keys = list(labels)
-    out_schema = ", ".join([f"{k} string" for k in keys] + [f"{order} bigint", "ts bigint", "value double",
-                                                            "out_of_order boolean"])
-
-    def fn(key, pdfs: Iterator[pd.DataFrame], state):
-        newest = state.get[0] if state.exists else None
-        for pdf in pdfs:  # one frame: the key's rows of this micro-batch in arrival order
-            pdf = pdf.sort_values(order)
-            prev = pdf[TS].cummax().shift(1)
-            if newest is not None:
-                prev = prev.fillna(newest).clip(lower=newest)
-            flag = (pdf[TS] < prev).fillna(False)
-            m = int(pdf[TS].max())
-            newest = m if newest is None else max(newest, m)
-            yield pdf.assign(out_of_order=flag.astype(bool))[keys + [order, TS, VALUE, "out_of_order"]]
-        state.update((int(newest),))
-
-    return stream.groupBy(*keys).applyInPandasWithState(
-        _sorted(fn, order), out_schema, "newest long", "append", GroupStateTimeout.NoTimeout)
+    root = shared_dir(spark, f"streams/{name}-{uuid.uuid4().hex[:8]}")
+    schema = stream.select(*keys, F.col(TS).alias("newest")).schema
+
+    def sink(df: DataFrame, epoch: int):
+        if epoch:
+            paths = [f"{root}/state/{e}" for e in range((epoch - 1) // 32 * 32, epoch)]
+            seen = df.sparkSession.read.schema(schema).parquet(*paths).groupBy(*keys).agg(F.max("newest").alias("newest"))
+        else:
+            seen = df.sparkSession.createDataFrame([], schema)
+        df = df.persist()
+        out, tops = split_late(df, seen, keys, order, block)
+        if epoch % 32 == 0:
+            tops = tops.unionByName(seen).groupBy(*keys).agg(F.max("newest").alias("newest"))
+        out.write.mode("overwrite").parquet(f"{root}/data/_batch={epoch}")
+        tops.write.mode("overwrite").parquet(f"{root}/state/{epoch}")
+        df.unpersist()
+
+    _run(stream, sink, "append", root)
+    return spark.read.schema(stream.schema.add("out_of_order", "boolean").add("_batch", "long")).parquet(f"{root}/data").drop("_batch")
 
 
 # -- X6: streaming `for` state ----------------------------------------------------------------
-def hold_stream(evals: DataFrame, labels: Sequence[str], for_, max_gap) -> DataFrame:
-    """Streaming ``for`` (X6): rows are evaluations ``(labels, ts, active bool)``.
+class _Hold(StatefulProcessor):
+    """A run of active evaluations per alert instance: when it began and the last evaluation.
 
-    State per alert instance = (active_since, last_ts); a false evaluation or a
-    gap above ``max_gap`` ends the run.  Emits the state after every evaluation.
+    A batch's evaluations are taken as arrays, gaps and islands at once; state touches only the first and the last.  A
+    timer drops the state when the watermark is more than the largest gap behind the last evaluation: a later one begins
+    a new run in any case.
     """
-    f, gap = duration_ms(for_), duration_ms(max_gap)
-    keys = list(labels)
-    out_schema = ", ".join([f"{k} string" for k in keys] + ["ts bigint", "state string", "active_at bigint"])
 
-    def fn(key, pdfs, state):
-        since, last = (state.get if state.exists else (None, None))
-        rows = []
-        for pdf in pdfs:
-            for t, act in zip(pdf[TS].to_numpy(), pdf["active"].to_numpy()):
-                t = int(t)
-                if not act:
-                    since = None
-                else:
-                    if since is None or (last is not None and t - last > gap):
-                        since = t
-                    rows.append((*key, t, "firing" if t - since >= f else "pending", since))
-                last = t
-        state.update((since, last))
-        if rows:
-            yield pd.DataFrame(rows, columns=keys + [TS, "state", "active_at"])
-
-    # rows of a key must be seen in time order: sort inside each micro-batch by key and ts
-    return (evals.groupBy(*keys)
-            .applyInPandasWithState(_sorted(fn, TS), out_schema, "since long, last long", "append",
-                                    GroupStateTimeout.NoTimeout))
-
-
-def _sorted(fn, by: str):
-    """Order one key's rows of one micro-batch by ``by`` before the state update.
-
-    Spark hands a key's rows over in Arrow chunks in shuffle order; the
-    sequential rules above need them in arrival/time order, so the chunks of
-    this key *in this micro-batch* are merged.  That is bounded by the
-    trigger's batch size (``maxOffsetsPerTrigger`` / ``maxFilesPerTrigger``)
-    per key, not by the stream.
+    def __init__(self, keys: list[str], hold: int, gap: int):
+        self.keys, self.hold, self.gap = keys, hold, gap
+
+    def init(self, handle):
+        self.handle = handle
+        self.run = handle.getValueState("run", "since bigint, last bigint")
+
+    def handleInputRows(self, key, rows, timerValues):
+        t, active = (np.concatenate(x) for x in zip(*[(p[TS].to_numpy(np.int64), p["active"].to_numpy(bool)) for p in rows]))
+        order = np.argsort(t, kind="stable")
+        t, active = t[order], active[order]
+        since, last = self.run.get() if self.run.exists() else (None, None)
+        before = np.concatenate([[t[0] if last is None else last], t[:-1]])
+        on = np.concatenate([[since is not None], active[:-1]])
+        begins = active & ~(on & (t - before <= self.gap))
+        at = np.maximum.accumulate(np.where(begins, np.arange(len(t)), -1))
+        start = np.where(at >= 0, t[at], 0 if since is None else since)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        expiry = int(t[-1]) + self.gap + 1
+        if expiry > timerValues.getCurrentWatermarkInMs():
+            self.run.update((int(start[-1]) if active[-1] else None, int(t[-1])))
+            self.handle.registerTimer(expiry)
+        else:
+            self.run.clear()
+        if active.any():
+            t, start = t[active], start[active]
+            yield pd.DataFrame({**{k: [v] * len(t) for k, v in zip(self.keys, key)}, TS: t,
+                                "state": np.where(t - start >= self.hold, "firing", "pending"), "active_at": start})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.run.clear()
+        yield from ()
+
+
+def hold_stream(evals: DataFrame, labels: Sequence[str], for_, max_gap) -> DataFrame:
+    """Streaming ``for`` (X6): rows are evaluations ``(labels, ts, active bool, event_time)`` with a watermark, batches in
+    the order of time.
+
+    A false evaluation or a gap above ``max_gap`` ends a run of active ones.  Emits the state after every active evaluation.
     """
-    def wrap(key, pdfs, state):
-        chunks = list(pdfs)
-        if not chunks:
-            return iter(())
-        merged = pd.concat(chunks).sort_values(by, kind="stable")
-        return fn(key, iter([merged]), state)
-    return wrap
+    keys = list(labels)
+    return evals.groupBy(*keys).transformWithStateInPandas(
+        _Hold(keys, duration_ms(for_), duration_ms(max_gap)), ", ".join(f"{k} string" for k in keys) + ", ts bigint, state string, active_at bigint", "Append", "EventTime")
 
 
 # -- X7: streaming notification grouping with timers ------------------------------------------
@@ -227,23 +341,33 @@ def group_notifications_stream(routed: DataFrame, labels: Sequence[str], group_i
 
 
 # -- running a streaming query to completion ------------------------------------------------
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _run(stream: DataFrame, sink: Callable[[DataFrame, int], None], mode: str, root: str) -> None:
+    """Runs a stream with ``availableNow`` to its end; keyed state of any kind lies in RocksDB, outside the heap."""
+    spark = stream.sparkSession
+    if spark.conf.get(STATE_STORE, None) != ROCKSDB:
+        spark.conf.set(STATE_STORE, ROCKSDB)
+    (stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", root + "/checkpoint")
+     .trigger(availableNow=True).start().awaitTermination())
+
+
 def run_to_table(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append",
                  keys: Sequence[str] | None = None) -> DataFrame:
     """Run ``stream`` with ``availableNow`` into a batch-versioned Parquet table in the shared
     folder and return the final table (for ``update`` mode: newest version per ``keys``)."""
     root = shared_dir(spark, f"streams/{name}-{uuid.uuid4().hex[:8]}")
-    path, ckpt = root + "/data", root + "/checkpoint"
 
     def sink(df: DataFrame, epoch: int):
         # a batch that runs again after a failure replaces what it wrote before
-        df.write.mode("overwrite").parquet(f"{path}/_batch={epoch}")
+        df.write.mode("overwrite").parquet(f"{root}/data/_batch={epoch}")
 
-    q = (stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", ckpt)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    _run(stream, sink, mode, root)
     schema = stream.schema.add("_batch", "long")
     try:
-        res = spark.read.schema(schema).parquet(path)
+        res = spark.read.schema(schema).parquet(root + "/data")
     except Exception:  # noqa: BLE001 - nothing written
         return spark.createDataFrame([], schema).drop("_batch")
     if mode == "update" and keys:
@@ -252,6 +376,69 @@ def run_to_table(spark: SparkSession, stream: DataFrame, name: str, mode: str =
     return res.drop("_batch")
 
 
+def replayed(spark: SparkSession, df: DataFrame, order: str, parts: int, name: str) -> DataFrame:
+    """A stream of a table's rows in ``parts`` micro-batches along a numeric column: its ranges are written as
+    files, one after the other, and read back one a batch."""
+    root = shared_dir(spark, f"streams/{name}-{uuid.uuid4().hex[:8]}/input")
+    cuts = [float("-inf"), *sorted(set(df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.0))), float("inf")]
+    for i, (low, high) in enumerate(zip(cuts, cuts[1:])):
+        df.filter((F.col(order) > F.lit(low)) & (F.col(order) <= F.lit(high))).coalesce(1).write.parquet(f"{root}/part={i}")
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/part=*")
+
+
+# -- X9: lag ------------------------------------------------------------------------------------
+class ProgressSamples(StreamingQueryListener):
+    """Turns the observed numbers of each batch of a query into samples (metric, labels, ts, value).
+
+    ``observe`` on a stream computes them as a batch runs; the listener receives one row a batch.  ts is the
+    batch's number times ``interval``, so that batches are evaluation times.
+    """
+
+    def __init__(self, name: str, interval: int = 1000):
+        self.name, self.interval = name, interval
+        self.rows: list[tuple[str, str, int, float]] = []
+        self.done = threading.Event()
+        self._id = None
+
+    def onQueryStarted(self, event):
+        if event.name == self.name:
+            self._id = event.id
+
+    def onQueryProgress(self, event):
+        p = event.progress
+        if p.name == self.name and self.name in p.observedMetrics and p.numInputRows:
+            for metric, value in p.observedMetrics[self.name].asDict().items():
+                if value is not None:
+                    kind, _, stream = metric.partition(":")
+                    self.rows.append((kind, stream, p.batchId * self.interval, float(value)))
+
+    def onQueryTerminated(self, event):
+        if event.id == self._id:
+            self.done.set()
+
+
+def observed_times(spark: SparkSession, stream: DataFrame, by: str, streams: Sequence[str], name: str) -> tuple[MetricFrame, MetricFrame]:
+    """(highest, sent) per batch of a stream: the newest timestamp that has come in, and that of each of ``streams``
+    (values of the column ``by``), in seconds, as samples at the batch's number.  Batches without rows of a stream
+    leave its last sample standing."""
+    seen = [F.max(TS).alias("highest:")] + [F.max(F.when(F.col(by) == F.lit(s), F.col(TS))).alias(f"sent:{s}") for s in streams]
+    root = shared_dir(spark, f"streams/{name}-{uuid.uuid4().hex[:8]}")
+    listener = ProgressSamples(name)
+    spark.streams.addListener(listener)
+    try:
+        q = (stream.observe(name, *seen).writeStream.queryName(name).foreachBatch(lambda df, epoch: df.write.format("noop").mode("overwrite").save())
+             .option("checkpointLocation", root + "/checkpoint").trigger(availableNow=True).start())
+        q.awaitTermination()
+        listener.done.wait(60)
+    finally:
+        spark.streams.removeListener(listener)
+    df = spark.createDataFrame(listener.rows, "metric string, stream string, ts bigint, value double").withColumn("value", F.col("value") / F.lit(1000.0))
+    newest = Window.partitionBy("metric", "stream").orderBy(TS).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    df = df.withColumn("value", F.max("value").over(newest))      # one row a batch and stream
+    highest = MetricFrame(df.filter("metric = 'highest'").select(TS, VALUE), ())
+    return highest, MetricFrame(df.filter("metric = 'sent'").select("stream", TS, VALUE), ("stream",))
+
+
 def lag_report(highest, sent):
     """Consumer lag (X9): ``highest - ignoring(...) group_right sent`` per stream."""
     from ..operators.match import binop

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from conftest import SF_MED, rows
 from metrilake import Grid, MetricFrame
 from metrilake import api as A
-from metrilake.frame import TS, VALUE
+from metrilake.frame import TS, VALUE, duration_ms
 
 
 def mf_of(spark, data, labels=("job",)):
@@ -322,25 +322,108 @@ def test_group_stream_over_several_batches(spark, tmp_path):
     assert got == want
 
 
-@pytest.mark.parametrize("rng,step", [("60s", "20s"), ("70s", "30s")])
-def test_slots_equal_expansion_on_ties_nan_and_resets(spark, rng, step):
+def _plain(fn, pts, t, r):
+    """A range function over the samples [(ts, v)] of one series, straight from its definition; None where it has no value."""
+    w = sorted(((ts, v) for ts, v in pts if t - r <= ts <= t), key=lambda p: (p[0], math.isnan(p[1]), p[1]))
+    if not w:
+        return None
+    real = [v for _, v in w if not math.isnan(v)]
+    pairs = list(zip(w, w[1:]))
+    (ft, fv), (lt, lv) = w[0], w[-1]
+    if fn in ("min_over_time", "max_over_time"):
+        return (min if fn[1] == "i" else max)(real) if real else math.nan
+    if fn == "avg_over_time":
+        return sum(v for _, v in w) / len(w)
+    if fn == "last_over_time":
+        return lv
+    if fn == "changes":
+        return float(sum(a[1] != b[1] for a, b in pairs))
+    if fn == "irate":
+        if len(w) < 2 or w[-2][0] == lt:
+            return None
+        return (lv if lv < w[-2][1] else lv - w[-2][1]) / ((lt - w[-2][0]) / 1000)
+    if fn in ("deriv", "predict_linear"):
+        if len({ts for ts, _ in w}) < 2:
+            return None
+        n, mx, my = len(w), sum(ts for ts, _ in w) / len(w), sum(v for _, v in w) / len(w)
+        slope = sum((ts - mx) * (v - my) for ts, v in w) / sum((ts - mx) ** 2 for ts, _ in w) * 1000
+        return slope if fn == "deriv" else my + slope * ((t - mx) / 1000 + 100)
+    if len(w) < 2 or lt == ft:
+        return None
+    delta = lv - fv + sum(a[1] for a, b in pairs if b[1] < a[1])
+    sampled, start, end = (lt - ft) / 1000, (ft - t + r) / 1000, (t - lt) / 1000
+    gap = sampled / (len(w) - 1)
+    if delta > 0 and fv >= 0:
+        start = min(start, sampled * fv / delta)
+    ext = sampled + (start if start < gap * 1.1 else gap / 2) + (end if end < gap * 1.1 else gap / 2)
+    return delta * ext / sampled / (r / 1000 if fn == "rate" else 1)
+
+
+RANGE_FNS = ["rate", "increase", "irate", "changes", "avg_over_time", "min_over_time", "max_over_time", "last_over_time", "deriv", "predict_linear"]
+
+
+@pytest.mark.parametrize("rng,step,end", [("60s", "20s", 600_000), ("70s", "30s", 600_000), ("7s", "1m", 600_000),
+                                          ("90s", "10s", 3_000_000), ("5m", None, 450_000), ("1001ms", None, 300_000)])
+def test_range_functions_on_ties_nan_resets_and_gaps(spark, rng, step, end):
+    """Dense, sparse and NaN series, samples on the edges of slots and at equal times, long gaps, one series a hundred times another's size."""
     import random
     rnd = random.Random(11)
-    data = []
-    for job in "abc":
-        for _ in range(120):
-            t = rnd.randrange(0, 60) * 10_000  # on the edges of slots, often the same time twice
-            v = float(rnd.choice([rnd.randrange(50), rnd.randrange(50), float("nan")])) if job == "c" else float(rnd.randrange(50))
-            data.append((job, t, v))
+    data = [(job, rnd.randrange(0, 60) * 10_000, float(rnd.choice([rnd.randrange(50), rnd.randrange(50), float("nan")]) if job == "c" else rnd.randrange(50)))
+            for job in "abc" for _ in range(120)]
+    data += [("gap", t, float(t % 7)) for t in (0, 40_000, 90_000, 2_000_000, 2_000_500, 2_900_000)] + [("one", 300_000, 5.0)]
+    data += [("tick", t, 1e6 + t / 1000) for t in range(0, 600_000, 777)]
     m = mf_of(spark, data)
-    g = Grid.range(0, 600_000, step)
-    fns = [A.rate, A.increase, A.irate, A.changes, A.avg_over_time, A.min_over_time, A.max_over_time, A.last_over_time]
-    for fn in fns:
-        src = m if fn in (A.min_over_time, A.max_over_time, A.last_over_time, A.avg_over_time) else m.with_df(m.df.filter("job <> 'c'"))
-        a, b = (values(fn(src, rng, g, strategy=s)) for s in ("slots", "expand"))
-        assert [x[:2] for x in a] == [x[:2] for x in b], fn.__name__
-        for (_, t, x), (_, _, y) in zip(a, b):
-            assert (math.isnan(x) and math.isnan(y)) or x == pytest.approx(y), (fn.__name__, t)
+    g = Grid.range(0, end, step) if step else Grid.instant(end)
+    r = duration_ms(rng)
+    for name in RANGE_FNS:
+        nan_ok = name.endswith("_over_time")
+        src = m if nan_ok else m.with_df(m.df.filter("job <> 'c'"))
+        extra = (100.0,) if name == "predict_linear" else ()
+        got = {(job, t): v for (job,), t, v in values(getattr(A, name)(src, rng, g, *extra))}
+        want = {(job, t): _plain(name, [p[1:] for p in data if p[0] == job], t, r) for job in {d[0] for d in data} if nan_ok or job != "c" for t in g.times()}
+        want = {k: v for k, v in want.items() if v is not None}
+        if name in ("deriv", "predict_linear"):     # all samples of the window at one time: no line
+            got = {k: v for k, v in got.items() if v is not None}
+        assert got.keys() == want.keys(), name
+        for k, v in want.items():
+            assert (math.isnan(v) and math.isnan(got[k])) or got[k] == pytest.approx(v, rel=1e-7, abs=1e-9), (name, k)
+
+
+def test_regression_keeps_its_digits_on_large_values(spark):
+    """A slope of one in a thousand on values near 1e12, at epoch times."""
+    base = 1_700_000_000_000
+    m = mf_of(spark, [("a", base + i * 1000, 1e12 + i / 1024) for i in range(0, 7200, 60)])
+    g = Grid.range(base + 3_600_000, base + 7_200_000, "10m")
+    for _, _, v in values(A.deriv(m, "30m", g)):
+        assert v == pytest.approx(1 / 1024, rel=1e-6)
+
+
+def test_a_sample_is_shuffled_once_by_range_functions(spark):
+    """No exchange reads what a generator made of the samples: only slots are doubled; windows are cut and filled in behind the last exchange."""
+    import re
+    m = mf_of(spark, [("a", i * 1000, float(i)) for i in range(100)])
+    g = Grid.range(0, 99_000, "1s")
+    for fn in (A.rate, A.irate, A.changes, A.deriv, A.avg_over_time):
+        plan = fn(m, "60s", g).df._jdf.queryExecution().optimizedPlan().toString()
+        assert len(re.findall(r"Generate explode\(sequence", plan)) == 1 and len(re.findall(r"Generate explode", plan)) <= 3
+        above = plan.split("Generate explode(sequence")[0]
+        assert "Aggregate" not in above and "Window" not in above and "Join" not in above
+
+
+@pytest.mark.parametrize("lookback,step,end", [("60s", "20s", 600_000), ("5m", "1m", 3_000_000), ("10s", "1m", 600_000), ("5m", None, 450_000), ("61s", "20s", 600_000)])
+def test_instant_selection_matches_its_definition(spark, lookback, step, end):
+    import random
+    rnd = random.Random(5)
+    data = [(job, rnd.randrange(-30, 60) * 10_000 + rnd.choice([0, 0, 1, 9999]), float(rnd.randrange(50))) for job in "ab" for _ in range(60)] + [("c", 0, 1.0), ("c", 2_000_000, 2.0)]
+    g = Grid.range(0, end, step) if step else Grid.instant(end)
+    lb = duration_ms(lookback)
+    want = {}
+    for job in "abc":
+        for t in g.times():
+            w = [p[1:] for p in data if p[0] == job and t - lb < p[1] <= t]
+            if w:
+                want[job, t] = max(w)[1]
+    assert {(j, t): v for (j,), t, v in values(A.instant(mf_of(spark, data), g, lookback))} == want
 
 
 def test_long_grids_have_no_cap(spark):
@@ -413,6 +496,33 @@ def test_stream_windows_hold_their_right_edge(spark, tmp_path):
     s = X.with_delay(X.with_event_time(src), "30m")
     got = X.run_to_table(spark, X.stream_eval(s, ["job"], "1m"), "edge1", "update", ["job", "eval_ts"])
     assert sorted((r.eval_ts, r["last"], r.samples) for r in got.collect()) == [(0, 5.0, 1), (60_000, 9.0, 1), (120_000, 3.0, 2)]
-    got = X.run_to_table(spark, X.stream_range(s, ["job"], "1m", "1m"), "edge2", "update", ["job", "eval_ts"])
-    # [60s, 120s] holds 9, 2 and 3: 3 - 9 and the 9 that the reset took away
-    assert {r.eval_ts: (r.samples, r.delta, r.increase) for r in got.collect()}[120_000] == (3, -6.0, 3.0)
+    # samples out of order in later batches, and one that moves the watermark past the windows
+    day = 86_400_000      # a stream's first watermark is the epoch
+    rows_ = [(i, job, day + t, v) for i, (job, t, v) in enumerate(data + [("a", 30_000, 7.0), ("b", 130_000, 1.0), ("a", 7_200_000, 1.0)])]
+    later = spark.createDataFrame(rows_, "arrival long, job string, ts long, value double")
+    s = X.with_delay(X.with_event_time(X.replayed(spark, later, "arrival", 3, "edge2").drop("arrival")), "30m")
+    got = X.run_to_table(spark, X.stream_range(s, ["job"], "1m", "1m"), "edge2")
+    # [60s, 120s] holds 9, 2 and 3: 3 - 9 and the 9 that the reset took away; the window of the last sample is still open
+    assert {(r.job, r.eval_ts - day): (r.samples, r.delta, r.increase) for r in got.collect()} == {
+        ("a", 0): (1, 0.0, 0.0), ("a", 60_000): (3, 4.0, 4.0), ("a", 120_000): (3, -6.0, 3.0), ("a", 180_000): (1, 0.0, 0.0), ("b", 180_000): (1, 0.0, 0.0)}
+
+
+def test_streaming_hold_and_late_split_over_batches(spark):
+    import random
+    from metrilake.streaming import stream as X
+    day = 86_400_000
+    rows_ = [(i, "u", day + t * 60_000, a) for i, (t, a) in enumerate([(0, True), (1, True), (2, True), (3, False), (4, True), (5, True), (9, True), (10, True), (11, True)])]
+    df = spark.createDataFrame(rows_, "n long, user_id string, ts long, active boolean")
+    s = X.with_delay(X.with_event_time(X.replayed(spark, df, "n", 4, "hold-test").drop("n")), "1m")
+    got = X.run_to_table(spark, X.hold_stream(s, ["user_id"], "2m", "3m"), "hold-test")
+    assert sorted(((r.ts - day) // 60_000, r.state, (r.active_at - day) // 60_000) for r in got.collect()) == [
+        (0, "pending", 0), (1, "pending", 0), (2, "firing", 0), (4, "pending", 4), (5, "pending", 4), (9, "pending", 9), (10, "pending", 9), (11, "firing", 9)]
+    rnd = random.Random(4)
+    rows_ = [(i, rnd.choice("ab"), rnd.randrange(1000), float(i)) for i in range(300)]
+    df = spark.createDataFrame(rows_, "n long, job string, ts long, value double")
+    got = X.split_late_to_table(spark, X.replayed(spark, df, "n", 5, "late-test"), ["job"], "n", "late-test", block=7)
+    newest, want = {}, {}
+    for n, job, ts, _ in rows_:
+        want[n] = ts < newest.get(job, -1)
+        newest[job] = max(ts, newest.get(job, -1))
+    assert {r.n: r.out_of_order for r in got.collect()} == want
