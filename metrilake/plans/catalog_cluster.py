@@ -9,8 +9,9 @@ from . import node_cluster_metrics as N
 from . import sqlgen as S
 from .catalog import hq_sql, rnd
 from .catalog_rules import END, START
-from .rulegroup import run_group
+from .rulegroup import run_group, run_groups
 from .rules import cluster as R
+from .rules import core as RC
 
 QUERIES, SQL = {}, {}
 G = Grid.range(START, END, "1m")
@@ -23,15 +24,15 @@ def _source(spark, sf, group):
 
 def _records(name, group):
     def q(spark, sf):
-        r = run_group(spark, group, _source(spark, sf, group), START, END, write_records=True).records
+        r = run_group(spark, group, _source(spark, sf, group), START, END, write=True).records
         return r.df.select(*r.labels, TS, rnd(F.col(VALUE), 6).alias(VALUE))
     q.__doc__ = f"Recording rules of group '{group.name}' over the derived cluster metrics."
     QUERIES[name] = q
 
 
-def _alerts(name, group):
+def _alerts(name, group, *others, write=False):
     def q(spark, sf):
-        res = run_group(spark, group, _source(spark, sf, group), START, END)
+        res = run_groups(spark, [group, *others], _source(spark, sf, group), START, END, write=write)[group.name]
         return res.alerts.select(*res.alert_labels, TS, rnd(F.col(VALUE), 6).alias(VALUE), "state", "active_at")
     q.__doc__ = f"Alerting rules of group '{group.name}' with their for-state."
     QUERIES[name] = q
@@ -139,6 +140,23 @@ def _resources_sql() -> str:
     return _held_sql(parts, labels)
 
 
+def _general_sql() -> str:
+    """TargetDown, Watchdog and, over the states of these and of the resource alerts, InfoInhibitor."""
+    from .catalog_rules import _GRID, _UP_I
+    labels = ["job", "namespace", "service", "alertstate", "resource", "container", "pod"]
+
+    def wide(*have: str) -> str:
+        return ", ".join(x if x in have else f"'' AS {x}" for x in labels) + ", ts, value"
+    down = (f"(SELECT job, namespace, service, ts, 100 * (COUNT(*) FILTER (WHERE value = 0) / COUNT(*)) AS value FROM {_UP_I} GROUP BY job, namespace, service, ts)")
+    first = [("TargetDown", "warning", "10m", f"SELECT {wide('job', 'namespace', 'service')} FROM {down} WHERE value > 10"),
+             ("Watchdog", "none", "0s", f"SELECT {wide()} FROM (SELECT ts, 1.0 AS value FROM {_GRID})")]
+    states = f"SELECT namespace, resource, container, pod, severity, state, ts FROM ({_resources_sql()})"
+    loud = (f"SELECT namespace, ts FROM ({states}) WHERE severity IN ('warning', 'critical') AND state = 'firing' "
+            f"UNION ALL SELECT namespace, ts FROM ({_held_sql(first[:1], labels)}) WHERE state = 'firing'")
+    info = (f"SELECT *, state AS alertstate, 1.0 AS value FROM ({states}) WHERE severity = 'info' AND (namespace, ts) NOT IN (SELECT (namespace, ts) FROM ({loud}))")
+    return _held_sql([*first, ("InfoInhibitor", "none", "0s", f"SELECT {wide('namespace', 'alertstate', 'resource', 'container', 'pod')} FROM ({info})")], labels)
+
+
 def _system_sql() -> str:
     info = _inst("kubernetes_build_info", "NOT regexp_full_match(job, 'kube-dns|coredns')")
     kinds = f"(SELECT COUNT(DISTINCT regexp_replace(git_version, '^(v[0-9]*.[0-9]*).*$', '\\1')) AS n, ts FROM {info} GROUP BY ts)"
@@ -360,7 +378,9 @@ def _apps_sql() -> str:
     return _held_sql(parts, labels)
 
 
-_alerts("r_kubernetes_apps", R.KUBERNETES_APPS)
+_alerts("r_general_alerts", RC.GENERAL, R.KUBERNETES_RESOURCES)
+SQL["r_general_alerts"] = _general_sql()
+_alerts("r_kubernetes_apps", R.KUBERNETES_APPS, write=True)
 SQL["r_kubernetes_apps"] = _apps_sql()
 _alerts("r_kube_state_metrics", R.KUBE_STATE_METRICS)
 _alerts("r_prometheus_operator", R.PROMETHEUS_OPERATOR)

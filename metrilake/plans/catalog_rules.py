@@ -12,7 +12,7 @@ from ..frame import TS, VALUE, Grid
 from . import k8s_metrics as K
 from . import sqlgen as S
 from .catalog import rnd
-from .rulegroup import run_group
+from .rulegroup import run_group, run_groups
 from .rules import core as RC
 
 QUERIES, SQL = {}, {}
@@ -28,9 +28,9 @@ def register(name, sql=None):
     return deco
 
 
-def _records(group):
+def _records(group, write=False):
     def q(spark, sf):
-        res = run_group(spark, group, K.families(spark, sf), START, END)
+        res = run_group(spark, group, K.families(spark, sf), START, END, write=write)
         r = res.records
         return r.df.select(*r.labels, TS, rnd(F.col(VALUE), 6).alias(VALUE))
     q.__doc__ = f"Recording rules of group '{group.name}' over the derived cluster metrics."
@@ -249,49 +249,16 @@ def _k8s_sql():
             f"workload, workload_type, ts, ROUND(value, 6) AS value FROM ({body})")
 
 
-register("r_k8s", _k8s_sql())(_records(RC.K8S))
-def _general_alerts_sql():
-    ids = "alertname, job, namespace, service, severity"
-    td = (f"(SELECT job, namespace, service, ts, CAST(COUNT(*) FILTER (WHERE value = 0) AS DOUBLE) AS down, "
-          f"CAST(COUNT(*) AS DOUBLE) AS n FROM {_UP_I} GROUP BY job, namespace, service, ts)")
-    return f"""WITH a AS (
-  SELECT 'TargetDown' AS alertname, job, namespace, service, 'warning' AS severity, ts, 100 * (down / n) AS value
-  FROM {td} WHERE down > 0 AND 100 * (down / n) > 10
-  UNION ALL
-  SELECT 'Watchdog', '', '', '', 'none', ts, 1.0 FROM {_GRID}),
-k AS (SELECT *, (ts - {_GR.start}) // {_GR.step} AS k FROM a),
-r AS (SELECT *, CASE WHEN LAG(k) OVER (PARTITION BY {ids} ORDER BY k) = k - 1 THEN 0 ELSE 1 END AS nr FROM k),
-i AS (SELECT *, SUM(nr) OVER (PARTITION BY {ids} ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS isl FROM r)
-SELECT {ids}, ts, ROUND(value, 6) AS value,
-  CASE WHEN ts - MIN(ts) OVER (PARTITION BY {ids}, isl) >= CASE alertname WHEN 'TargetDown' THEN 600000 ELSE 0 END
-       THEN 'firing' ELSE 'pending' END AS state,
-  MIN(ts) OVER (PARTITION BY {ids}, isl) AS active_at FROM i"""
-
-
-register("r_general_alerts", _general_alerts_sql())(_alerts(RC.GENERAL))
-
-
-def _written_records(group):
-    """Large groups: source families written once, each record written as produced."""
-    def q(spark, sf):
-        from .rulegroup import WrittenSource
-        res = run_group(spark, group, WrittenSource(spark, K.families(spark, sf)), START, END, write_records=True)
-        r = res.records
-        return r.df.select(*r.labels, TS, rnd(F.col(VALUE), 6).alias(VALUE))
-    q.__doc__ = f"Recording rules of group '{group.name}' (families and records written to the shared folder)."
-    return q
+register("r_k8s", _k8s_sql())(_records(RC.K8S, write=True))
 
 
-register("r_apiserver_histogram")(_written_records(RC.APISERVER_HISTOGRAM))
-register("r_apiserver_burnrate")(_written_records(RC.APISERVER_BURNRATE))
+register("r_apiserver_histogram")(_records(RC.APISERVER_HISTOGRAM))
+register("r_apiserver_burnrate")(_records(RC.APISERVER_BURNRATE, write=True))
 
 
 def q_r_apiserver_slos(spark, sf):
-    """Multi-window multi-burn-rate SLO alerts over the burn-rate group's records (two groups in order)."""
-    from .rulegroup import RecordSource, WrittenSource
-    fam = WrittenSource(spark, K.families(spark, sf))
-    burn = run_group(spark, RC.APISERVER_BURNRATE, fam, START, END, write_records=True)
-    res = run_group(spark, RC.APISERVER_SLOS, RecordSource(fam, burn.records), START, END)
+    """Multi-window multi-burn-rate SLO alerts that read the records of the burn-rate group."""
+    res = run_groups(spark, [RC.APISERVER_SLOS, RC.APISERVER_BURNRATE], K.families(spark, sf), START, END)["kube-apiserver-slos"]
     return res.alerts.select(*res.alert_labels, TS, rnd(F.col(VALUE), 6).alias(VALUE), "state", "active_at")
 
 

@@ -52,7 +52,8 @@ def _counter(d: DataFrame, labels: list[str], inc: Column) -> MetricFrame:
 
 
 def families(spark: SparkSession, sf: str) -> DictSource:
-    b = lambda: base(spark, sf)   # noqa: E731 - each family re-reads only the columns it needs
+    events = base(spark, sf)      # a plan; each family reads only the columns it needs
+    b = lambda: events            # noqa: E731
     lit = F.lit
 
     def cpu_usage():

@@ -161,9 +161,11 @@ def _bounds(kind: str) -> list[str]:
 
 def extended(spark: SparkSession, sf: str, source: DictSource) -> DictSource:
     """source with the families of EXTRA."""
+    events = base(spark, sf)
+
     def make(labels, kind, value, where):
         def family():
-            d = base(spark, sf).filter(where)
+            d = events.filter(where)
             cols = [F.expr(e).alias(f"l_{n}") for n, e in labels.items()]
             d = d.select(*cols, "event_id", TS, F.expr(value).cast("double").alias("v"))
             d = d.select(*[F.col(f"l_{n}").alias(n) for n in labels], "event_id", TS, "v")
