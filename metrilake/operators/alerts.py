@@ -156,28 +156,49 @@ def resolve(held: DataFrame, labels: Sequence[str], timeout="5m") -> DataFrame:
              .drop("_inc"))
 
 
-def mute(alerts: DataFrame, intervals: Sequence[Mapping]) -> DataFrame:
-    """Drop alerts inside a mute time interval.
+def _any_range(c: Column, ranges: Sequence) -> Column:
+    """Whether a number lies in one of the ranges (from, to), both included; a number alone is a range."""
+    out = F.lit(False)
+    for r in ranges:
+        low, high = (r, r) if isinstance(r, int) else r
+        out = out | c.between(low, high)
+    return out
+
+
+def in_interval(t: Column, interval: Mapping) -> Column:
+    """Whether a UTC timestamp lies in a calendar interval; a field that is left out matches always.
 
-    An interval is ``{"weekdays": [0..6 Monday=0], "times": [("HH:MM", "HH:MM")]}``
-    in UTC; omitted fields match always.
+    weekdays (Monday = 0), months and years are numbers or ranges (from, to); days_of_month too, where a negative day counts
+    from the month's end (-1 its last) and a range is cut to the month; times are ("HH:MM", "HH:MM"), the end left out
+    ("24:00" is the day's end).
     """
+    fields = {"weekdays": F.pmod(F.dayofweek(t) + F.lit(5), F.lit(7)), "months": F.month(t), "years": F.year(t)}
+    out = F.lit(True)
+    for name, c in fields.items():
+        if interval.get(name) is not None:
+            out = out & _any_range(c, interval[name])
+    if interval.get("days_of_month") is not None:
+        day, last = F.dayofmonth(t), F.dayofmonth(F.last_day(t))
+        place = lambda d: F.lit(d) if d > 0 else last + F.lit(d + 1)
+        hit = F.lit(False)
+        for r in interval["days_of_month"]:
+            low, high = (r, r) if isinstance(r, int) else r
+            if not low or not high:
+                raise ValueError("days of a month count from 1 or from -1")
+            hit = hit | ((day >= place(low)) & (day <= place(high)))
+        out = out & hit
+    if interval.get("times"):
+        minute = F.hour(t) * 60 + F.minute(t)
+        out = out & _any_range(minute, [(int(a[:2]) * 60 + int(a[3:]), int(b[:2]) * 60 + int(b[3:]) - 1) for a, b in interval["times"]])
+    return out
+
+
+def mute(alerts: DataFrame, intervals: Sequence[Mapping]) -> DataFrame:
+    """Drop alerts inside a mute time interval (E10, ``in_interval``): one predicate of the calendar day and minute."""
     t = F.timestamp_millis(F.col(TS))
-    dow = F.pmod(F.dayofweek(t) + F.lit(5), F.lit(7))   # Monday = 0
-    minute = F.hour(t) * 60 + F.minute(t)
     muted = F.lit(False)
     for iv in intervals:
-        c = F.lit(True)
-        if iv.get("weekdays") is not None:
-            c = c & dow.isin(*iv["weekdays"])
-        if iv.get("times"):
-            tc = F.lit(False)
-            for a, b in iv["times"]:
-                lo = int(a[:2]) * 60 + int(a[3:])
-                hi = int(b[:2]) * 60 + int(b[3:])
-                tc = tc | ((minute >= lo) & (minute < hi))
-            c = c & tc
-        muted = muted | c
+        muted = muted | in_interval(t, iv)
     return alerts.filter(~muted)
 
 

@@ -139,6 +139,22 @@ def q_e10_mute(spark, sf):
     return AL.mute(held_alerts(spark, sf), [{"weekdays": [5, 6]}, {"times": [("00:00", "06:00")]}])
 
 
+_SHIFT = 32 * 86_400_000      # January's alerts, moved into the leap February and the first days of March
+
+
+@register("e10_mute_calendar", f"""
+WITH h AS (SELECT * REPLACE (ts + {_SHIFT} AS ts, active_at + {_SHIFT} AS active_at) FROM {HELD}), c AS (SELECT *, make_timestamp(ts * 1000) AS t FROM h)
+SELECT * EXCLUDE (t) FROM c WHERE NOT (
+  (CAST(t AS DATE) IN (DATE '2024-02-28', DATE '2024-02-29')) OR (day(t) BETWEEN 1 AND 3 AND isodow(t) <= 5)
+  OR (month(t) = 2 AND day(t) BETWEEN 10 AND 20 AND (hour(t) < 8 OR hour(t) >= 20)))""")
+def q_e10_mute_calendar(spark, sf):
+    """Mute the last two days of a leap February, the first three days of any month if they are working days, and nights
+    between its 10th and its tenth day from the end (E10)."""
+    h = held_alerts(spark, sf).withColumns({TS: F.col(TS) + F.lit(_SHIFT), "active_at": F.col("active_at") + F.lit(_SHIFT)})
+    return AL.mute(h, [{"days_of_month": [(-2, -1)], "months": [2], "years": [(2024, 2025)]}, {"days_of_month": [(1, 3)], "weekdays": [(0, 4)]},
+                       {"days_of_month": [(10, -10)], "months": [(2, 2)], "times": [("00:00", "08:00"), ("20:00", "24:00")]}])
+
+
 @register("e11_watchdog", S.final(
     f"(SELECT 'Watchdog' AS alertname, 'none' AS severity, g.ts, 1.0 AS value FROM {S.grid(G6H)} g "
     f"WHERE EXISTS (SELECT 1 FROM events))", ["alertname", "severity"]))

@@ -526,3 +526,24 @@ def test_streaming_hold_and_late_split_over_batches(spark):
         want[n] = ts < newest.get(job, -1)
         newest[job] = max(ts, newest.get(job, -1))
     assert {r.n: r.out_of_order for r in got.collect()} == want
+
+
+def test_calendar_intervals(spark):
+    import datetime as dt
+    from metrilake.operators.alerts import in_interval
+    days = [dt.datetime(y, 1, 1, h) + dt.timedelta(days=i) for y in (2023, 2024) for i in range(366) for h in (3, 21)]
+    df = spark.createDataFrame([(int(d.replace(tzinfo=dt.timezone.utc).timestamp() * 1000),) for d in days], "ms long")
+
+    def last(d):
+        return (d.replace(day=28) + dt.timedelta(days=4)).replace(day=1) - dt.timedelta(days=1)
+    cases = [({"days_of_month": [-1]}, lambda d: d.date() == last(d).date()),
+             ({"days_of_month": [(29, 31)], "months": [2]}, lambda d: (d.month, d.day) == (2, 29)),
+             ({"days_of_month": [(-40, 2), (-3, -2)]}, lambda d: d.day <= 2 or last(d).day - d.day in (1, 2)),
+             ({"days_of_month": [(30, -1)]}, lambda d: d.day >= 30),
+             ({"weekdays": [0, (5, 6)], "years": [2023], "times": [("20:30", "24:00")]}, lambda d: d.weekday() in (0, 5, 6) and d.year == 2023 and d.hour == 21),
+             ({"months": [(11, 12), 3]}, lambda d: d.month in (3, 11, 12)), ({}, lambda d: True)]
+    for interval, want in cases:
+        got = {r.ms for r in df.filter(in_interval(F.timestamp_millis("ms"), interval)).collect()}
+        assert got == {int(d.replace(tzinfo=dt.timezone.utc).timestamp() * 1000) for d in days if want(d)}, interval
+    with pytest.raises(ValueError, match="from 1"):
+        in_interval(F.timestamp_millis("ms"), {"days_of_month": [0]})
