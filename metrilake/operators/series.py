@@ -43,13 +43,12 @@ def running_sum(df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str
 
 def series_lag(df: DataFrame, keys: Sequence[str], ts: str, cols: Sequence[str], prefix: str = "prev_",
                bucket_ms: int = DEFAULT_BUCKET_MS) -> DataFrame:
-    """Previous row's ``ts`` and ``cols`` per series (exact across any gap)."""
+    """Previous row's ``ts`` and ``cols`` per series in the order of (ts, cols), exact across any gap."""
     keys = list(keys)
     d = df.withColumn("__rs_b", _bucket(ts, bucket_ms))
-    w = Window.partitionBy(*keys, "__rs_b").orderBy(ts)
     fields = [ts] + [c for c in cols if c != ts]
-    for c in fields:
-        d = d.withColumn(prefix + c, F.lag(c).over(w))
+    w = Window.partitionBy(*keys, "__rs_b").orderBy(*fields)       # equal timestamps in the order of their values
+    d = d.withColumns({prefix + c: F.lag(c).over(w) for c in fields})
     last = d.groupBy(*keys, "__rs_b").agg(F.max(F.struct(*[F.col(c) for c in fields])).alias("__rs_last"))
     wb = Window.partitionBy(*keys).orderBy("__rs_b")
     carry = last.select(*keys, "__rs_b", F.lag("__rs_last").over(wb).alias("__rs_carry"))
