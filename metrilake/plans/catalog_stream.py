@@ -39,10 +39,10 @@ def event_stream(spark: SparkSession, sf: str, max_files: int | None = None) ->
     return X.with_event_time(s)
 
 
-def event_batches(spark: SparkSession, sf: str, order: str = TS, parts: int = 5) -> DataFrame:
-    """``events`` replayed in micro-batches along a column (``replayed``)."""
+def event_batches(spark: SparkSession, sf: str, order: str = TS, parts: int = 5, end: int | None = None) -> DataFrame:
+    """``events`` replayed in micro-batches along a column (``replayed``, with its end row if ``end`` is given)."""
     e = T.table(spark, sf, "events").select("event_type", F.col("user_id").cast("string").alias("user_id"), "event_id", to_ms("ts").alias(TS), "value")
-    return X.with_event_time(X.replayed(spark, e, order, parts, "events"))
+    return X.with_event_time(X.replayed(spark, e, order, parts, "events", end))
 
 
 H6 = 21_600_000
@@ -64,11 +64,11 @@ WITH w AS (SELECT e.event_type, e.value, epoch_us(e.ts) // 1000 AS t, k.i FROM e
 x AS (SELECT event_type, value, t, (t + {H6} - 1) // {H6} * {H6} + i * {H6} AS eval_ts FROM w),
 y AS (SELECT *, LAG(value) OVER (PARTITION BY event_type, eval_ts ORDER BY t, value) AS before FROM x WHERE eval_ts - {D1} <= t)
 SELECT event_type, eval_ts, MIN(value) AS min, MAX(value) AS max, COUNT(*) AS samples, ROUND(arg_max(value, t) - arg_min(value, t), 6) AS delta,
-       ROUND(arg_max(value, t) - arg_min(value, t) + SUM(CASE WHEN value < before THEN before ELSE 0 END), 6) AS increase FROM y
-WHERE eval_ts <= (SELECT MAX(epoch_us(ts) // 1000) - 1800000 FROM events) GROUP BY event_type, eval_ts""")
+       ROUND(arg_max(value, t) - arg_min(value, t) + SUM(CASE WHEN value < before THEN before ELSE 0 END), 6) AS increase FROM y GROUP BY event_type, eval_ts""")
 def q_x2_stream_range(spark, sf):
-    """Sliding ``[1d]`` every 6h over a stream of five batches, each window as the 30m watermark passes it."""
-    s = X.with_delay(event_batches(spark, sf), "30m")
+    """Sliding ``[1d]`` every 6h over a stream of five batches, each window as the 30m watermark passes it, those that the
+    last samples are in behind the stream's end (X2)."""
+    s = X.with_delay(event_batches(spark, sf, end=D1 + H6 + 1_800_000), "30m")
     r = X.run_to_table(spark, X.stream_range(s, ["event_type"], "1d", "6h"), "x2")
     return r.select("event_type", "eval_ts", "min", "max", "samples", rnd("delta", 6).alias("delta"), rnd("increase", 6).alias("increase"))
 

@@ -507,6 +507,16 @@ def test_stream_windows_hold_their_right_edge(spark, tmp_path):
         ("a", 0): (1, 0.0, 0.0), ("a", 60_000): (3, 4.0, 4.0), ("a", 120_000): (3, -6.0, 3.0), ("a", 180_000): (1, 0.0, 0.0), ("b", 180_000): (1, 0.0, 0.0)}
 
 
+def test_a_replayed_stream_ends_with_its_last_windows(spark):
+    from metrilake.streaming import stream as X
+    day = 86_400_000
+    df = spark.createDataFrame([("a", day + t, v) for t, v in [(0, 5.0), (60_000, 9.0), (90_000, 2.0)]] + [("b", day + 90_000, 1.0)], "job string, ts long, value double")
+    s = X.with_delay(X.with_event_time(X.replayed(spark, df, "ts", 2, "end", end=120_000 + 1_800_000)), "30m")
+    got = X.run_to_table(spark, X.stream_range(s, ["job"], "1m", "1m"), "end")
+    assert {(r.job, r.eval_ts - day): (r.samples, r.min, r.max, r.increase) for r in got.collect()} == {
+        ("a", 0): (1, 5.0, 5.0, 0.0), ("a", 60_000): (2, 5.0, 9.0, 4.0), ("a", 120_000): (2, 2.0, 9.0, 2.0), ("b", 120_000): (1, 1.0, 1.0, 0.0)}
+
+
 def test_streaming_hold_and_late_split_over_batches(spark):
     import random
     from metrilake.streaming import stream as X
