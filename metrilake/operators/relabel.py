@@ -114,14 +114,15 @@ def _apply(df: DataFrame, r: Rule, col: str) -> DataFrame:
         src = source_value(labels, r.source_labels, r.separator)
         return df.withColumn(col, set_label(labels, r.target_label, hash_mod(src, r.modulus).cast("string")))
     if r.action == "labelmap":
-        ents = F.filter(F.map_entries(labels), lambda e: e["key"].rlike(pat))
-        new = F.transform(ents, lambda e: F.struct(F.regexp_replace(e["key"], pat, _repl(r.replacement)).alias("key"),
-                                                   e["value"].alias("value")))
-        # later entries win among the new ones; new ones override existing labels
-        new = F.filter(new, lambda e, i: ~F.exists(F.slice(new, i + 2, F.size(new)), lambda x: x["key"] == e["key"]))
-        keys = F.transform(new, lambda e: e["key"])
-        kept = F.filter(F.map_entries(labels), lambda e: ~F.array_contains(keys, e["key"]))
-        return df.withColumn(col, F.map_from_entries(F.concat(kept, new)))
+        # a new name takes its place behind the others each time it comes, so later entries win; each name is matched
+        # and rewritten once, and the new labels, read twice, stay a column of their own
+        named = F.transform(F.filter(F.map_entries(labels), lambda e: e["key"].rlike(pat)),
+                            lambda e: F.struct(F.regexp_replace(e["key"], pat, _repl(r.replacement)).alias("key"), e["value"].alias("value")))
+        new = F.aggregate(named, F.create_map().cast("map<string,string>"),
+                          lambda m, e: F.map_concat(F.map_filter(m, lambda k, v: k != e["key"]), F.create_map(e["key"], e["value"])))
+        df = df.withColumn("_mapped", new)
+        kept = F.map_filter(labels, lambda k, v: ~F.map_contains_key(F.col("_mapped"), k))      # new ones override existing labels
+        return df.withColumn(col, F.map_concat(kept, F.col("_mapped"))).drop("_mapped")
     if r.action == "labeldrop":
         return df.withColumn(col, F.map_filter(labels, lambda k, v: ~k.rlike(pat)))
     if r.action == "labelkeep":

@@ -13,7 +13,8 @@ from ..sources.tables import table
 
 def pod_targets(spark: SparkSession, sf: str) -> DataFrame:
     """One discovered pod per customer, as a label map (relabel input)."""
-    c = table(spark, sf, "customer")
+    # a few splits of a small file hold many rows, each of which takes a list of rules: they are dealt to all tasks
+    c = table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_name", "c_acctbal", "c_mktsegment").hint("rebalance")
     pairs = {
         "__address__": F.concat(F.lit("10.0."), F.col("c_nationkey").cast("string"), F.lit("."),
                                 F.col("c_custkey").cast("string"),
