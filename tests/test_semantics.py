@@ -579,3 +579,23 @@ def test_calendar_intervals(spark):
         assert got == {int(d.replace(tzinfo=dt.timezone.utc).timestamp() * 1000) for d in days if want(d)}, interval
     with pytest.raises(ValueError, match="from 1"):
         in_interval(F.timestamp_millis("ms"), {"days_of_month": [0]})
+
+
+def test_labelmap_rewrites_each_name_once(spark):
+    import contextlib
+    import io
+    from metrilake.operators import relabel as R
+    df = spark.createDataFrame([(1, {"a_x": "1", "b": "2", "b_x": "3", "x": "old", "c": "4"}), (2, {"c": "5"}), (3, None)], "id int, labels map<string,string>")
+    d = R.relabel(df, [R.LabelMap("(?:a|b)_(.+)")])
+    assert {r.id: r.labels for r in d.collect()} == {1: {"a_x": "1", "b": "2", "b_x": "3", "c": "4", "x": "3"}, 2: {"c": "5"}, 3: None}
+    with contextlib.redirect_stdout(io.StringIO()) as plan:
+        d.explain("extended")
+    assert plan.getvalue().split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0].lower().count("regexp_replace(") == 1
+
+
+def test_queries_cut_shuffles_finely(spark):
+    import __spark_entry__ as E
+    from conftest import SF_SMALL
+    E.queries()["w6_changes"](spark, SF_SMALL)
+    assert int(spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum")) >= 960
+    assert spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count().rdd.getNumPartitions() < 960     # and join small ones again
