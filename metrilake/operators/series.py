@@ -9,7 +9,7 @@ adds no shuffle of the samples.
 """
 from __future__ import annotations
 
-from typing import Sequence
+from typing import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,24 +21,33 @@ def _bucket(ts: str, bucket_ms: int) -> Column:
     return F.floor(F.col(ts) / F.lit(bucket_ms)).cast("bigint")
 
 
-def running_sum(df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str], col: Column,
-                out: str, bucket_ms: int = DEFAULT_BUCKET_MS, bucket_col: Column | None = None) -> DataFrame:
-    """Cumulative sum of ``col`` per ``keys`` in (ts, *order) order, rows-unbounded-preceding.
+def running_sums(df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str], cols: Mapping[str, Column],
+                 bucket_ms: int = DEFAULT_BUCKET_MS, bucket_col: Column | None = None) -> DataFrame:
+    """Cumulative sums of ``cols`` (name of the sum -> what is summed) per ``keys`` in (ts, *order) order,
+    rows-unbounded-preceding, all in one sort.
 
     ``bucket_col`` overrides the time bucket (any column monotone in the order).
     """
     keys = list(keys)
     b = bucket_col if bucket_col is not None else _bucket(ts, bucket_ms)
-    d = df.withColumn("__rs_c", col.cast("double")).withColumn("__rs_b", b)
+    names = {out: f"__rs_{i}" for i, out in enumerate(cols)}
+    d = df.withColumns({f"{n}_c": cols[out].cast("double") for out, n in names.items()} | {"__rs_b": b})
     w = Window.partitionBy(*keys, "__rs_b").orderBy(F.col(ts), *[F.col(o) for o in order]) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    d = d.withColumn("__rs_cs", F.sum("__rs_c").over(w))
+    d = d.withColumns({f"{n}_s": F.sum(f"{n}_c").over(w) for n in names.values()})
     # bucket totals → exclusive prefix per series (bounded: one row per series and bucket)
-    tot = d.groupBy(*keys, "__rs_b").agg(F.sum("__rs_c").alias("__rs_t"))
+    tot = d.groupBy(*keys, "__rs_b").agg(*[F.sum(f"{n}_c").alias(f"{n}_t") for n in names.values()])
     wb = Window.partitionBy(*keys).orderBy("__rs_b").rowsBetween(Window.unboundedPreceding, -1)
-    tot = tot.select(*keys, "__rs_b", F.coalesce(F.sum("__rs_t").over(wb), F.lit(0.0)).alias("__rs_off"))
+    tot = tot.select(*keys, "__rs_b", *[F.coalesce(F.sum(f"{n}_t").over(wb), F.lit(0.0)).alias(f"{n}_off") for n in names.values()])
     d = d.join(tot, on=keys + ["__rs_b"], how="inner")
-    return d.withColumn(out, F.col("__rs_cs") + F.col("__rs_off")).drop("__rs_c", "__rs_b", "__rs_cs", "__rs_off")
+    d = d.withColumns({out: F.col(f"{n}_s") + F.col(f"{n}_off") for out, n in names.items()})
+    return d.drop("__rs_b", *[n + x for n in names.values() for x in ("_c", "_s", "_off")])
+
+
+def running_sum(df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str], col: Column,
+                out: str, bucket_ms: int = DEFAULT_BUCKET_MS, bucket_col: Column | None = None) -> DataFrame:
+    """Cumulative sum of ``col``: ``running_sums`` of one column."""
+    return running_sums(df, keys, ts, order, {out: col}, bucket_ms, bucket_col)
 
 
 def series_lag(df: DataFrame, keys: Sequence[str], ts: str, cols: Sequence[str], prefix: str = "prev_",

@@ -24,6 +24,7 @@ the slot that leaves at k.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,24 +58,35 @@ def _two(a: Column, b: Column, how) -> Column:
     return (F.least if how is F.min else F.greatest)(a, b)
 
 
-def window_table(mf: MetricFrame, grid: Grid, rng: int, parts: set[str]) -> DataFrame:
-    """One row per (series, k) whose window [t_k - rng, t_k] holds a sample: labels, ``_k``, ``n`` and the ``parts``.
+@dataclass(frozen=True)
+class SlotFrame(MetricFrame):
+    """Summaries of a frame's slots, a row per (series, slot ``_j``), for windows of any range that ``width`` divides."""
 
-    first, last: struct(ts, v), the last one with pts and pv of the sample before it where an ordered part is asked for;
-    drops: sum of the values before counter drops; changes: how often neighbours differ; sum, min, max (without NaN),
-    nans; sx, sy, sxx, sxy: sums of (x, y, x², x·y) for x in seconds from ``x0`` (epoch ms) and y from ``y0``.
-    """
+    start: int = 0
+    width: int = 1
+    parts: frozenset = frozenset()
+
+
+def _all_parts(parts: set[str]) -> set[str]:
+    ordered, moments = bool(parts & ORDERED), bool(parts & MOMENTS)
+    return {"n"} | parts - {"prev"} | ({"first", "last"} if ordered else set()) | (MOMENTS if moments else set())
+
+
+def slot_frame(mf: MetricFrame, grid: Grid, width: int, parts: set[str]) -> MetricFrame:
+    """The summaries of all slots of ``width`` ms up to the grid's end: what windows of several ranges share."""
+    return mf if mf.empty else SlotFrame(_summaries(mf, grid, width, parts), mf.labels, False, grid.start, width, frozenset(parts))
+
+
+def _summaries(mf: MetricFrame, grid: Grid, width: int, parts: set[str], begin: int | None = None) -> DataFrame:
+    """One row per (series, slot) of the samples from ``begin`` on: ``_j``, the parts of all samples and, as ``E_``, of
+    those on the slot's right edge."""
     keys = list(mf.labels)
-    if mf.empty:
-        return _no_windows(mf, parts)
-    width, per = _width(grid, rng)
-    m = rng // width
-    start = grid.start
     ts, v = F.col(TS), F.col(VALUE)
     ordered, moments = bool(parts & ORDERED), bool(parts & MOMENTS)
-    parts = {"n"} | parts - {"prev"} | ({"first", "last"} if ordered else set()) | (MOMENTS if moments else set())
+    parts, start = _all_parts(parts), grid.start
     # slot j ends at start + j * width; samples up to t - range can lie in slots below zero
-    d = mf.df.filter((ts >= F.lit(start - rng)) & (ts <= F.lit(grid.end))).select(
+    inside = ts <= F.lit(grid.end)
+    d = mf.df.filter(inside if begin is None else (ts >= F.lit(begin)) & inside).select(
         *keys, TS, VALUE, F.ceil((ts - F.lit(start)) / F.lit(width)).cast("bigint").alias("_j"))
     right = F.lit(start) + F.col("_j") * F.lit(width)
     on = ts == right
@@ -107,7 +119,35 @@ def window_table(mf: MetricFrame, grid: Grid, rng: int, parts: set[str]) -> Data
     if moments:
         one = F.when(on, v)
         aggs += [F.avg(x).alias("mx"), F.avg(v).alias("my"), F.var_pop(x).alias("vx"), F.covar_pop(x, v).alias("cxy"), F.sum(one).alias("E_sy")]
-    s = d.groupBy(*keys, "_j").agg(*aggs)
+    return d.groupBy(*keys, "_j").agg(*aggs)
+
+
+def window_table(mf: MetricFrame, grid: Grid, rng: int, parts: set[str]) -> DataFrame:
+    """One row per (series, k) whose window [t_k - rng, t_k] holds a sample: labels, ``_k``, ``n`` and the ``parts``.
+
+    first, last: struct(ts, v), the last one with pts and pv of the sample before it where an ordered part is asked for;
+    drops: sum of the values before counter drops; changes: how often neighbours differ; sum, min, max (without NaN),
+    nans; sx, sy, sxx, sxy: sums of (x, y, x², x·y) for x in seconds from ``x0`` (epoch ms) and y from ``y0``.
+    ``mf`` may be a ``SlotFrame`` of the grid, whose slots divide range and step.
+    """
+    keys = list(mf.labels)
+    if mf.empty:
+        return _no_windows(mf, parts)
+    start = grid.start
+    ts = F.col(TS)
+    ordered, moments = bool(parts & ORDERED), bool(parts & MOMENTS)
+    if isinstance(mf, SlotFrame):
+        width, per = mf.width, 0 if grid.n == 1 else grid.step // mf.width
+        if mf.start != start or rng % width or grid.n > 1 and grid.step % width or not parts <= mf.parts:
+            raise ValueError("the slots are not of this grid, range or parts")
+        m = rng // width
+        s = mf.df.filter(F.col("_j") >= F.lit(-m))          # of slot -m only the right edge is in a window
+    else:
+        width, per = _width(grid, rng)
+        m = rng // width
+        s = _summaries(mf, grid, width, parts, start - rng)
+    parts = _all_parts(parts)
+    right = F.lit(start) + F.col("_j") * F.lit(width)
 
     # ---- blocks: a slot enters its own at k = j and leaves the next at k = j + m
     s = s.withColumn("_out", F.explode(F.array(F.lit(0), F.lit(1)))).withColumns(

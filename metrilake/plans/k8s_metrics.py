@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..frame import TS, VALUE, MetricFrame, to_ms
 from ..operators.select import from_table
-from ..operators.series import running_sum
+from ..operators.series import running_sum, running_sums
 from ..sources.tables import table
 from .rulegroup import DictSource
 
@@ -32,6 +32,7 @@ def _lookup(m: dict, c: Column) -> Column:
 # windows as declared ([3m], [5m], for: 10m) see several samples per series.
 T0 = 1_704_067_200_000          # 2024-01-01T00:00:00Z
 TIME_SCALE = 1440
+DAY = 86_400_000 // TIME_SCALE      # a day of the replay: counters are summed day by day, so few series are many groups
 
 
 def base(spark: SparkSession, sf: str) -> DataFrame:
@@ -47,10 +48,20 @@ def base(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _counter(d: DataFrame, labels: list[str], inc: Column) -> MetricFrame:
-    c = running_sum(d.select(*labels, "event_id", TS, inc.alias("_inc")), labels, TS, ["event_id"], F.col("_inc"), VALUE)
+    c = running_sum(d.select(*labels, "event_id", TS, inc.alias("_inc")), labels, TS, ["event_id"], F.col("_inc"), VALUE, bucket_ms=DAY)
     return from_table(c.select(*labels, TS, VALUE), labels)
 
 
+def bucket_counter(d: DataFrame, labels: list[str], observed: Column, bounds: list[str]) -> MetricFrame:
+    """Cumulative ``le`` buckets of the observations: all bounds are summed in one sort of the events, then each event
+    gives a sample a bound."""
+    le = {f"_le{i}": F.when(F.col("_seen") <= F.lit(float("inf") if x == "+Inf" else float(x)), F.lit(1.0)).otherwise(F.lit(0.0)) for i, x in enumerate(bounds)}
+    c = running_sums(d.select(*labels, "event_id", TS, observed.alias("_seen")), labels, TS, ["event_id"], le, bucket_ms=DAY)
+    each = F.explode(F.array(*[F.struct(F.lit(x).alias("le"), F.col(f"_le{i}").alias("n")) for i, x in enumerate(bounds)]))
+    c = c.select(*labels, TS, each.alias("_x")).select(*labels, F.col("_x.le").alias("le"), TS, F.col("_x.n").alias(VALUE))
+    return from_table(c, [*labels, "le"])
+
+
 def families(spark: SparkSession, sf: str) -> DictSource:
     events = base(spark, sf)      # a plan; each family reads only the columns it needs
     b = lambda: events            # noqa: E731
@@ -162,10 +173,7 @@ def families(spark: SparkSession, sf: str) -> DictSource:
         return d
 
     def api_bucket():
-        d = _api_hist().select("*", F.explode(F.array(*[lit(x) for x in LE])).alias("le"))
-        bound = F.when(F.col("le") == "+Inf", lit(float("inf"))).otherwise(F.col("le").cast("double"))
-        return _counter(d, ["job", "verb", "scope", "subresource", "le"],
-                        F.when(F.col("_lat") <= bound, lit(1.0)).otherwise(lit(0.0)))
+        return bucket_counter(_api_hist(), ["job", "verb", "scope", "subresource"], F.col("_lat"), LE)
 
     def api_count():
         return _counter(_api_hist(), ["job", "verb", "scope", "subresource"], lit(1.0))
@@ -174,9 +182,7 @@ def families(spark: SparkSession, sf: str) -> DictSource:
         return _counter(_api_hist(), ["job", "verb", "scope", "subresource"], F.col("_lat"))
 
     def pleg_bucket():
-        d = b().select("*", lit("kubelet").alias("job"), F.explode(F.array(*[lit(x) for x in LE])).alias("le"))
-        bound = F.when(F.col("le") == "+Inf", lit(float("inf"))).otherwise(F.col("le").cast("double"))
-        return _counter(d, ["job", "instance", "le"], F.when(F.col("value") / 40 <= bound, 1.0).otherwise(0.0))
+        return bucket_counter(b().select("*", lit("kubelet").alias("job")), ["job", "instance"], F.col("value") / 40, LE)
 
     def net_up():
         # link state per interface: down (0) on an error event; every fourth user is a veth pair

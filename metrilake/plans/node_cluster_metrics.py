@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..frame import TS, VALUE
 from ..operators.select import from_table
-from .k8s_metrics import LE, T0, TIME_SCALE, _counter, base
+from .k8s_metrics import LE, T0, TIME_SCALE, _counter, base, bucket_counter
 from .rulegroup import DictSource
 
 _NODE = {"job": "'node-exporter'", "namespace": "'monitoring'", "pod": "concat('node-exporter-', cast(uid % 7 as string))",
@@ -172,9 +172,7 @@ def extended(spark: SparkSession, sf: str, source: DictSource) -> DictSource:
             if kind == "gauge":
                 return from_table(d.select(*labels, TS, F.col("v").alias(VALUE)), list(labels))
             if kind.startswith("bucket"):
-                d = d.select("*", F.explode(F.array(*[F.lit(x) for x in _bounds(kind)])).alias("le"))
-                bound = F.when(F.col("le") == "+Inf", F.lit(float("inf"))).otherwise(F.col("le").cast("double"))
-                return _counter(d, [*labels, "le"], F.when(F.col("v") <= bound, 1.0).otherwise(0.0))
+                return bucket_counter(d, list(labels), F.col("v"), _bounds(kind))
             return _counter(d, list(labels), F.col("v"))
         return family
     return source.with_families({n: make(*spec) for n, spec in EXTRA.items()})

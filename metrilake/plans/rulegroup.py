@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from ..frame import NAME, TS, VALUE, Grid, MetricFrame, duration_ms
 from ..operators import alerts as AL
 from ..operators.select import instant, select
+from ..operators.slots import slot_frame
 from ..sources.store import record as _record
 
 
@@ -91,7 +92,7 @@ def written(spark: SparkSession, mf: MetricFrame, name: str) -> MetricFrame:
     from ..session import shared_dir
     path = shared_dir(spark, f"rules/{re.sub(r'[^A-Za-z0-9_]+', '_', name)}-{uuid.uuid4().hex[:8]}")
     mf.df.write.mode("overwrite").parquet(path)
-    return MetricFrame(spark.read.parquet(path), mf.labels)
+    return replace(mf, df=spark.read.parquet(path), empty=False)
 
 
 ALERTS = "ALERTS"
@@ -123,6 +124,12 @@ class Ctx:
         key = ("instant", name, tuple((k, tuple(sorted(m.items()))) for k, m in matchers.items() if m), self.grid.step, self.lookback)
         return self._run.node(key, self, lambda c: c._run.instant(c.raw(name, **matchers), c.grid, c.lookback))
 
+    def counted(self, name: str, slot: str, eq=None, ne=None, re=None, nre=None) -> MetricFrame:
+        """Samples of a counter for rates over several ranges, each a multiple of ``slot``: their slots are summed up once."""
+        matchers = {"eq": eq, "ne": ne, "re": re, "nre": nre}
+        key = ("slots", name, tuple((k, tuple(sorted(m.items()))) for k, m in matchers.items() if m), slot, self.grid)
+        return self._run.node(key, self, lambda c: slot_frame(c.raw(name, **matchers), c.grid, duration_ms(slot), {"first", "last", "drops"}))
+
     def shared(self, name: str, expr: Callable[["Ctx"], MetricFrame]) -> MetricFrame:
         """An expression that several rules use under one name: computed once where they do."""
         return self._run.node(("shared", name, self._group), self, expr)

@@ -59,13 +59,17 @@ NODE_EXPORTER_RULES = RuleGroup("node-exporter.rules", "1m", [
 ])
 
 
-def _scheduler(family: str, q: float):
+def _scheduled(family: str):
     def f(c: Ctx):
         r = A.rate(c.raw(f"scheduler_{family}_duration_seconds_bucket", eq={"job": "kube-scheduler"}), "5m", c.grid)
-        return A.histogram_quantile(A.aggregate(r, "sum", without=["instance", "pod"]), q)
+        return A.aggregate(r, "sum", without=["instance", "pod"])
     return f
 
 
+def _scheduler(family: str, q: float):
+    return lambda c: A.histogram_quantile(c.shared(f"scheduler_{family}", _scheduled(family)), q)
+
+
 SCHEDULER_FAMILIES = ("e2e_scheduling", "scheduling_algorithm", "binding")
 KUBE_SCHEDULER = RuleGroup("kube-scheduler.rules", "1m", [
     Record(f"cluster_quantile:scheduler_{family}_duration_seconds:histogram_quantile", _scheduler(family, q), {"quantile": str(q)})

@@ -249,7 +249,7 @@ def _burnrate(window: str, read: bool):
 
     def f(c: Ctx):
         def srate(metric, eq=None, re=None, nre=None):
-            m = c.raw(metric, eq={**API, **(eq or {})}, re={"verb": verbs, **(re or {})}, nre=nre)
+            m = c.counted(metric, "15s", eq={**API, **(eq or {})}, re={"verb": verbs, **(re or {})}, nre=nre)
             return A.aggregate(A.rate(m, window, c.grid), "sum", by=by)
         bucket = "apiserver_request_slo_duration_seconds_bucket"
         count = srate("apiserver_request_slo_duration_seconds_count", nre=NOT_STREAMING)

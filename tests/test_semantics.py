@@ -585,7 +585,7 @@ def test_labelmap_rewrites_each_name_once(spark):
     import contextlib
     import io
     from metrilake.operators import relabel as R
-    df = spark.createDataFrame([(1, {"a_x": "1", "b": "2", "b_x": "3", "x": "old", "c": "4"}), (2, {"c": "5"}), (3, None)], "id int, labels map<string,string>")
+    df = spark.sql("""SELECT 1 AS id, map('a_x', '1', 'b', '2', 'b_x', '3', 'x', 'old', 'c', '4') AS labels UNION ALL SELECT 2, map('c', '5') UNION ALL SELECT 3, NULL""")
     d = R.relabel(df, [R.LabelMap("(?:a|b)_(.+)")])
     assert {r.id: r.labels for r in d.collect()} == {1: {"a_x": "1", "b": "2", "b_x": "3", "c": "4", "x": "3"}, 2: {"c": "5"}, 3: None}
     with contextlib.redirect_stdout(io.StringIO()) as plan:
