@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..frame import TS, VALUE, MetricFrame, to_ms
 from ..operators.select import from_table
-from ..operators.series import running_sum, running_sums
+from ..operators.series import DEFAULT_BUCKET_MS, running_sum, running_sums
 from ..sources.tables import table
 from .rulegroup import DictSource
 
@@ -32,7 +32,7 @@ def _lookup(m: dict, c: Column) -> Column:
 # windows as declared ([3m], [5m], for: 10m) see several samples per series.
 T0 = 1_704_067_200_000          # 2024-01-01T00:00:00Z
 TIME_SCALE = 1440
-DAY = 86_400_000 // TIME_SCALE      # a day of the replay: counters are summed day by day, so few series are many groups
+DAY = 86_400_000 // TIME_SCALE      # a day of the replay: counts, exact in any order, are summed day by day, so few series are many groups
 
 
 def base(spark: SparkSession, sf: str) -> DataFrame:
@@ -47,8 +47,8 @@ def base(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit("node-"), (u % 7).cast("string"), F.lit(":9100")).alias("instance"))
 
 
-def _counter(d: DataFrame, labels: list[str], inc: Column) -> MetricFrame:
-    c = running_sum(d.select(*labels, "event_id", TS, inc.alias("_inc")), labels, TS, ["event_id"], F.col("_inc"), VALUE, bucket_ms=DAY)
+def _counter(d: DataFrame, labels: list[str], inc: Column, bucket_ms: int = DEFAULT_BUCKET_MS) -> MetricFrame:
+    c = running_sum(d.select(*labels, "event_id", TS, inc.alias("_inc")), labels, TS, ["event_id"], F.col("_inc"), VALUE, bucket_ms=bucket_ms)
     return from_table(c.select(*labels, TS, VALUE), labels)
 
 
@@ -162,7 +162,7 @@ def families(spark: SparkSession, sf: str) -> DictSource:
                        F.when(F.col("uid") % 10 == 0, lit("500")).when(F.col("uid") % 10 == 1, lit("404"))
                        .otherwise(lit("200")).alias("code"),
                        F.when(F.col("uid") % 2 == 0, lit("pods")).otherwise(lit("nodes")).alias("resource"))
-        return _counter(d, ["job", "verb", "code", "resource"], lit(1.0))
+        return _counter(d, ["job", "verb", "code", "resource"], lit(1.0), DAY)
 
     def _api_hist():
         d = b().select("*", lit("apiserver").alias("job"), _lookup(VERBS, F.col("event_type")).alias("verb"),
@@ -176,7 +176,7 @@ def families(spark: SparkSession, sf: str) -> DictSource:
         return bucket_counter(_api_hist(), ["job", "verb", "scope", "subresource"], F.col("_lat"), LE)
 
     def api_count():
-        return _counter(_api_hist(), ["job", "verb", "scope", "subresource"], lit(1.0))
+        return _counter(_api_hist(), ["job", "verb", "scope", "subresource"], lit(1.0), DAY)
 
     def api_sum():
         return _counter(_api_hist(), ["job", "verb", "scope", "subresource"], F.col("_lat"))
