@@ -599,3 +599,18 @@ def test_queries_cut_shuffles_finely(spark):
     E.queries()["w6_changes"](spark, SF_SMALL)
     assert int(spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum")) >= 960
     assert spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count().rdd.getNumPartitions() < 960     # and join small ones again
+
+
+def test_shared_slots_give_the_windows_of_each_range(spark):
+    import random
+    from metrilake.operators import slots
+    from metrilake.plans.k8s_metrics import bucket_counter
+    rnd, g = random.Random(8), Grid.range(0, 600_000, "1m")
+    mf = mf_of(spark, [(rnd.choice("ab"), rnd.randrange(-20, 41) * 15_000 + rnd.choice([0, 0, 1, 7000]), float(rnd.randrange(9))) for _ in range(150)])
+    shared = slots.slot_frame(mf, g, 15_000, {"first", "last", "drops"})
+    for rng in ("2m", "5m", "1h"):
+        assert rows(A.rate(shared, rng, g).df) == rows(A.rate(mf, rng, g).df)
+    d = spark.createDataFrame([("a", 1, 10, 0.2), ("a", 2, 20, 3.0), ("a", 3, 90_000, 0.7), ("b", 4, 20, None)], "job string, event_id long, ts long, v double")
+    got = {(r.job, r.le, r.ts): r.value for r in bucket_counter(d, ["job"], F.col("v"), ["0.5", "1", "+Inf"]).df.collect()}
+    assert got == {("a", "0.5", 10): 1, ("a", "1", 10): 1, ("a", "+Inf", 10): 1, ("a", "0.5", 20): 1, ("a", "1", 20): 1, ("a", "+Inf", 20): 2,
+                   ("a", "0.5", 90_000): 1, ("a", "1", 90_000): 2, ("a", "+Inf", 90_000): 3, ("b", "0.5", 20): 0, ("b", "1", 20): 0, ("b", "+Inf", 20): 0}
