@@ -96,6 +96,20 @@ def test_scores_match_a_plain_tree(spark, depth, string_bits, word_bits, price):
         assert got[i]["score"] == pytest.approx(plain.score(t, depth), rel=1e-9), t
 
 
+def test_strings_that_occur_twice_count_in_a_corpus_of_millions_of_tokens(spark):
+    rnd = random.Random(8)
+    twice = [" ".join(f"t{rnd.randrange(400)}" for _ in range(300)) for _ in range(3)]
+    texts = ["x " * 40_000] * 60 + twice * 2                # above 2**21 tokens
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    plain = PlainTree(texts, 2, 60, suffix_tree.PRICE)
+    assert plain.n > 1 << 21 and any(s[-1] != b"x" for s in plain.states)
+    tree, counts = suffix_tree.fit(docs)
+    got = {r["doc_id"]: r["score"] for r in suffix_tree.score(docs.filter("doc_id >= 59"), tree, counts).collect()}
+    assert len(got) == 7
+    for i, score in got.items():
+        assert score == pytest.approx(plain.score(texts[i], 2), rel=1e-9, abs=1e-6), i
+
+
 def test_states_are_distributions():
     plain = PlainTree(prose(), 2, 20, 4.0)
     for s in plain.states:
