@@ -5,12 +5,14 @@ import math
 import random
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import duckdb
 import numpy as np
 import pytest
 
 from metrilake.llm import sql, suffix_tree, turns, whitening
+from metrilake.session import shared_dir
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 END = b""
@@ -110,6 +112,28 @@ def test_strings_that_occur_twice_count_in_a_corpus_of_millions_of_tokens(spark)
         assert score == pytest.approx(plain.score(texts[i], 2), rel=1e-9, abs=1e-6), i
 
 
+def test_tables_of_strings_are_deleted_when_nothing_reads_them(spark):
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(prose())], "doc_id long, text string").repartition(3)
+    tree, counts = suffix_tree.fit(docs)
+    assert suffix_tree.score(docs, tree, counts).count() == len(prose())
+    assert {d.name.split("-")[1] for d in set(folder.iterdir()) - before} == {"words", "worth", "scores"}
+
+
+def test_a_coarse_tree_answers_many_blocks(spark, monkeypatch):
+    texts = prose()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    tree, counts = suffix_tree.fit(docs)
+    monkeypatch.setattr(suffix_tree, "OWNED", 8)              # owners of finer ranges than the tree's runs
+    monkeypatch.setattr(suffix_tree, "BLOCK_BYTES", 1 << 10)
+    plain = PlainTree(texts, 2, 60, suffix_tree.PRICE)
+    got = {r["doc_id"]: r["score"] for r in suffix_tree.score(docs, tree, counts).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        assert got[i] == pytest.approx(plain.score(t, 2), rel=1e-9), t
+
+
 def test_states_are_distributions():
     plain = PlainTree(prose(), 2, 20, 4.0)
     for s in plain.states:
